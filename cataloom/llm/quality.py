@@ -16,7 +16,9 @@ WINDOW = 8
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 LOSS = 0.5
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
+WHITE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 #: Marks that end a sentence, a quotation or a clause.
 ENDING = r"[.!?:;,…\"'”’»)\]।。！？]$"
 #: Lines of this many words or fewer may stand without an end mark, as headings do.
@@ -32,11 +34,7 @@ NAVIGATION = r"[|»›→•·/]\s"
 
 def words_of(text: Column) -> Column:
     """Words cut at ASCII white space; null and empty texts have none."""
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
-
-
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+    return F.array_remove(F.split(text, WHITE), "")
 
 
 def _paired(step: int):
@@ -76,7 +74,7 @@ def repeated_words(words: Column) -> Column:
 
 def line_passes(line: Column) -> Column:
     """Whether a line with a word passes the rules."""
-    t = F.trim(F.translate(line, SPACES, " " * len(SPACES)))
+    t = F.btrim(line, F.lit(SPACES))
 
     def judge(line: Column) -> Column:
         x, n = line["x"], line["n"]
@@ -86,12 +84,12 @@ def line_passes(line: Column) -> Column:
         letters = F.length(F.regexp_replace(x, r"[^\p{L}]+", ""))
         capitals = F.length(F.regexp_replace(x, r"[^\p{Lu}]+", ""))
         shouted = x.rlike(r"\p{Lu}{3}") & (letters >= 20) & (capitals * 2 > letters)
-        symbols = x.rlike(r"[#*$%&|<>]") & (F.regexp_count(x, F.lit(r"[#*$%&|<>]")) * 10 > n)
+        symbols = x.rlike(SYMBOLS) & (F.regexp_count(x, F.lit(SYMBOLS)) * 10 > n)
         navigation = x.rlike(NAVIGATION) & (F.regexp_count(x, F.lit(NAVIGATION)) * 4 >= n)
         boilerplate = (n <= 30) & x.rlike(BOILERPLATE)
         return ends & ~symbols & ~noisy & ~shouted & ~(navigation & (n > 3)) & ~boilerplate
 
-    return let(let(t, lambda x: F.struct(x.alias("x"), (F.length(x) - F.length(_without(x, " ")) + 1).alias("n"))), judge)
+    return let(let(t, lambda x: F.struct(x.alias("x"), F.size(F.split(x, " ")).alias("n"))), judge)
 
 
 def judge_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,15 +100,14 @@ def judge_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = words_of(F.col("text"))
-    dense = _without(F.col("text"), SPACES)
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(_without(x, SPACES)) > 0)
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
     good = lambda ls: F.aggregate(F.transform(ls, lambda x: F.when(line_passes(x), F.length(x)).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
     whole = lambda ls: F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     measured = df.select(F.col(id_col).alias("id"), text.alias("text")).select(
         "id",
         F.size(words).cast("long").alias("n_words"),
-        F.length(dense).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         repeated_words(words).alias("n_repeat_words"),
         let(lines, lambda ls: good(ls) >= (1 - LOSS) * whole(ls)).alias("clean"),
