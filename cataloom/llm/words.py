@@ -41,13 +41,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words in order: hash, row of the batch, line of all lines of the chunk; first_line: the first line of each row."""
+    """Words in order: hash, row of the batch, line of all lines of the chunk, place in the bytes; first_line: of each row."""
 
     rows: range
     hash: np.ndarray
     row: np.ndarray
     line: np.ndarray
     first_line: np.ndarray
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
 
 
 def hashed(texts: list[bytes], rows: range) -> Words:
@@ -67,7 +70,7 @@ def hashed(texts: list[bytes], rows: range) -> Words:
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     offset = np.cumsum(size) - size
     first = np.searchsorted(breaks, offset)
-    return Words(rows, h, np.searchsorted(offset, starts, "right") - 1 + rows.start, line, first)
+    return Words(rows, h, np.searchsorted(offset, starts, "right") - 1 + rows.start, line, first, data, starts, ends)
 
 
 def chunks(column: pa.Array) -> Iterator[Words]:
