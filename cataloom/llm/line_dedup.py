@@ -6,7 +6,7 @@ their first few words (prefix filter); pairs must also agree in length and have
 that similar, whether or not the earlier one was itself removed.
 
 Rarity is a count of word hashes in a table of SKETCH counters, filled from all texts. Any fixed order keeps the prefix
-filter exact, so counters shared by several words cost only time. Lines also carry 128 parity bits of their words: the bits
+filter exact, so counters shared by several words cost only time. Lines also carry 96 parity bits of their words: the bits
 in which two lines differ never outnumber the words they don't share (bitmap filter).
 A word shared by thousands of like lines makes no square of pairs: each line is first verified against its earliest
 candidate for each word; only lines that none of these matches meet all their other candidates.
@@ -97,8 +97,9 @@ def line_sets(w: Words, level: np.ndarray) -> dict[str, np.ndarray]:
     mixed = mix(word.view(np.uint64))
     with np.errstate(over="ignore"):
         sid = np.add.reduceat(mixed, start)
-    bit, upper = np.uint64(1) << (mixed >> np.uint64(58)), (mixed >> np.uint64(57) & np.uint64(1)).astype(bool)
-    sig, sig2 = (np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), start) for own in (upper, ~upper))
+    place = (mixed >> np.uint64(40)) % np.uint64(96)
+    low, bit = place < 64, np.uint64(1) << (place & np.uint64(63))
+    sig, sig2 = (np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), start) for own in (low, ~low))
     size = n - np.ceil(THRESHOLD * n - EPS).astype(np.int64) + 1
     use = np.arange(len(word)) - start[which] < size[which]
     lev = (key >> np.uint64(40) & np.uint64(255)).astype(np.int64)
@@ -107,7 +108,7 @@ def line_sets(w: Words, level: np.ndarray) -> dict[str, np.ndarray]:
 
 def _line_rows(src: DataFrame, level) -> DataFrame:
     """A row for each line of enough words: sid, id, h, line, n, sig and prefix (words with their levels in the low byte)."""
-    schema = f"sid bigint, id {field_type(src, 'id')}, h bigint, line int, n int, sig bigint, sig2 bigint, prefix array<bigint>"
+    schema = f"sid bigint, id {field_type(src, 'id')}, h bigint, line int, n int, sig bigint, sig2 int, prefix array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,8 +116,8 @@ def _line_rows(src: DataFrame, level) -> DataFrame:
                 x = line_sets(w, level.value)
                 if x:
                     at = pa.array(x["row"])
-                    prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(x["size"])].astype(np.int32)), pa.array(x["word"] << 8 | x["level"]))
-                    cols = [pa.array(x["sid"].view(np.int64)), b.column(0).take(at), b.column(1).take(at), *(pa.array(x[k].astype(np.int32)) for k in ("line", "n")), *(pa.array(x[k].view(np.int64)) for k in ("sig", "sig2")), prefix]
+                    prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(x["size"])].astype(np.int32)), pa.array(x["word"] >> 8 << 8 | x["level"]))
+                    cols = [pa.array(x["sid"].view(np.int64)), b.column(0).take(at), b.column(1).take(at), *(pa.array(x[k].astype(np.int32)) for k in ("line", "n")), pa.array(x["sig"].view(np.int64)), pa.array(x["sig2"].astype(np.uint32).view(np.int32)), prefix]
                     yield pa.RecordBatch.from_arrays(cols, ["sid", "id", "h", "line", "n", "sig", "sig2", "prefix"])
 
     return src.mapInArrow(run, schema)
@@ -173,7 +174,7 @@ def near_candidates(x: dict[str, np.ndarray], group: np.ndarray, every: bool) ->
 def _candidates(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(sid, other): for each line and prefix word the earliest candidate; every candidate for the lines in only, if given."""
     every = only is not None
-    posts = sets.select("sid", "first", "n", "sig", "sig2", F.posexplode("prefix").alias("place", "w"))
+    posts = sets.select("sid", "first.some", "first.id", "first.line", "n", "sig", "sig2", F.posexplode("prefix").alias("place", "w"))
     if only is not None:
         wanted = only.join(sets, "sid").select(F.explode("prefix").alias("w"), F.lit(True).alias("wanted")).distinct()
         posts = posts.join(wanted, "w", "left_semi").join(only.withColumn("open", F.lit(True)), "sid", "left")
@@ -182,7 +183,7 @@ def _candidates(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
     dealt = (
         posts.withColumn("level", F.col("w").bitwiseAND(255)).withColumn("m", F.greatest(F.lit(1), F.ceil(bound / CHUNK)).cast("int"))
         .withColumn("c", F.pmod(F.xxhash64("sid"), "m").cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        .select("w", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "first", "sid", "n", "place", "sig", "sig2", *(["open"] if every else []))
+        .select("w", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "some", "id", "line", "sid", "n", "place", "sig", "sig2", *(["open"] if every else []))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,7 @@ def _candidates(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
             if not g.num_rows:
                 continue
             x = {k: g.column(k).to_numpy() for k in ("n", "place", "sig", "sig2")}
-            x = {k: v.astype(np.int64) if k in ("n", "place") else v.view(np.uint64) for k, v in x.items()}
+            x = {k: v.view(np.uint64) if k == "sig" else v.astype(np.int64) for k, v in x.items()}
             new = np.logical_or.reduce([(k := g.column(c).to_numpy())[1:] != k[:-1] for c in range(3)])
             i, j = near_candidates(x, np.cumsum(np.r_[0, new]), every)
             if every:
@@ -201,7 +202,7 @@ def _candidates(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.array(sid[j])], ["sid", "other"])
 
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt.repartition(parts, "w", "i", "j").sortWithinPartitions("w", "i", "j", "first").drop("first")
+    met = dealt.repartition(parts, "w", "i", "j").sortWithinPartitions("w", "i", "j", "some", "id", "line", "sid").drop("some", "id", "line")
     return met.mapInArrow(run, "sid bigint, other bigint").distinct()
 
 
@@ -229,7 +230,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     lines = staged(_line_rows(src, spark.sparkContext.broadcast(rarity(df, text_col))), "lines")
-    where = F.struct(F.col("id").isNotNull().alias("some"), "id", "h", "line")
+    where = F.struct(F.col("id").isNotNull().alias("some"), "id", "line", "h")
     payload = F.first(F.struct("n", "sig", "sig2", "prefix")).alias("p")
     sets = staged(lines.groupBy("sid").agg(F.min(where).alias("first"), payload).select("sid", "first", "p.*"), "sets")
     pairs = staged(_candidates(sets), "pairs")
@@ -246,7 +247,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """df with repeated lines cut from the texts, and n_lines and n_removed (columns of df by these names are replaced).
 
     Lines are cut at line feeds; words are lower-cased (A-Z) and split at ASCII white space; lines of fewer than MIN_WORDS
-    words stay. Earlier means smaller id (null first), then text hash, then line number. Rows equal in id and text get
+    words stay. Earlier means smaller id (null first), then line number, then text hash. Rows equal in id and text get
     equal results; a null text stays null with 0 lines; a text may become empty. All other columns pass through.
     """
     gone = _sent(staged(repeated_lines(df, id_col, text_col), "gone")).withColumnsRenamed({"id": "__cataloom_id", "h": "__cataloom_h", "lines": "__cataloom_lines"})
