@@ -174,7 +174,7 @@ def near_candidates(x: dict[str, np.ndarray], group: np.ndarray, every: bool) ->
 def _candidates(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(sid, other): for each line and prefix word the earliest candidate; every candidate for the lines in only, if given."""
     every = only is not None
-    posts = sets.select("sid", "first.some", "first.id", "first.line", "n", "sig", "sig2", F.posexplode("prefix").alias("place", "w"))
+    posts = sets.select("sid", "some", "id", "line", "n", "sig", "sig2", F.posexplode("prefix").alias("place", "w"))
     if only is not None:
         wanted = only.join(sets, "sid").select(F.explode("prefix").alias("w"), F.lit(True).alias("wanted")).distinct()
         posts = posts.join(wanted, "w", "left_semi").join(only.withColumn("open", F.lit(True)), "sid", "left")
@@ -214,7 +214,7 @@ def _sent(small: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs(sid, other) whose lines' word sets have similarity >= THRESHOLD, compared as texts."""
     wanted = staged(pairs.select(F.explode(F.array("sid", "other")).alias("sid")).distinct(), "wanted")
-    where = staged(sets.join(_sent(wanted), "sid", "left_semi").select("sid", "first.id", "first.h", "first.line"), "where")
+    where = staged(sets.join(_sent(wanted), "sid", "left_semi").select("sid", "id", "h", "line"), "where")
     rows = where.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_set(F.struct("line", "sid")).alias("at"))
     d = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     split = d.join(_sent(staged(rows, "where")), d.id.eqNullSafe(F.col("wid")) & (d.h == F.col("wh"))).select(F.split("text", "\n", -1).alias("lines"), F.explode("at").alias("at"))
@@ -232,14 +232,14 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = staged(_line_rows(src, spark.sparkContext.broadcast(rarity(df, text_col))), "lines")
     where = F.struct(F.col("id").isNotNull().alias("some"), "id", "line", "h")
     payload = F.first(F.struct("n", "sig", "sig2", "prefix")).alias("p")
-    sets = staged(lines.groupBy("sid").agg(F.min(where).alias("first"), payload).select("sid", "first", "p.*"), "sets")
+    sets = staged(lines.groupBy("sid").agg(F.min(where).alias("first"), payload).select("sid", "first.*", "p.*"), "sets")
     pairs = staged(_candidates(sets), "pairs")
     gone = staged(_verified(pairs, sets, lines, df, id_col, text_col).select("sid").distinct(), "matched")
     undecided = staged(pairs.join(gone, "sid", "left_anti").select("sid").distinct(), "undecided")
     if not undecided.isEmpty():  # their earliest candidate failed; meet all others
         more = staged(_candidates(sets, undecided), "pairs")
         gone = staged(gone.union(_verified(more, sets, lines, df, id_col, text_col).select("sid")).distinct(), "matched")
-    judged = lines.select("sid", "id", "h", "line").join(sets.select("sid", "first"), "sid").join(gone.withColumn("gone", F.lit(True)), "sid", "left")
+    judged = lines.select("sid", "id", "h", "line").join(sets.select("sid", F.struct("some", F.col("id").alias("id"), "line", "h").alias("first")), "sid").join(gone.withColumn("gone", F.lit(True)), "sid", "left")
     return judged.filter(F.col("gone").isNotNull() | (where > F.col("first"))).groupBy("id", "h").agg(F.collect_set("line").alias("lines"))
 
 
