@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,26 +175,30 @@ def near_candidates(x: dict[str, np.ndarray], group: np.ndarray, every: bool) ->
 def _candidates(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(sid, other): for each line and prefix word the earliest candidate; every candidate for the lines in only, if given."""
     every = only is not None
-    posts = sets.select("sid", "some", "id", "line", "n", "sig", "sig2", F.posexplode("prefix").alias("place", "w"))
+    posts = sets.select("sid", "id", "line", "n", "sig", "sig2", F.posexplode("prefix").alias("place", "w"))
     if only is not None:
-        wanted = only.join(sets, "sid").select(F.explode("prefix").alias("w"), F.lit(True).alias("wanted")).distinct()
-        posts = posts.join(wanted, "w", "left_semi").join(only.withColumn("open", F.lit(True)), "sid", "left")
+        opened = _sent(only)
+        wanted = staged(sets.join(opened, "sid", "left_semi").select(F.explode("prefix").alias("w")).distinct(), "wanted")
+        posts = posts.join(_sent(wanted), "w", "left_semi").join(opened.withColumn("open", F.lit(True)), "sid", "left")
     # the counter of the word bounds how many lines share it
     bound = F.when(F.col("level") <= 16, F.col("level")).otherwise(F.ceil(16 * F.pow(F.lit(2.0), (F.col("level") - 15) / 8)))
     dealt = (
         posts.withColumn("level", F.col("w").bitwiseAND(255)).withColumn("m", F.greatest(F.lit(1), F.ceil(bound / CHUNK)).cast("int"))
         .withColumn("c", F.pmod(F.xxhash64("sid"), "m").cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        .select("w", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "some", "id", "line", "sid", "n", "place", "sig", "sig2", *(["open"] if every else []))
+        .withColumn("key", F.when(F.col("m") > 1, F.xxhash64("w", F.least("c", "x"), F.greatest("c", "x"))).otherwise(F.col("w")))
+        .select("key", "id", "line", "sid", "n", "place", "sig", "sig2", *(["open"] if every else []))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in whole_groups(batches, 3):
+        for g in whole_groups(batches, 1):
             if not g.num_rows:
                 continue
+            order = [("key", "ascending"), ("id", "ascending"), ("line", "ascending"), ("sid", "ascending")]
+            g = g.take(pc.sort_indices(g, order, null_placement="at_start")).combine_chunks()
             x = {k: g.column(k).to_numpy() for k in ("n", "place", "sig", "sig2")}
-            x = {k: v.view(np.uint64) if k == "sig" else v.astype(np.int64) for k, v in x.items()}
-            new = np.logical_or.reduce([(k := g.column(c).to_numpy())[1:] != k[:-1] for c in range(3)])
-            i, j = near_candidates(x, np.cumsum(np.r_[0, new]), every)
+            x = {k: v.view(np.uint64) if k == "sig" else v.view(np.uint32) if k == "sig2" else v.astype(np.int64) for k, v in x.items()}
+            key = g.column("key").to_numpy()
+            i, j = near_candidates(x, np.cumsum(np.r_[0, key[1:] != key[:-1]]), every)
             if every:
                 opened = g.column("open").is_valid().to_numpy()
                 i, j = i[opened[i]], j[opened[i]]
@@ -202,7 +207,7 @@ def _candidates(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.array(sid[j])], ["sid", "other"])
 
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt.repartition(parts, "w", "i", "j").sortWithinPartitions("w", "i", "j", "some", "id", "line", "sid").drop("some", "id", "line")
+    met = dealt.repartition(parts, "key").sortWithinPartitions("key")
     return met.mapInArrow(run, "sid bigint, other bigint").distinct()
 
 

@@ -65,12 +65,13 @@ def hashed(texts: list[bytes], rows: range) -> Words:
         ends = np.flatnonzero(space & ~np.r_[True, space[:-1]])
         before = np.where(starts > 0, sums[np.maximum(starts - 1, 0)], np.uint64(0))
         h = mix((sums[ends - 1] - before) * down[starts])
-    breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, starts)
+    breaks = np.cumsum(data == 10, dtype=np.int32)
+    line = breaks[starts].astype(np.int64)
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     offset = np.cumsum(size) - size
-    first = np.searchsorted(breaks, offset)
-    return Words(rows, h, np.searchsorted(offset, starts, "right") - 1 + rows.start, line, first, data, starts, ends)
+    first = np.where(offset > 0, breaks[np.maximum(offset - 1, 0)], 0).astype(np.int64)
+    row_of_line = np.repeat(np.arange(len(texts)), np.diff(np.r_[first, breaks[-1]]))
+    return Words(rows, h, row_of_line[line] + rows.start, line, first, data, starts, ends)
 
 
 def chunks(column: pa.Array) -> Iterator[Words]:
