@@ -22,7 +22,7 @@ WINDOW, STRIDE = 32, 16
 UNITS, VECTOR, BUCKETS = 8, 8, 1 << 14
 THRESHOLD = 0.3
 #: Bounds of the training sample: texts of each label, bytes of a text, windows of a text in one epoch.
-SAMPLE, SAMPLE_BYTES = 3000, 64 << 10
+SAMPLE, SAMPLE_BYTES = 1500, 32 << 10
 BATCH, RATE = 128, 0.01
 #: Texts seen in training, repeats included, and the bounds of epochs that follow from it; share of word vectors left out.
 SEEN, EPOCHS, DROP = 40_000, (8, 40), 0.5
@@ -37,6 +37,7 @@ class Inputs:
 
     def __init__(self, w: Words):
         _, first, self.number = np.unique(w.hash, return_index=True, return_inverse=True)
+        self.number = self.number.astype(np.int32)
         self.word = (w.hash[first] >> np.uint64(50)).astype(np.int64)
         size = (w.end - w.start)[first] + 2
         begin = np.cumsum(size) - size
@@ -56,7 +57,7 @@ class Inputs:
                 owners.append(owner[: len(code)][ok])
         gram, own = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, owners))
         o = np.argsort(own, kind="stable")
-        self.gram, self.owner = gram[o], own[o]
+        self.gram, self.owner = gram[o].astype(np.int16), own[o].astype(np.int32)
         self.many = np.maximum(np.bincount(self.owner, minlength=len(first)), 1).astype(np.float32)
 
 
@@ -163,11 +164,11 @@ class Network:
         return g
 
 
-def _laid(w: Words, i: Inputs, start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mask), WINDOW x windows."""
+def _laid(rows: np.ndarray, i: Inputs, start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, mask), WINDOW x windows; rows: the row of each word."""
     at = start[None, :] + np.arange(WINDOW)[:, None]
-    inside = np.minimum(at, len(w.row) - 1)
-    mask = (at < len(w.row)) & (w.row[inside] == row[None, :])
+    inside = np.minimum(at, len(rows) - 1)
+    mask = (at < len(rows)) & (rows[inside] == row[None, :])
     return i.number[inside], mask
 
 
@@ -180,7 +181,7 @@ def window_scores(net: Network, w: Words) -> tuple[np.ndarray, np.ndarray]:
     x = net.vectors(i)
     out = []
     for a in range(0, len(start), 2048):
-        ids, mask = _laid(w, i, start[a : a + 2048], row[a : a + 2048])
+        ids, mask = _laid(w.row, i, start[a : a + 2048], row[a : a + 2048])
         out.append(net.forward(x, ids, mask))
     return row, np.concatenate(out)
 
@@ -198,21 +199,21 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     for w in chunks(column):
         start, row = windows(w.row)
         if len(start):
-            parts.append((w, Inputs(w), start, row))
+            parts.append((w.row, Inputs(w), start, row))
     m1, m2, step = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2)), None, 0
     m1, m2 = m1
     weight_of = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
     epochs = min(max(SEEN // len(y), EPOCHS[0]), EPOCHS[1])
     for epoch in range(epochs):
         for k in rng.permutation(len(parts)):
-            w, i, start, row = parts[k]
+            rows, i, start, row = parts[k]
             if epoch < 2:  # at first any window stands for its text
                 _, first = np.unique(row, return_index=True)
                 many = np.diff(np.r_[first, len(row)])
                 chosen = np.concatenate([first + rng.integers(0, many) for _ in range(2)])
             else:  # then the worst one does, and for clean texts two others
                 x = net.vectors(i)
-                logit = np.concatenate([net.forward(x, *_laid(w, i, start[a : a + 2048], row[a : a + 2048])) for a in range(0, len(start), 2048)])
+                logit = np.concatenate([net.forward(x, *_laid(rows, i, start[a : a + 2048], row[a : a + 2048])) for a in range(0, len(start), 2048)])
                 _, first = np.unique(row, return_index=True)
                 many = np.diff(np.r_[first, len(row)])
                 o = np.lexsort((-logit, row))
@@ -220,7 +221,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
                 chosen = np.r_[o[first], more[y[row[more]] == 0]]
             for a in range(0, len(chosen), BATCH):
                 c = chosen[a : a + BATCH]
-                ids, mask = _laid(w, i, start[c], row[c])
+                ids, mask = _laid(rows, i, start[c], row[c])
                 used, number = np.unique(ids, return_inverse=True)
                 g = net.gradients(_subset(i, used), number.reshape(ids.shape), mask, y[row[c]], weight_of[row[c]], (rng.random(len(used)) >= DROP).astype(np.float32))
                 step += 1
