@@ -56,7 +56,7 @@ def caption_track(html: Column) -> Column:
 
 def transcript(xml: Column) -> Column:
     nodes = F.xpath(xml, F.lit("//text/text()"))
-    return F.array_join(F.filter(F.transform(nodes, F.trim), lambda t: t != ""), " ")
+    return F.array_join(F.filter(F.transform(nodes, lambda t: F.trim(t)), lambda t: t != ""), " ")
 
 
 def packed_rows(weights: Column, rg: Column, differential: Column, bias: Column) -> Column:
