@@ -324,7 +324,7 @@ def score_match(spark, d):
     return V.table(spark, d, "part").select("p_partkey", T.score_match(title, F.col("p_brand"), F.col("p_name")).alias("x"))
 
 
-COVER_NAME = "CASE p_partkey % 9 WHEN 0 THEN 'GI26 Solid' WHEN 1 THEN 'Hybrid Pearl Reactive' WHEN 2 THEN 'Plastic' WHEN 3 THEN 'Urethane Polyester' WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN 'Pearl Solid' WHEN 7 THEN 'Reactive' ELSE 'Something' END"
+COVER_NAME = "CASE p_partkey % 9 WHEN 0 THEN 'X12 Solid' WHEN 1 THEN 'Hybrid Pearl Reactive' WHEN 2 THEN 'Plastic' WHEN 3 THEN 'Urethane Polyester' WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN 'Pearl Solid' WHEN 7 THEN 'Reactive' ELSE 'Something' END"
 
 
 def _keywords(table: tuple[tuple[str, str], ...], default: str = "NULL") -> str:
