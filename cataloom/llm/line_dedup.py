@@ -7,7 +7,8 @@ that similar, whether or not the earlier one was itself removed.
 
 Rarity is a count of word hashes in a table of SKETCH counters, filled from all texts. Any fixed order keeps the prefix
 filter exact, so counters shared by several words cost only time. Lines also carry 96 parity bits of their words: the bits
-in which two lines differ never outnumber the words they don't share (bitmap filter).
+in which two lines differ never outnumber the words they don't share (bitmap filter). Lines of more than LONG words carry
+128 bits more, those of more than VERY_LONG words 512.
 A word shared by thousands of like lines makes no square of pairs: each line is first verified against its earliest
 candidate for each word; only lines that none of these matches meet all their other candidates.
 """
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import field_type, staged, whole_groups
@@ -31,6 +32,8 @@ PIECES = 256
 THRESHOLD = 0.8
 #: Lines of fewer words are never removed: they are too short to tell a copy from common use.
 MIN_WORDS = 5
+#: Lines of more words carry longer parity bits: two unlike lines of n words differ in half the bits, and 2n/9 are allowed.
+LONG, VERY_LONG = 96, 160
 #: Lines that may share a word and be compared in one task; words that more may share are dealt out as pairs of chunks.
 CHUNK = 4096
 #: Largest table that is sent to all executors, in rows; beyond it the tables are joined by a shuffle.
@@ -101,15 +104,55 @@ def line_sets(w: Words, level: np.ndarray) -> dict[str, np.ndarray]:
     place = (mixed >> np.uint64(40)) % np.uint64(96)
     low, bit = place < 64, np.uint64(1) << (place & np.uint64(63))
     sig, sig2 = (np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), start) for own in (low, ~low))
+    width, more = long_bits(mixed, which, n)
     size = n - np.ceil(THRESHOLD * n - EPS).astype(np.int64) + 1
     use = np.arange(len(word)) - start[which] < size[which]
     lev = (key >> np.uint64(40) & np.uint64(255)).astype(np.int64)
-    return {"row": rows, "line": lines - w.first_line[rows - w.rows.start], "n": n, "sid": sid, "sig": sig, "sig2": sig2, "size": size, "word": word[use], "level": lev[use]}
+    return {"row": rows, "line": lines - w.first_line[rows - w.rows.start], "n": n, "sid": sid, "sig": sig, "sig2": sig2, "width": width, "more": more, "size": size, "word": word[use], "level": lev[use]}
+
+
+def long_bits(mixed: np.ndarray, which: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of each line, all bytes): 512 parity bits of very long lines, folded to 128 for long ones, none for others."""
+    width = np.where(n > VERY_LONG, 64, np.where(n > LONG, 16, 0))
+    own = n > LONG
+    if not own.any():
+        return width, np.zeros(0, np.uint8)
+    m = mixed[own[which]]
+    place, start = (m >> np.uint64(16)) & np.uint64(511), np.cumsum(n[own]) - n[own]
+    bit = np.uint64(1) << (place & np.uint64(63))
+    full = np.stack([np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), start) for k in range(8)], axis=1)
+    folded = n[own] <= VERY_LONG
+    full[folded, :2] = _fold(full[folded])
+    keep = np.ones(full.shape, bool)
+    keep[folded, 2:] = False
+    return width, full[keep].view(np.uint8)
+
+
+def _fold(full: np.ndarray) -> np.ndarray:
+    """128 parity bits from 512."""
+    return np.bitwise_xor.reduce(full.reshape(-1, 4, 2), axis=1)
+
+
+def _read_bits(more: pa.Array) -> dict[str, np.ndarray]:
+    """width (0, 16 or 64 bytes), fold (128 bits) and full (512 bits) of each line."""
+    more = more.cast(pa.binary())
+    offset = np.frombuffer(more.buffers()[1], np.int32)[more.offset : more.offset + len(more) + 1].astype(np.int64)
+    width = np.diff(offset)
+    fold, full = np.zeros((len(more), 2), np.uint64), np.zeros((len(more), 8 if (width == 64).any() else 0), np.uint64)
+    data = np.frombuffer(more.buffers()[2], np.uint8) if offset[-1] > offset[0] else np.zeros(0, np.uint8)
+    for size in (16, 64):
+        at = np.flatnonzero(width == size)
+        if len(at):
+            got = np.ascontiguousarray(data[offset[at][:, None] + np.arange(size)]).view(np.uint64)
+            fold[at] = got if size == 16 else _fold(got)
+            if size == 64:
+                full[at] = got
+    return {"width": width, "fold": fold, "full": full}
 
 
 def _line_rows(src: DataFrame, level) -> DataFrame:
     """A row for each line of enough words: sid, id, h, line, n, sig and prefix (words with their levels in the low byte)."""
-    schema = f"sid bigint, id {field_type(src, 'id')}, h bigint, line int, n int, sig bigint, sig2 int, prefix array<bigint>"
+    schema = f"sid bigint, id {field_type(src, 'id')}, h bigint, line int, n int, sig bigint, sig2 int, more binary, prefix array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,8 +161,9 @@ def _line_rows(src: DataFrame, level) -> DataFrame:
                 if x:
                     at = pa.array(x["row"])
                     prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(x["size"])].astype(np.int32)), pa.array(x["word"] >> 8 << 8 | x["level"]))
-                    cols = [pa.array(x["sid"].view(np.int64)), b.column(0).take(at), b.column(1).take(at), *(pa.array(x[k].astype(np.int32)) for k in ("line", "n")), pa.array(x["sig"].view(np.int64)), pa.array(x["sig2"].astype(np.uint32).view(np.int32)), prefix]
-                    yield pa.RecordBatch.from_arrays(cols, ["sid", "id", "h", "line", "n", "sig", "sig2", "prefix"])
+                    more = pa.Array.from_buffers(pa.binary(), len(x["n"]), [None, pa.py_buffer(np.r_[0, np.cumsum(x["width"])].astype(np.int32)), pa.py_buffer(x["more"])])
+                    cols = [pa.array(x["sid"].view(np.int64)), b.column(0).take(at), b.column(1).take(at), *(pa.array(x[k].astype(np.int32)) for k in ("line", "n")), pa.array(x["sig"].view(np.int64)), pa.array(x["sig2"].astype(np.uint32).view(np.int32)), more, prefix]
+                    yield pa.RecordBatch.from_arrays(cols, ["sid", "id", "h", "line", "n", "sig", "sig2", "more", "prefix"])
 
     return src.mapInArrow(run, schema)
 
@@ -133,7 +177,14 @@ def _passes(i: np.ndarray, j: np.ndarray, x: dict[str, np.ndarray]) -> np.ndarra
     ok = np.minimum(ni, nj) >= THRESHOLD * np.maximum(ni, nj) - EPS
     ok &= np.minimum(ni - pi, nj - pj) + np.minimum(pi, pj) >= need
     differ = np.bitwise_count(x["sig"][i] ^ x["sig"][j]).astype(np.int64) + np.bitwise_count(x["sig2"][i] ^ x["sig2"][j])
-    return ok & (differ <= total - 2 * need)
+    spare = total - 2 * need
+    ok &= differ <= spare
+    for size, bits in ((16, "fold"), (64, "full")):
+        at = np.nonzero(ok & (x["width"][i] >= size) & (x["width"][j] >= size))
+        if len(at[0]):
+            a, b = (x[bits][np.broadcast_to(v, ok.shape)[at]] for v in (i, j))
+            ok[at] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= spare[at]
+    return ok
 
 
 def near_candidates(x: dict[str, np.ndarray], group: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +226,7 @@ def near_candidates(x: dict[str, np.ndarray], group: np.ndarray, every: bool) ->
 def _candidates(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(sid, other): for each line and prefix word the earliest candidate; every candidate for the lines in only, if given."""
     every = only is not None
-    posts = sets.select("sid", "id", "line", "n", "sig", "sig2", F.posexplode("prefix").alias("place", "w"))
+    posts = sets.select("sid", "id", "line", "n", "sig", "sig2", "more", F.posexplode("prefix").alias("place", "w"))
     if only is not None:
         opened = _sent(only)
         wanted = staged(sets.join(opened, "sid", "left_semi").select(F.explode("prefix").alias("w")).distinct(), "wanted")
@@ -186,17 +237,19 @@ def _candidates(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
         posts.withColumn("level", F.col("w").bitwiseAND(255)).withColumn("m", F.greatest(F.lit(1), F.ceil(bound / CHUNK)).cast("int"))
         .withColumn("c", F.pmod(F.xxhash64("sid"), "m").cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         .withColumn("key", F.when(F.col("m") > 1, F.xxhash64("w", F.least("c", "x"), F.greatest("c", "x"))).otherwise(F.col("w")))
-        .select("key", "id", "line", "sid", "n", "place", "sig", "sig2", *(["open"] if every else []))
+        .select("key", "id", "sid", _two("line", "place").alias("where"), "sig", _two("sig2", "n").alias("rest"), "more", *(["open"] if every else []))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in whole_groups(batches, 1):
             if not g.num_rows:
                 continue
+            g = g.append_column("line", pa.array(g.column("where").to_numpy() >> 32))
             order = [("key", "ascending"), ("id", "ascending"), ("line", "ascending"), ("sid", "ascending")]
             g = g.take(pc.sort_indices(g, order, null_placement="at_start")).combine_chunks()
-            x = {k: g.column(k).to_numpy() for k in ("n", "place", "sig", "sig2")}
-            x = {k: v.view(np.uint64) if k == "sig" else v.view(np.uint32) if k == "sig2" else v.astype(np.int64) for k, v in x.items()}
+            rest, sig, low = g.column("rest").to_numpy(), g.column("sig").to_numpy().view(np.uint64), (1 << 32) - 1
+            x = {"n": rest & low, "place": g.column("where").to_numpy() & low, "sig": sig, "sig2": (rest >> 32 & low).astype(np.uint32)}
+            x |= _read_bits(g.column("more").combine_chunks())
             key = g.column("key").to_numpy()
             i, j = near_candidates(x, np.cumsum(np.r_[0, key[1:] != key[:-1]]), every)
             if every:
@@ -211,6 +264,11 @@ def _candidates(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
     return met.mapInArrow(run, "sid bigint, other bigint").distinct()
 
 
+def _two(high: str, low: str) -> Column:
+    """Two ints in one bigint: a posting is mostly shuffle bytes."""
+    return F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(F.col(low).cast("long"))
+
+
 def _sent(small: DataFrame) -> DataFrame:
     """small, marked for sending to all executors if its size allows."""
     return F.broadcast(small) if small.count() <= SEND_ROWS else small
@@ -236,7 +294,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     lines = staged(_line_rows(src, spark.sparkContext.broadcast(rarity(df, text_col))), "lines")
     where = F.struct(F.col("id").isNotNull().alias("some"), "id", "line", "h")
-    payload = F.first(F.struct("n", "sig", "sig2", "prefix")).alias("p")
+    payload = F.first(F.struct("n", "sig", "sig2", "more", "prefix")).alias("p")
     sets = staged(lines.groupBy("sid").agg(F.min(where).alias("first"), payload).select("sid", "first.*", "p.*"), "sets")
     pairs = staged(_candidates(sets), "pairs")
     gone = staged(_verified(pairs, sets, lines, df, id_col, text_col).select("sid").distinct(), "matched")

@@ -224,6 +224,22 @@ def test_line_dedup(spark, docs):
     assert line_dedup.dedup_lines(docs).filter("doc_id = 100").first().text is None
 
 
+def test_line_dedup_of_long_lines(spark):
+    """Long lines over a small vocabulary: lengths on both sides of the limits of the parity bits, near and far from 0.8."""
+    rng, rows = random.Random(8), []
+    for size in (70, 95, 97, 128, 161, 200, 330):
+        base = rng.sample(range(1500), size)
+        for changed in (0.0, 0.05, 0.1, 0.11, 0.12, 0.15, 0.3):
+            kept = rng.sample(base, size - int(changed * size))
+            more = rng.sample(range(1500, 3000), rng.choice([0, int(changed * size)]))
+            rows.append((len(rows), "short line\n" + " ".join(f"w{x}" for x in kept + more)))
+        rows.append((len(rows), " ".join(f"w{x}" for x in base[: int(0.81 * size)])))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_lines(rows)
+    assert {r.doc_id: r.n_removed for r in got} == {i: want[i] for i, _ in rows}
+    assert 10 < sum(want.values()) < len(rows) - 10
+
+
 def test_line_dedup_of_many_variants(spark):
     rng = random.Random(8)
     base = [f"k{j}" for j in range(20)]
