@@ -1,20 +1,19 @@
-r"""Language-model scores: prediction by partial matching over a pretrained byte trie.
-
-A text is scored as its sequence of lower-cased words followed by one end, which is an empty word. The byte model spells
-each word and a terminator; contexts are the preceding bytes of the same word, up to ORDER of them, in a trie of counts.
-A seen symbol has (c - DISCOUNT) / n at a context of total n; the rest of the mass is the escape, which goes to the next
-shorter context with the seen symbols excluded. Shorter contexts count by update exclusion: a symbol counts once for each
-longer context that it was new in. The probabilities of each context sum to one.
-
-The work is laid out by blocks: each task cuts its texts into runs of about BLOCK_BYTES and writes, for each run, the
-distinct words with their training counts, and the texts as numbers of these words. Whole texts never move between
-executors: word counts are summed in one shuffle, distinct words are spelled once each against the broadcast trie, and
-counts and spellings return to the runs by one join. The trie is broadcast; MAX_NODES bounds it.
+r"""Language-model scores: prediction by partial matching over a byte trie of the corpus.
+
+A text is scored as its UTF-8 bytes followed by one end symbol; contexts are the up to ORDER preceding bytes, whatever they
+are, and the first byte follows a start edge. A seen symbol has (c - DISCOUNT) / n at a context of total n; the rest of the
+mass is the escape, which goes to the next shorter context with the seen symbols excluded. Shorter contexts count by update
+exclusion: a symbol counts once for each longer context that it was seen in. The probabilities of each context sum to one.
+
+Texts are cut into blocks of about BLOCK_BYTES. A block sends each of its distinct codes (context and byte) once, with its
+training count, to the part of the trie that owns the last KEY context bytes: contexts of KEY or more bytes back off inside
+their part. All nodes are kept, and parts become more as the corpus grows; only the nodes of contexts shorter than KEY,
+fewer than 256 ** KEY, are broadcast. Log-probabilities return to the blocks in the order in which codes were sent. Words of
+the base score take the same way, told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,36 +22,68 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_type, held_out, staged, word_bytes
+from .common import field_type, held_out, staged
+from .words import hashed, mix
 
 ORDER = 7
 #: Taken from every count for the escape.
 DISCOUNT = 0.3
-#: Trie nodes broadcast for each order: the most frequent ones. 8 orders x 2**19 x 24 bytes bound the broadcast to 100 MB.
-MAX_NODES = 1 << 19
-BLOCK_BYTES = 8 << 20
-#: Stands before and after a word; no word holds it.
+BLOCK_BYTES = 16 << 20
+#: Log-probabilities return to the blocks in whole multiples of one in so many.
+UNIT = 1 << 12
+#: Positions of a block that are coded at once.
+SLICE = 1 << 20
+#: The context bytes that decide which part of the trie owns a code.
+KEY = 3
+#: Parts of the trie: at least so many, and one for each so many blocks.
+LEAST_PARTS, BLOCKS_A_PART = 64, 1
+#: Stands before a text.
 EDGE = 0x20
+#: Stands after a text; no UTF-8 text holds it.
+END = 0xFF
 FLOOR = 1.0 / 257
+#: Of the compression of texts.
+LEVEL = 7
 
 
-def word_codes(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every word and its terminator: the (order + 1)-byte code of context and byte, and the word's number.
+def word_codes(words: list[bytes], order: int, end: int = EDGE) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of every word or text and its terminator: the (order + 1)-byte code of context and byte, and its number.
 
-    A context holds the word's start edge and bytes; positions before that are zero, which no word contains at its start.
+    A context holds the start edge and bytes; positions before that are zero.
     """
-    data = np.frombuffer(b"".join(b"%c%b%c" % (EDGE, w, EDGE) for w in words), np.uint8).astype(np.uint64)
-    size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    which = np.repeat(np.arange(len(words)), size)
-    start = np.repeat(np.cumsum(size) - size, size)
-    at = np.arange(len(data)) - start
-    code = data.copy()
-    for j in range(1, order + 1):
-        shifted = np.zeros_like(data)
-        shifted[j:] = data[:-j] if j < len(data) else 0
-        code |= np.where(at >= j, shifted, 0).astype(np.uint64) << np.uint64(8 * j)
-    own = at > 0
-    return code[own], which[own]
+    data = Padded(words, order, end)
+    made = [(data.codes(a, order), data.texts(a)) for a in range(0, len(data.bytes), SLICE)]
+    return tuple(map(np.concatenate, zip(*made)))
+
+
+class Padded:
+    """Texts in one array, each after zeros and its edge, so that no context reaches into the text before."""
+
+    def __init__(self, texts: list[bytes], order: int, end: int):
+        self.pad = max(order, 1)
+        head, tail = bytes(self.pad - 1) + bytes([EDGE]), bytes([end])
+        self.bytes = np.frombuffer(b"".join(x for t in texts for x in (head, t, tail)), np.uint8)
+        size = np.fromiter((len(t) + self.pad + 1 for t in texts), np.int64, len(texts))
+        self.start = np.cumsum(size) - size
+        self.own = np.ones(len(self.bytes), bool)
+        for j in range(self.pad):
+            self.own[self.start + j] = False
+
+    def codes(self, a: int, order: int) -> np.ndarray:
+        """Codes of the positions from a that belong to texts, SLICE positions at most."""
+        z = min(len(self.bytes), a + SLICE)
+        code = self.bytes[a:z].astype(np.uint64)
+        for j in range(1, order + 1):
+            b = max(a, j)
+            code[b - a :] |= self.bytes[b - j : z - j].astype(np.uint64) << np.uint64(8 * j)
+        return code[self.own[a:z]]
+
+    def texts(self, a: int) -> np.ndarray:
+        """Text numbers of the same positions."""
+        z = min(len(self.bytes), a + SLICE)
+        first, last = np.searchsorted(self.start, [a, z - 1], "right") - 1
+        edge = np.r_[a, self.start[first + 1 : last + 1], z]
+        return np.repeat(np.arange(first, last + 1), np.diff(edge))[self.own[a:z]]
 
 
 def _summed(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +91,19 @@ def _summed(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return u, np.bincount(inverse, count, len(u)).astype(np.int64)
 
 
+def _merged(made: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and summed counts of sorted runs; the stable sort merges runs."""
+    code, count = map(np.concatenate, zip(*made))
+    if not len(code):
+        return code, count
+    turn = np.argsort(code, kind="stable")
+    code = code[turn]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    return code[first], np.add.reduceat(count[turn], first).astype(count.dtype)
+
+
 class Trie:
-    """Probabilities of kept nodes and the escape weights of their contexts, by order."""
+    """Probabilities of nodes and the escape weights of their contexts, by order."""
 
     def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         """nodes: for each order from 0, sorted codes, counts, and the total n of each code's context."""
@@ -100,148 +142,231 @@ class Trie:
         out[todo] += np.log10(FLOOR)
         return out
 
-    def spell(self, words: list[bytes], order: int) -> np.ndarray:
-        """log10 of the probability of each word with its terminator."""
-        if not words:
-            return np.zeros(0)
-        code, which = word_codes(words, order)
-        # common spellings repeat within a batch: look each code up once
-        u, inverse = np.unique(code, return_inverse=True)
-        return np.bincount(which, self.log10(u, order)[inverse], len(words))
-
 
 def _mask(k: int) -> np.uint64:
     return np.uint64((1 << (8 * (k + 1))) - 1)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list, list]]:
-    ids, held, texts, size = [], [], [], 0
-    for b in batches:
-        for i, h, t in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
-            ids.append(i)
-            held.append(h)
-            texts.append(t.as_py())
-            size += len(texts[-1] or "")
-            if size >= limit:
-                yield ids, held, texts
-                ids, held, texts, size = [], [], [], 0
-    if ids:
-        yield ids, held, texts
+def _nodes(code: np.ndarray, count: np.ndarray, order: int, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Codes, counts and context totals of the orders from least to order, of sorted codes and their counts."""
+    made = []
+    for k in range(order, least - 1, -1):
+        _, inverse = np.unique(code >> np.uint64(8), return_inverse=True)
+        made.append((code, count, np.bincount(inverse, count)[inverse].astype(np.int64) if len(code) else count))
+        if k:
+            code, count = np.unique(code & _mask(k - 1), return_counts=True)
+    return made[::-1]
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """An array as compressed byte planes."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(x) else b""
+
+
+def _unpack(data: bytes, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=np.uint64(0)))
 
 
-def _encoded(src: DataFrame) -> DataFrame:
-    """Rows of texts (id, held, number, used, times) and rows of words (word, number, training), by run."""
-    schema = f"block bigint, kind int, id {field_type(src, "id")}, held boolean, used binary, times binary, word binary, number int, training bigint"
+def _unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpack(data, n, "<u8"), dtype=np.uint64)
+
+
+def _blocks(src: DataFrame, order: int) -> DataFrame:
+    """A row for each block of texts, those to learn from first; short: the distinct codes of KEY context bytes in these."""
+    schema = f"block bigint, ids array<{field_type(src, 'id')}>, train int, sizes binary, size bigint, texts binary, short binary, n_short int"
+
+    def made(block: int, ids: pa.Array, held: list[bool], texts: list[bytes]) -> pa.RecordBatch:
+        turn = np.argsort(held, kind="stable")
+        train = len(held) - sum(held)
+        texts = [texts[i] for i in turn]
+        data = Padded(texts[:train], order, END)
+        short = [np.unique(data.codes(a, min(order, KEY))) for a in range(0, len(data.bytes), SLICE)]
+        short = np.unique(np.concatenate(short)) if short else np.zeros(0, np.uint64)
+        whole = b"".join(texts)
+        own = pa.ListArray.from_arrays(pa.array([0, len(turn)], pa.int32()), ids.take(pa.array(turn)))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        values = [
+            pa.array([block]), own, pa.array([train], pa.int32()), pa.array([sizes.tobytes()], pa.binary()), pa.array([len(whole)], pa.int64()),
+            pa.array([pa.Codec("zstd", compression_level=LEVEL).compress(whole, asbytes=True)], pa.binary()), pa.array([_pack_sorted(short)], pa.binary()), pa.array([len(short)], pa.int32()),
+        ]
+        return pa.RecordBatch.from_arrays(values, ["block", "ids", "train", "sizes", "size", "texts", "short", "n_short"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
-        for ids, held, texts in _runs(batches, BLOCK_BYTES):
-            number: dict[bytes, int] = {}
-            training = Counter()
-            used, times = [], []
-            for h, t in zip(held, texts):
-                c = Counter(word_bytes(t))
-                c[b""] = 1
-                nums = np.fromiter((number.setdefault(w, len(number)) for w in c), np.uint32, len(c))
-                many = np.fromiter(c.values(), np.uint32, len(c))
-                o = np.argsort(nums)
-                used.append(np.diff(nums[o], prepend=np.uint32(0)).astype("<u4").tobytes())
-                times.append(many[o].astype("<u4").tobytes())
-                if not h:
-                    training.update(dict(zip(nums.tolist(), many.tolist())))
-            n, v = len(ids), len(number)
-            id_col = pa.array([i.as_py() for i in ids], type=ids[0].type)
-            names = ["block", "kind", "id", "held", "used", "times", "word", "number", "training"]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, block)), pa.array(np.zeros(n, np.int32)), id_col, pa.array(held, pa.bool_()),
-                    pa.array(used, pa.binary()), pa.array(times, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()),
-                ], names,
-            )
-            words = list(number)
-            for a in range(0, v, 50_000):
-                part = words[a : a + 50_000]
-                m = len(part)
-                count = np.fromiter((training.get(i, 0) for i in range(a, a + m)), np.int64, m)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(m, block)), pa.array(np.ones(m, np.int32)), pa.nulls(m, id_col.type), pa.nulls(m, pa.bool_()),
-                        pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(part, pa.binary()), pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array(count),
-                    ], names,
-                )
-            block += 1
+        ids, held, texts, size = [], [], [], 0
+        for b in batches:
+            a = 0
+            for i, (h, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()))):
+                held.append(bool(h))
+                texts.append(t.as_py() or b"")
+                size += len(texts[-1])
+                if size >= BLOCK_BYTES:
+                    yield made(block, pa.concat_arrays([*ids, b.column(0).slice(a, i + 1 - a)]), held, texts)
+                    ids, held, texts, size, a, block = [], [], [], 0, i + 1, block + 1
+            ids.append(b.column(0).slice(a))
+        if texts:
+            yield made(block, pa.concat_arrays(ids), held, texts)
 
     return src.mapInArrow(run, schema)
 
 
-def _trained(counts: DataFrame, order: int, max_nodes: int) -> Trie:
-    """The trie of the words of counts(word, c): every word is counted; each order keeps its max_nodes most frequent nodes."""
+def _texts(data: bytes, size: int, sizes: bytes) -> list[bytes]:
+    whole = pa.decompress(data, size, "zstd", asbytes=True) if size else b""
+    end = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+    return [whole[a:z] for a, z in zip([0, *end], end)]
+
+
+def _word_slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of words and the numbers of their texts, some texts at a time."""
+    a, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= SLICE or i == len(texts) - 1:
+            w = hashed(texts[a : i + 1], range(a, i + 1))
+            yield w.hash, w.row
+            a, size = i + 1, 0
+
+
+def _distinct(slices: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and their counts; slices are merged in rounds, so that few are held."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for s in slices:
+        u, c = np.unique(s, return_counts=True)
+        held.append((u, c.astype(np.uint32)))
+        while len(held) > 1 and len(held[-1][0]) * 2 > len(held[-2][0]):
+            held[-2:] = [_merged(held[-2:])]
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    return _merged(held)
+
+
+def _vocabulary(texts: list[bytes], train: int, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct codes and the distinct words of a block, sorted, with their training counts."""
+    out = []
+    for kind in (0, 1):
+        made = []
+        for part in (texts[:train], texts[train:]):
+            data = Padded(part, order, END) if kind == 0 else None
+            slices = (data.codes(a, order) for a in range(0, len(data.bytes), SLICE)) if kind == 0 else (h for h, _ in _word_slices(part))
+            made.append(_distinct(slices))
+        (u, c), (v, _) = made
+        out.append(_merged([(u, c.astype(np.uint32)), (v, np.zeros(len(v), np.uint32))]))
+    return out
+
+
+def _dealt(codes: np.ndarray, kind: int, parts: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which values are sent, and where the values of each part begin and end."""
+    key = codes >> np.uint64(8) & np.uint64((1 << 8 * min(order, KEY)) - 1) if kind == 0 else codes
+    part = (mix(key) % np.uint64(parts)).astype(np.int64)
+    return np.argsort(part, kind="stable"), np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
+
+
+def _low_nodes(blocks: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The nodes of the orders below KEY: how many distinct longer contexts each was seen in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            code, which = word_codes([w.as_py() for w in b.column(0)], order)
-            code, count = _summed(code, b.column(1).to_numpy()[which])
-            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(count)], ["code", "c"])
+            for data, n in zip(b.column(0), b.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpack_sorted(data.as_py(), n.as_py()).view(np.int64))], ["code"])
 
-    at = staged(counts.filter("c > 0").mapInArrow(run, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")), "nodes")
-    made = []
-    for k in range(order, -1, -1):
-        ctx = F.shiftrightunsigned("code", 8)
-        totals = at.groupBy(ctx.alias("ctx")).agg(F.sum("c").alias("n"))
-        kept = at.orderBy(F.desc("c"), "code").limit(max_nodes).withColumn("ctx", ctx)
-        t = kept.join(totals, "ctx").select("code", "c", "n").toArrow()
-        code = t.column(0).to_numpy().view(np.uint64)
-        o = np.argsort(code)
-        made.append((code[o], *(t.column(i).to_numpy()[o] for i in (1, 2))))
-        if k:  # a context that reaches the start of the word is the same context one byte shorter
-            first = F.shiftrightunsigned("code", 8 * k) if k < 8 else F.lit(0)
-            new = F.when(first == 0, F.col("c")).otherwise(1)
-            at = staged(at.groupBy(F.col("code").bitwiseAND((1 << 8 * k) - 1).alias("code")).agg(F.sum(new).alias("c")), "nodes")
-    return Trie(made[::-1])
-
-
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, order: int = ORDER, max_nodes: int = MAX_NODES) -> DataFrame:
+    short = blocks.select("short", "n_short").mapInArrow(run, "code bigint").distinct()
+    t = short.groupBy(F.col("code").bitwiseAND((1 << 8 * KEY) - 1).alias("code")).agg(F.count("*").alias("c")).orderBy("code").toArrow()
+    return _nodes(t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy(), KEY - 1, 0)
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, order: int = ORDER) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
+    base_score: words (lower-cased A-Z) and one end by their counts. score: the bytes of the text, as they are, and one end.
     held: column that is true for rows not learnt from; by default crc32 of the id mod 10 = 0. Null and empty texts are one
-    end token; repeated rows are learnt and scored each time; null ids are texts of their own; without training rows every
-    count is 0 and the trie empty. Other columns are not read.
+    end; repeated rows are learnt and scored each time; null ids are texts of their own; without training rows every
+    count is 0 and the trie empty. order: from KEY to 7. Other columns are not read.
     """
+    if not KEY <= order <= 7:
+        raise ValueError(f"order {order} is not between {KEY} and 7")
     spark = df.sparkSession
     held = held_out(id_col, 10, 0) if held is None else held
     src = df.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
-    encoded = staged(_encoded(src), "encoded")
-    words = encoded.filter("kind = 1").select("block", "word", "number", "training")
-    counts = staged(words.groupBy("word").agg(F.sum("training").alias("c")), "counts")
-    total, distinct = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    trie = spark.sparkContext.broadcast(_trained(counts, order, max_nodes))
+    blocks = staged(_blocks(src, order), "blocks")
+    n_blocks, ends = blocks.agg(F.count("*"), F.coalesce(F.sum("train"), F.lit(0))).first()
+    parts = max(LEAST_PARTS, -(-n_blocks // BLOCKS_A_PART))
+    low = spark.sparkContext.broadcast(_low_nodes(blocks, order))
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lp = trie.value.spell([w.as_py() for w in b.column(0)], order)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lp)], ["word", "c", "lp"])
-
-    spelled = counts.mapInArrow(spell, "word binary, c bigint, lp double")
-    known = words.select("block", "word", "number").join(spelled, "word").select("block", "number", "c", "lp")
-    texts = encoded.filter("kind = 0").select(F.col("block").alias("block"), "id", "held", "used", "times")
-    denominator = np.log10(total + 0.1 * (distinct + 1))
+            for block, train, sizes, size, data in zip(*(b.column(i) for i in range(5))):
+                made = _vocabulary(_texts(data.as_py(), size.as_py(), sizes.as_py()), train.as_py(), order)
+                cols: list[pa.Array] = [pa.array(np.arange(parts)), pa.array(np.full(parts, block.as_py()))]
+                for kind, (u, c) in enumerate(made):
+                    turn, edge = _dealt(u, kind, parts, order)
+                    own = [turn[a:z] for a, z in zip(edge[:-1], edge[1:])]
+                    cols += [pa.array(np.diff(edge)), pa.array([_pack_sorted(u[o]) for o in own], pa.binary()), pa.array([_pack(c[o]) for o in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "block", "n", "codes", "counts", "m", "words", "times"])
+
+    def judge(t: pa.Table) -> pa.Table:
+        found = []
+        for n, values, counts in (("n", "codes", "counts"), ("m", "words", "times")):
+            size = t.column(n).to_numpy()
+            sent = np.concatenate([_unpack_sorted(x.as_py(), k) for x, k in zip(t.column(values), size)])
+            u, inverse = np.unique(sent, return_inverse=True)
+            c = np.bincount(inverse, np.concatenate([_unpack(x.as_py(), k, "<u4") for x, k in zip(t.column(counts), size)]), len(u)).astype(np.int64)
+            edge = np.r_[0, np.cumsum(size)]
+            if n == "n":
+                seen = c > 0
+                result = Trie(low.value + _nodes(u[seen], c[seen], order, KEY)).log10(u, order)
+                result = np.rint(result * -UNIT).astype("<i4")
+            else:
+                total, distinct = int(c.sum()), int((c > 0).sum())
+                result = c.astype("<i8")
+            found.append([_pack(result[inverse[a:z]]) for a, z in zip(edge[:-1], edge[1:])])
+        rows = t.num_rows
+        cols = [t.column("block").combine_chunks(), t.column("part").combine_chunks(), *(pa.array(x, pa.binary()) for x in found), pa.array([total] * rows, pa.int64()), pa.array([distinct] * rows, pa.int64())]
+        return pa.Table.from_arrays(cols, ["block", "part", "lp", "c", "total", "distinct"])
+
+    sent = blocks.select("block", "train", "sizes", "size", "texts").mapInArrow(send, "part bigint, block bigint, n bigint, codes binary, counts binary, m bigint, words binary, times binary")
+    judged = sent.groupBy("part").applyInArrow(judge, "block bigint, part bigint, lp binary, c binary, total bigint, distinct bigint")
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        number = right.column("number").to_numpy()
-        c, lp = np.zeros(len(number), np.int64), np.zeros(len(number))
-        c[number], lp[number] = right.column("c").to_numpy(), right.column("lp").to_numpy()
-        base = np.log10(c + 0.1) - denominator
-        rows = []
-        for u, t in zip(left.column("used"), left.column("times")):
-            i = np.cumsum(np.frombuffer(u.as_py(), "<u4").astype(np.int64))
-            m = np.frombuffer(t.as_py(), "<u4").astype(np.int64)
-            rows.append((int(m.sum()), int(m[c[i] > 0].sum()), float(m @ base[i]), float(m @ lp[i])))
-        n_tokens, n_known, base_score, sc = map(list, zip(*rows)) if rows else ([], [], [], [])
-        made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([total] * len(rows), pa.int64()), pa.array(base_score, pa.float64()), pa.array(sc, pa.float64())]
-        return pa.Table.from_arrays([left.column("id").combine_chunks(), left.column("held").combine_chunks(), *made], names)
+        row = {k: left.column(k)[0] for k in left.column_names}
+        train, n = row["train"].as_py(), len(row["ids"])
+        texts = _texts(row["texts"].as_py(), row["size"].as_py(), row["sizes"].as_py())
+        right = right.sort_by("part")
+        known = []
+        for kind, ((u, _), name, dtype) in enumerate(zip(_vocabulary(texts, train, order), ("lp", "c"), ("<i4", "<i8"))):
+            turn, edge = _dealt(u, kind, parts, order)
+            value = np.zeros(len(u), dtype)
+            value[turn] = np.concatenate([_unpack(x.as_py(), k, dtype) for x, k in zip(right.column(name), np.diff(edge))])
+            known.append((u, value))
+        total = sum(right.column("total").to_pylist()) + ends
+        distinct = sum(right.column("distinct").to_pylist()) + (ends > 0)
+        sc, data = np.zeros(n), Padded(texts, order, END)
+        for a in range(0, len(data.bytes), SLICE):
+            code, which = data.codes(a, order), data.texts(a)
+            v, inverse = np.unique(code, return_inverse=True)
+            sc += np.bincount(which, known[0][1][np.searchsorted(known[0][0], v)][inverse] / -UNIT, n)
+        base, n_tokens, n_known = np.full(n, np.log10(ends + 0.1)), np.ones(n, np.int64), np.full(n, int(ends > 0))
+        for h, which in _word_slices(texts):
+            if not len(h):
+                continue
+            c = known[1][1][np.searchsorted(known[1][0], h)]
+            base += np.bincount(which, np.log10(c + 0.1), n)
+            n_tokens += np.bincount(which, minlength=n)
+            n_known += np.bincount(which[c > 0], minlength=n)
+        base -= n_tokens * np.log10(total + 0.1 * (distinct + 1))
+        held_col = pa.array(np.arange(n) >= train)
+        made = [pa.array(n_tokens), pa.array(n_known), pa.array(np.full(n, total)), pa.array(base), pa.array(sc)]
+        return pa.Table.from_arrays([row["ids"].values, held_col, *made], names)
 
     out = f"`{id_col}` {field_type(df, id_col)}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(finish, out)
+    texts = blocks.drop("short", "n_short")
+    return texts.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(finish, out)

@@ -95,6 +95,48 @@ def test_trie_probabilities_sum_to_one():
         assert 0.9 < (10 ** trie.log10(codes, 7)).sum() <= 1.001
 
 
+def brute_lm(train, texts, order=7):
+    """Scores by a dictionary of all contexts of whole texts."""
+    def steps(t):
+        s = b"\0" * (order - 1) + b" " + (t or "").encode() + b"\xff"
+        return [(s[i - order : i], s[i]) for i in range(order, len(s))]
+
+    level = Counter(x for t in train for x in steps(t))
+    nodes = {}
+    for k in range(order, -1, -1):
+        for (ctx, s), c in level.items():
+            nodes.setdefault(ctx, {})[s] = c
+        level = Counter((ctx[1:], s) for ctx, s in level) if k else level
+
+    def p(ctx, s):
+        if ctx not in nodes:
+            return p(ctx[1:], s) if ctx else 1 / 257
+        seen, n = nodes[ctx], sum(nodes[ctx].values())
+        if s in seen:
+            return (seen[s] - lm_score.DISCOUNT) / n
+        lower = (lambda x: p(ctx[1:], x)) if ctx else (lambda x: 1 / 257)
+        left = 1 - sum((c - lm_score.DISCOUNT) / n for c in seen.values())
+        return left / (1 - sum(map(lower, seen))) * lower(s)
+
+    return [sum(math.log10(p(ctx, s)) for ctx, s in steps(t)) for t in texts]
+
+
+def lm_rows():
+    rng = random.Random(12)
+    texts = [f"{sentence(rng.randint(1, 25), rng)}\n Né {i}" for i in range(40)] + ["", None]
+    texts += [" ".join(rng.sample(texts[3].split(), len(texts[3].split())))]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+def test_lm_score_keeps_every_context(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SLICE", 64)
+    rows = lm_rows()
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    got = {r.doc_id: r.score for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, t), want in zip(rows, brute_lm(train, [t for _, t in rows])):  # half a unit a byte, and single precision
+        assert abs(got[i] - want) <= (len((t or "").encode()) + 1) * 0.51 / lm_score.UNIT
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
