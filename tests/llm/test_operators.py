@@ -137,6 +137,14 @@ def test_lm_score_keeps_every_context(spark, monkeypatch):
         assert abs(got[i] - want) <= (len((t or "").encode()) + 1) * 0.51 / lm_score.UNIT
 
 
+def test_lm_score_reads_over_words(spark):
+    text = sentence(40)
+    turned = " ".join(reversed(text.split()))
+    df = spark.createDataFrame([(1, text), (2, text), (3, text), (4, turned)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.score(df, held=F.col("doc_id") == 4).collect()}
+    assert got[4].base_score == pytest.approx(got[1].base_score) and got[4].score < 2 * got[1].score
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
