@@ -2,7 +2,7 @@
 
 Candidates meet in blocks. For a small radius the blocks are exact: the 64 bits are cut into five parts and any two
 fingerprints at distance <= 2 agree on three of them, so ten (3 of 5) keys lose no link. For similarity classes on word
-shingles the blocks are bands of a min-wise signature and the fingerprint has 256 bits.
+shingles the blocks are bands of a min-wise signature and the fingerprint has 256 bits; near pairs are then verified by exact Jaccard.
 Inside a block, bit planes are stored vertically; distances of many pairs are counted at once by carry-save counters,
 and a row of comparisons is abandoned as soon as all of it exceeds the radius.
 """
@@ -28,8 +28,10 @@ CHUNK = 4096
 ROWS = 256
 #: Min-wise signature for similarity classes: at similarity 0.8 a pair shares a band with probability 0.9998.
 BANDS, BAND_ROWS = 16, 4
-#: Radius among 256 bits: the expected distance at similarity 0.8 is 39, its deviation 6.
-SIMILAR_RADIUS = 44
+#: Least Jaccard similarity of shingle sets that links documents.
+SIMILARITY = 0.8
+#: Filter among 256 bits before similarity is computed: the expected distance at similarity 0.8 is 39, its deviation 6.
+SIMILAR_RADIUS = 72
 PARTS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 
 
@@ -82,28 +84,28 @@ def mixed(h: np.ndarray, i: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def _wide(words: list[bytes], k: int) -> tuple[list[int], list[int]]:
-    """256 fingerprint bits as four longs, and a key for each band."""
-    h = shingle_hashes(words, k)
-    fp = [_signed(majority_bits(mixed(h, 1000 + i))) for i in range(4)]
-    if not len(h):
-        return fp, [0] * BANDS
-    u = np.unique(h)
+def _wide(words: list[bytes], k: int) -> tuple[list[int], list[int], int]:
+    """256 fingerprint bits of the set of shingles as four longs, a key for each band, and a hash of the set."""
+    u = np.unique(shingle_hashes(words, k))
+    fp = [_signed(majority_bits(mixed(u, 1000 + i))) for i in range(4)]
+    node = _signed(xxhash.xxh64_intdigest(u.tobytes(), SEED))
+    if not len(u):
+        return fp, [0] * BANDS, node
     sig = np.array([mixed(u, i).min() for i in range(BANDS * BAND_ROWS)], np.uint64).reshape(BANDS, BAND_ROWS)
-    return fp, [_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(sig)]
+    return fp, [_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(sig)], node
 
 
 def wide_fingerprints(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, fp, bands): h is the hash of the text that tells rows of one id apart."""
+    """(id, h, fp, bands, node): h is the hash of the text that tells rows of one id apart, node that of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [_wide(word_bytes(t.as_py()), k) for t in b.column(2)]
-            arrays = [b.column(0), b.column(1), *(pa.array([m[j] for m in made], pa.list_(pa.int64())) for j in (0, 1))]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "h", "fp", "bands"])
+            arrays = [b.column(0), b.column(1), *(pa.array([m[j] for m in made], pa.list_(pa.int64())) for j in (0, 1)), pa.array([m[2] for m in made], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "h", "fp", "bands", "node"])
 
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {field_type(src, 'id')}, h bigint, fp array<bigint>, bands array<bigint>")
+    return src.mapInArrow(run, f"id {field_type(src, 'id')}, h bigint, fp array<bigint>, bands array<bigint>, node bigint")
 
 
 def near_rows(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -156,18 +158,26 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def apart(fps: np.ndarray, root: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """All pairs of members within the radius that have different roots."""
+    return [(i, int(j)) for i, near in near_rows(fps, radius) for j in near[root[near] != root[i]]]
+
+
 def links_in_blocks(rows: DataFrame, radius: int) -> DataFrame:
     """(u, v) links that join the nodes of rows(t, key, node, fp array) whenever fingerprints in one block are near.
 
+    With a column root, all pairs near each other in one block whose roots differ.
     A block of more than CHUNK members is dealt out as all pairs of its chunks, so that no task holds a whole large block.
     """
     big = staged(rows.groupBy("t", "key").count().filter(F.col("count") > CHUNK), "blocks")
     m = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / CHUNK).cast("int")
+    labelled = "root" in rows.columns
+    root = F.col("root") if labelled else F.lit(0).cast("long").alias("root")
     mine = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
     dealt = (
         rows.join(big, ["t", "key"], "left").withColumn("m", m).withColumn("c", mine)
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        .select("t", "key", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j"), "node", "fp")
+        .select("t", "key", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j"), "node", "fp", root)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +186,7 @@ def links_in_blocks(rows: DataFrame, radius: int) -> DataFrame:
             flat = g.column(5).combine_chunks()
             flat = flat if isinstance(flat, pa.Array) else flat.chunk(0)
             fps = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(node), -1)
-            found = forest(fps, radius)
+            found = forest(fps, radius) if not labelled else apart(fps, g.column(6).to_numpy(), radius)
             if found:
                 a, b = (pa.array(node[list(x)], pa.int64()) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([a, b], ["u", "v"])
@@ -194,6 +204,49 @@ def _with_least(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return linked.join(per_root, "root").select("node", "component_id")
 
 
+def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs(u, v) whose sets of k-word shingles have similarity SIMILARITY or more, computed from the texts of nodes."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    where = staged(nodes.join(wanted, "node", "left_semi").select("node", F.col("least.id").alias("wid"), F.col("least.h").alias("wh")), "wanted")
+    d = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    texts = d.join(where, d.id.eqNullSafe(where.wid) & (d.h == where.wh)).select("node", "text")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.unique(shingle_hashes(word_bytes(t.as_py()), k)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["node", "x"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(shared >= SIMILARITY * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    sets = staged(texts.mapInArrow(shingles, "node bigint, x binary").dropDuplicates(["node"]), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("u"), "x"), "u").join(sets.select(F.col("node").alias("v"), F.col("x").alias("y")), "v")
+    return both.select("u", "v", "x", "y").mapInArrow(judge, "u bigint, v bigint")
+
+
+def similar_links(nodes: DataFrame, df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(u, v) verified links that connect nodes as all verified pairs would.
+
+    First a forest of each block is verified. Then the pairs between the classes which that makes are, all of them; pairs
+    inside a class can't change it.
+    """
+    blocks = nodes.select("node", "fp", F.posexplode("bands").alias("t", "key")).select("t", "key", "node", "fp")
+    first = staged(links_in_blocks(blocks, SIMILAR_RADIUS).distinct(), "pairs")
+    sure = staged(_verified(first, nodes, df, k, id_col, text_col), "similar")
+    roots = staged(components(sure), "roots")
+    labelled = blocks.join(roots, "node", "left").select("t", "key", "node", "fp", F.coalesce("root", "node").alias("root"))
+    pairs = links_in_blocks(labelled, SIMILAR_RADIUS).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    more = staged(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+    return sure.union(staged(_verified(more, nodes, df, k, id_col, text_col), "similar"))
+
+
 def simhash_classes(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row: fingerprints link at two or fewer differing bits.
 
@@ -214,15 +267,14 @@ def simhash_classes(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
 def drop_near_duplicates(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each class of near-duplicates: the one with the smallest id, then text hash.
 
-    Rows link when their 256-bit fingerprints over k-word shingles differ in SIMILAR_RADIUS bits or fewer (similarity about
-    0.8 or more) and they share a band. All empty and null texts form one class. A null id comes first; of rows equal in
+    Rows link when the Jaccard similarity of their sets of k-word shingles is SIMILARITY or more, computed from the texts.
+    Pairs are found by a shared band (0.9998 of those at 0.8) and 256-bit fingerprints within SIMILAR_RADIUS. All empty and null texts form one class. A null id comes first; of rows equal in
     id and text one stays. Columns of df are returned unchanged, whatever their names.
     """
-    rows = staged(wide_fingerprints(df, k, id_col, text_col).withColumn("node", F.xxhash64("fp")), "wide")
+    rows = staged(wide_fingerprints(df, k, id_col, text_col), "wide")
     same = rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least"), F.min_by(F.struct("fp", "bands"), F.struct("id", "h")).alias("x"))
     nodes = staged(same.select("node", "least", "x.fp", "x.bands"), "nodes")
-    blocks = nodes.select("node", "fp", F.posexplode("bands").alias("t", "key")).select("t", "key", "node", "fp")
-    classes = _with_least(nodes.select("node", "least"), links_in_blocks(blocks, SIMILAR_RADIUS))
+    classes = _with_least(nodes.select("node", "least"), similar_links(nodes, df, k, id_col, text_col))
     kept = staged(classes.select(F.col("component_id.id").alias("_id"), F.col("component_id.h").alias("_h")).distinct(), "kept")
     d = df.withColumn("__cataloom_h", F.xxhash64(text_col)).withColumn("__cataloom_id", F.col(id_col))
     stay = d.join(kept, d["__cataloom_id"].eqNullSafe(kept["_id"]) & (d["__cataloom_h"] == kept["_h"]), "left_semi")

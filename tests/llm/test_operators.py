@@ -253,6 +253,21 @@ def test_near_duplicates(spark, docs):
     assert simhash.drop_near_duplicates(docs).filter("coalesce(text, '') = ''").count() == 1
 
 
+def test_near_duplicates_are_verified(spark):
+    """Texts on both sides of 0.8, by brute force over sets of five-word shingles."""
+    rng, texts = random.Random(9), []
+    for b in range(12):
+        base = [f"b{b}x{i}" for i in range(rng.randint(60, 300))]
+        for cut in (0, 0.05, 0.1, 0.15, 0.18, 0.2, 0.22, 0.25, 0.3):
+            n = int(cut * len(base))
+            texts.append(" ".join(base[: len(base) - n] + ([f"n{b}x{cut}x{i}" for i in range(n)] if rng.random() < 0.4 else [])))
+        texts.append(" ".join((base[:5] * 40) + base[5:]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    lab = closure(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9)
+    got = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(lab))
+
+
 def brute_lines(rows):
     seen, gone = [], Counter()
     for i, t in sorted(set(rows)):
