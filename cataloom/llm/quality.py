@@ -92,25 +92,47 @@ def line_passes(line: Column) -> Column:
     return let(let(t, lambda x: F.struct(x.alias("x"), F.size(F.split(x, " ")).alias("n"))), judge)
 
 
+def clean_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with failing lines cut from the texts, and removed_lines (numbers from 0), line_chars and removed_chars.
+
+    Lines are cut at line feeds; lines without a word pass and don't count as characters. A null text stays null with no
+    removed lines; a text may become empty. Columns of df by the new names are replaced; others pass through.
+    """
+    judge = lambda x: F.struct(x.alias("x"), F.length(x).alias("n"), x.rlike(WORD).alias("w"), F.when(x.rlike(WORD), line_passes(x)).otherwise(True).alias("ok"))
+
+    def judged(ls: Column) -> Column:
+        bad = F.filter(F.transform(ls, lambda x, i: F.when(~x["ok"], i)), lambda i: i.isNotNull())
+        chars = F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.when(x["w"], x["n"]).otherwise(0))
+        lost = F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.when(x["ok"], 0).otherwise(x["n"]))
+        text = F.array_join(F.transform(F.filter(ls, lambda x: x["ok"]), lambda x: x["x"]), "\n")
+        return F.struct(text.alias("text"), bad.alias("bad"), chars.alias("chars"), lost.alias("lost"))
+
+    text = F.col(text_col).cast("string")
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), judge)
+    d = df.withColumn("__cataloom_judged", let(lines, judged))
+    j = F.col("__cataloom_judged")
+    made = {text_col: F.when(text.isNotNull(), j["text"]), "removed_lines": j["bad"], "line_chars": j["chars"], "removed_chars": j["lost"]}
+    return d.withColumns(made).drop("__cataloom_judged")
+
+
 def judge_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    A null text counts as empty: 0 everywhere, base_failed and not kept. Rows come out as often as they come in; null ids
-    pass; texts are read whole. Other columns are not read.
+    kept comes from what clean_documents removes. A null text counts as empty: 0 everywhere, base_failed and not kept. Rows
+    come out as often as they come in; null ids pass; texts are read whole. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = words_of(F.col("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
-    good = lambda ls: F.aggregate(F.transform(ls, lambda x: F.when(line_passes(x), F.length(x)).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
-    whole = lambda ls: F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    measured = df.select(F.col(id_col).alias("id"), text.alias("text")).select(
+    cleaned = clean_documents(df.select(F.col(id_col).alias("id"), text.alias("text"), text.alias("cleaned")), "cleaned")
+    measured = cleaned.select(
         "id",
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         repeated_words(words).alias("n_repeat_words"),
-        let(lines, lambda ls: good(ls) >= (1 - LOSS) * whole(ls)).alias("clean"),
+        (F.col("removed_chars") <= LOSS * F.col("line_chars")).alias("clean"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return measured.select(

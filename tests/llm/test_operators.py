@@ -390,6 +390,36 @@ def test_quality(spark):
     assert quality.judge_documents(df.filter("false")).count() == 0
 
 
+def brute_passes(line):
+    x = line.strip("\t\n\x0b\x0c\r ")
+    n = len(x.split(" "))
+    letters, capitals = sum(c.isalpha() for c in x), sum(c.isupper() for c in x)
+    ends = x[-1] in ".!?:;,\u2026\"'\u201d\u2019\u00bb)]" or n <= 12
+    noisy = n > 2 and 3 * len(re.findall(r"[!?*#$%&.,;:]{2,}(?=\s|$)", x)) > n
+    shouted = re.search("[A-Z]{3}", x) and letters >= 20 and 2 * capitals > letters
+    navigation = n > 3 and 4 * len(re.findall("[|\u00bb\u203a\u2192\u2022\u00b7/]\\s", x)) >= n
+    boilerplate = n <= 30 and re.search(r"(?i)\b(?:cookie|privacy policy|copyright|newsletter|log ?in)", x)
+    return bool(ends and not (noisy or shouted or 10 * sum(x.count(c) for c in "#*$%&|<>") > n or navigation or boilerplate))
+
+
+def test_quality_removes_failing_lines(spark):
+    rng = random.Random(6)
+    bad = ["Home \u2022 Shop \u2022 Cart \u2022 Help", "We use cookies, see the privacy policy.", sentence(20, rng)[:-1], "what!! is!! this!!", "SHOUTING ALL THE TIME ABOUT IT", "# $ % &"]
+    texts = ["\n".join(rng.choice([*bad, "", " \t", "A heading", sentence(15, rng), sentence(25, rng)]) for _ in range(rng.randint(1, 9))) for _ in range(80)]
+    long = sentence(30, rng)
+    texts += [long + "\n" + "\n".join(bad[:2]), None, "", "\n".join([bad[1]] * 9 + [long])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id: (r.kept, r.base_failed) for r in quality.judge_documents(df).collect()}
+    for r in quality.clean_documents(df).collect():
+        lines = (texts[r.doc_id] or "").split("\n")
+        gone = [i for i, x in enumerate(lines) if x.strip() and not brute_passes(x)]
+        whole, lost = sum(len(x) for x in lines if x.strip()), sum(len(lines[i]) for i in gone)
+        assert r.removed_lines == gone and (r.line_chars, r.removed_chars) == (whole, lost)
+        assert r.text == (None if texts[r.doc_id] is None else "\n".join(x for i, x in enumerate(lines) if i not in gone))
+        assert kept[r.doc_id][0] == (not kept[r.doc_id][1] and lost <= 0.5 * whole)
+    assert {k for k, _ in kept.values()} == {True, False} and quality.clean_documents(df.filter("false")).count() == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     bad = ["vexol", "vexora", "vexing"]
