@@ -30,8 +30,10 @@ from .words import Words, chunks, mix
 SKETCH = 1 << 22
 PIECES = 256
 THRESHOLD = 0.8
-#: Lines of fewer words are never removed: they are too short to tell a copy from common use.
+#: Default of min_words: lines of fewer words stay. op5 and the pipeline pass 1.
 MIN_WORDS = 5
+#: Sets of so many words reach THRESHOLD only when equal, which their hash tells; they need no postings.
+ONLY_EQUAL = 3
 #: Lines of more words carry longer parity bits: two unlike lines of n words differ in half the bits, and 2n/9 are allowed.
 LONG, VERY_LONG = 96, 160
 #: Lines that may share a word and be compared in one task; words that more may share are dealt out as pairs of chunks.
@@ -78,10 +80,10 @@ def rarity(df: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def line_sets(w: Words, level: np.ndarray) -> dict[str, np.ndarray]:
+def line_sets(w: Words, level: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
     """The lines of enough words of a chunk: row, line, n, sid (hash of the set), sig (parity bits), and their prefix words."""
     per_line = np.bincount(w.line, minlength=int(w.first_line[-1]) + 1 if len(w.first_line) else 1)
-    long = per_line[w.line] >= MIN_WORDS if len(w.line) else np.zeros(0, bool)
+    long = per_line[w.line] >= min_words if len(w.line) else np.zeros(0, bool)
     h, line, row = w.hash[long], w.line[long], w.row[long]
     if not len(h):
         return {}
@@ -150,14 +152,14 @@ def _read_bits(more: pa.Array) -> dict[str, np.ndarray]:
     return {"width": width, "fold": fold, "full": full}
 
 
-def _line_rows(src: DataFrame, level) -> DataFrame:
+def _line_rows(src: DataFrame, level, min_words: int) -> DataFrame:
     """A row for each line of enough words: sid, id, h, line, n, sig and prefix (words with their levels in the low byte)."""
     schema = f"sid bigint, id {field_type(src, 'id')}, h bigint, line int, n int, sig bigint, sig2 int, more binary, prefix array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in chunks(b.column(2)):
-                x = line_sets(w, level.value)
+                x = line_sets(w, level.value, min_words)
                 if x:
                     at = pa.array(x["row"])
                     prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(x["size"])].astype(np.int32)), pa.array(x["word"] >> 8 << 8 | x["level"]))
@@ -226,7 +228,7 @@ def near_candidates(x: dict[str, np.ndarray], group: np.ndarray, every: bool) ->
 def _candidates(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(sid, other): for each line and prefix word the earliest candidate; every candidate for the lines in only, if given."""
     every = only is not None
-    posts = sets.select("sid", "id", "line", "n", "sig", "sig2", "more", F.posexplode("prefix").alias("place", "w"))
+    posts = sets.filter(F.col("n") > ONLY_EQUAL).select("sid", "id", "line", "n", "sig", "sig2", "more", F.posexplode("prefix").alias("place", "w"))
     if only is not None:
         opened = _sent(only)
         wanted = staged(sets.join(opened, "sid", "left_semi").select(F.explode("prefix").alias("w")).distinct(), "wanted")
@@ -288,11 +290,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, df: DataFrame
     return both.filter(shared >= THRESHOLD * (F.size("x") + F.size("y") - shared) - EPS).select("sid", "other")
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, h, lines): the line numbers to remove from the rows of that id and text hash."""
     spark = df.sparkSession
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    lines = staged(_line_rows(src, spark.sparkContext.broadcast(rarity(df, text_col))), "lines")
+    lines = staged(_line_rows(src, spark.sparkContext.broadcast(rarity(df, text_col)), min_words), "lines")
     where = F.struct(F.col("id").isNotNull().alias("some"), "id", "line", "h")
     payload = F.first(F.struct("n", "sig", "sig2", "more", "prefix")).alias("p")
     sets = staged(lines.groupBy("sid").agg(F.min(where).alias("first"), payload).select("sid", "first.*", "p.*"), "sets")
@@ -306,14 +308,14 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return judged.filter(F.col("gone").isNotNull() | (where > F.col("first"))).groupBy("id", "h").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with repeated lines cut from the texts, and n_lines and n_removed (columns of df by these names are replaced).
 
-    Lines are cut at line feeds; words are lower-cased (A-Z) and split at ASCII white space; lines of fewer than MIN_WORDS
-    words stay. Earlier means smaller id (null first), then line number, then text hash. Rows equal in id and text get
+    Lines are cut at line feeds; words are lower-cased (A-Z) and split at ASCII white space; lines of fewer than min_words
+    words, or of none, stay. Earlier means smaller id (null first), then line number, then text hash. Rows equal in id and text get
     equal results; a null text stays null with 0 lines; a text may become empty. All other columns pass through.
     """
-    gone = _sent(staged(repeated_lines(df, id_col, text_col), "gone")).withColumnsRenamed({"id": "__cataloom_id", "h": "__cataloom_h", "lines": "__cataloom_lines"})
+    gone = _sent(staged(repeated_lines(df, id_col, text_col, min_words), "gone")).withColumnsRenamed({"id": "__cataloom_id", "h": "__cataloom_h", "lines": "__cataloom_lines"})
     d = df.withColumn("__cataloom_key", F.xxhash64(text_col)).drop("n_lines", "n_removed")
     j = d.join(gone, d[id_col].eqNullSafe(gone["__cataloom_id"]) & (d["__cataloom_key"] == gone["__cataloom_h"]), "left")
     lines = F.split(F.col(text_col), "\n", -1)

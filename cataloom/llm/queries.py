@@ -31,7 +31,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,6 +320,16 @@ def test_line_dedup_of_many_variants(spark):
     assert {r.doc_id: r.n_removed for r in got} == {i: want[i] for i, _ in rows}
 
 
+def test_line_dedup_of_short_lines(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, "\n".join(rng.choice(["read more", "Menu", "menu", "a b c", "a b c d", "a b c d e", "", " \t", "c b a", sentence(3, rng)]) for _ in range(8))) for i in range(40)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=1).collect()
+    monkeypatch.setattr(line_dedup, "MIN_WORDS", 1)
+    want = brute_lines(rows)
+    assert {r.doc_id: r.n_removed for r in got} == {i: want[i] for i, _ in rows}
+    assert sum("read more" in r.text.split("\n") for r in got) == 1
+
+
 def test_packing(docs):
     df = packing.pack_texts(docs)
     got = df.collect()
