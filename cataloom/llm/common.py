@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,30 +15,82 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+#: For each tidy operator that runs now, the folders it has staged and whether they stay.
+_open: list[list[tuple[str, bool]]] = []
+#: Largest staged table that is sent to all executors; beyond it tables are joined by a shuffle.
+SEND_BYTES = 32 << 20
 
 #: ASCII white space of the word definition `[^\x20\x09-\x0D]+`; bytes.split() uses the same set.
 SPACES = "\t\n\x0b\x0c\r "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; in local mode, where that is unset, one of our own."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spark-")
     return _own_dir
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here and survives lost executors."""
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends here and survives lost executors.
+
+    Inside an operator marked tidy the folder goes when that returns, unless it is to be kept.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-2 if keep and len(_open) > 1 else -1].append((path, keep and len(_open) == 1))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def staged_bytes(df: DataFrame) -> int:
+    """Bytes on disk of a staged table."""
+    p, fs = _path(df.sparkSession, df.inputFiles()[0].rpartition("/")[0]) if df.inputFiles() else (None, None)
+    return int(fs.getContentSummary(p).getLength()) if p else 0
+
+
+def sent(small: DataFrame) -> DataFrame:
+    """A staged table, marked for sending to all executors if it has at most SEND_BYTES."""
+    return F.broadcast(small) if staged_bytes(small) <= SEND_BYTES else small
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files and broadcasts that nothing refers to any more are deleted now, not when the driver next lacks memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def tidy(operator):
+    """An operator (its first argument a DataFrame) whose staged tables are deleted when it returns, but those to be kept."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        _open.append([])
+        try:
+            return operator(df, *args, **kwargs)
+        finally:
+            spark = df.sparkSession
+            for path, keep in _open.pop():
+                if not keep:
+                    p, fs = _path(spark, path)
+                    fs.delete(p, True)
+            release(spark)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,6 +119,21 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]):
     return cond
 
 
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of one length as compressed byte planes."""
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays]
+    return pa.compress(b"".join(planes), "zstd", asbytes=True) if len(arrays[0]) else b""
+
+
+def unpack(data: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    if not n:
+        return [np.zeros(0, k) for k in kinds]
+    planes = np.frombuffer(pa.decompress(data, n * sum(sizes), "zstd", asbytes=True), np.uint8).reshape(-1, n)
+    cut = np.cumsum([0, *sizes])
+    return [np.ascontiguousarray(planes[a:z].T).reshape(-1).view(k) for k, a, z in zip(kinds, cut[:-1], cut[1:])]
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """The rows, sorted by their first n_keys columns, in tables that never divide a run of equal keys."""
     held: list[pa.Table] = []

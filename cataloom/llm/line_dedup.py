@@ -6,11 +6,15 @@ their first few words (prefix filter); pairs must also agree in length and have
 that similar, whether or not the earlier one was itself removed.
 
 Rarity is a count of word hashes in a table of SKETCH counters, filled from all texts. Any fixed order keeps the prefix
-filter exact, so counters shared by several words cost only time. Lines also carry 96 parity bits of their words: the bits
-in which two lines differ never outnumber the words they don't share (bitmap filter). Lines of more than LONG words carry
-128 bits more, those of more than VERY_LONG words 512.
-A word shared by thousands of like lines makes no square of pairs: each line is first verified against its earliest
-candidate for each word; only lines that none of these matches meet all their other candidates.
+filter exact, so counters shared by several words cost only time. A second such table counts the postings of each prefix
+word: a word with one posting can't meet another line, and words of very many are dealt out in chunks. Lines also carry 96
+parity bits of their words: the bits in which two lines differ never outnumber the words they don't share (bitmap filter).
+Lines of more than LONG words carry 128 bits more, those of more than VERY_LONG words 512.
+Lines with equal sets of words, told by a 64-bit sum of word hashes, need no comparison. A posting names the prefix word
+before it: two lines that share that one too have met there already. A word shared by thousands of like lines makes no
+square of pairs: each line is first verified against its earliest candidate for each word; only lines that none of these
+matches meet all their other candidates, in a join.
+Postings travel as packed arrays, a row for each map task and bucket.
 """
 
 from __future__ import annotations
@@ -20,26 +24,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_type, staged, whole_groups
+from .common import field_type, pack, release, sent, staged, tidy, unpack
 from .words import Words, chunks, mix
 
 #: Counters of the rarity table, one byte each: the broadcast has 4 MB, whatever the corpus.
 SKETCH = 1 << 22
 PIECES = 256
 THRESHOLD = 0.8
-#: Default of min_words: lines of fewer words stay. op5 and the pipeline pass 1.
-MIN_WORDS = 5
 #: Sets of so many words reach THRESHOLD only when equal, which their hash tells; they need no postings.
 ONLY_EQUAL = 3
 #: Lines of more words carry longer parity bits: two unlike lines of n words differ in half the bits, and 2n/9 are allowed.
 LONG, VERY_LONG = 96, 160
 #: Lines that may share a word and be compared in one task; words that more may share are dealt out as pairs of chunks.
 CHUNK = 4096
-#: Largest table that is sent to all executors, in rows; beyond it the tables are joined by a shuffle.
-SEND_ROWS = 1 << 20
+#: Postings of a bucket, about; lines whose postings are packed together.
+BUCKET, PACKED_LINES = 1 << 18, 1 << 16
 EPS = 1e-9
 
 
@@ -49,15 +51,15 @@ def _level(count: np.ndarray) -> np.ndarray:
     return np.where(c <= 16, count, np.minimum(255, 16 + 8 * np.log2(c / 16))).astype(np.uint8)
 
 
-def rarity(df: DataFrame, text_col: str) -> np.ndarray:
-    """Levels of the counts of all words of all texts, by hash mod SKETCH."""
+def _counted(df: DataFrame, hashes) -> np.ndarray:
+    """Levels of the counts of 64-bit hashes by hash mod SKETCH; hashes(batch) makes arrays of them."""
     width = SKETCH // PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for b in batches:
-            for w in chunks(b.column(0)):
-                at, many = np.unique(w.hash & np.uint64(SKETCH - 1), return_counts=True)
+            for h in hashes(b):
+                at, many = np.unique(h & np.uint64(SKETCH - 1), return_counts=True)
                 total[at.astype(np.int64)] += many
         at = np.flatnonzero(total)
         edge = np.searchsorted(at, np.arange(PIECES + 1) * width)
@@ -73,13 +75,23 @@ def rarity(df: DataFrame, text_col: str) -> np.ndarray:
             total[np.frombuffer(at.as_py(), "<u4")] += np.frombuffer(many.as_py(), np.int64)
         return pa.table({"piece": t.column("piece")[:1], "level": pa.array([_level(total).tobytes()])})
 
-    made = df.select(F.col(text_col).cast("string")).mapInArrow(run, "piece int, at binary, many binary")
+    made = df.mapInArrow(run, "piece int, at binary, many binary")
     out = np.zeros(SKETCH, np.uint8)
     for piece, level in made.groupBy("piece").applyInArrow(add, "piece int, level binary").collect():
         out[piece * width : (piece + 1) * width] = np.frombuffer(bytes(level), np.uint8)
     return out
 
 
+def rarity(df: DataFrame, text_col: str) -> np.ndarray:
+    """Levels of the counts of all words of all texts."""
+    return _counted(df.select(F.col(text_col).cast("string")), lambda b: (w.hash for w in chunks(b.column(0))))
+
+
+def postings(sets: DataFrame) -> np.ndarray:
+    """Levels of the counts of all prefix words, by word mod SKETCH."""
+    return _counted(sets.select("prefix"), lambda b: [b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)])
+
+
 def line_sets(w: Words, level: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
     """The lines of enough words of a chunk: row, line, n, sid (hash of the set), sig (parity bits), and their prefix words."""
     per_line = np.bincount(w.line, minlength=int(w.first_line[-1]) + 1 if len(w.first_line) else 1)
@@ -109,8 +121,7 @@ def line_sets(w: Words, level: np.ndarray, min_words: int) -> dict[str, np.ndarr
     width, more = long_bits(mixed, which, n)
     size = n - np.ceil(THRESHOLD * n - EPS).astype(np.int64) + 1
     use = np.arange(len(word)) - start[which] < size[which]
-    lev = (key >> np.uint64(40) & np.uint64(255)).astype(np.int64)
-    return {"row": rows, "line": lines - w.first_line[rows - w.rows.start], "n": n, "sid": sid, "sig": sig, "sig2": sig2, "width": width, "more": more, "size": size, "word": word[use], "level": lev[use]}
+    return {"row": rows, "line": lines - w.first_line[rows - w.rows.start], "n": n, "sid": sid, "sig": sig, "sig2": sig2, "width": width, "more": more, "size": size, "word": word[use]}
 
 
 def long_bits(mixed: np.ndarray, which: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,13 +146,9 @@ def _fold(full: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduce(full.reshape(-1, 4, 2), axis=1)
 
 
-def _read_bits(more: pa.Array) -> dict[str, np.ndarray]:
-    """width (0, 16 or 64 bytes), fold (128 bits) and full (512 bits) of each line."""
-    more = more.cast(pa.binary())
-    offset = np.frombuffer(more.buffers()[1], np.int32)[more.offset : more.offset + len(more) + 1].astype(np.int64)
-    width = np.diff(offset)
-    fold, full = np.zeros((len(more), 2), np.uint64), np.zeros((len(more), 8 if (width == 64).any() else 0), np.uint64)
-    data = np.frombuffer(more.buffers()[2], np.uint8) if offset[-1] > offset[0] else np.zeros(0, np.uint8)
+def long_parities(data: np.ndarray, offset: np.ndarray, width: np.ndarray) -> dict[str, np.ndarray]:
+    """fold (128 bits) and full (512 bits) of lines whose width bytes (0, 16 or 64) begin at offset of data."""
+    fold, full = np.zeros((len(width), 2), np.uint64), np.zeros((len(width), 8 if (width == 64).any() else 0), np.uint64)
     for size in (16, 64):
         at = np.flatnonzero(width == size)
         if len(at):
@@ -149,11 +156,11 @@ def _read_bits(more: pa.Array) -> dict[str, np.ndarray]:
             fold[at] = got if size == 16 else _fold(got)
             if size == 64:
                 full[at] = got
-    return {"width": width, "fold": fold, "full": full}
+    return {"fold": fold, "full": full}
 
 
 def _line_rows(src: DataFrame, level, min_words: int) -> DataFrame:
-    """A row for each line of enough words: sid, id, h, line, n, sig and prefix (words with their levels in the low byte)."""
+    """A row for each line of enough words: sid, id, h, line, n, sig and prefix (its words, from the rarest)."""
     schema = f"sid bigint, id {field_type(src, 'id')}, h bigint, line int, n int, sig bigint, sig2 int, more binary, prefix array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +169,7 @@ def _line_rows(src: DataFrame, level, min_words: int) -> DataFrame:
                 x = line_sets(w, level.value, min_words)
                 if x:
                     at = pa.array(x["row"])
-                    prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(x["size"])].astype(np.int32)), pa.array(x["word"] >> 8 << 8 | x["level"]))
+                    prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(x["size"])].astype(np.int32)), pa.array(x["word"]))
                     more = pa.Array.from_buffers(pa.binary(), len(x["n"]), [None, pa.py_buffer(np.r_[0, np.cumsum(x["width"])].astype(np.int32)), pa.py_buffer(x["more"])])
                     cols = [pa.array(x["sid"].view(np.int64)), b.column(0).take(at), b.column(1).take(at), *(pa.array(x[k].astype(np.int32)) for k in ("line", "n")), pa.array(x["sig"].view(np.int64)), pa.array(x["sig2"].astype(np.uint32).view(np.int32)), more, prefix]
                     yield pa.RecordBatch.from_arrays(cols, ["sid", "id", "h", "line", "n", "sig", "sig2", "more", "prefix"])
@@ -171,118 +178,190 @@ def _line_rows(src: DataFrame, level, min_words: int) -> DataFrame:
 
 
 def _passes(i: np.ndarray, j: np.ndarray, x: dict[str, np.ndarray]) -> np.ndarray:
-    """Whether the lines i and j pass the length, positional and bitmap filters."""
+    """Whether the lines i and j pass the length, positional and bitmap filters, and didn't meet at the word before."""
+    if i.ndim > 1 or j.ndim > 1:
+        i, j = np.broadcast_arrays(i, j)
+        return _passes(i.ravel(), j.ravel(), x).reshape(i.shape)
     n, place = x["n"], x["place"]
-    ni, nj, pi, pj = n[i], n[j], place[i], place[j]
-    total = ni + nj
+    ok = np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j]) - EPS
+    ok &= (x["prev"][i] != x["prev"][j]) | (place[i] == 0) | (place[j] == 0)
+    at = np.flatnonzero(ok)
+    i, j = i[at], j[at]
+    total = n[i] + n[j]
     need = np.ceil(THRESHOLD / (1 + THRESHOLD) * total - EPS)
-    ok = np.minimum(ni, nj) >= THRESHOLD * np.maximum(ni, nj) - EPS
-    ok &= np.minimum(ni - pi, nj - pj) + np.minimum(pi, pj) >= need
-    differ = np.bitwise_count(x["sig"][i] ^ x["sig"][j]).astype(np.int64) + np.bitwise_count(x["sig2"][i] ^ x["sig2"][j])
     spare = total - 2 * need
-    ok &= differ <= spare
+    good = np.bitwise_count(x["sig"][i] ^ x["sig"][j]).astype(np.int64) + np.bitwise_count(x["sig2"][i] ^ x["sig2"][j]) <= spare
+    at, i, j, need, spare = at[good], i[good], j[good], need[good], spare[good]
+    good = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j]) >= need
     for size, bits in ((16, "fold"), (64, "full")):
-        at = np.nonzero(ok & (x["width"][i] >= size) & (x["width"][j] >= size))
-        if len(at[0]):
-            a, b = (x[bits][np.broadcast_to(v, ok.shape)[at]] for v in (i, j))
-            ok[at] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= spare[at]
+        own = np.flatnonzero(good & (x["width"][i] >= size) & (x["width"][j] >= size))
+        if len(own):
+            good[own] = np.bitwise_count(x[bits][i[own]] ^ x[bits][j[own]]).sum(axis=1, dtype=np.int64) <= spare[own]
+    ok[:] = False
+    ok[at[good]] = True
     return ok
 
 
-def near_candidates(x: dict[str, np.ndarray], group: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), j before i in the same group, that pass the filters: for each i the earliest j, or every j.
+def earliest_candidates(x: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): for each line i the earliest j before it in its group that passes the filters.
 
     group: ascending group numbers; within a group lines stand in corpus order.
     """
     start = np.searchsorted(group, group)
     back = np.arange(len(group)) - start
-    found_i, found_j = [], []
     best = np.full(len(group), -1)
     small = np.bincount(group)[group] <= 64
+    i = np.flatnonzero(small & (back >= 1))
     for k in range(1, int(back[small].max(initial=0)) + 1):  # all small groups at once: each line with the k-th before it
-        i = np.flatnonzero(small & (back >= k))
-        i = i[_passes(i, i - k, x)]
-        if every:
-            found_i.append(i)
-            found_j.append(i - k)
-        else:
-            best[i] = i - k
+        i = i[back[i] >= k]
+        hit = i[_passes(i, i - k, x)]
+        best[hit] = hit - k
     for a in np.unique(start[~small]):
         z = np.searchsorted(group, group[a], "right")
         for at in range(a, z, 512):
             i, j = np.arange(at, min(z, at + 512))[:, None], np.arange(a, min(z, at + 512))[None, :]
             ok = (j < i) & _passes(i, j, x)
-            r, c = np.nonzero(ok)
-            if every:
-                found_i.append(r + at)
-                found_j.append(c + a)
-            else:
-                hit = np.flatnonzero(ok.any(axis=1))
-                best[hit + at] = ok[hit].argmax(axis=1) + a
-    if not every:
-        i = np.flatnonzero(best >= 0)
-        return i, best[i]
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64),) * 2
-
-
-def _candidates(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(sid, other): for each line and prefix word the earliest candidate; every candidate for the lines in only, if given."""
-    every = only is not None
-    posts = sets.filter(F.col("n") > ONLY_EQUAL).select("sid", "id", "line", "n", "sig", "sig2", "more", F.posexplode("prefix").alias("place", "w"))
-    if only is not None:
-        opened = _sent(only)
-        wanted = staged(sets.join(opened, "sid", "left_semi").select(F.explode("prefix").alias("w")).distinct(), "wanted")
-        posts = posts.join(_sent(wanted), "w", "left_semi").join(opened.withColumn("open", F.lit(True)), "sid", "left")
-    # the counter of the word bounds how many lines share it
-    bound = F.when(F.col("level") <= 16, F.col("level")).otherwise(F.ceil(16 * F.pow(F.lit(2.0), (F.col("level") - 15) / 8)))
-    dealt = (
-        posts.withColumn("level", F.col("w").bitwiseAND(255)).withColumn("m", F.greatest(F.lit(1), F.ceil(bound / CHUNK)).cast("int"))
-        .withColumn("c", F.pmod(F.xxhash64("sid"), "m").cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        .withColumn("key", F.when(F.col("m") > 1, F.xxhash64("w", F.least("c", "x"), F.greatest("c", "x"))).otherwise(F.col("w")))
-        .select("key", "id", "sid", _two("line", "place").alias("where"), "sig", _two("sig2", "n").alias("rest"), "more", *(["open"] if every else []))
-    )
+            hit = np.flatnonzero(ok.any(axis=1))
+            best[hit + at] = ok[hit].argmax(axis=1) + a
+    i = np.flatnonzero(best >= 0)
+    return i, best[i]
+
+
+#: The arrays of a bundle of postings, in order.
+FIELDS = (("key", "<u8"), ("prev", "<u8"), ("line", "<i4"), ("sid", "<u8"), ("n", "<i4"), ("place", "<i4"), ("sig", "<u8"), ("sig2", "<u4"), ("width", "u1"))
+
+
+def _bundles(t: pa.Table, level: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The postings of some lines, a row for each bucket: a key is a word, or for very frequent ones a pair of its chunks."""
+    prefix = t.column("prefix").combine_chunks()
+    word = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    size = np.diff(prefix.offsets.to_numpy())
+    who = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    prev = np.where(place > 0, np.roll(word, 1), np.uint64(0))
+    lev = level[(word & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
+    use = np.flatnonzero(lev > 1)
+    who, place, prev, word, lev = who[use], place[use], prev[use], word[use], lev[use]
+    # a level bounds how many lines share a word
+    m = np.where(lev <= 16, 1, np.ceil(16 * 2.0 ** ((lev - 15) / 8) / CHUNK)).astype(np.int64)
+    sid = t.column("sid").to_numpy().view(np.uint64)
+    c = (mix(sid)[who] % m.astype(np.uint64)).astype(np.int64)
+    x = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+    at = np.repeat(np.arange(len(who)), m)
+    low, high = np.minimum(c[at], x).astype(np.uint64), np.maximum(c[at], x).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        key = np.where(m[at] > 1, mix(word[at] * np.uint64(0x9E3779B97F4A7C15) + low * np.uint64(1 << 32) + high), word[at])
+    bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
+    o = np.lexsort((key, bucket))
+    key, at, bucket = key[o], at[o], bucket[o]
+    line = who[at]
+    own = {k: t.column(k).to_numpy()[line] for k in ("line", "n", "sig", "sig2")}
+    more = t.column("more").combine_chunks().cast(pa.binary())
+    width = np.diff(np.frombuffer(more.buffers()[1], np.int32)[more.offset : more.offset + len(more) + 1])
+    values = {**own, "key": key, "prev": prev[at], "sid": sid[line], "place": place[at], "width": width[line]}
+    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
+    blobs, bits, ids = [], [], t.column("id").combine_chunks().take(pa.array(line))
+    bits_of = more.take(pa.array(line))
+    for a, z in zip(edge[:-1], edge[1:]):
+        blobs.append(pack([values[k][a:z].astype(kind) for k, kind in FIELDS]))
+        bits.append(b"".join(bits_of.slice(a, z - a).drop_null().to_pylist()) if width[line[a:z]].any() else b"")
+    lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), ids)
+    arrays = [pa.array(bucket[edge[:-1]]), lists, pa.array(blobs, pa.binary()), pa.array(bits, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "ids", "blob", "bits"])
+
+
+def _opened(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The postings of a bucket that share their key, in order of key and corpus order, and their group numbers."""
+    sizes = [len(x) for x in t.column("ids")]
+    parts = [unpack(b.as_py(), n, [k for _, k in FIELDS]) for b, n in zip(t.column("blob"), sizes)]
+    x = {k: np.concatenate([p[i] for p in parts]) for i, (k, _) in enumerate(FIELDS)}
+    x["n"], x["place"] = x["n"].astype(np.int64), x["place"].astype(np.int64)
+    ids = pa.concat_arrays([c.flatten() for c in t.column("ids").chunks])
+    coded = ids.dictionary_encode()
+    rank = np.empty(len(coded.dictionary) + 1, np.int64)
+    rank[0] = 0  # null ids come first
+    rank[1 + pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(1, len(rank))
+    order = rank[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False) + 1] << 32 | x["line"]
+    bits = b"".join(b.as_py() for b in t.column("bits"))
+    x["more"] = np.cumsum(x["width"].astype(np.int64)) - x["width"]
+    o = np.lexsort((x["sid"], order, x["key"]))
+    key = x["key"][o]
+    same = np.r_[False, key[1:] == key[:-1]]
+    o = o[same | np.r_[same[1:], False]]
+    x = {k: v[o] for k, v in x.items()}
+    x |= long_parities(np.frombuffer(bits, np.uint8), x.pop("more"), x["width"])
+    key = x["key"]
+    return x, np.cumsum(np.r_[False, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """(sid, other): for each line and prefix word the earliest candidate."""
+    spark = sets.sparkSession
+    own = sets.filter(F.col("n") > ONLY_EQUAL)
+    level = spark.sparkContext.broadcast(postings(own))
+    total = own.agg(F.coalesce(F.sum(F.col("n") - F.ceil(THRESHOLD * F.col("n") - EPS) + 1), F.lit(0))).first()[0]
+    buckets = max(16, -(-int(total) // BUCKET))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= PACKED_LINES:
+                yield _bundles(pa.Table.from_batches(held), level.value, buckets)
+                held, n = [], 0
+        if n:
+            yield _bundles(pa.Table.from_batches(held), level.value, buckets)
+
+    def meet(t: pa.Table) -> pa.Table:
+        x, group = _opened(t)
+        i, j = earliest_candidates(x, group)
+        pairs = np.unique(np.stack([x["sid"][i], x["sid"][j]], axis=1).view(np.int64), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+        return pa.table({"sid": pairs[:, 0], "other": pairs[:, 1]})
+
+    posts = own.select("id", "line", "sid", "n", "sig", "sig2", "more", "prefix")
+    met = posts.mapInArrow(send, f"bucket bigint, ids array<{field_type(sets, 'id')}>, blob binary, bits binary")
+    return met.groupBy("bucket").applyInArrow(meet, "sid bigint, other bigint").distinct()
+
+
+def _all_candidates(sets: DataFrame, undecided: DataFrame) -> DataFrame:
+    """(sid, other): every candidate of the lines in undecided."""
+    own = sets.filter(F.col("n") > ONLY_EQUAL)
+    fields = ["w", "place", "prev", "sid", "n", "sig", "sig2", "more", "some", "id", "line", "h"]
+    word = F.posexplode(F.transform("prefix", lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.get("prefix", i - 1)).alias("prev"))))
+    posts = own.select("*", word.alias("place", "x")).select("x.w", "place", "x.prev", *fields[3:])
+    opened = staged(own.join(sent(undecided), "sid", "left_semi"), "open").select("*", word.alias("place", "x")).select("x.w", "place", "x.prev", *fields[3:])
+    a, b = sent(staged(opened, "open")).alias("a"), posts.alias("b")
+    long, short = F.greatest("a.n", "b.n"), F.least("a.n", "b.n")
+    order = lambda t: F.struct(*(F.col(f"{t}.{k}") for k in ("some", "id", "line", "h")))
+    total = F.col("a.n") + F.col("b.n")
+    differ = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) + F.bit_count(F.col("a.sig2").bitwiseXOR(F.col("b.sig2")))
+    near = (F.col("a.w") == F.col("b.w")) & (short >= THRESHOLD * long - EPS) & ~F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False))
+    near &= (differ <= total - 2 * F.ceil(THRESHOLD / (1 + THRESHOLD) * total - EPS)) & (order("b") < order("a"))
+    met = b.join(a, near).select(*(F.col(f"{t}.{k}").alias(f"{k}{i}") for i, t in enumerate("ab") for k in ("sid", "n", "place", "sig", "sig2", "more")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in whole_groups(batches, 1):
-            if not g.num_rows:
-                continue
-            g = g.append_column("line", pa.array(g.column("where").to_numpy() >> 32))
-            order = [("key", "ascending"), ("id", "ascending"), ("line", "ascending"), ("sid", "ascending")]
-            g = g.take(pc.sort_indices(g, order, null_placement="at_start")).combine_chunks()
-            rest, sig, low = g.column("rest").to_numpy(), g.column("sig").to_numpy().view(np.uint64), (1 << 32) - 1
-            x = {"n": rest & low, "place": g.column("where").to_numpy() & low, "sig": sig, "sig2": (rest >> 32 & low).astype(np.uint32)}
-            x |= _read_bits(g.column("more").combine_chunks())
-            key = g.column("key").to_numpy()
-            i, j = near_candidates(x, np.cumsum(np.r_[0, key[1:] != key[:-1]]), every)
-            if every:
-                opened = g.column("open").is_valid().to_numpy()
-                i, j = i[opened[i]], j[opened[i]]
-            if len(i):
-                sid = g.column("sid").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.array(sid[j])], ["sid", "other"])
-
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt.repartition(parts, "key").sortWithinPartitions("key")
-    return met.mapInArrow(run, "sid bigint, other bigint").distinct()
-
+        for t in batches:
+            k = t.num_rows
+            two = lambda c: np.concatenate([t.column(f"{c}{i}").to_numpy(zero_copy_only=False) for i in (0, 1)])
+            x = {"n": two("n").astype(np.int64), "place": two("place").astype(np.int64), "sig": two("sig").view(np.uint64), "sig2": two("sig2").view(np.uint32), "prev": np.arange(2 * k)}
+            more = pa.concat_arrays([t.column("more0"), t.column("more1")]).cast(pa.binary())
+            offset = np.frombuffer(more.buffers()[1], np.int32)[more.offset : more.offset + len(more) + 1].astype(np.int64)
+            x["width"] = np.diff(offset)
+            x |= long_parities(np.frombuffer(more.buffers()[2] or b"", np.uint8), offset[:-1], x["width"])
+            ok = _passes(np.arange(k), np.arange(k, 2 * k), x)
+            yield pa.RecordBatch.from_arrays([t.column("sid0"), t.column("sid1")], ["sid", "other"]).filter(pa.array(ok))
 
-def _two(high: str, low: str) -> Column:
-    """Two ints in one bigint: a posting is mostly shuffle bytes."""
-    return F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(F.col(low).cast("long"))
-
-
-def _sent(small: DataFrame) -> DataFrame:
-    """small, marked for sending to all executors if its size allows."""
-    return F.broadcast(small) if small.count() <= SEND_ROWS else small
+    return met.mapInArrow(run, "sid bigint, other bigint").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs(sid, other) whose lines' word sets have similarity >= THRESHOLD, compared as texts."""
     wanted = staged(pairs.select(F.explode(F.array("sid", "other")).alias("sid")).distinct(), "wanted")
-    where = staged(sets.join(_sent(wanted), "sid", "left_semi").select("sid", "id", "h", "line"), "where")
+    where = staged(sets.join(sent(wanted), "sid", "left_semi").select("sid", "id", "h", "line"), "where")
     rows = where.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_set(F.struct("line", "sid")).alias("at"))
     d = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    split = d.join(_sent(staged(rows, "where")), d.id.eqNullSafe(F.col("wid")) & (d.h == F.col("wh"))).select(F.split("text", "\n", -1).alias("lines"), F.explode("at").alias("at"))
+    split = d.join(sent(staged(rows, "where")), d.id.eqNullSafe(F.col("wid")) & (d.h == F.col("wh"))).select(F.split("text", "\n", -1).alias("lines"), F.explode("at").alias("at"))
     spaced = F.translate(F.lower(F.get("lines", "at.line")), "\t\x0b\f\r", "    ")
     texts = staged(split.select("at.sid", F.array_remove(F.array_distinct(F.split(spaced, " ")), "").alias("words")).dropDuplicates(["sid"]), "texts")
     both = pairs.join(texts.withColumnRenamed("words", "x"), "sid").join(texts.select(F.col("sid").alias("other"), F.col("words").alias("y")), "other")
@@ -290,32 +369,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, df: DataFrame
     return both.filter(shared >= THRESHOLD * (F.size("x") + F.size("y") - shared) - EPS).select("sid", "other")
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
     """(id, h, lines): the line numbers to remove from the rows of that id and text hash."""
     spark = df.sparkSession
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    lines = staged(_line_rows(src, spark.sparkContext.broadcast(rarity(df, text_col)), min_words), "lines")
+    level = spark.sparkContext.broadcast(rarity(df, text_col))
+    lines = staged(_line_rows(src, level, min_words), "lines")
+    level.destroy()
     where = F.struct(F.col("id").isNotNull().alias("some"), "id", "line", "h")
     payload = F.first(F.struct("n", "sig", "sig2", "more", "prefix")).alias("p")
     sets = staged(lines.groupBy("sid").agg(F.min(where).alias("first"), payload).select("sid", "first.*", "p.*"), "sets")
+    release(spark)
     pairs = staged(_candidates(sets), "pairs")
+    release(spark)
     gone = staged(_verified(pairs, sets, lines, df, id_col, text_col).select("sid").distinct(), "matched")
     undecided = staged(pairs.join(gone, "sid", "left_anti").select("sid").distinct(), "undecided")
     if not undecided.isEmpty():  # their earliest candidate failed; meet all others
-        more = staged(_candidates(sets, undecided), "pairs")
+        more = staged(_all_candidates(sets, undecided), "pairs")
         gone = staged(gone.union(_verified(more, sets, lines, df, id_col, text_col).select("sid")).distinct(), "matched")
     judged = lines.select("sid", "id", "h", "line").join(sets.select("sid", F.struct("some", F.col("id").alias("id"), "line", "h").alias("first")), "sid").join(gone.withColumn("gone", F.lit(True)), "sid", "left")
     return judged.filter(F.col("gone").isNotNull() | (where > F.col("first"))).groupBy("id", "h").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+@tidy
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
     """df with repeated lines cut from the texts, and n_lines and n_removed (columns of df by these names are replaced).
 
     Lines are cut at line feeds; words are lower-cased (A-Z) and split at ASCII white space; lines of fewer than min_words
     words, or of none, stay. Earlier means smaller id (null first), then line number, then text hash. Rows equal in id and text get
     equal results; a null text stays null with 0 lines; a text may become empty. All other columns pass through.
     """
-    gone = _sent(staged(repeated_lines(df, id_col, text_col, min_words), "gone")).withColumnsRenamed({"id": "__cataloom_id", "h": "__cataloom_h", "lines": "__cataloom_lines"})
+    gone = sent(staged(repeated_lines(df, id_col, text_col, min_words), "gone", keep=True)).withColumnsRenamed({"id": "__cataloom_id", "h": "__cataloom_h", "lines": "__cataloom_lines"})
     d = df.withColumn("__cataloom_key", F.xxhash64(text_col)).drop("n_lines", "n_removed")
     j = d.join(gone, d[id_col].eqNullSafe(gone["__cataloom_id"]) & (d["__cataloom_key"] == gone["__cataloom_h"]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
