@@ -72,6 +72,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that is read no more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p, fs = _path(df.sparkSession, folder)
+        fs.delete(p, True)
+    release(df.sparkSession)
+
+
 def tidy(operator):
     """An operator (its first argument a DataFrame) whose staged tables are deleted when it returns, but those to be kept."""
 

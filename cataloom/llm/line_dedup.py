@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_type, pack, release, sent, staged, tidy, unpack
+from .common import discard, field_type, pack, release, sent, staged, tidy, unpack
 from .words import Words, chunks, mix
 
 #: Counters of the rarity table, one byte each: the broadcast has 4 MB, whatever the corpus.
@@ -42,6 +42,8 @@ LONG, VERY_LONG = 96, 160
 CHUNK = 4096
 #: Postings of a bucket, about; lines whose postings are packed together.
 BUCKET, PACKED_LINES = 1 << 18, 1 << 16
+#: Postings are shuffled in so many rounds, so that only one round's are on disk.
+ROUNDS = 2
 EPS = 1e-9
 
 
@@ -231,8 +233,8 @@ def earliest_candidates(x: dict[str, np.ndarray], group: np.ndarray) -> tuple[np
 FIELDS = (("key", "<u8"), ("prev", "<u8"), ("line", "<i4"), ("sid", "<u8"), ("n", "<i4"), ("place", "<i4"), ("sig", "<u8"), ("sig2", "<u4"), ("width", "u1"))
 
 
-def _bundles(t: pa.Table, level: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The postings of some lines, a row for each bucket: a key is a word, or for very frequent ones a pair of its chunks."""
+def _bundles(t: pa.Table, level: np.ndarray, buckets: int, turn: int) -> pa.RecordBatch:
+    """The postings of some lines in a round, a row for each bucket: a key is a word, or for very frequent ones a pair of its chunks."""
     prefix = t.column("prefix").combine_chunks()
     word = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     size = np.diff(prefix.offsets.to_numpy())
@@ -252,7 +254,8 @@ def _bundles(t: pa.Table, level: np.ndarray, buckets: int) -> pa.RecordBatch:
     with np.errstate(over="ignore"):
         key = np.where(m[at] > 1, mix(word[at] * np.uint64(0x9E3779B97F4A7C15) + low * np.uint64(1 << 32) + high), word[at])
     bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-    o = np.lexsort((key, bucket))
+    o = np.flatnonzero(bucket % ROUNDS == turn)
+    o = o[np.lexsort((key[o], bucket[o]))]
     key, at, bucket = key[o], at[o], bucket[o]
     line = who[at]
     own = {k: t.column(k).to_numpy()[line] for k in ("line", "n", "sig", "sig2")}
@@ -284,7 +287,7 @@ def _opened(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
     order = rank[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False) + 1] << 32 | x["line"]
     bits = b"".join(b.as_py() for b in t.column("bits"))
     x["more"] = np.cumsum(x["width"].astype(np.int64)) - x["width"]
-    o = np.lexsort((x["sid"], order, x["key"]))
+    o = np.lexsort((x["sid"].view(np.int64), order, x["key"]))
     key = x["key"][o]
     same = np.r_[False, key[1:] == key[:-1]]
     o = o[same | np.r_[same[1:], False]]
@@ -301,17 +304,7 @@ def _candidates(sets: DataFrame) -> DataFrame:
     level = spark.sparkContext.broadcast(postings(own))
     total = own.agg(F.coalesce(F.sum(F.col("n") - F.ceil(THRESHOLD * F.col("n") - EPS) + 1), F.lit(0))).first()[0]
     buckets = max(16, -(-int(total) // BUCKET))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= PACKED_LINES:
-                yield _bundles(pa.Table.from_batches(held), level.value, buckets)
-                held, n = [], 0
-        if n:
-            yield _bundles(pa.Table.from_batches(held), level.value, buckets)
+    posts = own.select("id", "line", "sid", "n", "sig", "sig2", "more", "prefix")
 
     def meet(t: pa.Table) -> pa.Table:
         x, group = _opened(t)
@@ -319,21 +312,39 @@ def _candidates(sets: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack([x["sid"][i], x["sid"][j]], axis=1).view(np.int64), axis=0) if len(i) else np.zeros((0, 2), np.int64)
         return pa.table({"sid": pairs[:, 0], "other": pairs[:, 1]})
 
-    posts = own.select("id", "line", "sid", "n", "sig", "sig2", "more", "prefix")
-    met = posts.mapInArrow(send, f"bucket bigint, ids array<{field_type(sets, 'id')}>, blob binary, bits binary")
-    return met.groupBy("bucket").applyInArrow(meet, "sid bigint, other bigint").distinct()
+    out = None
+    for turn in range(ROUNDS):
+
+        def send(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for b in batches:
+                held.append(b)
+                n += b.num_rows
+                if n >= PACKED_LINES:
+                    yield _bundles(pa.Table.from_batches(held), level.value, buckets, turn)
+                    held, n = [], 0
+            if n:
+                yield _bundles(pa.Table.from_batches(held), level.value, buckets, turn)
+
+        met = posts.mapInArrow(send, f"bucket bigint, ids array<{field_type(sets, 'id')}>, blob binary, bits binary")
+        made = staged(met.groupBy("bucket").applyInArrow(meet, "sid bigint, other bigint").distinct(), "met")
+        out = made if out is None else out.union(made)
+        del met
+        release(spark)
+    level.destroy()
+    return out.distinct()
 
 
 def _all_candidates(sets: DataFrame, undecided: DataFrame) -> DataFrame:
     """(sid, other): every candidate of the lines in undecided."""
     own = sets.filter(F.col("n") > ONLY_EQUAL)
-    fields = ["w", "place", "prev", "sid", "n", "sig", "sig2", "more", "some", "id", "line", "h"]
+    fields = ["w", "place", "prev", "sid", "n", "sig", "sig2", "more", "some", "id", "line"]
     word = F.posexplode(F.transform("prefix", lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.get("prefix", i - 1)).alias("prev"))))
     posts = own.select("*", word.alias("place", "x")).select("x.w", "place", "x.prev", *fields[3:])
     opened = staged(own.join(sent(undecided), "sid", "left_semi"), "open").select("*", word.alias("place", "x")).select("x.w", "place", "x.prev", *fields[3:])
     a, b = sent(staged(opened, "open")).alias("a"), posts.alias("b")
     long, short = F.greatest("a.n", "b.n"), F.least("a.n", "b.n")
-    order = lambda t: F.struct(*(F.col(f"{t}.{k}") for k in ("some", "id", "line", "h")))
+    order = lambda t: F.struct(*(F.col(f"{t}.{k}") for k in ("some", "id", "line", "sid")))
     total = F.col("a.n") + F.col("b.n")
     differ = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) + F.bit_count(F.col("a.sig2").bitwiseXOR(F.col("b.sig2")))
     near = (F.col("a.w") == F.col("b.w")) & (short >= THRESHOLD * long - EPS) & ~F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False))
@@ -379,9 +390,9 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     where = F.struct(F.col("id").isNotNull().alias("some"), "id", "line", "h")
     payload = F.first(F.struct("n", "sig", "sig2", "more", "prefix")).alias("p")
     sets = staged(lines.groupBy("sid").agg(F.min(where).alias("first"), payload).select("sid", "first.*", "p.*"), "sets")
-    release(spark)
+    wide, lines = lines, staged(lines.select("sid", "id", "h", "line"), "narrow")
+    discard(wide)
     pairs = staged(_candidates(sets), "pairs")
-    release(spark)
     gone = staged(_verified(pairs, sets, lines, df, id_col, text_col).select("sid").distinct(), "matched")
     undecided = staged(pairs.join(gone, "sid", "left_anti").select("sid").distinct(), "undecided")
     if not undecided.isEmpty():  # their earliest candidate failed; meet all others
@@ -396,7 +407,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """df with repeated lines cut from the texts, and n_lines and n_removed (columns of df by these names are replaced).
 
     Lines are cut at line feeds; words are lower-cased (A-Z) and split at ASCII white space; lines of fewer than min_words
-    words, or of none, stay. Earlier means smaller id (null first), then line number, then text hash. Rows equal in id and text get
+    words, or of none, stay. Earlier means smaller id (null first), then line number, then a hash of the set of words, and for equal sets the text hash. Rows equal in id and text get
     equal results; a null text stays null with 0 lines; a text may become empty. All other columns pass through.
     """
     gone = sent(staged(repeated_lines(df, id_col, text_col, min_words), "gone", keep=True)).withColumnsRenamed({"id": "__cataloom_id", "h": "__cataloom_h", "lines": "__cataloom_lines"})
