@@ -2,8 +2,9 @@ r"""Main text of web pages from streaming parser events, text-to-tag ratios and
 
 The standard-library parser streams tags and text; block-level tags cut the page into lines. Each line has the ratio of its
 text length to its tags. The ratios are smoothed by a Gaussian over neighbouring lines, a two-means threshold splits them,
-and the lines above it form the content clusters. Where the page marks its article, the clusters choose among the marked
-regions and the chosen region is kept whole; elsewhere the span from the first to the last clustered line is kept.
+and the lines above it form the content clusters. The content region is the smallest element that holds most of the
+clustered text. Where the page marks its articles, only these can be regions, and one is kept whole, since short paragraphs
+belong to it too; in a page without any, a region that is the page itself ends at its outermost clusters.
 """
 
 from __future__ import annotations
@@ -38,18 +39,27 @@ FURNITURE = frozenset(
     "overlay comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe signup "
     "login pagination pager widget toolbar complementary contentinfo search hidden".split()
 )
+#: Those that mark furniture inside an article even as a part of a name; others must be the whole name there.
+SURE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored comment comments disqus replies share sharing social related "
+    "newsletter subscribe cookie cookies consent promo breadcrumb breadcrumbs pagination pager sidebar navbar".split()
+)
+#: Share of the clustered text that the content region holds.
+MOST = 0.75
 WORDS = re.compile(r"[a-z]+")
 WHITE = re.compile(r"\s+")
 SIGMA = 1.5
 
 
 class _Lines(HTMLParser):
-    """Collects lines: [text, tags, link characters, region or 0, is heading]."""
+    """Collects lines: (text, tags, link characters, region or 0, is heading, element)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # tag, furniture here or above, region
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, furniture here or above, region, number
+        self.names = [""]
+        self.above = [0]  # the element around each element; 0 is the page
         self.parts: list[str] = []
         self.tags = self.linked = self.regions = 0
 
@@ -57,7 +67,8 @@ class _Lines(HTMLParser):
         text = WHITE.sub(" ", "".join(self.parts)).strip()
         if text:
             region = self.stack[-1][2] if self.stack else 0
-            self.lines.append((text, self.tags, self.linked, region, any(s[0] in HEADINGS for s in self.stack)))
+            element = next((s[3] for s in reversed(self.stack) if s[0] in BLOCK), 0)
+            self.lines.append((text, self.tags, self.linked, region, any(s[0] in HEADINGS for s in self.stack), element))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def _furniture(self, tag: str, attrs: dict[str, str | None], region: int) -> bool:
@@ -71,8 +82,14 @@ class _Lines(HTMLParser):
             names = attrs.get("class") or ""
             return tag == "article" and bool({"comment", "ad", "promo", "sponsored"} & set(WORDS.findall(names.lower())))
         names = " ".join(v for k in ("class", "id", "role") if (v := attrs.get(k)))
+        if region:
+            return bool(names) and not (SURE.isdisjoint(WORDS.findall(names.lower())) and FURNITURE.isdisjoint(names.lower().split()))
         return bool(names) and not FURNITURE.isdisjoint(WORDS.findall(names.lower()))
 
+    def page_wide(self, element: int) -> bool:
+        """Whether an element is the page's html or body."""
+        return self.names[element] in ("html", "body")
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self._cut()
@@ -86,14 +103,16 @@ class _Lines(HTMLParser):
                 self.stack.pop()
         elif tag == "body":
             self.stack = [s for s in self.stack if s[0] == "html"]
-        above = self.stack[-1] if self.stack else ("", False, 0)
+        above = self.stack[-1] if self.stack else ("", False, 0, 0)
         a = dict(attrs)
         region = above[2]
         bad = above[1] or self._furniture(tag, a, region)
         if not bad and not region and (tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody"):
             self.regions += 1
             region = self.regions
-        self.stack.append((tag, bad, region))
+        self.stack.append((tag, bad, region, len(self.above)))
+        self.above.append(above[3])
+        self.names.append(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -133,7 +152,7 @@ def _threshold(x: np.ndarray) -> float:
     return float(cut)
 
 
-def content_lines(lines: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
+def content_lines(lines: list[tuple[str, int, int, int, bool, int]]) -> np.ndarray:
     """Which lines the smoothed text-to-tag ratio puts into content clusters."""
     ratio = np.array([len(t) / max(1, n) for t, n, *_ in lines])
     reach = np.arange(-4, 5)
@@ -159,20 +178,33 @@ def main_text(html: str | None) -> str:
     inside = content_lines(lines)
     if p.regions:
         weight = np.zeros(p.regions + 1)
-        for (text, _, _, region, _), good in zip(lines, inside):
+        for (text, _, _, region, *_), good in zip(lines, inside):
             weight[region] += len(text) * (1.0 if good else 0.1)
         weight[0] = 0
         best = weight.max()
-        keep = [r > 0 and weight[r] >= best / 2 for *_, r, _ in lines]
+        keep = [r > 0 and weight[r] >= best / 2 for *_, r, _, _ in lines]
         if any(keep):
             return "\n".join(text for (text, *_), k in zip(lines, keep) if k)
-    at = np.flatnonzero(inside)
-    first, last = int(at[0]), int(at[-1])
-    while first and (lines[first - 1][4] or lines[first - 1][2] * 2 <= len(lines[first - 1][0])):
-        first -= 1
-    while last + 1 < len(lines) and lines[last + 1][2] * 2 <= len(lines[last + 1][0]):
-        last += 1
-    return "\n".join(text for text, _, linked, _, _ in lines[first : last + 1] if linked * 2 <= len(text))
+    held = np.zeros(len(p.above))
+    for (text, *_, element), good in zip(lines, inside):
+        held[element] += len(text) * good
+    for i in range(len(held) - 1, 0, -1):  # an element comes after those around it
+        held[p.above[i]] += held[i]
+    region = max(i for i in range(len(held)) if held[i] >= MOST * held[0])
+    within = np.zeros(len(held), bool)
+    within[region] = True
+    for i in range(region + 1, len(held)):
+        within[i] = within[p.above[i]]
+    keep = np.array([within[element] and linked * 2 <= len(text) for text, _, linked, _, _, element in lines])
+    if region == 0 or p.page_wide(region):
+        at = np.flatnonzero(inside & keep)
+        if not len(at):
+            return ""
+        first, last = int(at[0]), int(at[-1])
+        while first and lines[first - 1][4] and keep[first - 1]:
+            first -= 1
+        keep[:first] = keep[last + 1 :] = False
+    return "\n".join(text for (text, *_), k in zip(lines, keep) if k)
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
