@@ -1,10 +1,12 @@
 r"""Personal data: pattern spans, and terms that disclose a protected entity by co-occurrence. DataFrame functions only.
 
-Protected entities are the values the patterns find (email, ip, card, phone). Words of four or more letters within CONTEXT
-characters of an entity are candidates. Over the corpus, a term's disclosure of an entity is its pointwise mutual
-information with it divided by the entity's information content, log(N n / (df_e df_t)) / log(N / df_e), where n counts
-documents with the term near the entity and df_t every document with the term. A term that reaches DISCLOSURE in at least
-SUPPORT different texts is removed where it stands near that entity (kind `term`).
+Protected entities are the values that the patterns find (email, ip, card, phone), where SUPPORT different texts hold them,
+and the four kinds themselves, which also cover values that occur once. Terms are words of four or more letters outside of
+emails. Over the corpus, a term's disclosure of an entity is its pointwise mutual information with it divided by the
+entity's information content, log(N n / (df_e df_t)) / log(N / df_e), where N, df and n count rows whose whole text holds
+the entity, the term, or both. A term that reaches DISCLOSURE and stands with the entity in SUPPORT different texts discloses
+it. A term that discloses a value is removed wherever it stands; one that discloses a kind, in texts that hold the kind
+(spans of kind `term`).
 Pattern scans start only where a match can start and don't back-track, so their time is linear in the text.
 """
 
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sent, staged, tidy
 
 # The kinds and their patterns, in the order of results.
 PATTERNS = {
@@ -24,7 +26,6 @@ PATTERNS = {
 }
 IP_PART = r"0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"\p{L}{4,}+"
-CONTEXT = 64
 DISCLOSURE = 0.9
 SUPPORT = 3
 KINDS = (*PATTERNS, "term")
@@ -84,30 +85,42 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(may, found).otherwise(F.array().cast(SPANS))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Candidate terms around a span: (v: lower-cased term, s, e); words cut by the edge of the context don't count."""
-    lo = F.greatest(span["s"] - CONTEXT, F.lit(0))
+def _terms(text: Column) -> Column:
+    """The distinct lower-cased terms of a text."""
+    bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)), F.lower))
 
-    def side(begin: Column, size: Column, whole_start: Column, whole_end: Column) -> Column:
-        ctx = F.substring(text, begin + 1, size)
 
-        def inside(c: Column) -> Column:
-            found = F.filter(matches(c, TERM, value=F.lower), lambda w: (whole_start | (w["s"] > 0)) & (whole_end | (w["e"] < F.length(c))))
-            return F.transform(found, lambda w: F.struct((w["s"] + begin).alias("s"), (w["e"] + begin).alias("e"), w["v"].alias("v")))
+def disclosing(base: DataFrame, src: DataFrame) -> DataFrame:
+    """(term, kinds): terms that disclose these kinds; the kind `value` stands for single values.
 
-        return let(ctx, inside)
-
-    n = F.length(text)
-    left = side(lo, span["s"] - lo, lo == 0, F.lit(True))
-    right = side(span["e"], F.lit(CONTEXT), F.lit(True), span["e"] + CONTEXT >= n)
-    return F.concat(left, right)
+    base: a row for each row of src with the spans of each kind, ents (hashes of the values) and terms, null without ents.
+    """
+    total = base.count()
+    has = [(F.size(k) > 0).cast("long").alias(f"has_{k}") for k in PATTERNS]
+    df_k = base.filter(F.size("ents") > 0).select(*has).agg(*[F.coalesce(F.sum(f"has_{k}"), F.lit(0)) for k in PATTERNS]).first()
+    held = staged(base.filter(F.size("ents") > 0).groupBy("h").agg(F.count("*").alias("c"), F.first(F.struct(*has, "ents", "terms")).alias("x")).select("h", "c", "x.*"), "held")
+    counts = [y for k in PATTERNS for y in (F.sum(F.col("c") * F.col(f"has_{k}")).alias(f"n_{k}"), F.sum(f"has_{k}").alias(f"texts_{k}"))]
+    met = held.select("c", *[f"has_{k}" for k in PATTERNS], F.explode("terms").alias("term")).groupBy("term").agg(*counts)
+    each = [F.struct(F.lit(k).alias("kind"), F.col(f"n_{k}").alias("n"), F.col(f"texts_{k}").alias("texts"), F.lit(int(d)).cast("long").alias("df_e")) for k, d in zip(PATTERNS, df_k)]
+    by_kind = met.select("term", F.inline(F.array(*each))).filter(F.col("texts") >= SUPPORT)
+    ents = held.select("c", "terms", F.explode("ents").alias("ent"))
+    often = staged(ents.groupBy("ent").agg(F.sum("c").alias("df_e"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT).drop("texts"), "values")
+    pairs = ents.join(sent(often), "ent").select("ent", "df_e", "c", F.explode("terms").alias("term")).groupBy("ent", "df_e", "term").agg(F.sum("c").alias("n"), F.count("*").alias("texts"))
+    by_value = pairs.filter(F.col("texts") >= SUPPORT).select("term", F.lit("value").alias("kind"), "n", "texts", "df_e")
+    maybe = staged(by_kind.union(by_value).groupBy("term", "kind", "df_e").agg(F.max("n").alias("n")), "maybe")
+    df_t = src.select(F.explode(_terms(F.col("text"))).alias("term")).join(sent(staged(maybe.select("term").distinct(), "maybe")), "term").groupBy("term").agg(F.count("*").alias("df_t"))
+    pmi = F.log2(F.lit(float(total)) * F.col("n") / (F.col("df_e") * F.col("df_t")))
+    content = F.log2(F.lit(float(total)) / F.col("df_e"))
+    return maybe.join(df_t, "term").filter((content > 0) & (pmi >= DISCLOSURE * content - 1e-9)).groupBy("term").agg(F.collect_set("kind").alias("kinds"))
 
 
+@tidy
 def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, email, ip, card, phone, term): the spans of every row as arrays of (s, e); h tells rows of one id apart.
 
     Null and empty texts have none. Rows equal in id and text get equal spans; null ids are fine; without rows the corpus
-    counts are empty and so are the results. Other columns are not read.
+    counts are empty and so are the results. Texts are read whole, three times. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -117,26 +130,26 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         def one(span: Column) -> Column:
             value = F.substring(F.col("text"), span["s"] + 1, span["e"] - span["s"])
             name = F.lower(value) if kind in ("email", "ip") else _digits(value)
-            return F.struct(F.xxhash64(F.lit(kind), name).alias("ent"), _near(F.col("text"), span).alias("near"))
+            return F.xxhash64(F.lit(kind), name)
 
         return F.transform(kind, one)
 
-    base = staged(found.select("id", "h", *PATTERNS, F.concat(*[entities(k) for k in PATTERNS]).alias("ents")), "spans")
-    held = base.filter(F.size("ents") > 0).select("id", "h", F.explode("ents").alias("x")).select("id", "h", "x.ent", "x.near")
-    near = held.select("id", "h", "ent", F.explode("near").alias("t")).select("id", "h", "ent", "t.s", "t.e", F.col("t.v").alias("term"))
-    pairs = near.select("ent", "term", "id", "h").distinct().groupBy("ent", "term").agg(F.count("*").alias("n"), F.count_distinct("h").alias("texts"))
-    pairs = pairs.filter(F.col("texts") >= SUPPORT)
-    df_e = held.select("ent", "id", "h").distinct().groupBy("ent").agg(F.count("*").alias("df_e"))
-    terms = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))))
-    df_t = src.select(terms.alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
-    total = base.count()
-    pmi = F.log2(F.lit(float(total)) * F.col("n") / (F.col("df_e") * F.col("df_t")))
-    content = F.log2(F.lit(float(total)) / F.col("df_e"))
-    shown = staged(pairs.join(df_e, "ent").join(df_t, "term").filter((content > 0) & (pmi >= DISCLOSURE * content)).select("ent", "term"), "disclosing")
-    extra = near.join(shown, ["ent", "term"]).groupBy(F.col("id").alias("xid"), F.col("h").alias("xh")).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("term"))
-    extra = staged(extra, "terms")
-    out = base.drop("ents").join(extra, base.id.eqNullSafe(extra.xid) & (base.h == extra.xh), "left").drop("xid", "xh")
-    return out.withColumn("term", F.coalesce("term", F.array().cast(SPANS)))
+    any_found = F.lit(False)
+    for k in PATTERNS:
+        any_found |= F.size(k) > 0
+    ents = F.array_distinct(F.concat(*[entities(k) for k in PATTERNS]))
+    base = staged(found.select("id", "h", *PATTERNS, ents.alias("ents"), F.when(any_found, _terms(F.col("text"))).alias("terms")), "spans", keep=True)
+    shown = sent(staged(disclosing(base, src), "disclosing"))
+    kinds = F.filter(F.array(*[F.when(F.size(k) > 0, F.lit(k)) for k in PATTERNS]), lambda k: k.isNotNull())
+    here = base.filter(F.size("ents") > 0).select("id", "h", kinds.alias("own"), F.explode("terms").alias("term")).join(shown, "term").filter(F.arrays_overlap("own", "kinds")).select("id", "h", "term")
+    anywhere = src.select("id", "h", F.explode(_terms(F.col("text"))).alias("term")).join(shown.filter(F.array_contains("kinds", "value")), "term").select("id", "h", "term")
+    flagged = sent(staged(here.union(anywhere).groupBy(F.col("id").alias("xid"), F.col("h").alias("xh")).agg(F.collect_set("term").alias("flagged")), "flagged"))
+    spans = matches(F.col("text"), TERM, lambda m: F.array_contains("flagged", F.lower(m)))
+    extra = src.join(flagged, src.id.eqNullSafe(flagged.xid) & (src.h == flagged.xh)).select("xid", "xh", spans.alias("term")).dropDuplicates(["xid", "xh"])
+    extra = sent(staged(extra, "terms", keep=True))
+    out = base.drop("ents", "terms").join(extra, base.id.eqNullSafe(extra.xid) & (base.h == extra.xh), "left").drop("xid", "xh")
+    outside = F.filter("term", lambda t: ~F.exists("email", lambda m: (m["s"] < t["e"]) & (t["s"] < m["e"])))
+    return out.withColumn("term", F.coalesce(outside, F.array().cast(SPANS)))
 
 
 def span_text(kinds: tuple[str, ...]) -> Column:
