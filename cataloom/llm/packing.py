@@ -2,18 +2,20 @@
 
 Texts are measured in words and cut at the largest permitted length; no word is dropped. Pieces are dealt by hash into
 shards of about SHARD_PIECES, each packed by one task, so a task's memory doesn't grow with the input. In a shard, pieces
-go from longest to shortest into the open bin they fill best; where none has room a bin is opened. Each permitted length
-is tried as the size to open (or the next that holds the piece), every bin is downsized to the smallest permitted length
-that holds its contents, and the choice of least total cost stays. A bin costs its length and OVERHEAD.
+go from longest to shortest into the open bin they fill best. Where none has room, the piece opens a bin of the size that
+will cost least for each word it holds: for every permitted length, the pieces that are left are laid into one bin, longest
+first, and the cost (length and OVERHEAD) is divided by the words laid. In the end every bin is downsized to the smallest
+permitted length that holds its contents.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,33 +26,38 @@ OVERHEAD = 16
 SHARD_PIECES = 8192
 
 
-def _fit(sizes: list[int], open_as: int, lengths: tuple[int, ...]) -> tuple[list[int], list[int]]:
-    """The bin of each piece, from longest to shortest, and the contents of each bin."""
-    where, filled, room = [], [], []  # room: sorted (space left, bin)
+def _opening(n: int, left: list[int], lengths: tuple[int, ...]) -> int:
+    """The length to open for a piece of n words, the pieces of the ascending sizes in left being still to come."""
+    best, chosen = None, lengths[-1]
+    for length in lengths:
+        if length < n:
+            continue
+        room, end = length - n, len(left)
+        while room and (end := bisect_right(left, room, 0, end)):  # the longest piece that fits, then the next
+            end -= 1
+            room -= left[end]
+        cost = (length + OVERHEAD) / (length - room)
+        if best is None or cost < best:
+            best, chosen = cost, length
+    return chosen
+
+
+def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int]]:
+    """(bin of each piece, length of each bin) for sizes in descending order, none beyond the largest length."""
+    where, filled, room, left = [], [], [], sizes[::-1]  # room: sorted (space left, bin)
     for n in sizes:
+        left.pop()
         i = bisect_left(room, (n, -1))
         if i < len(room):
-            left, b = room.pop(i)
+            space, b = room.pop(i)
         else:
-            b, left = len(filled), max(open_as, lengths[bisect_left(lengths, n)])
+            b, space = len(filled), _opening(n, left, lengths)
             filled.append(0)
         filled[b] += n
         where.append(b)
-        if left > n:
-            insort(room, (left - n, b))
-    return where, filled
-
-
-def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int]]:
-    """(bin of each piece, length of each bin) for sizes in descending order, none beyond the largest length."""
-    best: tuple[int, list[int], list[int]] | None = None
-    for open_as in lengths:
-        where, filled = _fit(sizes, open_as, lengths)
-        caps = [lengths[bisect_left(lengths, f)] for f in filled]
-        cost = sum(caps) + OVERHEAD * len(caps)
-        if best is None or cost < best[0]:
-            best = cost, where, caps
-    return best[1], best[2]
+        if space > n:
+            insort(room, (space - n, b))
+    return where, [lengths[bisect_left(lengths, f)] for f in filled]
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, largest: int) -> DataFrame:
@@ -72,11 +79,11 @@ def pack_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """(id, piece, start, n_tokens, bin_id, bin_length, bin_offset): where each piece of each text goes.
 
     start and n_tokens: words of the text; bin_offset: words before the piece in its bin. A null or empty text has one piece
-    of 0 words with null bin columns. Repeated rows are packed each time; null ids are texts like others; an empty table
-    gives none. Other columns are not read.
+    of 0 words with null bin columns. Repeated rows are packed each time; null ids are texts like others; pieces of one size
+    go by text hash, piece and id, so the bins don't depend on the order of rows; an empty table gives none. Other columns are not read.
     """
     lengths = tuple(sorted(lengths))
-    cut = staged(pieces(df, id_col, text_col, lengths[-1]), "pieces")
+    cut = staged(pieces(df, id_col, text_col, lengths[-1]), "pieces", keep=True)
     shards = max(1, -(-cut.count() // SHARD_PIECES))
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("id", "h", "piece"), F.lit(shards)))
     names = [id_col, "piece", "start", "n_tokens", "bin_id", "bin_length", "bin_offset"]
@@ -85,7 +92,9 @@ def pack_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         t = t.combine_chunks()
         n, h, piece = (t.column(c).to_numpy() for c in ("n_tokens", "h", "piece"))
         full = np.flatnonzero(n > 0)
-        order = full[np.lexsort((piece[full], h[full], -n[full]))]
+        rank = np.empty(len(n), np.int64)
+        rank[pc.sort_indices(t.select(["id"]), [("id", "ascending")], null_placement="at_start").to_numpy()] = np.arange(len(n))
+        order = full[np.lexsort((rank[full], piece[full], h[full], -n[full]))]
         where, caps = pack(n[order].tolist(), lengths) if len(order) else ([], [])
         used = [0] * len(caps)
         bins, cap, offset = [None] * len(n), [None] * len(n), [None] * len(n)
