@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_type, staged
+from .common import field_type, staged, tidy
 from .words import chunks, hashed, mix
 
 SEED = 3
@@ -58,10 +58,11 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class Items:
     """A block of items: their words, and the seeds with the items and places they stand at."""
 
-    def __init__(self, ids: list, texts: list[str | None], k: int = SEED):
+    def __init__(self, ids: pa.Array, texts: list[str | None], k: int = SEED):
         w = hashed([(t or "").encode("utf-8", "surrogatepass") for t in texts], range(len(texts))) if texts else None
         self.ids, self.k = ids, k
-        self.words = [w.hash[w.row == i] for i in range(len(ids))]
+        edge = np.searchsorted(w.row, np.arange(len(ids) + 1)) if w else np.zeros(1, np.int64)
+        self.words = [w.hash[a:z] for a, z in zip(edge[:-1], edge[1:])]
         # an item shorter than a seed can't be told from common use
         seed, at = seed_hashes(w.hash, w.row, k) if w else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         item = w.row[at] if w else at
@@ -86,10 +87,10 @@ class Items:
     def judge(self, counts: np.ndarray) -> None:
         """Rare seeds: no more frequent in the corpus than the item's median seed. counts: by index of the first equal seed."""
         c = counts[np.searchsorted(self.seed, self.seed)] if len(self.seed) else counts
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i)
-            if len(own):
-                self.rare[own] = c[own] <= np.median(c[own])
+        o = np.argsort(self.item, kind="stable")
+        edge = np.flatnonzero(np.r_[True, np.diff(self.item[o]) > 0, True]) if len(o) else np.zeros(1, np.int64)
+        for a, z in zip(edge[:-1], edge[1:]):
+            self.rare[o[a:z]] = c[o[a:z]] <= np.median(c[o[a:z]])
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[Items]:
@@ -99,7 +100,7 @@ def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[Items]:
     for i in range(n):
         t = own.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).toArrow()
         if t.num_rows:
-            yield Items(t.column("id").to_pylist(), t.column("text").to_pylist())
+            yield Items(t.column("id").combine_chunks(), t.column("text").to_pylist())
 
 
 def _counts(texts: DataFrame, sent, size: int) -> np.ndarray:
@@ -176,7 +177,7 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
                 if found:
                     row, item, share, end = zip(*found)
                     at = pa.array(row, pa.int64())
-                    made = [pa.array([sent.value.ids[i] for i in item]), pa.array(share, pa.float64()), pa.array(end, pa.int64())]
+                    made = [sent.value.ids.take(pa.array(item, pa.int64())), pa.array(share, pa.float64()), pa.array(end, pa.int64())]
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *made], ["id", "h", "item", "score", "end_word"])
 
         part = src.mapInArrow(run, schema)
@@ -184,9 +185,10 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     return spark.createDataFrame([], schema) if out is None else out
 
 
+@tidy
 def drop_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows whose texts hold a copy of an item; its columns are unchanged, whatever their names."""
-    found = staged(leaks(df, items, id_col, text_col).select(F.col("id").alias("__cataloom_id"), F.col("h").alias("__cataloom_h")).distinct(), "leaks")
+    found = staged(leaks(df, items, id_col, text_col).select(F.col("id").alias("__cataloom_id"), F.col("h").alias("__cataloom_h")).distinct(), "leaks", keep=True)
     d = df.withColumn("__cataloom_key", F.xxhash64(text_col))
     stay = d.join(found, d[id_col].eqNullSafe(found["__cataloom_id"]) & (d["__cataloom_key"] == found["__cataloom_h"]), "left_anti")
     return stay.drop("__cataloom_key")
