@@ -1,9 +1,11 @@
 r"""Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs, in numpy.
 
-A word enters as a pair: a hashed word vector and the mean of hashed vectors of its character 3- to 5-grams.
+A word enters as a pair: a hashed word vector and the sum of hashed vectors of its character 3- to 5-grams, over the root
+of their number. Vectors start from the log-odds of the labels, and only inputs that several training texts share are learnt.
+Attention pools the states of both directions and the inputs themselves.
 Windows of WINDOW words that overlap by half cover every text whole; a text's score is that of its worst window.
-The network learns on the driver from at most about SAMPLE labelled texts of at most SAMPLE_BYTES each; scoring runs in
-the tasks that read the texts, without a shuffle.
+The network learns in one task, from at most about SAMPLE labelled texts of at most SAMPLE_BYTES each, so what it holds is
+bounded; its parameters (about 1 MB) go to the tasks that read the texts and score them, without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_type, held_out
+from .common import field_type, held_out, release
 from .words import Words, chunks, mix
 
 WINDOW, STRIDE = 32, 16
@@ -24,8 +26,14 @@ THRESHOLD = 0.3
 #: Bounds of the training sample: texts of each label, bytes of a text, windows of a text in one epoch.
 SAMPLE, SAMPLE_BYTES = 1500, 32 << 10
 BATCH, RATE = 128, 0.01
-#: Texts seen in training, repeats included, and the bounds of epochs that follow from it; share of word vectors left out.
-SEEN, EPOCHS, DROP = 40_000, (8, 40), 0.5
+#: Rounds over the sample; share of word vectors left out in a step.
+EPOCHS, DROP = 6, 0.5
+#: The first coordinate of a vector starts at so many times the log-odds of the labels of the texts that hold the input.
+START = {"word": 0.3, "gram": 0.1}
+#: Share by which each step shrinks the vectors, over the rate.
+DECAY = 0.1
+#: Words and n-grams of fewer training texts keep the zero vector of unknown ones, so that no text is learnt by heart.
+LEAST_TEXTS = 4
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
@@ -58,7 +66,7 @@ class Inputs:
         gram, own = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, owners))
         o = np.argsort(own, kind="stable")
         self.gram, self.owner = gram[o].astype(np.int16), own[o].astype(np.int32)
-        self.many = np.maximum(np.bincount(self.owner, minlength=len(first)), 1).astype(np.float32)
+        self.many = np.sqrt(np.maximum(np.bincount(self.owner, minlength=len(first)), 1)).astype(np.float32)
 
 
 def windows(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +92,10 @@ class Network:
         r = np.random.default_rng(seed)
         f = lambda scale, *shape: (r.standard_normal(shape) * scale).astype(np.float32)
         h, e = UNITS, 2 * VECTOR
-        self.p = {"word": f(0.1, BUCKETS, VECTOR), "gram": f(0.3, BUCKETS, VECTOR), "x": f(0.4, 2, e, 3 * h), "bx": f(0.01, 2, 3 * h), "u": f(0.3, 2, h, 3 * h), "v": f(0.3, 2 * h), "w": f(0.5, 2 * h), "b": np.full(1, -1.0, np.float32)}
+        self.p = {"word": np.zeros((BUCKETS, VECTOR), np.float32), "gram": np.zeros((BUCKETS, VECTOR), np.float32), "x": f(0.4, 2, e, 3 * h), "bx": f(0.01, 2, 3 * h), "u": f(0.3, 2, h, 3 * h), "v": f(0.3, 2 * h), "w": f(0.5, 2 * h), "b": np.full(1, -1.0, np.float32)}
+        odds = np.zeros(e, np.float32)  # of a word and of its n-grams: what attention and the verdict begin with
+        odds[[0, VECTOR]] = 3
+        self.p |= {"vx": odds.copy(), "wx": odds.copy()}
 
     def vectors(self, i: Inputs) -> np.ndarray:
         out = np.zeros((len(i.word), 2 * VECTOR), np.float32)
@@ -116,30 +127,32 @@ class Network:
                     saved.append((d, s, state, z, r, n, q[:, 2 * h :]))
                 state = new
                 states[s, :, d * h : (d + 1) * h] = state
-        score = states @ self.p["v"]
+        score = states @ self.p["v"] + (inputs @ self.p["vx"])[ids]
         score = np.where(mask, score, -1e9)
         att = np.exp(score - score.max(axis=0))
         att /= att.sum(axis=0)
-        pooled = np.einsum("tb,tbh->bh", att, states)
-        logit = pooled @ self.p["w"] + self.p["b"][0]
-        return (logit, (states, att, pooled, saved)) if keep else logit
+        value = states @ self.p["w"] + (inputs @ self.p["wx"])[ids]
+        logit = (att * value).sum(axis=0) + self.p["b"][0]
+        return (logit, (states, att, value, saved)) if keep else logit
 
     def gradients(self, i: Inputs, ids: np.ndarray, mask: np.ndarray, label: np.ndarray, weight: np.ndarray, stay: np.ndarray) -> dict[str, np.ndarray]:
         """stay: 0 for the words whose word vector is left out, so that characters have to do."""
         x = self.vectors(i)
         x[:, :VECTOR] *= stay[:, None]
-        logit, (states, att, pooled, saved) = self.forward(x, ids, mask, keep=True)
+        logit, (states, att, value, saved) = self.forward(x, ids, mask, keep=True)
         p, h = self.p, UNITS
         g = {k: np.zeros_like(v) for k, v in p.items()}
         dl = ((_sigmoid(logit) - label) * weight / len(label)).astype(np.float32)
-        g["w"], g["b"][0] = pooled.T @ dl, dl.sum()
-        dp = dl[:, None] * p["w"]
-        ds = att[:, :, None] * dp[None]
-        da = np.einsum("tbh,bh->tb", states, dp)
-        dscore = att * (da - (att * da).sum(axis=0))
-        ds += dscore[:, :, None] * p["v"]
-        g["v"] = np.einsum("tb,tbh->h", dscore, states)
-        dx = np.zeros_like(x)
+        dvalue = att * dl
+        dscore = att * (value * dl - (att * value).sum(axis=0) * dl)
+        ds, dx = np.zeros_like(states), np.zeros_like(x)
+        g["b"][0] = dl.sum()
+        for k, d in (("w", dvalue), ("v", dscore)):
+            ds += d[:, :, None] * p[k]
+            g[k] = np.einsum("tb,tbh->h", d, states)
+            own = np.bincount(ids.ravel(), d.ravel(), len(x)).astype(np.float32)
+            g[f"{k}x"] = x.T @ own
+            dx += own[:, None] * p[f"{k}x"]
         carry = np.zeros((ids.shape[1], h), np.float32)
         dg = np.zeros((len(x), 3 * h), np.float32)
         last = 1
@@ -191,6 +204,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     net = Network(seed)
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
+        net.p["b"][0] = -9
         return net
     rng = np.random.default_rng(seed)
     column = pa.array(texts, pa.string())
@@ -200,39 +214,63 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
         start, row = windows(w.row)
         if len(start):
             parts.append((w.row, Inputs(w), start, row))
-    m1, m2, step = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2)), None, 0
-    m1, m2 = m1
+    learnt = {}
+    for name, held in (("word", lambda rows, i: (i.word[i.number], rows)), ("gram", _grams_by_text)):
+        many = np.zeros((2, BUCKETS))
+        for rows, i, _, _ in parts:
+            bucket, row = held(rows, i)
+            bucket, row = np.divmod(np.unique(bucket * len(y) + row), len(y))
+            many += np.stack([np.bincount(bucket[y[row] == k], minlength=BUCKETS) for k in (0, 1)])
+        learnt[name] = many.sum(axis=0) >= LEAST_TEXTS
+        share = np.array([1 - y.mean(), y.mean()])[:, None]
+        odds = np.log((many[1] + share[1]) / share[1]) - np.log((many[0] + share[0]) / share[0])
+        net.p[name][:, 0] = np.where(learnt[name], START[name] * odds, 0)
+    m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
+    step = 0
     weight_of = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
-    epochs = min(max(SEEN // len(y), EPOCHS[0]), EPOCHS[1])
-    for epoch in range(epochs):
+    for epoch in range(EPOCHS):
         for k in rng.permutation(len(parts)):
             rows, i, start, row = parts[k]
-            if epoch < 2:  # at first any window stands for its text
-                _, first = np.unique(row, return_index=True)
-                many = np.diff(np.r_[first, len(row)])
-                chosen = np.concatenate([first + rng.integers(0, many) for _ in range(2)])
-            else:  # then the worst one does, and for clean texts two others
-                x = net.vectors(i)
+            # the worst window stands for its text, by the odds of its words and then by the network; for clean texts others too
+            x = net.vectors(i)
+            if epoch < 2:
+                odds = np.r_[0, np.cumsum(np.maximum(x[:, 0] + x[:, VECTOR] - 1, 0)[i.number])]
+                logit = odds[np.minimum(start + WINDOW, len(rows))] - odds[start]
+            else:
                 logit = np.concatenate([net.forward(x, *_laid(rows, i, start[a : a + 2048], row[a : a + 2048])) for a in range(0, len(start), 2048)])
-                _, first = np.unique(row, return_index=True)
-                many = np.diff(np.r_[first, len(row)])
-                o = np.lexsort((-logit, row))
-                more = np.concatenate([first + rng.integers(0, many) for _ in range(2)])
-                chosen = np.r_[o[first], more[y[row[more]] == 0]]
+            _, first = np.unique(row, return_index=True)
+            many = np.diff(np.r_[first, len(row)])
+            o = np.lexsort((-logit, row))
+            more = np.concatenate([first + rng.integers(0, many) for _ in range(2)])
+            chosen = np.r_[o[first], more[y[row[more]] == 0]]
             for a in range(0, len(chosen), BATCH):
                 c = chosen[a : a + BATCH]
                 ids, mask = _laid(rows, i, start[c], row[c])
                 used, number = np.unique(ids, return_inverse=True)
                 g = net.gradients(_subset(i, used), number.reshape(ids.shape), mask, y[row[c]], weight_of[row[c]], (rng.random(len(used)) >= DROP).astype(np.float32))
                 step += 1
-                rate = RATE * min(1.0, 2.0 * (1 - epoch / epochs))
+                rate = RATE * min(1.0, 2.0 * (1 - epoch / EPOCHS))
                 for name, grad in g.items():
+                    if name in learnt:
+                        grad *= learnt[name][:, None]
                     m1[name] += 0.1 * (grad - m1[name])
                     m2[name] += 0.001 * (grad * grad - m2[name])
+                    if name in learnt:
+                        net.p[name] *= 1 - rate * DECAY
                     net.p[name] -= rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.999**step)) + 1e-8)
     return net
 
 
+def _grams_by_text(rows: np.ndarray, i: Inputs) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text) of the n-grams of the distinct words of each text."""
+    pair = np.unique(rows.astype(np.int64) * len(i.word) + i.number)
+    word, row = pair % len(i.word), pair // len(i.word)
+    size = np.bincount(i.owner, minlength=len(i.word))
+    begin, many = (np.cumsum(size) - size)[word], size[word]
+    at = np.repeat(begin, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    return i.gram[at].astype(np.int64), np.repeat(row, many)
+
+
 def _subset(i: Inputs, used: np.ndarray) -> Inputs:
     out = object.__new__(Inputs)
     new = np.full(len(i.word), -1)
@@ -242,8 +280,8 @@ def _subset(i: Inputs, used: np.ndarray) -> Inputs:
     return out
 
 
-def sample(df: DataFrame, labels: DataFrame, learn, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int]]:
-    """At most about SAMPLE texts of each label, by hash of the id, from the rows that learn admits."""
+def sample(df: DataFrame, labels: DataFrame, learn, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, text, y): about SAMPLE texts of each label at most, by hash of the id, from the rows that learn admits."""
     own = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y")).filter("lid is not null and y in (0, 1)")
     own = own.groupBy("lid").agg(F.max("y").alias("y")).withColumnRenamed("lid", id_col).filter(learn).withColumnRenamed(id_col, "lid")
     many = dict(own.groupBy("y").count().collect())
@@ -251,19 +289,38 @@ def sample(df: DataFrame, labels: DataFrame, learn, id_col: str, text_col: str,
     part = F.when(F.col("y") == 1, F.lit(share.get(1, 0.0))).otherwise(F.lit(share.get(0, 0.0)))
     chosen = own.filter(F.pmod(F.xxhash64("lid"), F.lit(1_000_000)) < part * 1_000_000)  # about SAMPLE rows of each label
     text = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    t = text.join(F.broadcast(chosen), F.col("id") == F.col("lid")).select("id", "text", "y").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-    return t.column("text").to_pylist()[: 4 * SAMPLE], t.column("y").to_pylist()[: 4 * SAMPLE]
+    # of rows equal in id and text one is learnt from, and one text of an id that has several
+    once = text.join(F.broadcast(chosen), F.col("id") == F.col("lid")).groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    return once.select("id", "text", "y")
+
+
+def fitted(rows: DataFrame) -> Network:
+    """The network that one task trains on rows(id, text, y)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = [b for b in batches if b.num_rows]
+        x = pa.Table.from_batches(t).sort_by([("id", "ascending"), ("text", "ascending")]) if t else None
+        net = train(x.column("text").to_pylist(), x.column("y").to_pylist()) if x else Network()
+        names = list(net.p)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([net.p[k].tobytes() for k in names], pa.binary())], ["name", "data"])
+
+    net = Network()
+    for name, data in rows.repartition(1).mapInArrow(run, "name string, data binary").collect():  # the parameters
+        net.p[name] = np.frombuffer(bytes(data), np.float32).reshape(net.p[name].shape)
+    return net
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Per row: id, held_out, score (0 to 1), predicted (1 from THRESHOLD on); with keep, those columns of df instead of the id.
 
     Rows whose crc32 of the id mod 4 is 2 are not learnt from. Null and empty texts score 0; texts are read whole; repeated
-    rows and null ids are scored as they come; labels with null or other values, or for absent ids, count for nothing.
+    rows and null ids are scored as they come; labels with null or other values, or for absent ids, count for nothing; an id
+    with both labels is toxic.
     """
     spark = df.sparkSession
-    texts, y = sample(df, labels, ~held_out(id_col, 4, 2), id_col, text_col, label_col)
-    sent = spark.sparkContext.broadcast(train(texts, y))
+    net = fitted(sample(df, labels, ~held_out(id_col, 4, 2), id_col, text_col, label_col))
+    release(spark)
+    sent = spark.sparkContext.broadcast(net)
     cols = list(keep) if keep is not None else [id_col]
     n = len(cols)
     src = df.select(*[F.col(f"`{c}`") for c in cols], held_out(id_col, 4, 2).alias("__cataloom_held"), F.col(text_col).cast("string").alias("__cataloom_text"))
