@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_type, held_out, staged
+from .common import field_type, held_out, staged, tidy
 from .words import hashed, mix
 
 ORDER = 7
@@ -283,6 +283,7 @@ def _low_nodes(blocks: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarr
     return _nodes(t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy(), KEY - 1, 0)
 
 
+@tidy
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, order: int = ORDER) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
@@ -296,7 +297,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=No
     spark = df.sparkSession
     held = held_out(id_col, 10, 0) if held is None else held
     src = df.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
-    blocks = staged(_blocks(src, order), "blocks")
+    blocks = staged(_blocks(src, order), "blocks", keep=True)
     n_blocks, ends = blocks.agg(F.count("*"), F.coalesce(F.sum("train"), F.lit(0))).first()
     parts = max(LEAST_PARTS, -(-n_blocks // BLOCKS_A_PART))
     low = spark.sparkContext.broadcast(_low_nodes(blocks, order))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_type, groups, staged, word_bytes
+from .common import field_type, groups, staged, tidy, word_bytes
 from .components import components
 
 SEED = 42
@@ -108,8 +108,11 @@ def wide_fingerprints(df: DataFrame, k: int, id_col: str, text_col: str) -> Data
     return src.mapInArrow(run, f"id {field_type(src, 'id')}, h bigint, fp array<bigint>, bands array<bigint>, node bigint")
 
 
-def near_rows(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, later members within the radius) for the members of a block; fps: n x words of uint64."""
+def near_rows(fps: np.ndarray, radius: int, steps: list[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, later members within the radius) for the members of a block; fps: n x words of uint64.
+
+    steps: gets the number of rows still compared, now and then.
+    """
     n, words = fps.shape
     bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(n, 8 * words), axis=1)
     width = -(-n // 64)
@@ -128,6 +131,9 @@ def near_rows(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
         lo = at // 64  # members before the first row were compared already
         count = [np.full((len(rows), width - lo), full if first >> j & 1 else 0, np.uint64) for j in range(depth)]
         over = np.broadcast_to(~valid[lo:], (len(rows), width - lo)).copy()
+        own = rows // 64 - lo  # a row and those before it are out, so that it is abandoned once all later ones are
+        over |= np.where(np.arange(width - lo) < own[:, None], full, np.uint64(0))
+        over[np.arange(len(rows)), own] |= full >> (np.uint64(63) - (rows % 64).astype(np.uint64))
         for done, p in enumerate(order):
             carry = planes[p, lo:][None, :] ^ np.where(bits[rows, p], full, np.uint64(0))[:, None]
             for j in range(depth):
@@ -135,6 +141,8 @@ def near_rows(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
             over |= carry
             if done % 4 == 3:
                 alive = (over != full).any(axis=1)
+                if steps is not None:
+                    steps.append(int(alive.sum()))
                 if not alive.all():
                     rows, over, count = rows[alive], over[alive], [c[alive] for c in count]
                     if not len(rows):
@@ -192,8 +200,7 @@ def links_in_blocks(rows: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([a, b], ["u", "v"])
 
     keys = ["t", "key", "i", "j"]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u bigint, v bigint")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u bigint, v bigint")
 
 
 def _with_least(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -247,6 +254,7 @@ def similar_links(nodes: DataFrame, df: DataFrame, k: int, id_col: str, text_col
     return sure.union(staged(_verified(more, nodes, df, k, id_col, text_col), "similar"))
 
 
+@tidy
 def simhash_classes(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row: fingerprints link at two or fewer differing bits.
 
@@ -254,16 +262,17 @@ def simhash_classes(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
     if every id of the class is null). Null and empty texts have fingerprint zero, which links like any other; equal texts,
     ties and repeated rows share a class; a row comes out once for each time it comes in. Other columns are not read.
     """
-    rows = staged(fingerprints(df, k, id_col, text_col), "fingerprints")
+    rows = staged(fingerprints(df, k, id_col, text_col), "fingerprints", keep=True)
     nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("least")).select(F.col("fp").alias("node"), "least"), "nodes")
     masks = [sum((1 << z) - (1 << a) for a, z in chosen) for chosen in combinations(PARTS, 3)]
     keys = [F.struct(F.lit(t).alias("t"), F.col("node").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)]
     blocks = nodes.select("node", F.array("node").alias("fp"), F.explode(F.array(*keys)).alias("k")).select("k.t", "k.key", "node", "fp")
-    classes = staged(_with_least(nodes, links_in_blocks(blocks, 2)), "classes")
+    classes = staged(_with_least(nodes, links_in_blocks(blocks, 2)), "classes", keep=True)
     out = rows.join(classes, rows.fp == classes.node)
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@tidy
 def drop_near_duplicates(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each class of near-duplicates: the one with the smallest id, then text hash.
 
@@ -275,7 +284,7 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, id_col: str = "doc_id", text
     same = rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least"), F.min_by(F.struct("fp", "bands"), F.struct("id", "h")).alias("x"))
     nodes = staged(same.select("node", "least", "x.fp", "x.bands"), "nodes")
     classes = _with_least(nodes.select("node", "least"), similar_links(nodes, df, k, id_col, text_col))
-    kept = staged(classes.select(F.col("component_id.id").alias("_id"), F.col("component_id.h").alias("_h")).distinct(), "kept")
+    kept = staged(classes.select(F.col("component_id.id").alias("_id"), F.col("component_id.h").alias("_h")).distinct(), "kept", keep=True)
     d = df.withColumn("__cataloom_h", F.xxhash64(text_col)).withColumn("__cataloom_id", F.col(id_col))
     stay = d.join(kept, d["__cataloom_id"].eqNullSafe(kept["_id"]) & (d["__cataloom_h"] == kept["_h"]), "left_semi")
     return stay.dropDuplicates(["__cataloom_id", "__cataloom_h"]).drop("__cataloom_id", "__cataloom_h")
