@@ -242,6 +242,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_rows_out_of_reach_are_abandoned():
+    rng = np.random.default_rng(0)
+    fps = rng.integers(0, 1 << 63, (700, 1), dtype=np.uint64)
+    fps[650] = fps[3] ^ np.uint64(5)
+    steps = []
+    got = [(i, near.tolist()) for i, near in simhash.near_rows(fps, 2, steps)]
+    assert got == [(3, [650])]
+    assert min(steps) == 0 or steps[-1] < simhash.ROWS
+
+
 def test_near_duplicates(spark, docs):
     text = sentence(200)
     w = text.split()
@@ -346,7 +356,8 @@ def test_packing(docs):
 
 
 def test_packing_is_near_the_least_cost():
-    sizes = sorted((RNG.randint(1, 4096) for _ in range(500)), reverse=True)
+    rng = random.Random(6)
+    sizes = sorted((rng.randint(1, 4096) for _ in range(500)), reverse=True)
     where, caps = packing.pack(sizes)
     assert sum(caps) <= 1.05 * sum(sizes) and len(where) == 500
 
@@ -495,3 +506,139 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert packed.agg(F.sum("n_tokens")).first()[0] == sum(len(r.text.split()) for r in docs.collect())
+
+
+LONG = "<p>" + "A paragraph about rivers and the boats that go on them. " * 5 + "</p>"
+PARAGRAPH = ("A paragraph about rivers and the boats that go on them. " * 5).strip()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><div class=top><a href=x>Home</a></div><div class=story><h1>Rivers</h1>{LONG}<p>Short.</p>{LONG}</div><div class=x><p>Reader Bob wrote: nice post</p></div><div>(c) 2020 Foo</div></body>", ["Rivers", PARAGRAPH, "Short.", PARAGRAPH]),
+        (f"<body><a href=x>Home</a><br><a href=y>About</a><h1>Rivers</h1>{LONG}<p>Short.</p>{LONG}<p>Reader Bob wrote: nice post</p><p>(c) 2020 Foo</p></body>", ["Rivers", PARAGRAPH, "Short.", PARAGRAPH]),
+        (f"<article><h1>T</h1>{LONG}<div class='search-tips'>Use quotes</div><p class='alert-level'>Level two</p><div class='comment-list'><p>hey</p></div><p>x</p><div class=ad>buy</div></article><footer>f</footer>", ["T", PARAGRAPH, "Use quotes", "Level two", "x"]),
+        (f"<main><p>Menu of the day</p></main><main>{LONG}<p>y</p></main>", [PARAGRAPH, "y"]),
+        (f"<nav><ul><li>never closed<article>{LONG}</article>", [PARAGRAPH]),
+        ("<div>a</div>", ["a"]),
+        ("<p><a href=x>only a link</a></p>", []),
+    ],
+)
+def test_html_regions(page, want):
+    assert html_extract.main_text(page) == "\n".join(want)
+
+
+def brute_terms(rows):
+    """Terms that disclose, by counting whole texts."""
+    spans = [brute_spans(t) for _, t in rows]
+    ents = [{(k, (t[int(a) : int(b)].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", t[int(a) : int(b)]))) for k, a, b in (x.split(":") for x in s.split(",") if x)} for (_, t), s in zip(rows, spans)]
+    terms = [{w.lower() for w in re.findall(r"[^\W\d_]{4,}", re.sub(PATTERNS["email"], " ", t))} for _, t in rows]
+    n = len(rows)
+    own = [e | {(k,) for k, _ in e} for e in ents]
+    shown = {}
+    for e in set().union(*own):
+        df_e = sum(e in o for o in own)
+        if len(e) == 2 and len({t for (_, t), o in zip(rows, own) if e in o}) < pii.SUPPORT or df_e == n:
+            continue
+        for w in set().union(*(t for t, o in zip(terms, own) if e in o)):
+            both = [i for i in range(n) if e in own[i] and w in terms[i]]
+            df_t = sum(w in t for t in terms)
+            if len({rows[i][1] for i in both}) >= pii.SUPPORT and math.log2(n * len(both) / (df_e * df_t)) >= pii.DISCLOSURE * math.log2(n / df_e) - 1e-9:
+                shown.setdefault(w, set()).add(e[0] if len(e) == 1 else "value")
+    out = {}
+    for (i, t), o in zip(rows, ents):
+        kinds = {k for k, _ in o} | {"value"}
+        mail = [m.span() for m in re.finditer(PATTERNS["email"], t)]
+        out[i] = [m.span() for m in re.finditer(r"[^\W\d_]{4,}", t) if shown.get(m[0].lower(), set()) & kinds and not any(a < m.end() and m.start() < b for a, b in mail)]
+    return out
+
+
+def test_pii_terms_by_count(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(160):
+        t = sentence(rng.randint(5, 30), rng)
+        if i % 9 == 0:
+            t += f" Contactme under user{i}@mail.org please"
+        if i % 16 == 1:
+            t += " Zorblax of 10.0.0.7 wrote"
+        if i % 80 == 3:
+            t += " zorblax alone, Contactme"
+        rows.append((i, t))
+    rows += [(200, rows[0][1]), (201, rows[9][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: [(x.s, x.e) for x in r.term] for r in pii.find_spans(df).collect()}
+    want = brute_terms(rows)
+    assert got == want
+    assert any(rows[3][1][s:e] == "zorblax" for s, e in want[3]) and sum(map(len, want.values())) > 20
+
+
+def test_packing_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(4)
+    rows = [(i if i % 3 else i // 3, sentence(rng.choice([5, 60, 300, 700]), rng)) for i in range(80)]
+    rows += [(100 + i, rows[0][1]) for i in range(30)]
+    a, b = (packing.pack_texts(spark.createDataFrame(r, "doc_id long, text string")).collect() for r in (rows, rows[::-1]))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    named = packing.pack_texts(spark.createDataFrame([(f"d{i}", t) for i, t in rows], "doc_id string, text string")).collect()
+    assert len(named) == len(a)
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_decontamination_takes_any_item_id(spark, kind):
+    rng = random.Random(3)
+    items = [sentence(20, rng) for _ in range(3)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    df = spark.createDataFrame([(1, sentence(9, rng) + " " + items[2]), (2, sentence(40, rng))], "doc_id int, text string")
+    got = decontaminate.leaks(df, bench)
+    assert got.schema["item"].dataType == bench.schema["item_id"].dataType and [str(r.item) for r in got.collect()] == ["2"]
+
+
+def test_decontamination_against_alignment_without_seeds(spark):
+    """Copies in which up to every fourth word is changed, dropped or added, against Smith-Waterman over all pairs."""
+    rng = random.Random(17)
+    items = [sentence(30, rng) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        w = items[i % 6].split()
+        share = rng.choice([0, 0.08, 0.15, 0.25])
+        out = []
+        for x in w:
+            u = rng.random()
+            out += [x] if u >= share else rng.choice([[], [rng.choice(VOCAB)], [x, rng.choice(VOCAB)]])
+        rows.append((i, " ".join([sentence(20, rng), *out, sentence(20, rng)])))
+    code = {}
+    ints = lambda t: np.array([code.setdefault(w, len(code)) for w in words(t)])
+    want = {(i, j) for i, t in rows for j, item in enumerate(items) if decontaminate.align(ints(item), ints(t))[0] >= max(decontaminate.SHARE * 2 * len(words(item)), decontaminate.LEAST)}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.id, r.item) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) > 40
+
+
+def test_toxicity_gradients():
+    from cataloom.llm.words import hashed
+
+    rng = np.random.default_rng(1)
+    w = hashed([b"one two three four five six seven", b"two three bad words here and there now"], range(2))
+    net = toxicity.Network(3)
+    net.p = {k: v + 0.2 * rng.standard_normal(v.shape) for k, v in net.p.items()}
+    i = toxicity.Inputs(w)
+    start, row = toxicity.windows(w.row)
+    ids, mask = toxicity._laid(w.row, i, start, row)
+    label, ones = np.array([0.0, 1.0]), np.ones(2)
+    g = net.gradients(i, ids, mask, label, ones, np.ones(len(i.word)))
+
+    def loss():
+        logit = net.forward(net.vectors(i), ids, mask)
+        return float(np.mean(np.log1p(np.exp(logit)) - label * logit))
+
+    for k, v in net.p.items():
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in v.shape)
+            if k in ("word", "gram"):
+                at = (int(rng.choice(i.word if k == "word" else i.gram)), at[1])
+            old, sides = v[at], []
+            for step in (1e-3, -1e-3):
+                v[at] = old + step
+                sides.append(loss())
+            v[at] = old
+            assert abs((sides[0] - sides[1]) / 2e-3 - g[k][at]) < 5e-4, (k, at)
