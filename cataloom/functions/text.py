@@ -142,3 +142,93 @@ def weight_range(c: Column) -> Column:
 
 def range_text(lo: Column, hi_exclusive: Column) -> Column:
     return F.when(lo.isNotNull() & hi_exclusive.isNotNull(), F.concat(lo.cast("string"), F.lit("-"), (hi_exclusive - 1).cast("string"), F.lit(" lb")))
+
+
+def status_text(c: Column) -> Column:
+    """current or retired from a production status; discontinued and retired count before production."""
+    t = F.lower(c)
+    return F.when(F.contains(t, F.lit("discontinu")) | F.contains(t, F.lit("retired")), "retired").when(F.contains(t, F.lit("production")), "current")
+
+
+def url_status(url: Column) -> Column:
+    return F.nullif(F.regexp_extract(url, r"/products/balls/(current|retired)/", 1), F.lit(""))
+
+
+def product_type(url: Column) -> Column:
+    """bag or shoe by the first category in the URL, else ball."""
+    found = F.regexp_extract(url, r"/products/(balls|bags|shoes)/", 1)
+    return F.when(found == "bags", "bag").when(found == "shoes", "shoe").otherwise("ball")
+
+
+def image_type(alt: Column, position: Column) -> Column:
+    """By alternative text (performance before core), else main for the first position."""
+    t = F.lower(F.coalesce(alt, F.lit("")))
+    return F.when(F.contains(t, F.lit("performance")), "performance_badge").when(F.contains(t, F.lit("core")), "core_callout").when(position == 1, "main").otherwise("other")
+
+
+def callout_weights(url: Column) -> Column:
+    """(high, low) of an image whose file name has a weight range of a core."""
+    shape = r"(\d{1,2})-(\d{1,2})_lb_Core"
+    return F.when(url.rlike(shape), F.struct(*(F.regexp_extract(url, shape, i).try_cast("int").alias(k) for i, k in ((1, "high"), (2, "low")))))
+
+
+def color_and_part(name: Column, lines: Column) -> Column:
+    """(color, part_number) of a bag from its name and part number lines, each cut at its last " - ".
+
+    A single line decides; of several, the one with the color of the name.
+    """
+    shape = r"(?s)^(.*) - (.*)$"
+    title = F.when(name.rlike(shape), F.trim(F.regexp_extract(name, shape, 2)))
+    split = lambda x: F.struct(F.trim(F.regexp_extract(x, shape, 2)).alias("color"), F.trim(F.regexp_extract(x, shape, 1)).alias("part_number"))
+    parsed = F.transform(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: x.rlike(shape)), split)
+    match = F.get(F.filter(parsed, lambda x: F.lower(x["color"]) == F.lower(title)), F.lit(0))
+    alone = F.struct(title.alias("color"), F.lit(None).cast("string").alias("part_number"))
+    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0))).otherwise(F.coalesce(match, alone))
+
+
+def breadcrumb_status(trail: Column) -> Column:
+    """current or retired by the last but one entry of a trail; null for other categories and short trails."""
+    category = F.when(F.size(trail) >= 2, F.get(trail, F.size(trail) - 2))
+    return F.when(category == "Bowling Balls", "current").when(category == "Bowling Balls Archive", "retired")
+
+
+def is_tech_data(href: Column) -> Column:
+    name = F.lower(F.element_at(F.split(href, "/"), -1))
+    return F.contains(F.regexp_replace(name, r"[\s_\-]|%20", ""), F.lit("techdata"))
+
+
+def mass_bias(c: Column) -> Column:
+    """A number only if the whole text is one."""
+    return F.when(F.trim(c).rlike(r"^-?(\d+\.?\d*|\.\d+)$"), F.trim(c).try_cast("double"))
+
+
+def absolute_url(base: Column, href: Column) -> Column:
+    """href as seen from base: absolute, of the same scheme, from the root, or from the folder of base; dots aren't resolved."""
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.when(page == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_extract(page, r"^(.*/)", 1))
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(root, r"^[^:]*:", 0), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, href)).when(href == "", base)
+        .when(F.startswith(href, F.lit("#")) | F.startswith(href, F.lit("?")), F.concat(page, href)).otherwise(F.concat(folder, href))
+    )
+
+
+def summary_prompt(name: Column, summaries: Column, context: Column) -> Column:
+    """What is asked about one summary or several, with the context if there is any."""
+    head = F.when(F.size(summaries) == 1, F.concat(F.lit("Summarize this review of "), name)).otherwise(F.concat(F.lit("Combine these "), F.size(summaries).cast("string"), F.lit(" reviews of "), name))
+    return F.concat_ws("\n\n", head, F.array_join(summaries, "\n---\n"), F.when(context != "", F.concat(F.lit("Context: "), context)))
+
+
+def iso_date(c: Column) -> Column:
+    return F.to_date(F.try_to_timestamp(c))
+
+
+def brand_of_flat_url(url: Column, prefixes: tuple[tuple[str, str], ...]) -> Column:
+    """The brand whose prefix comes first among those that the slug of a one-segment URL begins with."""
+    slug = F.regexp_extract(url, r"^https?://[^/]+/([^/?#]+)/?$", 1)
+    out = F.lit(None).cast("string")
+    for prefix, brand in reversed(prefixes):
+        out = F.when(F.startswith(slug, F.lit(prefix)), brand).otherwise(out)
+    return F.when(slug != "", out)

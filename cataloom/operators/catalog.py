@@ -29,8 +29,9 @@ def browse(products: DataFrame, name_like: str | None = None, brands: list[str]
 
 
 def ordered(df: DataFrame, sort: str, id_col: str = "product") -> DataFrame:
-    """df in one of the known orders, ties by id; an unknown one orders by id alone."""
-    return df.orderBy(*(SORTS[sort]() if sort in SORTS else []), id_col)
+    """df in one of the known orders, ties by id; an unknown one takes the latest update first, or the id where df has none."""
+    latest = [F.desc_nulls_last("updated_at")] if "updated_at" in df.columns else []
+    return df.orderBy(*(SORTS[sort]() if sort in SORTS else latest), id_col)
 
 
 def page(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:

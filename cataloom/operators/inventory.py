@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86400.0
@@ -67,12 +67,33 @@ def days_of_supply(stock: DataFrame, as_of: datetime, days: int = 30) -> DataFra
     return j.select("sku", "quantity", "adu", (F.col("quantity") / F.col("adu")).alias("days_of_supply"))
 
 
+#: Days of the chart ranges; a projection over all of history takes ALL_DAYS.
+RANGES = {"7D": 7, "30D": 30, "90D": 90, "1Y": 365, "All": None}
+ALL_DAYS = 90
+
+
+def in_range(time: str, preset: str, as_of: datetime) -> Column:
+    days = RANGES[preset]
+    return F.lit(True) if days is None else F.col(time) >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
+
+
 def forecast(stock: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
-    """(sku, quantity, adu, days_of_supply, urgency): none left is 0 days, nothing sold is unknown."""
+    """(sku, quantity, adu, days_of_supply, urgency, stockout_at): none left is 0 days and now, nothing sold is unknown."""
+    now = F.lit(as_of).cast("timestamp")
     j = latest_reading(stock).join(adu(stock, as_of, days), "sku", "left")
     dos = F.when(F.col("quantity") <= 0, F.lit(0.0)).when(F.col("adu") > 0, F.col("quantity") / F.col("adu"))
     urgency = F.when(F.col("days_of_supply") <= 14, "danger").when(F.col("days_of_supply") <= 30, "muted").otherwise("ok")
-    return j.select("sku", "quantity", "adu", dos.alias("days_of_supply")).withColumn("urgency", urgency)
+    stockout = F.timestamp_seconds(F.unix_timestamp(now) + F.floor(F.col("days_of_supply") * 86400))
+    return j.select("sku", "quantity", "adu", dos.alias("days_of_supply")).withColumns({"urgency": urgency, "stockout_at": stockout})
+
+
+def projection(stock: DataFrame, as_of: datetime, days: int = 30, preset: str = "All") -> DataFrame:
+    """(sku, day, quantity): what is left after each day until the stock or the range ends."""
+    span = F.lit(float(RANGES[preset] or ALL_DAYS))
+    f = forecast(stock, as_of, days)
+    last = F.floor(F.least(F.coalesce("days_of_supply", F.lit(float(ALL_DAYS))), span)).cast("long")
+    rows = f.select("sku", "quantity", "adu", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("day"))
+    return rows.select("sku", "day", F.greatest(F.lit(0.0), F.col("quantity") - F.coalesce("adu", F.lit(0.0)) * F.col("day")).alias("quantity"))
 
 
 def daily_units(stock: DataFrame) -> DataFrame:

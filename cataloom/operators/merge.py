@@ -93,7 +93,22 @@ def review(status: Column, action: Column) -> Column:
 
 
 def insert_if_new(queue: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of found that no pending row of queue has; null and empty keys are the same."""
+    """Rows of found that no pending row of queue has, once for each key; null and empty keys are the same."""
     p = queue.filter("status = 'pending'").select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"q_{k}") for k in keys])
     cond = [F.coalesce(found[k].cast("string"), F.lit("")) == p[f"q_{k}"] for k in keys]
-    return found.join(p, cond, "left_anti")
+    new = found.join(p, cond, "left_anti")
+    marks = {f"__{k}": F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys}
+    return new.withColumns(marks).dropDuplicates(list(marks)).drop(*marks)
+
+
+def message_batches(rows: DataFrame, queue: str, order: list[str], size: int = 10) -> DataFrame:
+    """(queue, batch, messages): rows as JSON messages, size to a batch, in order."""
+    place = F.row_number().over(Window.partitionBy(queue).orderBy(*order)) - 1
+    numbered = rows.select(queue, F.floor(place / size).cast("long").alias("batch"), place.alias("at"), F.to_json(F.struct(*rows.columns)).alias("body"))
+    return numbered.groupBy(queue, "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda m: m["body"]).alias("messages"))
+
+
+def attempted(messages: DataFrame, most: int = 3) -> DataFrame:
+    """messages(attempts, succeeded, ..) after one more attempt, with outcome: done, retry, or dead after most attempts."""
+    tried = messages.withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1)
+    return tried.withColumn("outcome", F.when(F.col("succeeded"), "done").when(F.col("attempts") >= most, "dead").otherwise("retry"))

@@ -47,7 +47,7 @@ def video_results(df: DataFrame, body: str) -> DataFrame:
 
 def caption_track(html: Column) -> Column:
     """The caption track of a page: English by people, else English, else the first."""
-    tracks = F.from_json(F.regexp_extract(html, r'"captionTracks":(\[.*?\])', 1), TRACKS)
+    tracks = F.from_json(F.regexp_extract(html, r'(?s)"captionTracks":(\[.*?\])', 1), TRACKS)
     english = F.filter(tracks, lambda t: F.startswith(t["languageCode"], F.lit("en")))
     human = F.filter(english, lambda t: ~t["kind"].eqNullSafe(F.lit("asr")))
     zero = F.lit(0)
@@ -82,20 +82,6 @@ def label_fields(text: Column, labels: list[str]) -> Column:
     return F.map_from_entries(F.filter(F.transform(lines, pair), lambda p: p["key"].isNotNull()))
 
 
-def weight_table(text: Column) -> Column:
-    """Array of (weight_lbs, rg, differential, mass_bias) from a line of weights and lines that begin RG, DIFF and ASY."""
-    lines = F.split(text, r"\n")
-    first = lambda p: F.get(F.filter(lines, lambda x: x.rlike(p)), F.lit(0))
-    numbers = lambda c, r: F.coalesce(F.regexp_extract_all(c, F.lit(r), F.lit(0)), F.array().cast("array<string>"))
-    dec = r"\d+\.\d+"
-    zipped = F.arrays_zip(
-        numbers(first(r"^\s*\d+\s*(?i:lbs?)"), r"\d+").alias("w"), numbers(first(r"^\s*(?i:RG)"), dec).alias("rg"),
-        numbers(first(r"^\s*(?i:DIFF)"), dec).alias("d"), numbers(first(r"^\s*(?i:ASY)"), dec).alias("b"),
-    )
-    made = F.transform(zipped, lambda x: F.struct(x["w"].try_cast("int").alias("weight_lbs"), x["rg"].try_cast("double").alias("rg"), x["d"].try_cast("double").alias("differential"), x["b"].try_cast("double").alias("mass_bias")))
-    return F.filter(made, lambda r: r["weight_lbs"].isNotNull())
-
-
 def ocr_grid(blocks: DataFrame) -> DataFrame:
     """(tbl, row, col, text) of OCR blocks(id, kind, row, col, text, children): tables hold cells, cells hold words."""
     child = blocks.select(F.col("id").alias("parent"), F.posexplode("children").alias("at", "id"))
@@ -114,3 +100,42 @@ def widest_image(srcset: Column) -> Column:
 def custom_fields(fields: Column) -> Column:
     """Map of lower-cased names to values; of equal names the last counts."""
     return F.map_from_entries(F.transform(fields, lambda f: F.struct(F.lower(F.trim(f["name"])).alias("k"), f["value"].alias("v"))))
+
+
+def collection_rows(pages: DataFrame, key: str, schema: str, items: str, limit: int, most: int = 20) -> DataFrame:
+    """(key, the item's fields) of pages(key, page from 1, body) up to the first with fewer than limit items or a gap, most pages at most.
+
+    A body that can't be read has no items, and so ends its collection.
+    """
+    read = pages.filter(F.col("page").between(1, most)).select(key, "page", F.coalesce(F.from_json("body", schema)[items], F.from_json(F.lit('{"%s":[]}' % items), schema)[items]).alias("items"))
+    have = F.array_sort(F.collect_set("page"))
+    ends = read.groupBy(key).agg(have.alias("have"), F.min(F.when(F.size("items") < limit, F.col("page"))).alias("short"))
+    gap = F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(most + 1)), "have")) - 1
+    last = ends.select(F.col(key).alias("__key"), F.least(gap, F.coalesce("short", F.lit(most))).alias("__last"))
+    j = read.join(last, (F.col(key) == F.col("__key")) & (F.col("page") <= F.col("__last")))
+    return j.select(key, F.inline("items"))
+
+
+def counted_rows(pages: DataFrame, key: str, schema: str, most: int = 100) -> DataFrame:
+    """(key, fields of data) of pages(key, page, body) up to the total_pages that page 1 states, most pages at most."""
+    read = pages.select(key, "page", F.from_json("body", schema).alias("x"))
+    total = read.filter("page = 1").select(F.col(key).alias("__key"), F.least(F.coalesce("x.pagination.total_pages", F.lit(1)), F.lit(most)).alias("__total"))
+    return read.join(total, (F.col(key) == F.col("__key")) & (F.col("page") <= F.col("__total"))).select(key, F.inline("x.data"))
+
+
+def index_urls(pages: DataFrame, html: str, page: str) -> DataFrame:
+    """(url): the distinct numbered products of index pages, at the root of the site that holds them."""
+    ids = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"n_(\d+)"), F.lit(1)))
+    root = F.regexp_extract(page, r"^[a-z]+://[^/]+", 0)
+    return pages.select(root.alias("root"), ids.alias("n")).distinct().select(F.concat("root", F.lit("/n_"), "n").alias("url"))
+
+
+def listing_links(html: Column, pattern: str, per_page: int) -> Column:
+    """(links, may_be_cut): distinct links; as many as a page holds may mean that there are more."""
+    found = F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)))
+    return F.struct(found.alias("links"), (F.size(found) >= per_page).alias("may_be_cut"))
+
+
+def product_document(body: Column) -> Column:
+    """The product of a JSON document; null fields if it can't be read."""
+    return F.from_json(body, "product struct<title:string,handle:string,updated_at:string,variants:array<struct<grams:int,title:string>>>")["product"]

@@ -46,10 +46,11 @@ def deltas(stream: DataFrame) -> DataFrame:
     return stream.groupBy("sku").applyInPandasWithState(step, "sku long, id long, sold long", "quantity int", "append", GroupStateTimeout.NoTimeout)
 
 
-def merged_into(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, rejects: str | None = None, valid=None) -> StreamingQuery:
-    """A query that keeps the last row of each key at path, one version for each batch; a replayed batch gives the same.
+def merged_into(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, rejects: str | None = None, valid=None, buckets: int = 16) -> StreamingQuery:
+    """A query that keeps the last row of each key at path; a batch reads and rewrites only the buckets of its keys.
 
-    Rows that fail valid go to rejects. Versions are path/v=<batch>; the last one is the table.
+    A replayed batch gives the same. Rows that fail valid go to rejects. merged reads the table. Versions of a bucket older
+    than the one that a batch replaces are deleted.
     """
 
     def put(batch: DataFrame, number: int) -> None:
@@ -57,8 +58,39 @@ def merged_into(stream: DataFrame, path: str, keys: list[str], order: str, check
         good = batch if valid is None else batch.filter(valid)
         if rejects is not None and valid is not None:
             batch.filter(~F.coalesce(valid, F.lit(False))).write.mode("overwrite").parquet(f"{rejects}/v={number}")
-        rows = good if number == 0 else spark.read.parquet(f"{path}/v={number - 1}").select(*good.columns).union(good)
+        good = good.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in good.select("bucket").distinct().collect()]  # one number for each bucket
+        versions = {b: max((v for v in _versions(spark, path, b) if v < number), default=None) for b in touched}
+        before = [f"{path}/bucket={b}/v={v}" for b, v in versions.items() if v is not None]
+        rows = spark.read.option("basePath", path).parquet(*before).select(*good.columns).union(good) if before else good
         last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("x")).select("x.*")
-        last.write.mode("overwrite").parquet(f"{path}/v={number}")
+        for b in touched:
+            last.filter(F.col("bucket") == b).drop("bucket").write.mode("overwrite").parquet(f"{path}/bucket={b}/v={number}")
+            for v in _versions(spark, path, b):
+                if versions[b] is not None and v < versions[b]:
+                    p, fs = _folder(spark, f"{path}/bucket={b}/v={v}")
+                    fs.delete(p, True)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _versions(spark: SparkSession, path: str, bucket: int) -> list[int]:
+    """Finished versions of a bucket."""
+    made = [n for n in _names(spark, f"{path}/bucket={bucket}") if n.startswith("v=")]
+    return [int(n[2:]) for n in made if "_SUCCESS" in _names(spark, f"{path}/bucket={bucket}/{n}")]
+
+
+def merged(spark: SparkSession, path: str) -> DataFrame:
+    """The table that merged_into keeps: the last version of each bucket."""
+    last = [f"{path}/bucket={b}/v={max(v)}" for b in (int(n[7:]) for n in _names(spark, path) if n.startswith("bucket=")) if (v := _versions(spark, path, b))]
+    return spark.read.option("basePath", path).parquet(*last).drop("bucket", "v")
