@@ -92,14 +92,20 @@ def _summed(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _merged(made: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and summed counts of sorted runs; the stable sort merges runs."""
-    code, count = map(np.concatenate, zip(*made))
-    if not len(code):
-        return code, count
-    turn = np.argsort(code, kind="stable")
-    code = code[turn]
-    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-    return code[first], np.add.reduceat(count[turn], first).astype(count.dtype)
+    """Distinct values and summed counts of runs of sorted distinct values; each run goes into the longer ones before it."""
+    code, count = made[-1]
+    for other in made[-2::-1]:
+        (u, c), (v, d) = ((code, count), other) if len(code) > len(other[0]) else (other, (code, count))
+        if not len(v):
+            code, count = u, c
+            continue
+        at = np.searchsorted(u, v)
+        hit = u[np.minimum(at, len(u) - 1)] == v
+        c[at[hit]] += d[hit]
+        new = ~hit
+        at, v, d = at[new], v[new], d[new]
+        code, count = np.insert(u, at, v), np.insert(c, at, d)
+    return code, count
 
 
 class Trie:
@@ -265,8 +271,12 @@ def _vocabulary(texts: list[bytes], train: int, order: int) -> list[tuple[np.nda
 
 def _dealt(codes: np.ndarray, kind: int, parts: int, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The order in which values are sent, and where the values of each part begin and end."""
-    key = codes >> np.uint64(8) & np.uint64((1 << 8 * min(order, KEY)) - 1) if kind == 0 else codes
-    part = (mix(key) % np.uint64(parts)).astype(np.int64)
+    part = np.empty(len(codes), np.uint16 if parts <= 1 << 16 else np.uint32)
+    for a in range(0, len(codes), SLICE):  # the arrays over all codes stay few and narrow
+        key = codes[a : a + SLICE]
+        if kind == 0:
+            key = key >> np.uint64(8) & np.uint64((1 << 8 * min(order, KEY)) - 1)
+        part[a : a + SLICE] = mix(key) % np.uint64(parts)
     return np.argsort(part, kind="stable"), np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
 
 
@@ -342,6 +352,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=No
         train, n = row["train"].as_py(), len(row["ids"])
         texts = _texts(row["texts"].as_py(), row["size"].as_py(), row["sizes"].as_py())
         right = right.sort_by("part")
+        del left
         known = []
         for kind, ((u, _), name, dtype) in enumerate(zip(_vocabulary(texts, train, order), ("lp", "c"), ("<i4", "<i8"))):
             turn, edge = _dealt(u, kind, parts, order)
