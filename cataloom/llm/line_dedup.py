@@ -41,7 +41,7 @@ LONG, VERY_LONG = 96, 160
 #: Lines that may share a word and be compared in one task; words that more may share are dealt out as pairs of chunks.
 CHUNK = 4096
 #: Postings of a bucket, about; lines whose postings are packed together.
-BUCKET, PACKED_LINES = 1 << 18, 1 << 16
+BUCKET, PACKED_LINES = 1 << 18, 1 << 15
 #: Postings are shuffled in so many rounds, so that only one round's are on disk.
 ROUNDS = 2
 EPS = 1e-9
@@ -58,23 +58,22 @@ def _counted(df: DataFrame, hashes) -> np.ndarray:
     width = SKETCH // PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.uint32)
         for b in batches:
             for h in hashes(b):
                 at, many = np.unique(h & np.uint64(SKETCH - 1), return_counts=True)
-                total[at.astype(np.int64)] += many
-        at = np.flatnonzero(total)
-        edge = np.searchsorted(at, np.arange(PIECES + 1) * width)
-        own, many = (at % width).astype("<u4"), total[at]
-        pieces = [(i, own[a:z].tobytes(), many[a:z].tobytes()) for i, (a, z) in enumerate(zip(edge[:-1], edge[1:])) if z > a]
-        if pieces:
-            i, x, y = zip(*pieces)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["piece", "at", "many"])
+                total[at.astype(np.int64)] += many.astype(np.uint32)
+        for i in range(PIECES):
+            own = total[i * width : (i + 1) * width]
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([own[at].astype("<u4").tobytes()], pa.binary())], ["piece", "at", "many"])
+        pa.default_memory_pool().release_unused()
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
         for at, many in zip(t.column("at"), t.column("many")):
-            total[np.frombuffer(at.as_py(), "<u4")] += np.frombuffer(many.as_py(), np.int64)
+            total[np.frombuffer(at.as_py(), "<u4")] += np.frombuffer(many.as_py(), "<u4")
         return pa.table({"piece": t.column("piece")[:1], "level": pa.array([_level(total).tobytes()])})
 
     made = df.mapInArrow(run, "piece int, at binary, many binary")
@@ -325,6 +324,7 @@ def _candidates(sets: DataFrame) -> DataFrame:
                     held, n = [], 0
             if n:
                 yield _bundles(pa.Table.from_batches(held), level.value, buckets, turn)
+            pa.default_memory_pool().release_unused()
 
         met = posts.mapInArrow(send, f"bucket bigint, ids array<{field_type(sets, 'id')}>, blob binary, bits binary")
         made = staged(met.groupBy("bucket").applyInArrow(meet, "sid bigint, other bigint").distinct(), "met")
