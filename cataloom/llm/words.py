@@ -74,14 +74,14 @@ def hashed(texts: list[bytes], rows: range) -> Words:
     return Words(rows, h, row_of_line[line] + rows.start, line, first, data, starts, ends)
 
 
-def chunks(column: pa.Array) -> Iterator[Words]:
-    """The words of all texts of a batch, a few texts at a time; nulls have none. A text is never divided."""
+def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words]:
+    """The words of all texts of a batch, texts of about chunk_bytes at a time; nulls have none. A text is never divided."""
     held, at, size = [], 0, 0
     texts = column.cast(pa.binary())
     for i, t in enumerate(texts):
         held.append(t.as_py() or b"")
         size += len(held[-1])
-        if size >= CHUNK_BYTES:
+        if size >= chunk_bytes:
             yield hashed(held, range(at, i + 1))
             held, at, size = [], i + 1, 0
     if held:
