@@ -10,11 +10,16 @@ VIDEOS = "items array<struct<id:struct<videoId:string>,snippet:struct<title:stri
 TRACKS = "array<struct<baseUrl:string,languageCode:string,kind:string>>"
 
 
+def stripped(c: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def sitemap(df: DataFrame, xml: str, path_pattern: str) -> DataFrame:
     """(url, status, lastmod) of the sitemap's URLs that match; group 1 of the pattern is the status."""
     rows = df.select(F.inline(F.from_xml(F.col(xml), F.lit(SITEMAP)).getField("url")))
-    url = F.trim("loc")
-    return rows.select(url.alias("url"), F.regexp_extract(url, path_pattern, 1).alias("status"), F.trim("lastmod").alias("lastmod")).filter(F.col("url").rlike(path_pattern))
+    url = stripped(F.col("loc"))
+    return rows.select(url.alias("url"), F.regexp_extract(url, path_pattern, 1).alias("status"), stripped(F.col("lastmod")).alias("lastmod")).filter(F.col("url").rlike(path_pattern))
 
 
 def links(df: DataFrame, key: str, html: str, pattern: str) -> DataFrame:
@@ -22,20 +27,22 @@ def links(df: DataFrame, key: str, html: str, pattern: str) -> DataFrame:
     return df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1)))).alias("link"))
 
 
-def crawl(pages: DataFrame, start: str, most: int = 20) -> DataFrame:
-    """(page, depth) of the pages reached from start by following next; pages(page, next) stand in a table.
+def crawl(pages: DataFrame, starts: Column, most: int = 20) -> DataFrame:
+    """(start, page, depth) of the pages reached from each of starts by following next; pages(page, next) stand in a table.
 
-    A step is a join; it stops after most pages, at a page without a next one, or at one seen before.
+    One recursive query; a chain stops after most pages, at a page without a next one, or at one seen before. Spark ends a
+    recursion of over spark.sql.cteRecursionRowLimit rows (a million) with an error: raise it for more pages than that.
     """
-    found = pages.filter(F.col("page") == start).select("page", "next", F.lit(0).alias("depth"))
-    reached = found
-    for depth in range(1, most):
-        step = found.select(F.col("next").alias("page")).join(pages, "page").select("page", "next", F.lit(depth).alias("depth"))
-        found = step.join(reached.select("page"), "page", "left_anti")
-        if found.isEmpty():
-            break
-        reached = reached.unionByName(found)
-    return reached.select("page", "depth")
+    first = pages.filter(starts).select("page", "next")
+    steps = f"""
+        WITH RECURSIVE reached(start, page, next, depth, seen) AS (
+            SELECT page, page, next, 0, array(page) FROM {{first}}
+            UNION ALL
+            SELECT r.start, p.page, p.next, r.depth + 1, array_append(r.seen, p.page) FROM reached r JOIN {{pages}} p ON p.page = r.next
+            WHERE r.depth < {most - 1} AND NOT array_contains(r.seen, p.page)
+        )
+        SELECT start, page, depth FROM reached"""
+    return pages.sparkSession.sql(steps, first=first, pages=pages)
 
 
 def video_results(df: DataFrame, body: str) -> DataFrame:
@@ -56,7 +63,7 @@ def caption_track(html: Column) -> Column:
 
 def transcript(xml: Column) -> Column:
     nodes = F.xpath(xml, F.lit("//text/text()"))
-    return F.array_join(F.filter(F.transform(nodes, lambda t: F.trim(t)), lambda t: t != ""), " ")
+    return F.array_join(F.filter(F.transform(nodes, stripped), lambda t: t != ""), " ")
 
 
 def packed_rows(weights: Column, rg: Column, differential: Column, bias: Column) -> Column:
@@ -73,13 +80,19 @@ def packed_rows(weights: Column, rg: Column, differential: Column, bias: Column)
 
 def label_fields(text: Column, labels: list[str]) -> Column:
     """Map of label to value from lines that begin with one; the first label of a line and the last line count."""
-    lines = F.filter(F.split(text, r"\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(text, r"\n"), lambda x: stripped(x) != "")
 
     def pair(x: Column) -> Column:
-        hit = F.get(F.filter(F.array(*map(F.lit, labels)), lambda k: F.startswith(F.lower(F.trim(x)), F.lower(k))), F.lit(0))
-        return F.struct(hit.alias("key"), F.trim(F.substr(F.trim(x), F.length(hit) + 1)).alias("value"))
+        hit = F.get(F.filter(F.array(*map(F.lit, labels)), lambda k: F.startswith(F.lower(stripped(x)), F.lower(k))), F.lit(0))
+        return F.struct(hit.alias("key"), stripped(F.substr(stripped(x), F.length(hit) + 1)).alias("value"))
+
+    return _last_of_each(F.filter(F.transform(lines, pair), lambda p: p["key"].isNotNull()), "key", "value")
+
 
-    return F.map_from_entries(F.filter(F.transform(lines, pair), lambda p: p["key"].isNotNull()))
+def _last_of_each(entries: Column, key: str, value: str) -> Column:
+    """Map of the entries' keys to their values; the last of equal keys counts, whatever the session says of them."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e[key]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e[key] == k), -1)[value]))
 
 
 def ocr_grid(blocks: DataFrame) -> DataFrame:
@@ -99,7 +112,8 @@ def widest_image(srcset: Column) -> Column:
 
 def custom_fields(fields: Column) -> Column:
     """Map of lower-cased names to values; of equal names the last counts."""
-    return F.map_from_entries(F.transform(fields, lambda f: F.struct(F.lower(F.trim(f["name"])).alias("k"), f["value"].alias("v"))))
+    named = F.filter(fields, lambda f: f["name"].isNotNull())
+    return _last_of_each(F.transform(named, lambda f: F.struct(F.lower(F.trim(f["name"])).alias("k"), f["value"].alias("v"))), "k", "v")
 
 
 def collection_rows(pages: DataFrame, key: str, schema: str, items: str, limit: int, most: int = 20) -> DataFrame:

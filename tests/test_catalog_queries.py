@@ -1,5 +1,5 @@
 import pytest
-from cataloom.plans import more, queries as Q  # noqa: F401
+from cataloom.plans import more, queries as Q, sources  # noqa: F401
 
 from compare import both, connection
 

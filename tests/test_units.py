@@ -76,7 +76,15 @@ def test_ocr_grid(spark):
 
 def test_crawl_stops_at_seen_pages(spark):
     pages = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("z", None)], "page string, next string")
-    assert {(r.page, r.depth) for r in extract.crawl(pages, "a").collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert {tuple(r) for r in extract.crawl(pages, F.col("page").isin("a", "z")).collect()} == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("z", "z", 0)}
+    assert extract.crawl(pages, F.col("page") == "a", 2).count() == 2 and extract.crawl(pages, F.lit(False)).count() == 0
+
+
+def test_of_equal_field_names_the_last_counts(spark):
+    fields = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("value")) for k, v in ((" RG", "1"), ("Diff", "2"), ("rg ", "3"))])
+    assert one(spark, extract.custom_fields(fields)) == {"rg": "3", "diff": "2"}
+    assert one(spark, extract.custom_fields(F.filter(fields, lambda f: F.lit(False)))) == {}
+    assert one(spark, extract.label_fields(F.lit(None).cast("string"), ["a"])) is None
 
 
 def test_suffixes_that_distinguish_do_not_match(spark):
