@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, lm_score, packing, pii, quality, sharding, simhash, toxicity
+from . import alignment, conversations, decontaminate, html_extract, line_dedup, lm_score, packing, pii, quality, sharding, simhash, topk, toxicity
 from .common import table
+from .oracle import TOP_K, TRIE
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,14 +56,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_html_extraction, op2_lm_scoring, op3_pii, op4_simhash, op5_line_dedup,
         op6_packing, op7_decontamination, op8_quality, op9_toxicity, op10_sharding,
+        op11_alignment, op12_top_k, op13_conversation_trie,
     )
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: each operator's result depends on a model, a hash or an iteration that DuckDB's SQL doesn't have; see tests/llm."""
-    return {}
+    """The others depend on a model, a hash or an iteration that DuckDB's SQL doesn't have; tests/llm compare them with brute force."""
+    return {"op12_top_k": TOP_K, "op13_conversation_trie": TRIE}
