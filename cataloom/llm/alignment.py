@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -38,6 +40,10 @@ ROW_PAIRS = 1 << 15
 _CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points whose classes are alike in every Unicode version; texts of these alone take the faster of two equal encoders.
 _STABLE = re.compile("[^\x00-ɏЀ-џ‐-‧€]")
+#: Neither tokenizer joins bytes across the end of a word that a space and more text follow, so words are encoded one by one
+#: and those of up to WORD characters are remembered, CACHE at most.
+_WORDS = re.compile(r"(?<=\S)(?= .)", re.S)
+WORD, CACHE = 40, 1 << 18
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -51,14 +57,11 @@ class Vocabulary:
     """The bytes of every id, for lengths and for spelling ids out."""
 
     def __init__(self, spelled: list[bytes]):
+        self.spelled = spelled
         self.size = np.array([len(b) for b in spelled], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(spelled), np.uint8)
 
-    def spell(self, ids: np.ndarray) -> np.ndarray:
-        size = self.size[ids]
-        at = np.cumsum(size) - size
-        return self.data[np.repeat(self.start[ids] - at, size) + np.arange(int(size.sum()))]
+    def spell(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.spelled.__getitem__, ids))
 
 
 class Tokenizers:
@@ -82,13 +85,26 @@ class Tokenizers:
         names = [self.pieces.id_to_piece(i) for i in range(n)]
         self.b = Vocabulary([bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
 
-    def encode_a(self, text: str) -> np.ndarray:
-        if _STABLE.search(text):
-            return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.int64)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        if any("▁" in p.lstrip("▁") for p in names):
+            raise ValueError("a piece holds a space after other characters, so words can't be encoded one by one")
+        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
 
-    def encode_b(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self.pieces.encode(texts, num_threads=1)]
+    def encode_a(self, text: str) -> list[int]:
+        if _STABLE.search(text):
+            return self.plain.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+    def words(self, texts: list[list[str]]) -> dict[str, tuple[bytes, bytes, bool]]:
+        """For each word of the texts that isn't known, space included: its A ids and B ids (32 bits each) and whether both
+        spell it exactly. The first CACHE words become known for later texts."""
+        new = list({w for words in texts for w in words if w not in self.known})
+        made = {}
+        for w, b in zip(new, self.pieces.encode([w[1:] for w in new], num_threads=1)):
+            a = self.encode_a(w)
+            spelled = w.encode()
+            made[w] = (array("i", a).tobytes(), array("i", b).tobytes(), self.a.spell(a) == spelled == self.b.spell(b))
+        self.known.update(itertools.islice(((w, x) for w, x in made.items() if len(w) <= WORD), CACHE - len(self.known)))
+        return made
 
 
 @functools.cache
@@ -96,23 +112,24 @@ def load(folder: str) -> Tokenizers:
     return Tokenizers(folder)
 
 
-def _intervals(ids: list[np.ndarray], v: Vocabulary) -> pa.Table:
-    flat = np.concatenate(ids)
+def _intervals(ids: list[bytes], v: Vocabulary) -> pa.Table:
+    flat = np.frombuffer(b"".join(ids), np.int32)
     end = np.cumsum(v.size[flat])
-    return pa.table({"r": np.repeat(np.arange(len(ids)), [len(x) for x in ids]), "id": flat, "s": end - v.size[flat], "e": end})
+    return pa.table({"r": np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids]), "id": flat, "s": end - v.size[flat], "e": end})
 
 
 def encoded(texts: list[str], t: Tokenizers) -> tuple[list[int], pa.Table | None, pa.Table | None]:
     """(places of the texts that both tokenizers spell exactly, their A intervals, their B intervals)."""
-    a, b = [t.encode_a(" " + x) for x in texts], t.encode_b(texts)
-    good = []
-    for i, x in enumerate(texts):
-        want = (" " + x).encode()
-        if all(int(v.size[ids].sum()) == len(want) and v.spell(ids).tobytes() == want for ids, v in ((a[i], t.a), (b[i], t.b))):
+    words = [_WORDS.split(" " + x) for x in texts]
+    before, new = t.known, t.words(words)
+    good, a, b = [], [], []
+    for i, own in enumerate(words):
+        found = [before.get(w) or new[w] for w in own]
+        if all([f[2] for f in found]):
             good.append(i)
-    if not good:
-        return [], None, None
-    return good, _intervals([a[i] for i in good], t.a), _intervals([b[i] for i in good], t.b)
+            a.append(b"".join([f[0] for f in found]))
+            b.append(b"".join([f[1] for f in found]))
+    return (good, _intervals(a, t.a), _intervals(b, t.b)) if good else ([], None, None)
 
 
 _JOINS = (
@@ -120,7 +137,7 @@ _JOINS = (
     "CREATE OR REPLACE TEMP TABLE b AS SELECT * FROM arrow_b",
     # the B token around each A start; a start of both begins a group
     """CREATE OR REPLACE TEMP TABLE of_a AS
-       SELECT a.r, a.s, a.id AS a, b.id AS b, a.s = b.s AS begins, sum((a.s = b.s)::INT) OVER (ORDER BY a.s ROWS UNBOUNDED PRECEDING) AS g
+       SELECT a.r, a.s, a.id AS a, b.id AS b, a.s = b.s AS begins, sum((a.s = b.s)::INT) OVER (ORDER BY a.s ROWS UNBOUNDED PRECEDING)::BIGINT AS g
        FROM a ASOF JOIN b ON a.s >= b.s""",
     # the A token around each B start that is no A start
     """CREATE OR REPLACE TEMP TABLE of_b AS
@@ -129,24 +146,39 @@ _JOINS = (
        SELECT r, (a::BIGINT << 32) | b AS pair, count(*) AS n
        FROM (SELECT r, a, b FROM of_a UNION ALL SELECT r, a, b FROM of_b) GROUP BY ALL""",
     "INSERT INTO counts SELECT pair, sum(n)::BIGINT FROM pairs GROUP BY pair",
-    """CREATE OR REPLACE TEMP TABLE group_a AS
-       SELECT r, g, string_agg(a::VARCHAR, ',' ORDER BY s) AS x FROM of_a GROUP BY r, g""",
-    """CREATE OR REPLACE TEMP TABLE group_b AS
-       SELECT g, string_agg(id::VARCHAR, ',' ORDER BY s) AS x
-       FROM (SELECT b.s, b.id, f.g FROM b ASOF JOIN (SELECT s, g FROM of_a WHERE begins) f ON b.s >= f.s) GROUP BY g""",
 )
-_GROUPS = "SELECT r, string_agg(group_a.x || '|' || group_b.x, ';' ORDER BY g) AS spelled, count(*) AS n FROM group_a JOIN group_b USING (g) GROUP BY r ORDER BY r"
+# tokens in order of group, tokenizer and place; mark: what separates a token from the one before it
+_ORDERED = """
+SELECT r, id, mark FROM (
+  SELECT r, a AS id, CASE WHEN begins THEN 0 ELSE 2 END AS mark, (g * 2) << 31 | s AS k FROM of_a
+  UNION ALL
+  SELECT b.r, b.id, CASE WHEN b.s = f.s THEN 1 ELSE 2 END, (f.g * 2 + 1) << 31 | b.s
+  FROM b ASOF JOIN (SELECT s, g FROM of_a WHERE begins) f ON b.s >= f.s
+) ORDER BY k"""
+_MARKS = (";", "|", ",")
 _LINKS = "SELECT r, list({'pair': pair, 'n': n}) AS links, sum(n)::BIGINT AS n FROM pairs GROUP BY r ORDER BY r"
 _LINK = pa.struct([("pair", pa.int64()), ("n", pa.int64())])
 
 
-def joined(con: duckdb.DuckDBPyConnection, a: pa.Table, b: pa.Table) -> tuple[pa.Table, pa.Table]:
-    """(spelled groups and their number, links by pair and their number) of each text; pair counts go to the table counts."""
+@functools.cache
+def _marked(width: int) -> list[str]:
+    return [m + str(i) for m in _MARKS for i in range(width)]
+
+
+def joined(con: duckdb.DuckDBPyConnection, a: pa.Table, b: pa.Table) -> tuple[list[str], np.ndarray, pa.Table]:
+    """(groups of each text as written, their numbers, links by pair and their number); pair counts go to the table counts."""
     con.register("arrow_a", a)
     con.register("arrow_b", b)
     for sql in _JOINS:
         con.execute(sql)
-    return con.sql(_GROUPS).to_arrow_table(), con.sql(_LINKS).to_arrow_table()
+    ordered = con.sql(_ORDERED).to_arrow_table()
+    r, ids, mark = (ordered.column(k).to_numpy() for k in ("r", "id", "mark"))
+    start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    width = 1 << int(ids.max()).bit_length()
+    names = _marked(width)
+    words = list(map(names.__getitem__, (mark * width + ids).tolist()))
+    groups = ["".join(words[i:j])[1:] for i, j in zip(start.tolist(), [*start[1:].tolist(), len(words)])]
+    return groups, np.add.reduceat((mark == 0).astype(np.int64), start), con.sql(_LINKS).to_arrow_table()
 
 
 def _connection() -> duckdb.DuckDBPyConnection:
@@ -186,12 +218,12 @@ def aligned_texts(df: DataFrame, id_col: str, text_col: str, folder: str) -> Dat
             good, a, b = encoded([texts[i] for i in some], t) if some else ([], None, None)
             if good:
                 at = np.array(some)[good]
-                groups, linked = joined(con, a, b)
+                groups, n_groups, linked = joined(con, a, b)
                 sizes[0, at] = np.bincount(a.column("r").to_numpy(), minlength=len(at))
                 sizes[1, at] = np.bincount(b.column("r").to_numpy(), minlength=len(at))
-                sizes[2, at], sizes[3, at] = groups.column("n").to_numpy(), linked.column("n").to_numpy()
-                for i, s in zip(at, groups.column("spelled")):
-                    sha[i] = hashlib.sha256(s.as_py().encode()).hexdigest()
+                sizes[2, at], sizes[3, at] = n_groups, linked.column("n").to_numpy()
+                for i, s in zip(at, groups):
+                    sha[i] = hashlib.sha256(s.encode()).hexdigest()
                 lists = linked.column("links").combine_chunks()
                 offset = np.zeros(m + 1, np.int32)
                 offset[at + 1] = np.diff(lists.offsets.to_numpy())
