@@ -33,7 +33,7 @@ from .common import field_type, sent, staged, tidy
 
 TOKENIZERS = "/opt/tokenizers"
 #: Bytes of texts whose intervals are joined at a time; a text is never divided.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Pair counts of a row of partial counts.
 ROW_PAIRS = 1 << 15
 # Fixed value: how a byte-level BPE of this family cuts a text before merging.
@@ -43,7 +43,7 @@ _STABLE = re.compile("[^\x00-ɏЀ-џ‐-‧€]")
 #: Neither tokenizer joins bytes across the end of a word that a space and more text follow, so words are encoded one by one
 #: and those of up to WORD characters are remembered, CACHE at most.
 _WORDS = re.compile(r"(?<=\S)(?= .)", re.S)
-WORD, CACHE = 40, 1 << 18
+WORD, CACHE = 40, 1 << 17
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -58,7 +58,7 @@ class Vocabulary:
 
     def __init__(self, spelled: list[bytes]):
         self.spelled = spelled
-        self.size = np.array([len(b) for b in spelled], np.int64)
+        self.size = np.array([len(b) for b in spelled], np.int32)
 
     def spell(self, ids: list[int]) -> bytes:
         return b"".join(map(self.spelled.__getitem__, ids))
@@ -68,16 +68,14 @@ class Tokenizers:
     """Both tokenizers; a folder holds byte_bpe_50k.json and piece_bpe_32k.model."""
 
     def __init__(self, folder: str):
-        path = f"{folder}/byte_bpe_50k.json"
-        with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+        self.path = f"{folder}/byte_bpe_50k.json"
+        with open(self.path, encoding="utf-8") as f:
+            document = json.load(f)
+        vocab, special = document["model"]["vocab"], {t["id"] for t in document["added_tokens"]}
         alphabet = _byte_alphabet()
         spelled = [b""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
             spelled[i] = bytes(alphabet[c] for c in piece) if all(c in alphabet for c in piece) else piece.encode()
-        self.plain = tokenizers.Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        special = {self.plain.token_to_id(t.content) for t in self.plain.get_added_tokens_decoder().values()}
         self.fast = tiktoken.Encoding("a", pat_str=_CUTS, mergeable_ranks={b: i for i, b in enumerate(spelled) if i not in special}, special_tokens={})
         self.a = Vocabulary(spelled)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
@@ -89,6 +87,12 @@ class Tokenizers:
             raise ValueError("a piece holds a space after other characters, so words can't be encoded one by one")
         self.known: dict[str, tuple[bytes, bytes, bool]] = {}
 
+    @functools.cached_property
+    def plain(self) -> tokenizers.Tokenizer:
+        plain = tokenizers.Tokenizer.from_file(self.path)
+        plain.encode_special_tokens = True
+        return plain
+
     def encode_a(self, text: str) -> list[int]:
         if _STABLE.search(text):
             return self.plain.encode(text, add_special_tokens=False).ids
@@ -114,8 +118,8 @@ def load(folder: str) -> Tokenizers:
 
 def _intervals(ids: list[bytes], v: Vocabulary) -> pa.Table:
     flat = np.frombuffer(b"".join(ids), np.int32)
-    end = np.cumsum(v.size[flat])
-    return pa.table({"r": np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids]), "id": flat, "s": end - v.size[flat], "e": end})
+    end = np.cumsum(v.size[flat], dtype=np.int32)
+    return pa.table({"r": np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) // 4 for x in ids]), "id": flat, "s": end - v.size[flat], "e": end})
 
 
 def encoded(texts: list[str], t: Tokenizers) -> tuple[list[int], pa.Table | None, pa.Table | None]:
@@ -150,9 +154,9 @@ _JOINS = (
 # tokens in order of group, tokenizer and place; mark: what separates a token from the one before it
 _ORDERED = """
 SELECT r, id, mark FROM (
-  SELECT r, a AS id, CASE WHEN begins THEN 0 ELSE 2 END AS mark, (g * 2) << 31 | s AS k FROM of_a
+  SELECT r, a AS id, CASE WHEN begins THEN 0 ELSE 2 END AS mark, (g * 2) << 31 | s::BIGINT AS k FROM of_a
   UNION ALL
-  SELECT b.r, b.id, CASE WHEN b.s = f.s THEN 1 ELSE 2 END, (f.g * 2 + 1) << 31 | b.s
+  SELECT b.r, b.id, CASE WHEN b.s = f.s THEN 1 ELSE 2 END, (f.g * 2 + 1) << 31 | b.s::BIGINT
   FROM b ASOF JOIN (SELECT s, g FROM of_a WHERE begins) f ON b.s >= f.s
 ) ORDER BY k"""
 _MARKS = (";", "|", ",")
@@ -232,6 +236,7 @@ def aligned_texts(df: DataFrame, id_col: str, text_col: str, folder: str) -> Dat
                 links = pa.array(links, pa.list_(_LINK))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + m)), ids, *(pa.array(x) for x in sizes), pa.array(sha), links], ["uid", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
             uid += m
+            pa.default_memory_pool().release_unused()
         merged = con.sql("SELECT {'pair': pair, 'n': sum(n)::BIGINT} AS link FROM counts GROUP BY pair").to_arrow_table().column("link").combine_chunks()
         con.close()
         for i in range(0, len(merged), ROW_PAIRS):
