@@ -112,3 +112,33 @@ def attempted(messages: DataFrame, most: int = 3) -> DataFrame:
     """messages(attempts, succeeded, ..) after one more attempt, with outcome: done, retry, or dead after most attempts."""
     tried = messages.withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1)
     return tried.withColumn("outcome", F.when(F.col("succeeded"), "done").when(F.col("attempts") >= most, "dead").otherwise("retry"))
+
+
+def absolute(url: Column) -> Column:
+    """Whether a URL names its scheme."""
+    return F.coalesce(url, F.lit("")).rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
+
+
+def merge_duplicates(rows: DataFrame, keys: list[str], preferred: Column, created: str, id_col: str, url: str, histories: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """(rows with one of each key, histories on the survivors, counts).
+
+    The survivor is a preferred row if there is one, then the oldest, then the smallest id. Its URL is kept if that is
+    absolute; else it takes that of the next row of its key that has one. Ids are unique; a null key is a key. histories: table
+    and its column of row ids; rows of unknown ids stay as they are. counts:
+    groups_merged, rows_deleted, and history_rows before and after, which must be equal.
+    """
+    order = F.struct((~F.coalesce(preferred, F.lit(False))).alias("a"), F.col(created).alias("b"), F.col(id_col).alias("c"))
+    first_absolute = F.min_by(F.when(absolute(F.col(url)), F.col(url)), F.when(absolute(F.col(url)), order))
+    own = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), order).alias("x"), first_absolute.alias("whole"), F.count("*").alias("n"))
+    better = F.when(absolute(F.col(f"x.{url}")), F.col(f"x.{url}")).otherwise(F.coalesce("whole", f"x.{url}"))
+    kept = own.select(*(better.alias(c) if c == url else F.col(f"x.{c}").alias(c) for c in rows.columns))
+    survivor = own.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(f"x.{id_col}").alias("survivor"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    moved = rows.select(id_col, *keys).join(survivor, same).filter(F.col(id_col) != F.col("survivor")).select(id_col, "survivor")
+    after = {name: repoint(h, moved.withColumnRenamed(id_col, column), column) for name, (h, column) in histories.items()}
+    counts = own.agg(F.count_if(F.col("n") > 1).alias("groups_merged"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("rows_deleted"))
+    for name, (h, column) in histories.items():
+        there = after[name].join(kept.select(F.col(id_col).alias(column)), column, "left_semi")
+        before = h.join(rows.select(F.col(id_col).alias(column)).distinct(), column, "left_semi")
+        counts = counts.join(F.broadcast(before.agg(F.count("*").alias(f"{name}_before"))), how="cross").join(F.broadcast(there.agg(F.count("*").alias(f"{name}_after"))), how="cross")  # rows of one
+    return kept, after, counts

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,3 +87,54 @@ def accuracy(df: DataFrame, estimated: str, real: str) -> DataFrame:
     """One row: mean absolute error, exact and within-two counts of an estimate."""
     off = F.abs(F.col(estimated) - F.col(real))
     return df.agg(F.avg(off.cast("double")).alias("mae"), F.count_if(off == 0).alias("exact"), F.count_if(off <= 2).alias("within_two"), F.count("*").alias("n"))
+
+
+def solved(gram: np.ndarray, moment: np.ndarray, tiny: float = 1e-10) -> np.ndarray:
+    """x with gram x = moment by elimination, the largest remaining diagonal first; terms that others determine get 0."""
+    a, b = gram.astype(float).copy(), moment.astype(float).copy()
+    scale = np.where(np.diag(a) > 0, np.diag(a), 1.0)
+    left, used = set(range(len(b))), []
+    while left:
+        i = max(left, key=lambda j: (a[j, j] / scale[j], -j))
+        if a[i, i] / scale[i] <= tiny:
+            break
+        left.remove(i)
+        used.append(i)
+        for j in left:
+            f = a[j, i] / a[i, i]
+            a[j] -= f * a[i]
+            b[j] -= f * b[i]
+    x = np.zeros(len(b))
+    for i in reversed(used):
+        x[i] = (b[i] - a[i] @ x) / a[i, i]
+    return x
+
+
+def refit(df: DataFrame, target: str, numbers: list[str], kinds: dict[str, list[str]] | None = None) -> DataFrame:
+    """(term, coefficient) of the least squares of a target on numbers and on indicators of the values of kinds.
+
+    The Gram matrix is one aggregate, a row at the driver. Rows with an unknown target or number are left out; an unknown
+    kind is no value. Terms that the others determine, or that never vary, get 0. No rows give 0 throughout.
+    """
+    terms = {"intercept": F.lit(1.0)} | {n: F.col(n).cast("double") for n in numbers}
+    terms |= {f"{k}={v}": F.coalesce((F.col(k) == v).cast("double"), F.lit(0.0)) for k, values in (kinds or {}).items() for v in values}
+    names = list(terms)
+    known = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in numbers], F.col(target).isNotNull())
+    x = df.filter(known).select(F.col(target).cast("double").alias("y"), *(c.alias(f"x{i}") for i, c in enumerate(terms.values())))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    row = x.agg(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs), *(F.sum(F.col(f"x{i}") * F.col("y")) for i in range(len(names)))).first()
+    values = np.array([v or 0.0 for v in row])
+    gram = np.zeros((len(names), len(names)))
+    for (i, j), v in zip(pairs, values):
+        gram[i, j] = gram[j, i] = v
+    found = solved(gram, values[len(pairs) :])
+    return df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, found)], "term string, coefficient double")
+
+
+def predicted(df: DataFrame, coefficients: DataFrame, name: str) -> DataFrame:
+    """df with the prediction of refit's terms; null where a number is unknown."""
+    total = F.lit(0.0)
+    for term, value in coefficients.collect():  # a row for each term
+        kind, _, level = term.partition("=")
+        total = total + F.lit(value) * (F.lit(1.0) if term == "intercept" else F.coalesce((F.col(kind) == level).cast("double"), F.lit(0.0)) if level else F.col(term).cast("double"))
+    return df.withColumn(name, total)

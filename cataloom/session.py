@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +28,16 @@ def get_session(master: str | None = None, app: str = "cataloom", shuffle_partit
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share: below spark.checkpoint.dir; where that is unset in local mode, below one of our own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or _own_folder()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
