@@ -10,7 +10,7 @@ filter exact, so counters shared by several words cost only time. A second such
 word: a word with one posting can't meet another line, and words of very many are dealt out in chunks. Lines also carry 96
 parity bits of their words: the bits in which two lines differ never outnumber the words they don't share (bitmap filter).
 Lines of more than LONG words carry 128 bits more, those of more than VERY_LONG words 512.
-Lines with equal sets of words, told by a 64-bit sum of word hashes, need no comparison. A posting names the prefix word
+Lines with equal sets of words need no comparison: 64-bit hashes of their words agree in sum, in sum of squares and in number. A posting names the prefix word
 before it: two lines that share that one too have met there already. A word shared by thousands of like lines makes no
 square of pairs: each line is first verified against its earliest candidate for each word; only lines that none of these
 matches meet all their other candidates, in a join.
@@ -55,6 +55,16 @@ def _level(count: np.ndarray) -> np.ndarray:
     return np.where(c <= 16, count, np.minimum(255, 16 + 8 * np.log2(c / 16))).astype(np.uint8)
 
 
+def _most(level: np.ndarray) -> np.ndarray:
+    """What a count of a level over 16 doesn't exceed."""
+    return 16 * 2.0 ** ((level - 15) / 8)
+
+
+def _copies(level: np.ndarray) -> np.ndarray:
+    """Chunks of the lines that share a word of a level; each line is sent once for each chunk."""
+    return np.where(level <= 16, 1, np.ceil(_most(level) / CHUNK)).astype(np.int64)
+
+
 def _counted(df: DataFrame, hashes) -> np.ndarray:
     """Levels of the counts of 64-bit hashes by hash mod SKETCH; hashes(batch) makes arrays of them."""
     width = SKETCH // PIECES
@@ -95,7 +105,7 @@ def postings(sets: DataFrame) -> np.ndarray:
 
 
 def line_sets(w: Words, level: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
-    """The lines of enough words of a chunk: row, line, n, sid (hash of the set), sig (parity bits), and their prefix words."""
+    """The lines of enough words of a chunk: row, line, n, sid and alt (sums of the words' hashes and of their squares), sig (parity bits), and their prefix words."""
     per_line = np.bincount(w.line, minlength=int(w.first_line[-1]) + 1 if len(w.first_line) else 1)
     long = per_line[w.line] >= min_words if len(w.line) else np.zeros(0, bool)
     h, line, row = w.hash[long], w.line[long], w.row[long]
@@ -104,36 +114,38 @@ def line_sets(w: Words, level: np.ndarray, min_words: int) -> dict[str, np.ndarr
     first = np.r_[True, line[1:] != line[:-1]]
     which = np.cumsum(first) - 1
     lines, rows = line[first], row[first]
+    known, code = np.unique(h, return_inverse=True)
+    rank = level[(known & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | np.arange(len(known), dtype=np.uint64)
     parts = []
     for a in range(0, len(lines), 65536):  # line, rarity and word share one sort key
         own = (which >= a) & (which < a + 65536)
-        k = (which[own] - a).astype(np.uint64) << np.uint64(48) | level[(h[own] & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | h[own] >> np.uint64(24)
+        k = (which[own] - a).astype(np.uint64) << np.uint64(48) | rank[code[own]]
         k.sort()
         parts.append((a, k[np.r_[True, k[1:] != k[:-1]]]))
     which = np.concatenate([(k >> np.uint64(48)).astype(np.int64) + a for a, k in parts])
     key = np.concatenate([k for _, k in parts])
-    word = (key & np.uint64((1 << 40) - 1)).astype(np.int64)
+    h = known[(key & np.uint64((1 << 40) - 1)).astype(np.int64)]
+    word = (h >> np.uint64(24)).astype(np.int64)
     n = np.bincount(which, minlength=len(lines))
     start = np.cumsum(n) - n
-    mixed = mix(word.view(np.uint64))
     with np.errstate(over="ignore"):
-        sid = np.add.reduceat(mixed, start)
-    place = (mixed >> np.uint64(40)) % np.uint64(96)
+        sid, alt = np.add.reduceat(h, start), np.add.reduceat(h * h, start)
+    place = (h >> np.uint64(40)) % np.uint64(96)
     low, bit = place < 64, np.uint64(1) << (place & np.uint64(63))
     sig, sig2 = (np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), start) for own in (low, ~low))
-    width, more = long_bits(mixed, which, n)
+    width, more = long_bits(h, which, n)
     size = n - np.ceil(THRESHOLD * n - EPS).astype(np.int64) + 1
     use = np.arange(len(word)) - start[which] < size[which]
-    return {"row": rows, "line": lines - w.first_line[rows - w.rows.start], "n": n, "sid": sid, "sig": sig, "sig2": sig2, "width": width, "more": more, "size": size, "word": word[use]}
+    return {"row": rows, "line": lines - w.first_line[rows - w.rows.start], "n": n, "sid": sid, "alt": alt, "sig": sig, "sig2": sig2, "width": width, "more": more, "size": size, "word": word[use]}
 
 
-def long_bits(mixed: np.ndarray, which: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def long_bits(h: np.ndarray, which: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of each line, all bytes): 512 parity bits of very long lines, folded to 128 for long ones, none for others."""
     width = np.where(n > VERY_LONG, 64, np.where(n > LONG, 16, 0))
     own = n > LONG
     if not own.any():
         return width, np.zeros(0, np.uint8)
-    m = mixed[own[which]]
+    m = h[own[which]]
     place, start = (m >> np.uint64(16)) & np.uint64(511), np.cumsum(n[own]) - n[own]
     bit = np.uint64(1) << (place & np.uint64(63))
     full = np.stack([np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), start) for k in range(8)], axis=1)
@@ -163,8 +175,8 @@ def long_parities(data: np.ndarray, offset: np.ndarray, width: np.ndarray) -> di
 
 
 def _line_rows(src: DataFrame, level, min_words: int) -> DataFrame:
-    """A row for each line of enough words: sid, id, h, line, n, sig and prefix (its words, from the rarest)."""
-    schema = f"sid bigint, id {field_type(src, 'id')}, h bigint, line int, n int, sig bigint, sig2 int, more binary, prefix array<bigint>"
+    """A row for each line of enough words: sid, alt, id, h, line, n, sig and prefix (40 bits of its words' hashes, from the rarest)."""
+    schema = f"sid bigint, alt bigint, id {field_type(src, 'id')}, h bigint, line int, n int, sig bigint, sig2 int, more binary, prefix array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,8 +186,8 @@ def _line_rows(src: DataFrame, level, min_words: int) -> DataFrame:
                     at = pa.array(x["row"])
                     prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(x["size"])].astype(np.int32)), pa.array(x["word"]))
                     more = pa.Array.from_buffers(pa.binary(), len(x["n"]), [None, pa.py_buffer(np.r_[0, np.cumsum(x["width"])].astype(np.int32)), pa.py_buffer(x["more"])])
-                    cols = [pa.array(x["sid"].view(np.int64)), b.column(0).take(at), b.column(1).take(at), *(pa.array(x[k].astype(np.int32)) for k in ("line", "n")), pa.array(x["sig"].view(np.int64)), pa.array(x["sig2"].astype(np.uint32).view(np.int32)), more, prefix]
-                    yield pa.RecordBatch.from_arrays(cols, ["sid", "id", "h", "line", "n", "sig", "sig2", "more", "prefix"])
+                    cols = [pa.array(x["sid"].view(np.int64)), pa.array(x["alt"].view(np.int64)), b.column(0).take(at), b.column(1).take(at), *(pa.array(x[k].astype(np.int32)) for k in ("line", "n")), pa.array(x["sig"].view(np.int64)), pa.array(x["sig2"].astype(np.uint32).view(np.int32)), more, prefix]
+                    yield pa.RecordBatch.from_arrays(cols, ["sid", "alt", "id", "h", "line", "n", "sig", "sig2", "more", "prefix"])
 
     return src.mapInArrow(run, schema)
 
@@ -245,8 +257,7 @@ def _bundles(t: pa.Table, level: np.ndarray, buckets: int, turn: int) -> pa.Reco
     lev = level[(word & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
     use = np.flatnonzero(lev > 1)
     who, place, prev, word, lev = who[use], place[use], prev[use], word[use], lev[use]
-    # a level bounds how many lines share a word
-    m = np.where(lev <= 16, 1, np.ceil(16 * 2.0 ** ((lev - 15) / 8) / CHUNK)).astype(np.int64)
+    m = _copies(lev)
     sid = t.column("sid").to_numpy().view(np.uint64)
     c = (mix(sid)[who] % m.astype(np.uint64)).astype(np.int64)
     x = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
@@ -302,9 +313,10 @@ def _candidates(sets: DataFrame) -> DataFrame:
     """(sid, other): for each line and prefix word the earliest candidate."""
     spark = sets.sparkSession
     own = sets.filter(F.col("n") > ONLY_EQUAL)
-    level = spark.sparkContext.broadcast(postings(own))
-    total = own.agg(F.coalesce(F.sum(F.col("n") - F.ceil(THRESHOLD * F.col("n") - EPS) + 1), F.lit(0))).first()[0]
-    buckets = max(16, -(-int(total) // BUCKET))
+    levels = postings(own)
+    many = np.where(levels <= 16, levels, _most(levels.astype(np.int64)))
+    buckets = max(16, -(-int((many * _copies(levels.astype(np.int64)))[levels > 1].sum()) // BUCKET))
+    level = spark.sparkContext.broadcast(levels)
     posts = own.select("id", "line", "sid", "n", "sig", "sig2", "more", "prefix")
 
     def meet(t: pa.Table) -> pa.Table:
@@ -391,7 +403,13 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     level.destroy()
     where = F.struct(F.col("id").isNotNull().alias("some"), "id", "line", "h")
     payload = F.first(F.struct("n", "sig", "sig2", "more", "prefix")).alias("p")
-    sets = staged(lines.groupBy("sid").agg(F.min(where).alias("first"), payload).select("sid", "first.*", "p.*"), "sets")
+    unlike = ((F.min("alt") != F.max("alt")) | (F.min("n") != F.max("n"))).alias("unlike")
+    grouped = lambda x: staged(x.groupBy("sid").agg(F.min(where).alias("first"), payload, unlike).select("sid", "first.*", "p.*", "unlike"), "sets")
+    sets = grouped(lines)
+    mixed = sets.filter("unlike").select("sid", "unlike")
+    if not mixed.isEmpty():  # sets of one sum that are not the same set
+        lines = staged(lines.join(sent(staged(mixed, "mixed")), "sid", "left").withColumn("sid", F.when(F.col("unlike"), F.xxhash64("sid", "alt", "n")).otherwise(F.col("sid"))).drop("unlike"), "lines")
+        sets = grouped(lines)
     wide, lines = lines, staged(lines.select("sid", "id", "h", "line"), "narrow")
     discard(wide)
     pairs = staged(_candidates(sets), "pairs")

@@ -315,6 +315,21 @@ def test_line_dedup_of_long_lines(spark):
     assert 10 < sum(n > 1 for n in want.values()) < len(rows) - 10
 
 
+def test_line_dedup_keeps_lines_whose_words_share_40_bits_of_hash(spark):
+    # of the words u0 to u4999999 some pairs agree in the hash bits that order words
+    rows = [(1, "user u929578 joined"), (2, "user u2808685 joined"), (3, "user u929578 joined u2808685"), (4, "joined user u929578")]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
+def test_line_sets_of_one_sum_are_told_apart(spark, monkeypatch):
+    whole = line_dedup._line_rows
+    monkeypatch.setattr(line_dedup, "_line_rows", lambda *a: whole(*a).withColumn("sid", F.pmod("sid", F.lit(7))))
+    rows = [(i, f"w{i} x{i} y{i}") for i in range(40)] + [(100 + i, f"y{i} w{i} x{i}") for i in range(20)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i >= 100) for i, _ in rows}
+
+
 def test_line_dedup_of_many_variants(spark):
     rng = random.Random(8)
     base = [f"k{j}" for j in range(20)]
