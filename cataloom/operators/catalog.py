@@ -11,6 +11,7 @@ SORTS = {
     "oldest": lambda: [F.asc_nulls_last("released")],
     "name_asc": lambda: [F.asc("name")],
     "name_desc": lambda: [F.desc("name")],
+    "total_adu": lambda: [F.desc("total_adu")],
 }
 
 
@@ -79,3 +80,35 @@ def numbered_list(df: DataFrame, key: str, order: list[str], text: str) -> DataF
     rows = F.array_sort(F.collect_list(F.struct(*order, text)))
     lines = F.transform(rows, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x[text]))
     return df.groupBy(key).agg(F.array_join(lines, "\n").alias("listing"))
+
+
+def best_image(products: DataFrame, images: DataFrame) -> DataFrame:
+    """products with image: the URL of the first visible image, thumbnails first, then by display order and id; else primary_image_url."""
+    order = F.struct((~F.coalesce("is_thumbnail", F.lit(False))).alias("a"), F.coalesce("display_order", F.lit(2**31 - 1)).alias("b"), F.col("id").alias("c"))
+    first = images.filter("is_visible").groupBy("product").agg(F.min_by(F.struct("stored_url"), order).alias("__first"))
+    return products.join(first, "product", "left").withColumn("image", F.coalesce("__first.stored_url", "primary_image_url")).drop("__first")
+
+
+def kpis(products: DataFrame, skus: DataFrame, videos: DataFrame, sources: DataFrame, total_adu: DataFrame) -> DataFrame:
+    """One row of nine indicators of a catalog; each table is read once.
+
+    products(product, status, core_id, cover_id), skus(product), videos(product, status, summary), sources(product, status,
+    is_active), total_adu(product, total_adu).
+    """
+    having = skus.select("product").distinct().withColumn("__skus", F.lit(True))
+    own = products.join(having, "product", "left").join(total_adu.select("product", "total_adu"), "product", "left").agg(
+        F.count("*").alias("total_products"), F.count_if(F.col("status") == "current").alias("current_products"), F.count_if(F.col("status") == "retired").alias("retired_products"),
+        F.count_if(F.col("core_id").isNull()).alias("missing_core"), F.count_if(F.col("cover_id").isNull()).alias("missing_coverstock"), F.count_if(F.col("__skus").isNull()).alias("missing_skus"),
+        F.coalesce(F.sum("total_adu"), F.lit(0.0)).alias("total_catalog_adu"),
+    )
+    seen = videos.agg(F.count_distinct(F.when((F.col("status") == "approved") & F.col("summary").isNotNull(), F.col("product"))).alias("products_with_video"))
+    priced = sources.agg(F.count_distinct(F.when((F.col("status") == "approved") & F.col("is_active"), F.col("product"))).alias("products_with_price_tracking"))
+    for row in (seen, priced):
+        own = own.join(F.broadcast(row), how="cross")  # rows of one
+    return own
+
+
+def run_counts(outcomes: DataFrame, run: str, succeeded: Column) -> DataFrame:
+    """(run, checked, succeeded, failed); an unknown outcome failed."""
+    good = F.coalesce(succeeded, F.lit(False))
+    return outcomes.groupBy(F.col(run).alias("run")).agg(F.count("*").alias("checked"), F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 DAY = 86400.0
 
 
-def seconds(c: str):
+def seconds(c: str | Column):
     return F.unix_micros(c) / F.lit(1e6)
 
 
@@ -48,10 +48,20 @@ def brand_adu(stock: DataFrame, skus: DataFrame, products: DataFrame, as_of: dat
 
 
 def adu_change(stock: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
-    """(sku, current, previous, change) of SKUs with an ADU in both windows."""
-    now = adu(stock, as_of, days).withColumnRenamed("adu", "current")
-    then = adu(stock, as_of, 2 * days, days).withColumnRenamed("adu", "previous")
-    return now.join(then, "sku").select("sku", "current", "previous", (F.col("current") - F.col("previous")).alias("change"))
+    """(sku, current, previous, change) of SKUs with an ADU in both windows; one scan, one shuffle."""
+    both = _window(stock, as_of, 2 * days, 0).repartition("sku")
+    now = (F.col("checked_at") >= F.lit(as_of) - F.make_dt_interval(F.lit(days))).alias("now")
+    last = F.lag("quantity").over(Window.partitionBy("sku", "now").orderBy("checked_at", "id"))
+    d = both.select("sku", "id", "quantity", "checked_at", now).withColumn("drop", last - F.col("quantity"))
+
+    def own(inside: Column) -> Column:
+        at = F.when(inside, seconds("checked_at"))
+        sold = F.coalesce(F.sum(F.when(inside & (F.col("drop") > 0), F.col("drop"))), F.lit(0))
+        span = (F.max(at) - F.min(at)) / DAY
+        return F.struct(F.count_if(inside).alias("n"), F.when(span > 0, sold / span).alias("adu"))
+
+    g = d.groupBy("sku").agg(own(F.col("now")).alias("a"), own(~F.col("now")).alias("b")).filter("a.n >= 2 and b.n >= 2")
+    return g.select("sku", F.col("a.adu").alias("current"), F.col("b.adu").alias("previous"), (F.col("a.adu") - F.col("b.adu")).alias("change"))
 
 
 def latest_reading(stock: DataFrame) -> DataFrame:

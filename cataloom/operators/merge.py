@@ -41,6 +41,30 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: dict[str, st
     return j.select(*[F.coalesce(F.col(f"o.{k}"), F.col(f"n.{k}")).alias(k) for k in keys], *[value(c).alias(c) for c in old.columns if c not in keys])
 
 
+#: Columns that a scrape doesn't know keep what was known.
+KNOWN_STAYS = {c: NEW_ELSE_OLD for c in ("release_date", "description", "core_id", "coverstock_id")}
+
+
+def upsert_products(old: DataFrame, new: DataFrame, platform: str, as_of: datetime) -> DataFrame:
+    """A platform's scrape merged into the products, by URL. One platform knows neither weights nor when a product was retired, and leaves both as they are."""
+    if platform == "commercebuild":
+        left = {c: F.col(f"o.{c}") for c in ("discontinued_detected_at", "weights_available") if c in old.columns}
+        return upsert(old, new, ["url"], KNOWN_STAYS, left)
+    marks = {"discontinued_detected_at": _detected(as_of)} if "discontinued_detected_at" in old.columns else None
+    return upsert(old, new, ["url"], KNOWN_STAYS, marks)
+
+
+def upsert_skus(old: DataFrame, new: DataFrame, platform: str) -> DataFrame:
+    """A platform's SKUs merged in by (product, weight): numbers are overwritten, a known mass bias isn't lost, and the source changes on one platform only."""
+    return upsert(old, new, ["product", "weight_lbs"], {"mass_bias": NEW_ELSE_OLD, "source": OVERWRITE if platform == "commercebuild" else KEEP})
+
+
+def _detected(as_of: datetime) -> Column:
+    now = F.lit(as_of).cast("timestamp")
+    o, n = F.col("o.status"), F.col("n.status")
+    return F.when((n == "retired") & (F.coalesce(o, F.lit("")) != "retired"), now).when(n == "current", F.lit(None).cast("timestamp")).otherwise(F.col("o.discontinued_detected_at"))
+
+
 def retired_at(as_of: datetime) -> Column:
     """When a product was first seen retired: set on the change, cleared when current again."""
     now = F.lit(as_of).cast("timestamp")

@@ -26,8 +26,12 @@ DIFF_MIDPOINT, DIFF_SCALE, DIFF_WEIGHT = 0.02, 0.045, 8
 
 
 def popularity(videos: DataFrame, as_of: datetime) -> DataFrame:
-    """(product, popularity): mean decayed views of approved videos, growing with the logarithm of their number."""
-    age = (F.lit(as_of).cast("timestamp").cast("double") - seconds("published_at")) / DAY
+    """(product, popularity): mean decayed views of approved videos, growing with the logarithm of their number.
+
+    A video without published_at ages from created_at, if videos has that.
+    """
+    since = F.coalesce("published_at", "created_at") if "created_at" in videos.columns else F.col("published_at")
+    age = (F.lit(as_of).cast("timestamp").cast("double") - seconds(since)) / DAY
     decayed = F.col("view_count") * F.pow(F.lit(2.0), -age / HALF_LIFE_DAYS)
     own = videos.filter("review = 'approved' and view_count is not null")
     return own.groupBy("product").agg((F.avg(decayed) * F.log1p(F.count("*").cast("double"))).alias("popularity"))
@@ -83,6 +87,19 @@ def estimate(specs: DataFrame) -> DataFrame:
     return specs.withColumn("oil", held(oil, OIL_RANGE)).withColumn("motion", held(motion, MOTION_RANGE))
 
 
+def fill_estimates(products: DataFrame, specs: DataFrame, again: bool = False) -> DataFrame:
+    """products(product, oil_rating, motion_rating, oil_motion_source) with estimates from specs where no rating is known.
+
+    again: estimates made before are made anew, and nothing else changes; ratings of other sources always stay.
+    """
+    e = estimate(specs).select("product", F.col("oil").alias("__oil"), F.col("motion").alias("__motion"))
+    due = (F.col("oil_motion_source") == "estimated") if again else F.col("oil_rating").isNull()
+    due = F.coalesce(due, F.lit(False)) & F.col("__oil").isNotNull()
+    made = {"oil_rating": F.col("__oil"), "motion_rating": F.col("__motion"), "oil_motion_source": F.lit("estimated")}
+    j = products.join(e, "product", "left")
+    return j.select(*(F.when(due, made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in products.columns))
+
+
 def accuracy(df: DataFrame, estimated: str, real: str) -> DataFrame:
     """One row: mean absolute error, exact and within-two counts of an estimate."""
     off = F.abs(F.col(estimated) - F.col(real))

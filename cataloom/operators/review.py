@@ -143,5 +143,69 @@ def review_field(name: Column) -> Column:
     return F.when(name.rlike(shape), sku).when(name.isin(*UPDATABLE), product)
 
 
+def resolve(rows: DataFrame, actions: DataFrame, as_of: datetime, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows(key, status, reason, resolved_at, resolved_by) after actions(key, action, by, note), actions that couldn't be taken).
+
+    approve and reject take pending rows, restore takes resolved ones and clears who resolved them and when. A rejection is
+    added to the reasons. Rejected actions carry why: of an unknown row, not allowed in its status, or one of several for a row.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    a = actions.select(key, "action", "by", "note")
+    several = a.groupBy(key).agg((F.count("*") > 1).alias("__several"))
+    j = a.join(several, key).join(rows.select(key, F.col("status").alias("__status")).withColumn("__known", F.lit(True)), key, "left")
+    legal = merge.review(F.col("__status"), F.col("action"))
+    why = F.when(F.col("__known").isNull(), "unknown row").when(F.col("__several"), "several actions").when(legal.isNull(), F.concat(F.lit("not allowed when "), F.coalesce("__status", F.lit("unknown"))))
+    judged = j.select(key, "action", "by", "note", legal.alias("__to"), why.alias("why"))
+    good = judged.filter("why IS NULL").select(key, "action", "by", "note", "__to")
+    d = rows.join(good, key, "left")
+    said = F.concat(F.lit("Rejected"), F.coalesce(F.concat(F.lit(": "), F.nullif("note", F.lit(""))), F.lit("")))
+    acted, back = F.col("__to").isNotNull(), F.coalesce(F.col("action") == "restore", F.lit(False))
+    made = {
+        "status": F.coalesce("__to", "status"),
+        "reason": F.when(F.col("action") == "reject", F.concat(F.coalesce(F.concat("reason", F.lit(" | ")), F.lit("")), said)).otherwise(F.col("reason")),
+        "resolved_at": F.when(acted & ~back, now).when(~acted, F.col("resolved_at")),
+        "resolved_by": F.when(acted & ~back, F.col("by")).when(~acted, F.col("resolved_by")),
+    }
+    return d.select(*(made[c].alias(c) if c in made else F.col(c) for c in rows.columns)), judged.filter("why IS NOT NULL").select(key, "action", "why")
+
+
+def release_mismatches(ours: DataFrame, theirs: DataFrame, key: str = "product") -> DataFrame:
+    """(key, field_name, current_value, proposed_value) where both sides know a release date and they differ."""
+    t = theirs.select(key, F.col("release_date").alias("__theirs"))
+    j = ours.join(t, key).filter(F.col("release_date") != F.col("__theirs"))
+    return j.select(key, F.lit("release_date").alias("field_name"), F.col("release_date").cast("string").alias("current_value"), F.col("__theirs").cast("string").alias("proposed_value"))
+
+
+def match_states(products: DataFrame, matches: DataFrame, key: str = "product") -> DataFrame:
+    """(key, state): matched if one listing was found, ambiguous if several, else not_yet_listed; matches(key, listing)."""
+    n = matches.groupBy(key).agg(F.count_distinct("listing").alias("__n"))
+    state = F.when(F.col("__n") == 1, "matched").when(F.col("__n") > 1, "ambiguous").otherwise("not_yet_listed")
+    return products.select(key).join(n, key, "left").select(key, state.alias("state"))
+
+
+def exact_accuracy(products: DataFrame, matches: DataFrame, ours: DataFrame, listed: DataFrame, fields: tuple[str, ...], tolerance: float = 0.001, key: str = "product") -> DataFrame:
+    """Mismatches at the reference weight between our SKUs and the listings of products matched to exactly one.
+
+    listed(listing, fields..): what a listing states for the reference weight. An unknown value on a side can't disagree.
+    """
+    sure = match_states(products, matches, key).filter("state = 'matched'").select(key)
+    theirs = matches.join(sure, key, "left_semi").select(key, "listing").distinct().join(listed, "listing").withColumn("weight_lbs", F.lit(REFERENCE_WEIGHT))
+    return spec_mismatches(ours.filter(F.col("weight_lbs") == REFERENCE_WEIGHT), theirs, [key], fields, tolerance)
+
+
+def backfill_first(products: DataFrame, history: DataFrame, column: str, time: str, key: str = "product") -> DataFrame:
+    """products with the earliest time of their history in a column that is unknown; known values and products without history stay."""
+    first = history.groupBy(key).agg(F.min(time).alias("__first"))
+    return products.join(first, key, "left").select(*(F.coalesce(c, "__first").alias(c) if c == column else F.col(c) for c in products.columns))
+
+
+def correct_status(products: DataFrame, found: DataFrame, platform: str) -> DataFrame:
+    """products(url, source_platform, status, ..) of one platform with the status that discovery found for their URL; found(url, status)."""
+    f = found.select("url", F.col("status").alias("__found"))
+    j = products.join(f, "url", "left")
+    right = (F.col("source_platform") == platform) & F.col("__found").isNotNull()
+    return j.select(*(F.when(right, F.col("__found")).otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in products.columns))
+
+
 # Product fields that reviews may change.
 UPDATABLE = ("name", "color", "coverstock_material", "coverstock_type", "coverstock_name", "factory_finish", "part_number", "published")

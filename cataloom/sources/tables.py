@@ -13,6 +13,8 @@ TABLE = "array<array<string>>"
 WEIGHT_CELL = r"^\s*\d{1,2}\s*(?i:lbs?)\.?\s*$"
 WEIGHT_HEADER = r"(\d{1,2})\s*(?i:lb)"
 WEIGHT_TOKEN = r"(\d{1,2})\s*lbs?"
+WEIGHT_LINE = r"(?:\d{1,2}\s*lbs?\s*){2,}"
+SHEET_NUMBER = r"-?\d+\.\d+"
 METRICS = {"rg": ("rg",), "differential": ("diff", "differential"), "mass_bias": ("psa", "mb", "massbias")}
 TEXT_ROW = r"(?m)^\d{1,2}\s+(?:-?\d*\.\d+|-?\d+)\s+(?:-?\d*\.\d+|-?\d+)(?:\s+(?:-?\d*\.\d+|-?\d+))?\s*$"
 NUMBER = r"-?(?:\d+\.?\d*|\.\d+)"
@@ -24,6 +26,11 @@ def to_number(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, NUMBER, 0), F.lit("")).try_cast("double")
 
 
+def sheet_number(c: Column) -> Column:
+    """The first number of a text that has digits on both sides of a point; .050 and 16 are none."""
+    return F.nullif(F.regexp_extract(c, SHEET_NUMBER, 0), F.lit("")).try_cast("double")
+
+
 def _whole(c: Column) -> Column:
     return F.regexp_extract(c, r"\d{1,2}", 0).try_cast("int")
 
@@ -65,6 +72,12 @@ def spec_table(tables: Column, labels: tuple[str, ...], least: int = 3) -> Colum
     return F.array_max(F.filter(scored, lambda s: s["n"] >= least))["rows"]
 
 
+def first_table(tables: Column, labels: tuple[str, ...], least: int = 4) -> Column:
+    """The first of the tables with least rows or more that begin with a known label; null if none."""
+    known = F.array(*map(F.lit, labels))
+    return F.get(F.filter(tables, lambda t: F.size(F.filter(t, lambda r: F.array_contains(known, F.lower(F.coalesce(F.get(r, 0), F.lit("")))))) >= least), 0)
+
+
 def spec_fields(table: Column, labels: tuple[str, ...]) -> Column:
     """Map of known labels to values from rows of two cells or more; of equal labels the last counts."""
 
@@ -131,17 +144,20 @@ def text_skus(text: Column) -> Column:
 def weight_table(text: Column) -> Column:
     """SKU rows from a line of two weights or more and lines that begin RG, DIFF and ASY, the last of each.
 
-    Lines RG MIN, RG DIFF and RG ASY come before these. A weight without rg and differential is left out.
+    The weights stand side by side, or the line holds nothing but weights and commas. Lines RG MIN, RG DIFF and RG ASY come
+    before RG, DIFF and ASY. A value needs digits on both sides of its point, else it is unknown. A weight without rg and
+    differential is left out.
     """
     lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != "")
     tokens = lambda x: F.regexp_extract_all(x, F.lit(WEIGHT_TOKEN), F.lit(1))
-    weights = tokens(F.get(F.filter(lines, lambda x: F.size(tokens(x)) >= 2), 0))
+    heads = lambda x: x.rlike(WEIGHT_LINE) | F.replace(x, F.lit(","), F.lit("")).rlike(f"^{WEIGHT_LINE}$")
+    weights = tokens(F.get(F.filter(lines, heads), 0))
 
     def values(label: str, legacy: str) -> Column:
         old = _last(F.filter(lines, lambda x: x.rlike(rf"^(?i:RG\s+{legacy}\b)")))
         bare = _last(F.filter(lines, lambda x: F.startswith(x, F.lit(f"{label} ")) & ~x.rlike(SUBLABEL)))
         rest = F.coalesce(F.regexp_replace(old, rf"^(?i:RG\s+{legacy}\b)", ""), F.substr(bare, F.lit(len(label) + 2)))
-        return F.transform(F.filter(F.split(rest, r"\s+"), lambda x: x != ""), to_number)
+        return F.transform(F.filter(F.split(rest, r"\s+"), lambda x: x != ""), sheet_number)
 
     rg, diff, asy = values("RG", "MIN"), values("DIFF", "DIFF"), values("ASY", "ASY")
     made = F.transform(weights, lambda w, i: _sku(w.try_cast("int"), F.get(rg, i), F.get(diff, i), F.get(asy, i)))

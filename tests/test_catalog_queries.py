@@ -1,5 +1,5 @@
 import pytest
-from cataloom.plans import more, queries as Q, remote, sources, streams, upkeep  # noqa: F401
+from cataloom.plans import more, queries as Q, remote, rules, sources, streams, upkeep  # noqa: F401
 
 from compare import both, connection
 
