@@ -2,7 +2,8 @@ r"""Toxicity: a bidirectional gated recurrent network with attention pooling ove
 
 A word enters as a pair: a hashed word vector and the sum of hashed vectors of its character 3- to 5-grams, over the root
 of their number. Vectors start from the log-odds of the labels, and only inputs that several training texts share are learnt.
-Attention pools the states of both directions and the inputs themselves.
+Attention pools the states of both directions, and nothing else: what the vectors say reaches the verdict through the gates
+of the recurrent layer. The parameters of the last steps are averaged.
 Windows of WINDOW words that overlap by half cover every text whole; a text's score is that of its worst window.
 The network learns in one task, from at most about SAMPLE labelled texts of at most SAMPLE_BYTES each, so what it holds is
 bounded; its parameters (about 1 MB) go to the tasks that read the texts and score them, without a shuffle.
@@ -25,9 +26,13 @@ UNITS, VECTOR, BUCKETS = 8, 8, 1 << 14
 THRESHOLD = 0.3
 #: Bounds of the training sample: texts of each label, bytes of a text, windows of a text in one epoch.
 SAMPLE, SAMPLE_BYTES = 1500, 32 << 10
-BATCH, RATE = 128, 0.01
+BATCH, RATE = 128, 0.005
 #: Rounds over the sample; share of word vectors left out in a step.
-EPOCHS, DROP = 6, 0.5
+EPOCHS, DROP = 9, 0.5
+#: What the first unit of each direction begins with: weight of the log-odds in its state, and of its state in attention and verdict.
+CARRY, POOL = 0.8, 3.0
+#: Share of each step in the average of the parameters.
+MEAN = 0.02
 #: The first coordinate of a vector starts at so many times the log-odds of the labels of the texts that hold the input.
 START = {"word": 0.3, "gram": 0.1}
 #: Share by which each step shrinks the vectors, over the rate.
@@ -93,9 +98,13 @@ class Network:
         f = lambda scale, *shape: (r.standard_normal(shape) * scale).astype(np.float32)
         h, e = UNITS, 2 * VECTOR
         self.p = {"word": np.zeros((BUCKETS, VECTOR), np.float32), "gram": np.zeros((BUCKETS, VECTOR), np.float32), "x": f(0.4, 2, e, 3 * h), "bx": f(0.01, 2, 3 * h), "u": f(0.3, 2, h, 3 * h), "v": f(0.3, 2 * h), "w": f(0.5, 2 * h), "b": np.full(1, -1.0, np.float32)}
-        odds = np.zeros(e, np.float32)  # of a word and of its n-grams: what attention and the verdict begin with
-        odds[[0, VECTOR]] = 3
-        self.p |= {"vx": odds.copy(), "wx": odds.copy()}
+        # the first unit of each direction begins as one that carries the log-odds of the word it stands on, and attention and
+        # the verdict begin with it
+        self.p["x"][:, :, [0, h, 2 * h]] *= 0.1
+        self.p["x"][:, 0, 2 * h] = self.p["x"][:, VECTOR, 2 * h] = CARRY
+        self.p["bx"][:, 0] = -2
+        self.p["u"][:, :, [0, h, 2 * h]] *= 0.1
+        self.p["v"][[0, h]] = self.p["w"][[0, h]] = POOL
 
     def vectors(self, i: Inputs) -> np.ndarray:
         out = np.zeros((len(i.word), 2 * VECTOR), np.float32)
@@ -127,11 +136,11 @@ class Network:
                     saved.append((d, s, state, z, r, n, q[:, 2 * h :]))
                 state = new
                 states[s, :, d * h : (d + 1) * h] = state
-        score = states @ self.p["v"] + (inputs @ self.p["vx"])[ids]
+        score = states @ self.p["v"]
         score = np.where(mask, score, -1e9)
         att = np.exp(score - score.max(axis=0))
         att /= att.sum(axis=0)
-        value = states @ self.p["w"] + (inputs @ self.p["wx"])[ids]
+        value = states @ self.p["w"]
         logit = (att * value).sum(axis=0) + self.p["b"][0]
         return (logit, (states, att, value, saved)) if keep else logit
 
@@ -150,9 +159,6 @@ class Network:
         for k, d in (("w", dvalue), ("v", dscore)):
             ds += d[:, :, None] * p[k]
             g[k] = np.einsum("tb,tbh->h", d, states)
-            own = np.bincount(ids.ravel(), d.ravel(), len(x)).astype(np.float32)
-            g[f"{k}x"] = x.T @ own
-            dx += own[:, None] * p[f"{k}x"]
         carry = np.zeros((ids.shape[1], h), np.float32)
         dg = np.zeros((len(x), 3 * h), np.float32)
         last = 1
@@ -226,7 +232,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
         odds = np.log((many[1] + share[1]) / share[1]) - np.log((many[0] + share[0]) / share[0])
         net.p[name][:, 0] = np.where(learnt[name], START[name] * odds, 0)
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
-    step = 0
+    step, mean = 0, {k: v.copy() for k, v in net.p.items()}
     weight_of = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
     for epoch in range(EPOCHS):
         for k in rng.permutation(len(parts)):
@@ -258,6 +264,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
                     if name in learnt:
                         net.p[name] *= 1 - rate * DECAY
                     net.p[name] -= rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.999**step)) + 1e-8)
+                    mean[name] += max(1 / step, MEAN) * (net.p[name] - mean[name])
+    net.p = mean
     return net
 
 

@@ -629,6 +629,26 @@ def test_decontamination_against_alignment_without_seeds(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 40
 
 
+def test_the_verdict_comes_from_the_recurrent_layer():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [sentence(40, rng) + (" vexol vexora vexing " if i % 4 == 0 else " ") + sentence(30, rng) for i in range(400)]
+    labels = [int(i % 4 == 0) for i in range(400)]
+    net = toxicity.train(texts[:300], labels[:300])
+
+    def found(net):
+        got = np.zeros(100)
+        for w in toxicity.chunks(pa.array(texts[300:])):
+            row, logit = toxicity.window_scores(net, w)
+            np.maximum.at(got, row, 1 / (1 + np.exp(-logit.astype(float))))
+        return [int(x >= toxicity.THRESHOLD) for x in got]
+
+    assert sum(a == b for a, b in zip(found(net), labels[300:])) >= 97
+    net.p["x"], net.p["bx"] = np.zeros_like(net.p["x"]), np.zeros_like(net.p["bx"])  # states see no input
+    assert len(set(found(net))) == 1
+
+
 def test_toxicity_gradients():
     from cataloom.llm.words import hashed
 
