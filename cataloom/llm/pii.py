@@ -28,6 +28,8 @@ IP_PART = r"0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"\p{L}{4,}+"
 DISCLOSURE = 0.9
 SUPPORT = 3
+#: Matches of a text that are taken without blocks.
+FEW = 64
 KINDS = (*PATTERNS, "term")
 SPANS = "array<struct<s:int,e:int>>"
 
@@ -63,10 +65,13 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, valid=None, value=None) -> Column:
-    """Spans (s, e: code points, e exclusive) of the leftmost non-overlapping matches; value(m) adds a field v."""
+    """Spans (s, e: code points, e exclusive) of the leftmost non-overlapping matches; value(m) adds a field v.
+
+    An array that grows costs the square of its length, so many matches are taken in blocks of about the root of their
+    number: first the lengths of the blocks are added up, then each block begins where the ones before it end.
+    """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     fields = "s:int,e:int" + (",v:string" if value else "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
@@ -75,14 +80,26 @@ def matches(text: Column, pattern: str, valid=None, value=None) -> Column:
         good = x["m"].isNotNull() & (valid(x["m"]) if valid else F.lit(True))
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def from_place(own: Column, at: Column) -> Column:
+        start = F.struct(at.cast("int").alias("at"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
+        return F.aggregate(own, start, step, lambda acc: acc["out"])
+
+    def in_blocks(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(x), size), lambda i: F.slice(x, i, size))
+        length = lambda b: F.aggregate(b, F.lit(0), lambda n, y: n + F.length(y["gap"]) + F.coalesce(F.length(y["m"]), F.lit(0)))
+        ends = lambda ls: F.aggregate(ls, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        placed = lambda b: F.zip_with(b, let(F.transform(b, length), ends), lambda own, at: F.when(own.isNotNull(), from_place(own, at)))
+        return F.flatten(F.filter(let(blocks, placed), lambda b: b.isNotNull()))
+
+    return let(pairs, lambda x: F.when(F.size(x) > FEW, in_blocks(x)).otherwise(from_place(x, F.lit(0))))
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """The valid spans of one kind; null texts have none."""
+def base_spans(text: Column, kind: str, value=None) -> Column:
+    """The valid spans of one kind; null texts have none; value as in matches."""
     may = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")}[kind]
-    found = matches(text, PATTERNS[kind], lambda m: _valid(kind, m))
-    return F.when(may, found).otherwise(F.array().cast(SPANS))
+    found = matches(text, PATTERNS[kind], lambda m: _valid(kind, m), value)
+    return F.when(may, found).otherwise(F.array().cast(SPANS.replace("e:int", "e:int,v:string") if value else SPANS))
 
 
 def _terms(text: Column) -> Column:
@@ -124,21 +141,15 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    found = src.select("id", "h", "text", *[base_spans(F.col("text"), k).alias(k) for k in PATTERNS])
-
-    def entities(kind: str) -> Column:
-        def one(span: Column) -> Column:
-            value = F.substring(F.col("text"), span["s"] + 1, span["e"] - span["s"])
-            name = F.lower(value) if kind in ("email", "ip") else _digits(value)
-            return F.xxhash64(F.lit(kind), name)
-
-        return F.transform(kind, one)
-
+    name = lambda kind: F.lower if kind in ("email", "ip") else _digits
+    found = src.select("id", "h", "text", *[base_spans(F.col("text"), k, name(k)).alias(k) for k in PATTERNS])
+    entities = lambda kind: F.transform(kind, lambda x: F.xxhash64(F.lit(kind), x["v"]))
+    places = [F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in PATTERNS]
     any_found = F.lit(False)
     for k in PATTERNS:
         any_found |= F.size(k) > 0
     ents = F.array_distinct(F.concat(*[entities(k) for k in PATTERNS]))
-    base = staged(found.select("id", "h", *PATTERNS, ents.alias("ents"), F.when(any_found, _terms(F.col("text"))).alias("terms")), "spans", keep=True)
+    base = staged(found.select("id", "h", *places, ents.alias("ents"), F.when(any_found, _terms(F.col("text"))).alias("terms")), "spans", keep=True)
     shown = sent(staged(disclosing(base, src), "disclosing"))
     kinds = F.filter(F.array(*[F.when(F.size(k) > 0, F.lit(k)) for k in PATTERNS]), lambda k: k.isNotNull())
     here = base.filter(F.size("ents") > 0).select("id", "h", kinds.alias("own"), F.explode("terms").alias("term")).join(shown, "term").filter(F.arrays_overlap("own", "kinds")).select("id", "h", "term")

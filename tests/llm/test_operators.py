@@ -179,6 +179,13 @@ def test_pii(spark):
     assert pii.sanitise(df).filter("doc_id = 5").first().text == "𝔘 [email]"
 
 
+def test_pii_of_very_many_spans(spark):
+    text = " ".join(f"u{i}@mail.org 10.0.{i % 256}.{i % 250}" for i in range(50_000))
+    row = pii.find_spans(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")).filter("id = 1").first()
+    assert [(x.s, x.e) for x in row.email] == [m.span() for m in re.finditer(r"u[0-9]+@mail\.org", text)]
+    assert len(row.ip) == 50_000 and all(text[x.s : x.e].startswith("10.0.") for x in row.ip[::997])
+
+
 def test_pii_terms_that_reveal_an_entity(spark):
     rows = [(i, f"w{chr(97 + i % 26)}aaa Zorblax writes from zed@mail.org about word{chr(97 + i)} things") for i in range(4)] + [(10 + i, sentence(30)) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
