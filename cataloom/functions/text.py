@@ -232,3 +232,13 @@ def brand_of_flat_url(url: Column, prefixes: tuple[tuple[str, str], ...]) -> Col
     for prefix, brand in reversed(prefixes):
         out = F.when(F.startswith(slug, F.lit(prefix)), brand).otherwise(out)
     return F.when(slug != "", out)
+
+
+def triage(confidence: Column) -> Column:
+    """high for high confidence, low for everything else and for none."""
+    return F.when(confidence == "high", "high").otherwise("low")
+
+
+def first_cost(costs: Column) -> Column:
+    """The first cost of an array that is known and not zero."""
+    return F.get(F.filter(costs, lambda c: c.isNotNull() & (c != 0)), F.lit(0))

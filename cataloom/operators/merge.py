@@ -81,9 +81,10 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, version: str, change
 
 
 def fill_gaps(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """(merged, disagreements): new fills what old lacks; values that differ by more than the tolerance go to review."""
+    """(merged, disagreements): new fills what old lacks; numbers that differ by more than the tolerance go to review."""
     merged = upsert(old, new, keys, {v: OLD_ELSE_NEW for v in values})
-    return merged, tolerance_review(old, new, keys, values, tolerance)
+    numbers = [v for v in values if dict(old.dtypes)[v] != "string"]
+    return merged, tolerance_review(old, new, keys, numbers, tolerance)
 
 
 def tolerance_review(ours: DataFrame, theirs: DataFrame, keys: list[str], values: list[str], tolerance: float) -> DataFrame:
@@ -166,3 +167,21 @@ def merge_duplicates(rows: DataFrame, keys: list[str], preferred: Column, create
         before = h.join(rows.select(F.col(id_col).alias(column)).distinct(), column, "left_semi")
         counts = counts.join(F.broadcast(before.agg(F.count("*").alias(f"{name}_before"))), how="cross").join(F.broadcast(there.agg(F.count("*").alias(f"{name}_after"))), how="cross")  # rows of one
     return kept, after, counts
+
+
+def update_from(rows: DataFrame, found: DataFrame, key: str, column: str, by: str) -> DataFrame:
+    """rows with the column of found (key, by) where that is known, and changed: whether it was another value; found has each key once."""
+    j = rows.join(found.select(key, F.col(by).alias("__by")), key, "left")
+    changed = F.coalesce(F.col("__by") != F.col(column), F.lit(False))
+    return j.select(*(F.coalesce("__by", column).alias(c) if c == column else F.col(c) for c in rows.columns), changed.alias("changed"))
+
+
+def missing_from(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys other lacks; without rows in other, all. A null key is a key."""
+    there = other.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    return rows.join(there, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti")
+
+
+def keyed_union(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of first, and those of second whose keys first lacks."""
+    return first.unionByName(missing_from(second, first, keys))

@@ -49,6 +49,13 @@ def reference_sku(skus: DataFrame, target: int = 15) -> DataFrame:
     return skus.groupBy("product").agg(best.alias("x")).select("product", "x.*")
 
 
+def training_sku(skus: DataFrame, target: int = 15) -> DataFrame:
+    """The SKU of each product to learn from: of the target weight if its differential is known, else the heaviest with a known one."""
+    place = F.struct((F.col("weight_lbs") == target).alias("a"), F.col("weight_lbs").alias("b"), F.col("sku").alias("c"))
+    best = F.max_by(F.struct("sku", "weight_lbs", "differential"), place)
+    return skus.filter("differential IS NOT NULL").groupBy("product").agg(best.alias("x")).select("product", "x.*")
+
+
 def distance(a: str, b: str) -> Column:
     """Specification distance of the columns prefixed a and b; unknown values cost nothing."""
 
@@ -67,7 +74,7 @@ def similar(specs: DataFrame, product: int, k: int = 6) -> DataFrame:
     source = specs.filter(F.col("product") == product).limit(1).select(*[F.col(c).alias(f"s_{c}") for c in specs.columns])
     others = specs.filter(F.col("product") != product).select(*[F.col(c).alias(f"c_{c}") for c in specs.columns]).withColumn("one", F.lit(1))
     j = others.join(F.broadcast(source.withColumn("one", F.lit(1))), "one")
-    return j.select(F.col("c_product").alias("product"), distance("s_", "c_").alias("score")).orderBy("score", "product").limit(k)
+    return j.select(F.col("c_product").alias("product"), F.round(distance("s_", "c_"), 9).alias("score")).orderBy("score", "product").limit(k)
 
 
 def _lookup(c: str, values: dict[str, float], default: float) -> Column:

@@ -7,9 +7,11 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import catalog as C
 from ..operators import inventory as I
 from ..operators import match as M
 from ..operators import merge as G
+from ..operators import ranking as R
 from ..operators import review as W
 from ..sources import extract as X
 from ..sources import tables as B
@@ -155,15 +157,14 @@ def image_types(spark, d):
     return _part(spark, d).select("p_partkey", T.image_type(alt, size).alias("kind"), w["high"].alias("high"), w["low"].alias("low"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Blue' WHEN p_partkey % 2 = 0 THEN p_brand END AS color, CASE WHEN p_size % 3 = 0 THEN '60-1 - A' WHEN p_size % 3 = 1 AND p_partkey % 2 = 0 THEN 'PN ' || p_partkey END AS part_number FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Blue' WHEN p_size % 3 = 1 AND p_partkey % 2 = 0 THEN upper(p_brand) WHEN p_partkey % 2 = 0 THEN p_brand END AS color, CASE WHEN p_size % 3 = 0 THEN '60-1 - A' WHEN p_size % 3 = 1 AND p_partkey % 2 = 0 THEN 'PN ' || p_partkey END AS part_number FROM part")
 def bag_color_and_part(spark, d):
     size = F.col("p_size")
     name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Bag - Two - "), F.col("p_brand"))).otherwise("Bag")
     own = F.concat(F.lit("PN "), F.col("p_partkey").cast("string"), F.lit(" - "), F.upper("p_brand"))
     lines = F.when(size % 3 == 0, F.array(F.lit("60-1 - A - Blue"), F.lit("none"))).when(size % 3 == 1, F.array(F.lit("60-2 - Pink"), own)).otherwise(F.array(F.lit("a - b"), F.lit("c - d")))
     x = T.color_and_part(name, lines)
-    color = F.when((size % 3 == 1) & (F.col("p_partkey") % 2 == 0) & (x["color"] == F.upper("p_brand")), F.col("p_brand")).otherwise(x["color"])
-    return _part(spark, d).select("p_partkey", color.alias("color"), x["part_number"].alias("part_number"))
+    return _part(spark, d).select("p_partkey", x["color"].alias("color"), x["part_number"].alias("part_number"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'retired' END AS status, p_size % 3 > 0 AS tech_data, CASE p_partkey % 4 WHEN 0 THEN 0.012 WHEN 1 THEN CAST(-p_size AS DOUBLE) END AS mass_bias FROM part")
@@ -272,7 +273,7 @@ def weight_mismatch_reviews(spark, d):
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'high' ELSE 'low' END AS triage FROM documents")
 def candidate_triage(spark, d):
     confidence = F.when(F.col("lang") == "en", "high").when(F.col("lang") == "de", "medium")
-    return V.table(spark, d, "documents").select("doc_id", F.when(confidence == "high", "high").otherwise("low").alias("triage"))
+    return V.table(spark, d, "documents").select("doc_id", T.triage(confidence).alias("triage"))
 
 
 @query("SELECT p_partkey, count(*) AS n FROM part GROUP BY ALL")
@@ -301,8 +302,7 @@ def public_dimension_join(spark, d):
 @query(f"{V.with_sql('products')}, f AS (SELECT p_partkey AS product, CASE WHEN p_size % 2 = 0 THEN 'current' ELSE 'retired' END AS status FROM part WHERE p_size % 5 > 0) SELECT product, coalesce(f.status, p.status) AS status, coalesce(f.status <> p.status, false) AS changed FROM products p LEFT JOIN f USING (product)")
 def update_from_join(spark, d):
     f = _part(spark, d).filter("p_size % 5 > 0").select(F.col("p_partkey").alias("product"), F.when(F.col("p_size") % 2 == 0, "current").otherwise("retired").alias("found"))
-    j = V.products(spark, d).join(f, "product", "left")
-    return j.select("product", F.coalesce("found", "status").alias("status"), F.coalesce(F.col("found") != F.col("status"), F.lit(False)).alias("changed"))
+    return G.update_from(V.products(spark, d).select("product", "status"), f, "product", "status", "found")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type NOT IN ('click', 'view') OR event_type IS NULL")
@@ -334,15 +334,14 @@ def earliest_video(spark, d):
 @query("SELECT p_partkey, nullif(CAST(CASE WHEN p_size % 3 = 1 THEN p_size ELSE p_partkey END AS DOUBLE), 0) AS cost FROM part")
 def first_variant_cost(spark, d):
     first = F.when(F.col("p_size") % 3 == 0, 0.0).when(F.col("p_size") % 3 == 1, F.col("p_size").cast("double"))
-    costs = F.filter(F.array(first, F.col("p_partkey").cast("double")), lambda c: c.isNotNull() & (c != 0))
-    return _part(spark, d).select("p_partkey", F.get(costs, F.lit(0)).alias("cost"))
+    return _part(spark, d).select("p_partkey", T.first_cost(F.array(first, F.col("p_partkey").cast("double"))).alias("cost"))
 
 
 @query(f"{V.with_sql('skus')} SELECT product, arg_max(weight_lbs, (weight_lbs = 15, weight_lbs)) AS weight_lbs, arg_max(sku, (weight_lbs = 15, weight_lbs)) AS sku FROM skus WHERE sku % 4 > 0 GROUP BY product")
 def training_sku(spark, d):
     """The 15 lb SKU if it has a differential, else the heaviest that has one."""
-    place = F.struct((F.col("weight_lbs") == W.REFERENCE_WEIGHT).alias("ref"), "weight_lbs")
-    return V.skus(spark, d).filter("sku % 4 > 0").groupBy("product").agg(F.max_by("weight_lbs", place).alias("weight_lbs"), F.max_by("sku", place).alias("sku"))
+    skus = V.skus(spark, d).withColumn("differential", F.when(F.col("sku") % 4 > 0, 0.05))
+    return R.training_sku(skus).select("product", "weight_lbs", "sku")
 
 
 @query("SELECT l_partkey AS slug, CASE WHEN bool_or(l_returnflag <> 'R') THEN 'current' ELSE 'retired' END AS status, arg_max(l_shipdate, (l_orderkey, l_linenumber, l_shipdate)) AS lastmod FROM lineitem WHERE l_suppkey % 4 = 0 GROUP BY l_partkey")
@@ -353,8 +352,7 @@ def discovery_status(spark, d):
 
 @query("SELECT o_orderpriority AS run, count(*) AS checked, count(*) FILTER (o_orderstatus = 'F') AS succeeded, count(*) FILTER (o_orderstatus <> 'F') AS failed FROM orders GROUP BY ALL")
 def run_counters(spark, d):
-    good = F.col("o_orderstatus") == "F"
-    return V.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("run")).agg(F.count("*").alias("checked"), F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"))
+    return C.run_counts(V.table(spark, d, "orders"), "o_orderpriority", F.col("o_orderstatus") == "F")
 
 
 @query(f"{V.with_sql('videos')}, v AS (SELECT product, order_id, line_id, CAST(row_number() OVER (PARTITION BY product ORDER BY published_at, order_id, line_id) - 1 AS INT) AS display_order FROM videos WHERE review = 'approved'), n AS (SELECT * FROM videos WHERE review = 'pending') "
@@ -373,7 +371,7 @@ def keyed_union(spark, d):
     """Rows of the current list, and those of the retired list that it lacks."""
     p = _part(spark, d)
     current, retired = p.filter("p_size < 30").select("p_partkey"), p.filter("p_size >= 20").select("p_partkey")
-    return current.withColumn("side", F.lit("current")).union(retired.join(current, "p_partkey", "left_anti").withColumn("side", F.lit("retired")))
+    return G.keyed_union(current.withColumn("side", F.lit("current")), retired.withColumn("side", F.lit("retired")), ["p_partkey"])
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE 'changed' END AS diff FROM part WHERE p_size > 5 AND (p_partkey % 3 = 0 OR p_partkey % 3 = 1)")
@@ -430,7 +428,7 @@ def merge_images(spark, d):
 @query(f"WITH {IMAGES} SELECT product, url FROM old_ ANTI JOIN new_ USING (product, url)")
 def orphan_objects(spark, d):
     old, new = _images(spark, d)
-    return old.join(new, ["product", "url"], "left_anti").select("product", "url")
+    return G.missing_from(old, new, ["product", "url"]).select("product", "url")
 
 
 @query("SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_size END, p_partkey % 16 + 1) AS oil_rating FROM part")

@@ -197,11 +197,7 @@ DISTANCE = (
 
 @query(f"WITH {SPECS}, x AS (SELECT c.product, round({DISTANCE}, 9) AS score FROM specs s, specs c WHERE s.product = 1 AND c.product <> 1) SELECT product, round(score, 6) AS score FROM x ORDER BY x.score, product LIMIT 20")
 def similar_products(spark, d):
-    specs = _specs(spark, d)
-    source = F.broadcast(specs.filter("product = 1").select(*[F.col(c).alias(f"s_{c}") for c in specs.columns], F.lit(1).alias("one")))
-    j = specs.filter("product <> 1").select(*[F.col(c).alias(f"c_{c}") for c in specs.columns], F.lit(1).alias("one")).join(source, "one")
-    scored = j.select(F.col("c_product").alias("product"), F.round(R.distance("s_", "c_"), 9).alias("score"))
-    return scored.orderBy("score", "product").limit(20).select("product", r("score"))
+    return R.similar(_specs(spark, d), 1, 20).select("product", r("score"))
 
 
 ESTIMATE = (
@@ -426,7 +422,7 @@ def url_diff(spark, d):
 @query(f"WITH {OLD}, {NEW} SELECT coalesce(o.id, n.id) AS id, coalesce(o.brand, n.brand) AS brand, coalesce(o.size, n.size) AS size FROM o FULL JOIN n ON o.id = n.id")
 def fill_gaps(spark, d):
     old, new = (x.select("id", "brand", "size") for x in (_old(spark, d), _new(spark, d)))
-    return G.upsert(old, new, ["id"], {"brand": G.OLD_ELSE_NEW, "size": G.OLD_ELSE_NEW})
+    return G.fill_gaps(old, new, ["id"], ["brand", "size"], 0.001)[0]
 
 
 @query(f"WITH {OLD}, {NEW} SELECT o.id, 'size' AS field_name, CAST(o.size AS DOUBLE) AS current_value, CAST(n.size AS DOUBLE) AS proposed_value FROM o JOIN n ON o.id = n.id WHERE abs(o.size - n.size) > 0.001")

@@ -12,6 +12,7 @@ from ..operators import inventory as I
 from ..operators import merge as G
 from ..operators import ranking as R
 from ..operators import review as W
+from ..sources import extract as X
 from ..sources import tables as B
 from ..sources import views as V
 from .queries import ESTIMATE, SALES, SPECS, STOCK_DAYS, STOCK_SKUS, TOTALS, _specs, query
@@ -55,6 +56,16 @@ def first_attribute_table(spark, d):
     return _part(spark, d).select("p_partkey", B.spec_fields(B.first_table(tables, labels), labels)["core"].alias("core"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END END AS rg, CASE WHEN p_size % 4 > 0 THEN 2 ELSE 0 END AS n FROM part")
+def custom_field_maps(spark, d):
+    """Names differ in case and white space; of equal ones the last counts, and a field without a name is none."""
+    field = lambda k, v: F.struct(F.lit(k).cast("string").alias("name"), v.alias("value"))
+    last = F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.col("p_type"))
+    given = F.array(field(" RG", F.lit("1")), field("Diff", F.lit("2")), field(None, F.lit("3")), field("rg ", last))
+    m = X.custom_fields(F.when(F.col("p_size") % 4 > 0, given).otherwise(F.filter(given, lambda f: F.lit(False))))
+    return _part(spark, d).select("p_partkey", m["rg"].alias("rg"), F.size(m).alias("n"))
+
+
 # ---- classes from two fields
 
 NAMES = "CASE p_size % 4 WHEN 0 THEN 'HK Pearl' WHEN 1 THEN 'Urethane Solid' WHEN 2 THEN '' END"
@@ -271,3 +282,10 @@ def run_outcomes(spark, d):
     """An outcome that isn't known is a failure."""
     good = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 3 == 1)
     return C.run_counts(V.table(spark, d, "orders"), "o_orderpriority", good)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def missing_from_nothing(spark, d):
+    """Without rows to compare with, all are missing."""
+    o = V.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return G.missing_from(o, o.filter("false"), ["o_orderkey"])

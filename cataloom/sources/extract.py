@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import work_folder
+
 SITEMAP = "url array<struct<loc:string,lastmod:string>>"
 VIDEOS = "items array<struct<id:struct<videoId:string>,snippet:struct<title:string,channelTitle:string,publishedAt:string,thumbnails:map<string,struct<url:string>>>>>"
 TRACKS = "array<struct<baseUrl:string,languageCode:string,kind:string>>"
@@ -30,19 +32,30 @@ def links(df: DataFrame, key: str, html: str, pattern: str) -> DataFrame:
 def crawl(pages: DataFrame, starts: Column, most: int = 20) -> DataFrame:
     """(start, page, depth) of the pages reached from each of starts by following next; pages(page, next) stand in a table.
 
-    One recursive query; a chain stops after most pages, at a page without a next one, or at one seen before. Spark ends a
-    recursion of over spark.sql.cteRecursionRowLimit rows (a million) with an error: raise it for more pages than that.
+    A round of joins for each depth, each written before the next: a chain stops after most pages, at a page without a next
+    one, or at one seen before.
     """
-    first = pages.filter(starts).select("page", "next")
-    steps = f"""
-        WITH RECURSIVE reached(start, page, next, depth, seen) AS (
-            SELECT page, page, next, 0, array(page) FROM {{first}}
-            UNION ALL
-            SELECT r.start, p.page, p.next, r.depth + 1, array_append(r.seen, p.page) FROM reached r JOIN {{pages}} p ON p.page = r.next
-            WHERE r.depth < {most - 1} AND NOT array_contains(r.seen, p.page)
-        )
-        SELECT start, page, depth FROM reached"""
-    return pages.sparkSession.sql(steps, first=first, pages=pages)
+    spark, root = pages.sparkSession, work_folder(pages.sparkSession, "crawl")
+
+    def kept(df: DataFrame, depth: int) -> DataFrame:
+        df.write.parquet(f"{root}/depth={depth}")
+        return spark.read.schema(df.schema).parquet(f"{root}/depth={depth}")
+
+    table = pages.select("page", "next")
+    front = kept(table.filter(starts).select(F.col("page").alias("start"), "page", "next"), 0)
+    rounds = [front]
+    while len(rounds) < most and not front.filter("next IS NOT NULL").isEmpty():
+        seen = rounds[0]
+        for r in rounds[1:]:
+            seen = seen.union(r)
+        after = front.filter("next IS NOT NULL").select("start", F.col("next").alias("page")).join(seen, ["start", "page"], "left_anti")
+        front = kept(after.join(table, "page").select("start", "page", "next"), len(rounds))
+        rounds.append(front)
+    out = None
+    for depth, r in enumerate(rounds):
+        own = r.select("start", "page", F.lit(depth).alias("depth"))
+        out = own if out is None else out.union(own)
+    return out
 
 
 def video_results(df: DataFrame, body: str) -> DataFrame:

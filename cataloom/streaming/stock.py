@@ -47,7 +47,7 @@ def deltas(stream: DataFrame) -> DataFrame:
 
 
 def merged_into(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, rejects: str | None = None, valid=None, buckets: int = 16) -> StreamingQuery:
-    """A query that keeps the last row of each key at path; a batch reads and rewrites only the buckets of its keys.
+    """A query that keeps the last row of each key at path; a batch reads and rewrites only the buckets of its keys, in one write.
 
     A replayed batch gives the same. Rows that fail valid go to rejects. merged reads the table. Versions of a bucket older
     than the one that a batch replaces are deleted.
@@ -59,16 +59,17 @@ def merged_into(stream: DataFrame, path: str, keys: list[str], order: str, check
         if rejects is not None and valid is not None:
             batch.filter(~F.coalesce(valid, F.lit(False))).write.mode("overwrite").parquet(f"{rejects}/v={number}")
         good = good.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        touched = [r.bucket for r in good.select("bucket").distinct().collect()]  # one number for each bucket
-        versions = {b: max((v for v in _versions(spark, path, b) if v < number), default=None) for b in touched}
-        before = [f"{path}/bucket={b}/v={v}" for b, v in versions.items() if v is not None]
-        rows = spark.read.option("basePath", path).parquet(*before).select(*good.columns).union(good) if before else good
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("x")).select("x.*")
-        for b in touched:
-            last.filter(F.col("bucket") == b).drop("bucket").write.mode("overwrite").parquet(f"{path}/bucket={b}/v={number}")
-            for v in _versions(spark, path, b):
-                if versions[b] is not None and v < versions[b]:
-                    p, fs = _folder(spark, f"{path}/bucket={b}/v={v}")
+        touched = {r.bucket for r in good.select("bucket").distinct().collect()}  # one number for each bucket
+        there = _versions(spark, path)
+        replaced = {b: max(v for v in there[b] if v < number) for b in touched if any(v < number for v in there.get(b, ()))}
+        before = [f"{path}/v={v}/bucket={b}" for b, v in replaced.items()]
+        rows = spark.read.schema(good.schema).option("basePath", path).parquet(*before).select(*good.columns).union(good) if before else good
+        last = rows.groupBy(*keys, "bucket").agg(F.max_by(F.struct(*rows.columns), order).alias("x")).select("x.*")
+        last.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        for b, v in replaced.items():
+            for older in there[b]:
+                if older < v:
+                    p, fs = _folder(spark, f"{path}/v={older}/bucket={b}")
                     fs.delete(p, True)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -84,13 +85,19 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
-def _versions(spark: SparkSession, path: str, bucket: int) -> list[int]:
-    """Finished versions of a bucket."""
-    made = [n for n in _names(spark, f"{path}/bucket={bucket}") if n.startswith("v=")]
-    return [int(n[2:]) for n in made if "_SUCCESS" in _names(spark, f"{path}/bucket={bucket}/{n}")]
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The finished versions of each bucket."""
+    out: dict[int, list[int]] = {}
+    for name in _names(spark, path):
+        inside = _names(spark, f"{path}/{name}") if name.startswith("v=") else []
+        if "_SUCCESS" in inside:
+            for b in inside:
+                if b.startswith("bucket="):
+                    out.setdefault(int(b[7:]), []).append(int(name[2:]))
+    return out
 
 
 def merged(spark: SparkSession, path: str) -> DataFrame:
     """The table that merged_into keeps: the last version of each bucket."""
-    last = [f"{path}/bucket={b}/v={max(v)}" for b in (int(n[7:]) for n in _names(spark, path) if n.startswith("bucket=")) if (v := _versions(spark, path, b))]
+    last = [f"{path}/v={max(v)}/bucket={b}" for b, v in _versions(spark, path).items()]
     return spark.read.option("basePath", path).parquet(*last).drop("bucket", "v")
