@@ -85,11 +85,15 @@ def pack_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     lengths = tuple(sorted(lengths))
     cut = staged(pieces(df, id_col, text_col, lengths[-1]), "pieces", keep=True)
     shards = max(1, -(-cut.count() // SHARD_PIECES))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("id", "h", "piece"), F.lit(shards)))
+    # equal pieces are counted, and dealt out by so many copies as a shard holds
+    alike = cut.groupBy("id", "h", "piece", "start", "n_tokens").agg(F.count("*").alias("m"))
+    some = alike.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / SHARD_PIECES))))
+    some = some.withColumn("copies", F.least(F.col("m") - F.col("part") * SHARD_PIECES, F.lit(SHARD_PIECES))).drop("m")
+    dealt = some.withColumn("shard", F.pmod(F.xxhash64("id", "h", "piece", "part"), F.lit(shards)))
     names = [id_col, "piece", "start", "n_tokens", "bin_id", "bin_length", "bin_offset"]
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
+        t = t.take(pa.array(np.repeat(np.arange(t.num_rows), t.column("copies").to_numpy()))).combine_chunks()
         n, h, piece = (t.column(c).to_numpy() for c in ("n_tokens", "h", "piece"))
         full = np.flatnonzero(n > 0)
         rank = np.empty(len(n), np.int64)

@@ -3,7 +3,8 @@
 Law `bytes`. Atomic groups are the BUCKETS ranges of the text hash in order, so rows of equal texts are never parted. The
 smallest capacity for which a greedy pass needs no more than the wanted shards is found by binary search, and the cuts
 fall where the greedy pass at that capacity makes them. Only the totals of the BUCKETS groups reach the driver.
-Slots number the rows of each shard without gaps: groups are numbered in order, large ones in salted cells.
+Slots number the rows of each shard without gaps: groups are numbered in order, large ones in cells that rows are dealt to by
+their number, so rows of one id and one text are parted too.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged, tidy
+
 BUCKETS = 1 << 16
 #: Rows of a group are numbered in cells of about 1 / CELLS of all rows.
 CELLS = 1024
@@ -39,6 +42,7 @@ def cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
     return low, greedy(low)
 
 
+@tidy
 def shard_rows(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -48,11 +52,13 @@ def shard_rows(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
     ).withColumn("bucket", F.shiftrightunsigned("h", 48).cast("int"))
+    rows = staged(rows, "rows", keep=True)  # numbers of rows stay as they are when they are read again
     totals = rows.groupBy("bucket").agg(F.sum("size"), F.count("*")).collect()  # BUCKETS rows at most
     size, count = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for b, s, n in totals:
@@ -64,7 +70,7 @@ def shard_rows(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     used = np.flatnonzero(count)
     groups = spark.createDataFrame([(int(b), int(shard[b]), int(salts[b])) for b in used], "bucket int, shard int, salts int")
     # at most BUCKETS rows of three ints
-    celled = rows.join(F.broadcast(groups), "bucket").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
+    celled = rows.join(F.broadcast(groups), "bucket").withColumn("salt", F.pmod(F.xxhash64("row"), "salts").cast("int"))
     split = celled.filter("salts > 1").groupBy("bucket", "salt").count().collect()  # BUCKETS + CELLS rows at most
     cells = {(int(b), 0): int(count[b]) for b in used if salts[b] == 1} | {(b, s): n for b, s, n in split}
     before, made, last = 0, [], -1
@@ -74,7 +80,7 @@ def shard_rows(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
         made.append((b, s, before))
         before += cells[b, s]
     offsets = F.broadcast(spark.createDataFrame(made, "bucket int, salt int, before long"))
-    w = Window.partitionBy("bucket", "salt").orderBy("h", "id", "size", "text_crc32")
+    w = Window.partitionBy("bucket", "salt").orderBy("h", "id", "size", "text_crc32", "row")
     out = celled.withColumn("place", F.row_number().over(w)).join(offsets, ["bucket", "salt"])
     return out.select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",

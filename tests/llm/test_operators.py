@@ -595,6 +595,22 @@ def test_pii_terms_by_count(spark):
     assert any(rows[3][1][s:e] == "zorblax" for s, e in want[3]) and sum(map(len, want.values())) > 20
 
 
+def test_rows_of_one_id_and_text_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 50)
+    monkeypatch.setattr(sharding, "CELLS", 8)
+    df = spark.createDataFrame([(None if i % 2 else 7, "one two three") for i in range(400)] + [(i, f"text {i}") for i in range(40)], "doc_id long, text string").repartition(5)
+    packed = packing.pack_texts(df).collect()
+    assert len(packed) == 440 and len({r.bin_id >> 32 for r in packed if r.doc_id == 7}) > 1
+    used = Counter()
+    for r in packed:
+        used[r.bin_id] += r.n_tokens
+    assert all(used[r.bin_id] <= r.bin_length for r in packed) and sum(used.values()) == 400 * 3 + 80
+    assert len({(r.bin_id, r.bin_offset) for r in packed}) == 440
+    slots = sharding.shard_rows(df, 3).collect()
+    for k in range(3):
+        assert sorted(r.slot for r in slots if r.shard == k) == list(range(sum(r.shard == k for r in slots)))
+
+
 def test_packing_does_not_depend_on_the_order_of_rows(spark):
     rng = random.Random(4)
     rows = [(i if i % 3 else i // 3, sentence(rng.choice([5, 60, 300, 700]), rng)) for i in range(80)]
