@@ -3,15 +3,19 @@ r"""Main text of web pages from streaming parser events, text-to-tag ratios and
 The standard-library parser streams tags and text; block-level tags cut the page into lines. Each line has the ratio of its
 text length to its tags. The ratios are smoothed by a Gaussian over neighbouring lines, a two-means threshold splits them,
 and the lines above it form the content clusters. The content region is the smallest element that holds most of the
-clustered text. Where the page marks its articles, only these can be regions, and one is kept whole, since short paragraphs
-belong to it too; in a page without any, a region that is the page itself ends at its outermost clusters.
+clustered text. Where the page marks its articles, only these can be regions, and one is kept with its short paragraphs, which
+belong to it too; but an element in it that is named like furniture in part (related-work, related-posts) stays or goes by
+whether its text lies in the clusters. In a page without any, a region that is the page itself ends at its outermost
+clusters, and what a heading calls reader comments goes with that heading's element.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +43,12 @@ FURNITURE = frozenset(
     "overlay comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe signup "
     "login pagination pager widget toolbar complementary contentinfo search hidden".split()
 )
-#: Those that mark furniture inside an article even as a part of a name; others must be the whole name there.
-SURE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsored comment comments disqus replies share sharing social related "
-    "newsletter subscribe cookie cookies consent promo breadcrumb breadcrumbs pagination pager sidebar navbar".split()
-)
+#: Those that mark furniture inside an article even as a part of a name.
+SURE = frozenset("comment comments disqus replies cookie cookies consent breadcrumb breadcrumbs pagination pager navbar".split())
+#: Those that, as a part of a name inside an article, leave it to the clusters; others must be the whole name there.
+MAYBE = frozenset("ad ads advert adverts advertisement advertising sponsored share sharing social related newsletter subscribe promo sidebar".split())
+#: Headings of reader comments.
+COMMENTS = re.compile(r"(?i)^(\d+\s+)?(reader |user )?(comments?|responses|replies|kommentare|commentaires|comentarios)\W*(\(?\d+\)?)?\W*$")
 #: Share of the clustered text that the content region holds.
 MOST = 0.75
 WORDS = re.compile(r"[a-z]+")
@@ -51,13 +56,27 @@ WHITE = re.compile(r"\s+")
 SIGMA = 1.5
 
 
+class _Open(NamedTuple):
+    """An open element: tag, furniture here or above, region, number, nearest block element, in a heading, in a link, suspect."""
+
+    tag: str
+    bad: bool
+    region: int
+    number: int
+    block: int
+    heading: bool
+    link: bool
+    suspect: int
+
+
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags, link characters, region or 0, is heading, element)."""
+    """Collects lines: (text, tags, link characters, region or 0, is heading, element, suspect element or 0)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, int, int]] = []  # tag, furniture here or above, region, number
+        self.lines: list[tuple[str, int, int, int, bool, int, int]] = []
+        self.stack: list[_Open] = []
+        self.counts: Counter[str] = Counter()  # open elements by tag
         self.names = [""]
         self.above = [0]  # the element around each element; 0 is the page
         self.parts: list[str] = []
@@ -66,11 +85,15 @@ class _Lines(HTMLParser):
     def _cut(self) -> None:
         text = WHITE.sub(" ", "".join(self.parts)).strip()
         if text:
-            region = self.stack[-1][2] if self.stack else 0
-            element = next((s[3] for s in reversed(self.stack) if s[0] in BLOCK), 0)
-            self.lines.append((text, self.tags, self.linked, region, any(s[0] in HEADINGS for s in self.stack), element))
+            top = self.stack[-1] if self.stack else OUTSIDE
+            self.lines.append((text, self.tags, self.linked, top.region, top.heading, top.block, top.suspect))
         self.parts, self.tags, self.linked = [], 0, 0
 
+    def _close(self, size: int) -> None:
+        for s in self.stack[size:]:
+            self.counts[s.tag] -= 1
+        del self.stack[size:]
+
     def _furniture(self, tag: str, attrs: dict[str, str | None], region: int) -> bool:
         if tag in NOT_TEXT or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
             return True
@@ -99,19 +122,28 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         if tag in ("article", "main"):  # an article doesn't stand in a menu that was never closed
-            while self.stack and any(s[0] in ("nav", "header") for s in self.stack):
-                self.stack.pop()
+            while self.counts["nav"] or self.counts["header"]:
+                self._close(len(self.stack) - 1)
         elif tag == "body":
-            self.stack = [s for s in self.stack if s[0] == "html"]
-        above = self.stack[-1] if self.stack else ("", False, 0, 0)
+            stay = [s for s in self.stack if s.tag == "html"]
+            self._close(0)
+            self.stack = stay
+            self.counts["html"] += len(stay)
+        above = self.stack[-1] if self.stack else OUTSIDE
         a = dict(attrs)
-        region = above[2]
-        bad = above[1] or self._furniture(tag, a, region)
+        region = above.region
+        bad = above.bad or self._furniture(tag, a, region)
         if not bad and not region and (tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody"):
             self.regions += 1
             region = self.regions
-        self.stack.append((tag, bad, region, len(self.above)))
-        self.above.append(above[3])
+        number = len(self.above)
+        suspect = above.suspect
+        if not suspect and above.region and tag not in ("article", "main"):
+            named = " ".join(v for k in ("class", "id", "role") if (v := a.get(k)))
+            suspect = number if named and not MAYBE.isdisjoint(WORDS.findall(named.lower())) else 0
+        self.stack.append(_Open(tag, bad, region, number, number if tag in BLOCK else above.block, above.heading or tag in HEADINGS, above.link or tag == "a", suspect))
+        self.counts[tag] += 1
+        self.above.append(above.number)
         self.names.append(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -125,19 +157,24 @@ class _Lines(HTMLParser):
         elif tag in ("td", "th"):
             self.parts.append(" ")
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
+        if self.counts[tag]:
+            i = len(self.stack) - 1
+            while self.stack[i].tag != tag:
+                i -= 1
+            self._close(i)
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][1]:
+        top = self.stack[-1] if self.stack else OUTSIDE
+        if top.bad:
             return
         self.parts.append(data)
-        if any(s[0] == "a" for s in self.stack):
+        if top.link:
             self.linked += len(data.strip())
 
 
+OUTSIDE = _Open("", False, 0, 0, 0, False, False, 0)
+
+
 def _threshold(x: np.ndarray) -> float:
     """Two-means cut of the smoothed ratios."""
     cut = x.mean()
@@ -152,14 +189,31 @@ def _threshold(x: np.ndarray) -> float:
     return float(cut)
 
 
-def content_lines(lines: list[tuple[str, int, int, int, bool, int]]) -> np.ndarray:
-    """Which lines the smoothed text-to-tag ratio puts into content clusters."""
+def content_lines(lines: list[tuple[str, int, int, int, bool, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(which lines the smoothed text-to-tag ratio puts into content clusters, which lines reach them by themselves)."""
     ratio = np.array([len(t) / max(1, n) for t, n, *_ in lines])
     reach = np.arange(-4, 5)
     kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
     padded = np.pad(ratio, 4, mode="edge")
     smooth = np.convolve(padded, kernel / kernel.sum(), mode="valid")
-    return smooth >= _threshold(smooth)
+    cut = _threshold(smooth)
+    return smooth >= cut, ratio >= cut
+
+
+def _without_comments(p: _Lines) -> list[tuple[str, int, int, int, bool, int, int]]:
+    """The lines outside of elements with a heading of reader comments; where such a heading stands in the page itself, all before it."""
+    gone = np.zeros(len(p.above), bool)
+    lines = p.lines
+    for at, (text, _, _, _, heading, element, _) in enumerate(lines):
+        if heading and COMMENTS.match(text):
+            around = p.above[element] if p.names[element] in HEADINGS else element
+            if not around or p.page_wide(around):
+                lines = lines[:at]
+                break
+            gone[around] = True
+    for i in range(1, len(gone)):  # an element comes after those around it
+        gone[i] |= gone[p.above[i]]
+    return [x for x in lines if not gone[x[5]]]
 
 
 def main_text(html: str | None) -> str:
@@ -172,21 +226,28 @@ def main_text(html: str | None) -> str:
     if not rest.startswith("<"):  # an unfinished tag at the end of a cut page is no text
         p.close()
     p._cut()
-    lines = p.lines
+    lines = p.lines if p.regions else _without_comments(p)
     if not lines:
         return ""
-    inside = content_lines(lines)
+    inside, alone = content_lines(lines)
     if p.regions:
         weight = np.zeros(p.regions + 1)
         for (text, _, _, region, *_), good in zip(lines, inside):
             weight[region] += len(text) * (1.0 if good else 0.1)
         weight[0] = 0
         best = weight.max()
-        keep = [r > 0 and weight[r] >= best / 2 for *_, r, _, _ in lines]
+        keep = [r > 0 and weight[r] >= best / 2 for _, _, _, r, *_ in lines]
+        held: dict[int, list[int]] = {}  # of suspect elements: characters in clusters that are no links, and all
+        for (text, _, linked, _, _, _, suspect), good in zip(lines, inside | alone):
+            if suspect:
+                own = held.setdefault(suspect, [0, 0])
+                own[0] += len(text) if good and linked * 2 <= len(text) else 0
+                own[1] += len(text)
+        keep = [k and (not s or 2 * held[s][0] > held[s][1]) for k, (*_, s) in zip(keep, lines)]
         if any(keep):
             return "\n".join(text for (text, *_), k in zip(lines, keep) if k)
     held = np.zeros(len(p.above))
-    for (text, *_, element), good in zip(lines, inside):
+    for (text, _, _, _, _, element, _), good in zip(lines, inside):
         held[element] += len(text) * good
     for i in range(len(held) - 1, 0, -1):  # an element comes after those around it
         held[p.above[i]] += held[i]
@@ -195,7 +256,7 @@ def main_text(html: str | None) -> str:
     within[region] = True
     for i in range(region + 1, len(held)):
         within[i] = within[p.above[i]]
-    keep = np.array([within[element] and linked * 2 <= len(text) for text, _, linked, _, _, element in lines])
+    keep = np.array([within[element] and linked * 2 <= len(text) for text, _, linked, _, _, element, _ in lines], bool)
     if region == 0 or p.page_wide(region):
         at = np.flatnonzero(inside & keep)
         if not len(at):

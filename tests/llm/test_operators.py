@@ -56,6 +56,23 @@ def test_html():
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<p") == ""
 
 
+def test_html_names_in_part_leave_it_to_the_clusters():
+    body = [f"Paragraph number {i} of the article, which has quite some words in it to read." for i in range(6)]
+    page = "<body><article>" + "".join(f"<p>{x}</p>" for x in body) + "{}</article>"
+    work, history = "Earlier work did this and that, in a paragraph as long as others are here.", "The patient lives alone and works in an office, as was said at the time."
+    inner = f"<section id='related-work'><p>{work}</p></section><div class='social-history'><p>{history}</p></div><div class='related-posts'><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></div><div class='reader-comments'><p>{work}</p></div>"
+    assert html_extract.main_text(page.format(inner)) == "\n".join([*body, work, history])
+    plain = "<body>" + "".join(f"<p>{x}</p>" for x in body)
+    comment = "<p>I liked this article very much, since it has so many words in it to read.</p>"
+    for end in (f"<div><h3>Comments</h3>{comment}</div>", f"<h3>3 Comments</h3>{comment}{comment}", f"<section><div><h4>Kommentare (2)</h4></div></section>"):
+        assert html_extract.main_text(plain + end) == "\n".join(body)
+
+
+def test_html_of_deep_pages_in_linear_time():
+    deep = 20_000
+    assert html_extract.main_text("<div>" * deep + "<p>some text of a page here</p>" + "</div>" * deep + "</x>" * deep) == "some text of a page here"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article>é</article>"), (None, None, None), (2, "u", "")], "page_id long, url string, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(df).collect()}
