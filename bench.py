@@ -4,12 +4,14 @@ import json
 import os
 import time
 
+from cataloom.plans import more, remote, rules, sources, streams, upkeep  # noqa: F401  (register their queries)
 from cataloom.plans.queries import REGISTERED
 from cataloom.session import get_session
 
 HEADLINE = [
     "adu_by_sku", "adu_growth", "product_total_adu", "brand_total_adu", "days_of_supply_top10", "catalog_adu_history", "popularity_top10",
     "similar_products", "latest_price", "kpi_summary", "upsert_products", "dedupe_reparent", "fuzzy_name_match", "weight_match_full_outer", "page_links",
+    "kpi_row", "best_images", "reviews_resolved", "duplicates_kept", "nearest_products", "refit_motion", "selector_prices", "sheet_numbers",
 ]
 
 

@@ -49,6 +49,33 @@ def paged_to_stated_total(spark, d):
     return X.counted_rows(found.withColumn("body", F.replace("body", F.lit('"items"'), F.lit('"data"'))), "key", schema, most)
 
 
+@query("SELECT p_partkey, p_brand FROM part")
+def paged_by_offset(spark, d):
+    """An export in pages by offset, read until a page isn't full; the last one is short or empty."""
+    part = V.table(spark, d, "part").select("p_partkey", "p_brand")
+    n = part.count()
+    page = F.floor(F.col("p_partkey") / LIMIT).cast("int")
+    bodies = part.groupBy(page.alias("page")).agg(F.to_json(F.struct(F.collect_list(F.struct("p_partkey", "p_brand")).alias("items"))).alias("body"))
+    folder = work_folder(spark, "export")
+    bodies.withColumn("offset", F.col("page") * LIMIT).drop("page").write.partitionBy("offset").text(folder)
+    at = folder if "://" in folder else f"file://{folder}"
+    most = n // LIMIT + 2
+    found = P.pages(spark, at + "/offset={offset}", ["products"], LIMIT, most, per_task=3)
+    return X.collection_rows(found, "key", "items array<struct<p_partkey:long,p_brand:string>>", "items", LIMIT, most).drop("key")
+
+
+@query("SELECT c_custkey, CASE WHEN n_nationkey % 3 > 0 THEN n_name END AS place FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def static_lookup(spark, d):
+    """A lookup kept as one JSON document of many lines, joined to a table; entries without a name are unknown."""
+    path = work_folder(spark, "lookup")
+    entry = F.struct(F.col("n_nationkey").alias("key"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_name")).alias("name"))
+    document = V.table(spark, d, "nation").agg(F.to_json(F.collect_list(entry), {"pretty": "true"}).alias("value"))  # 25 nations
+    document.coalesce(1).write.text(path)
+    lookup = spark.read.schema("key long, name string").option("multiLine", True).json(path)
+    c = V.table(spark, d, "customer")
+    return c.join(F.broadcast(lookup), F.col("c_nationkey") == F.col("key"), "left").select("c_custkey", F.col("name").alias("place"))
+
+
 # ---- page trees
 
 PRICE = "(1000 + p_size * 37) || '.' || lpad((p_partkey % 100)::VARCHAR, 2, '0')"
