@@ -13,8 +13,8 @@ Lines of more than LONG words carry 128 bits more, those of more than VERY_LONG
 Lines with equal sets of words need no comparison: 64-bit hashes of their words agree in sum, in sum of squares and in number. A posting names the prefix word
 before it: two lines that share that one too have met there already. A word shared by thousands of like lines makes no
 square of pairs: each line is first verified against its earliest candidate for each word; only lines that none of these
-matches meet all their other candidates, in a join.
-Postings travel as packed arrays, a row for each map task and bucket.
+matches meet all their other candidates, by the postings of their own words.
+Postings travel as packed arrays, a row for each map task and bucket; the prefix and the parity bits of a line as bytes.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, field_type, pack, release, sent, staged, tidy, unpack
-from .words import Words, chunks, mix
+from .words import Words, blocked, chunks, mix
 
 #: Counters of the rarity table, one byte each: the broadcast has 4 MB, whatever the corpus.
 SKETCH = 1 << 22
 PIECES = 256
-THRESHOLD = 0.8
+#: The least similarity, PART / WHOLE.
+PART, WHOLE = 4, 5
+THRESHOLD = PART / WHOLE
 #: Sets of so many words reach THRESHOLD only when equal, which their hash tells; they need no postings.
 ONLY_EQUAL = 3
 #: Lines of more words carry longer parity bits: two unlike lines of n words differ in half the bits, and 2n/9 are allowed.
@@ -41,9 +43,11 @@ LONG, VERY_LONG = 96, 160
 #: Lines that may share a word and be compared in one task; words that more may share are dealt out as pairs of chunks.
 CHUNK = 4096
 #: Postings of a bucket, about; lines whose postings are packed together.
-BUCKET, PACKED_LINES = 1 << 18, 1 << 15
-#: Postings are shuffled in so many rounds, so that only one round's are on disk.
-ROUNDS = 2
+BUCKET, PACKED_LINES = 1 << 17, 1 << 15
+#: Bytes of a prefix word, and of the parity bits that all lines carry.
+WORD, BITS = 5, 12
+#: Groups of up to so many lines are compared together, larger ones by themselves.
+SMALL_GROUP = 256
 #: Texts are hashed so many bytes at a time, few enough that the arrays stay in the processor's cache.
 HASHED_BYTES = 1 << 17
 EPS = 1e-9
@@ -96,36 +100,58 @@ def _counted(df: DataFrame, hashes) -> np.ndarray:
 
 def rarity(df: DataFrame, text_col: str) -> np.ndarray:
     """Levels of the counts of all words of all texts."""
-    return _counted(df.select(F.col(text_col).cast("string")), lambda b: (w.hash for w in chunks(b.column(0), HASHED_BYTES)))
+    return _counted(df.select(F.col(text_col).cast("string")), lambda b: (w.hash for w in chunks(b.column(0), HASHED_BYTES, blocked)))
 
 
 def postings(sets: DataFrame) -> np.ndarray:
     """Levels of the counts of all prefix words, by word mod SKETCH."""
-    return _counted(sets.select("prefix"), lambda b: [b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)])
+    return _counted(sets.select("prefix"), lambda b: [_words(_binary(b.column(0))[1])])
+
+
+def _binary(column) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a binary column without nulls, from its first row's bytes on."""
+    a = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.binary())
+    if not len(a):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    offset = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    return offset - offset[0], np.frombuffer(a.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]]
+
+
+def _from_bytes(offset: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offset) - 1, [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """Prefix words from their bytes."""
+    out = np.zeros((len(data) // WORD, 8), np.uint8)
+    out[:, :WORD] = data.reshape(-1, WORD)
+    return out.view("<u8").reshape(-1)
 
 
 def line_sets(w: Words, level: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
     """The lines of enough words of a chunk: row, line, n, sid and alt (sums of the words' hashes and of their squares), sig (parity bits), and their prefix words."""
-    per_line = np.bincount(w.line, minlength=int(w.first_line[-1]) + 1 if len(w.first_line) else 1)
-    long = per_line[w.line] >= min_words if len(w.line) else np.zeros(0, bool)
-    h, line, row = w.hash[long], w.line[long], w.row[long]
+    h, line = w.hash, w.line
+    if min_words > 1 and len(h):
+        long = np.bincount(line)[line] >= min_words
+        h, line = h[long], line[long]
     if not len(h):
         return {}
-    first = np.r_[True, line[1:] != line[:-1]]
-    which = np.cumsum(first) - 1
-    lines, rows = line[first], row[first]
-    known, code = np.unique(h, return_inverse=True)
-    rank = level[(known & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | np.arange(len(known), dtype=np.uint64)
+    at = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    lines, edge = line[at], np.r_[at, len(line)]
+    rank = level[(h & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | h >> np.uint64(24)
     parts = []
     for a in range(0, len(lines), 65536):  # line, rarity and word share one sort key
-        own = (which >= a) & (which < a + 65536)
-        k = (which[own] - a).astype(np.uint64) << np.uint64(48) | rank[code[own]]
-        k.sort()
-        parts.append((a, k[np.r_[True, k[1:] != k[:-1]]]))
-    which = np.concatenate([(k >> np.uint64(48)).astype(np.int64) + a for a, k in parts])
-    key = np.concatenate([k for _, k in parts])
-    h = known[(key & np.uint64((1 << 40) - 1)).astype(np.int64)]
-    word = (h >> np.uint64(24)).astype(np.int64)
+        z = min(len(lines), a + 65536)
+        own = slice(edge[a], edge[z])
+        k = np.repeat(np.arange(z - a, dtype=np.uint64) << np.uint64(48), np.diff(edge[a : z + 1])) | rank[own]
+        o = np.argsort(k)
+        k, x = k[o], h[own][o]
+        new = np.r_[True, k[1:] != k[:-1]]
+        if (x[1:] != x[:-1])[~new[1:]].any():  # words that agree in the bits of the key
+            x = x[np.lexsort((x, k))]
+            new[1:] |= x[1:] != x[:-1]
+        parts.append(((k[new] >> np.uint64(48)).astype(np.int64) + a, x[new]))
+    which, h = (np.concatenate(x) for x in zip(*parts))
     n = np.bincount(which, minlength=len(lines))
     start = np.cumsum(n) - n
     with np.errstate(over="ignore"):
@@ -134,14 +160,43 @@ def line_sets(w: Words, level: np.ndarray, min_words: int) -> dict[str, np.ndarr
     low, bit = place < 64, np.uint64(1) << (place & np.uint64(63))
     sig, sig2 = (np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), start) for own in (low, ~low))
     width, more = long_bits(h, which, n)
-    size = n - np.ceil(THRESHOLD * n - EPS).astype(np.int64) + 1
-    use = np.arange(len(word)) - start[which] < size[which]
-    return {"row": rows, "line": lines - w.first_line[rows - w.rows.start], "n": n, "sid": sid, "alt": alt, "sig": sig, "sig2": sig2, "width": width, "more": more, "size": size, "word": word[use]}
+    size = _prefix_size(n)
+    use = np.arange(len(h)) - start[which] < size[which]
+    row = np.searchsorted(w.first_line, lines, "right") - 1
+    return {"row": row + w.rows.start, "line": lines - w.first_line[row], "n": n, "sid": sid, "alt": alt, "sig": sig, "sig2": sig2, "width": width, "more": more, "size": size, "word": h[use] >> np.uint64(24)}
+
+
+def _prefix_size(n: np.ndarray) -> np.ndarray:
+    return n - np.ceil(THRESHOLD * n - EPS).astype(np.int64) + 1
+
+
+def _width(n: np.ndarray) -> np.ndarray:
+    """Bytes of the longer parity bits of lines of n words."""
+    return np.where(n > VERY_LONG, 64, np.where(n > LONG, 16, 0))
+
+
+def _parity_bytes(x: dict[str, np.ndarray]) -> pa.Array:
+    """The parity bits of lines: BITS bytes of sig and sig2, then the longer ones."""
+    offset = np.r_[0, np.cumsum(BITS + x["width"])]
+    out, rest = np.empty(offset[-1], np.uint8), np.ones(offset[-1], bool)
+    at = offset[:-1, None] + np.arange(BITS)
+    out[at] = np.concatenate([x["sig"].astype("<u8").view(np.uint8).reshape(-1, 8), x["sig2"].astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
+    rest[at] = False
+    out[rest] = x["more"]
+    return _from_bytes(offset, out)
+
+
+def _parities(n: np.ndarray, offset: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
+    """sig, sig2, width, fold and full of lines of n words whose parity bits begin at offset of data."""
+    both = np.ascontiguousarray(data[offset[:, None] + np.arange(BITS)])
+    width = _width(n)
+    own = {"sig": np.ascontiguousarray(both[:, :8]).view("<u8").reshape(-1), "sig2": np.ascontiguousarray(both[:, 8:]).view("<u4").reshape(-1), "width": width}
+    return own | long_parities(data, offset + BITS, width)
 
 
 def long_bits(h: np.ndarray, which: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of each line, all bytes): 512 parity bits of very long lines, folded to 128 for long ones, none for others."""
-    width = np.where(n > VERY_LONG, 64, np.where(n > LONG, 16, 0))
+    width = _width(n)
     own = n > LONG
     if not own.any():
         return width, np.zeros(0, np.uint8)
@@ -175,113 +230,120 @@ def long_parities(data: np.ndarray, offset: np.ndarray, width: np.ndarray) -> di
 
 
 def _line_rows(src: DataFrame, level, min_words: int) -> DataFrame:
-    """A row for each line of enough words: sid, alt, id, h, line, n, sig and prefix (40 bits of its words' hashes, from the rarest)."""
-    schema = f"sid bigint, alt bigint, id {field_type(src, 'id')}, h bigint, line int, n int, sig bigint, sig2 int, more binary, prefix array<bigint>"
+    """A row for each line of enough words: sid, alt, id, h, line, n, bits and prefix (40 bits of its words' hashes, from the rarest)."""
+    schema = f"sid bigint, alt bigint, id {field_type(src, 'id')}, h bigint, line int, n int, bits binary, prefix binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for w in chunks(b.column(2), HASHED_BYTES):
+            for w in chunks(b.column(2), HASHED_BYTES, blocked):
                 x = line_sets(w, level.value, min_words)
                 if x:
                     at = pa.array(x["row"])
-                    prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(x["size"])].astype(np.int32)), pa.array(x["word"]))
-                    more = pa.Array.from_buffers(pa.binary(), len(x["n"]), [None, pa.py_buffer(np.r_[0, np.cumsum(x["width"])].astype(np.int32)), pa.py_buffer(x["more"])])
-                    cols = [pa.array(x["sid"].view(np.int64)), pa.array(x["alt"].view(np.int64)), b.column(0).take(at), b.column(1).take(at), *(pa.array(x[k].astype(np.int32)) for k in ("line", "n")), pa.array(x["sig"].view(np.int64)), pa.array(x["sig2"].astype(np.uint32).view(np.int32)), more, prefix]
-                    yield pa.RecordBatch.from_arrays(cols, ["sid", "alt", "id", "h", "line", "n", "sig", "sig2", "more", "prefix"])
+                    prefix = _from_bytes(np.r_[0, np.cumsum(WORD * x["size"])], x["word"].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD])
+                    cols = [*(pa.array(x[k].view(np.int64)) for k in ("sid", "alt")), b.column(0).take(at), b.column(1).take(at), *(pa.array(x[k].astype(np.int32)) for k in ("line", "n")), _parity_bytes(x), prefix]
+                    yield pa.RecordBatch.from_arrays(cols, ["sid", "alt", "id", "h", "line", "n", "bits", "prefix"])
 
     return src.mapInArrow(run, schema)
 
 
 def _passes(i: np.ndarray, j: np.ndarray, x: dict[str, np.ndarray]) -> np.ndarray:
-    """Whether the lines i and j pass the length, positional and bitmap filters, and didn't meet at the word before."""
-    if i.ndim > 1 or j.ndim > 1:
-        i, j = np.broadcast_arrays(i, j)
-        return _passes(i.ravel(), j.ravel(), x).reshape(i.shape)
-    n, place = x["n"], x["place"]
-    ok = np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j]) - EPS
-    ok &= (x["prev"][i] != x["prev"][j]) | (place[i] == 0) | (place[j] == 0)
-    at = np.flatnonzero(ok)
+    """Which pairs of the lines i and j pass the length, positional and bitmap filters, are two lines and didn't meet at the word before: positions."""
+    n, place, prev, sid = x["n"], x["place"], x["prev"], x["sid"]
+    a, b = n[i], n[j]
+    at = np.flatnonzero(WHOLE * np.minimum(a, b) >= PART * np.maximum(a, b))
     i, j = i[at], j[at]
-    total = n[i] + n[j]
-    need = np.ceil(THRESHOLD / (1 + THRESHOLD) * total - EPS)
+    total = a[at] + b[at]
+    need = -(-PART * total // (PART + WHOLE))
     spare = total - 2 * need
-    good = np.bitwise_count(x["sig"][i] ^ x["sig"][j]).astype(np.int64) + np.bitwise_count(x["sig2"][i] ^ x["sig2"][j]) <= spare
+    good = np.flatnonzero(np.bitwise_count(x["sig"][i] ^ x["sig"][j]).astype(np.int64) + np.bitwise_count(x["sig2"][i] ^ x["sig2"][j]) <= spare)
     at, i, j, need, spare = at[good], i[good], j[good], need[good], spare[good]
-    good = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j]) >= need
+    p, q = place[i], place[j]
+    good = np.minimum(n[i] - p, n[j] - q) + np.minimum(p, q) >= need
+    good &= ((prev[i] != prev[j]) | (p == 0) | (q == 0)) & (sid[i] != sid[j])
     for size, bits in ((16, "fold"), (64, "full")):
         own = np.flatnonzero(good & (x["width"][i] >= size) & (x["width"][j] >= size))
         if len(own):
             good[own] = np.bitwise_count(x[bits][i[own]] ^ x[bits][j[own]]).sum(axis=1, dtype=np.int64) <= spare[own]
-    ok[:] = False
-    ok[at[good]] = True
-    return ok
+    return at[good]
 
 
-def earliest_candidates(x: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): for each line i the earliest j before it in its group that passes the filters.
+def candidates(x: dict[str, np.ndarray], group: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): for each line i the earliest j before it in its group that passes the filters; with every, all such j for the lines in x["open"] alone.
 
-    group: ascending group numbers; within a group lines stand in corpus order.
+    group: ascending group numbers; within a group lines stand in corpus order. They are compared by length, as far as lengths agree.
     """
-    start = np.searchsorted(group, group)
-    back = np.arange(len(group)) - start
-    best = np.full(len(group), -1)
-    small = np.bincount(group)[group] <= 64
-    i = np.flatnonzero(small & (back >= 1))
-    for k in range(1, int(back[small].max(initial=0)) + 1):  # all small groups at once: each line with the k-th before it
-        i = i[back[i] >= k]
-        hit = i[_passes(i, i - k, x)]
-        best[hit] = hit - k
+    best, found = np.full(len(group), len(group)), [np.zeros((2, 0), np.int64)]
+
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        i, j = np.maximum(i, j), np.minimum(i, j)
+        if every:
+            own = np.flatnonzero(x["open"][i])
+            i, j = i[own], j[own]
+        at = _passes(i, j, x)
+        if every:
+            found.append(np.stack([i[at], j[at]]))
+        else:
+            np.minimum.at(best, i[at], j[at])
+
+    size = np.bincount(group)
+    by_n = np.argsort(group << 32 | x["n"]) if len(group) else group
+    n, start = x["n"][by_n], np.repeat(np.cumsum(size) - size, size)
+    small = size[group] <= SMALL_GROUP
+    at, k = np.flatnonzero(small), 1
+    while len(at):  # all small groups at once: each line with the k-th shorter one
+        at = at[at - k >= start[at]]
+        at = at[WHOLE * n[at - k] >= PART * n[at]]
+        for a in range(0, len(at), 1 << 15):
+            meet(by_n[at[a : a + (1 << 15)]], by_n[at[a : a + (1 << 15)] - k])
+        k += 1
     for a in np.unique(start[~small]):
-        z = np.searchsorted(group, group[a], "right")
-        for at in range(a, z, 512):
-            i, j = np.arange(at, min(z, at + 512))[:, None], np.arange(a, min(z, at + 512))[None, :]
-            ok = (j < i) & _passes(i, j, x)
-            hit = np.flatnonzero(ok.any(axis=1))
-            best[hit + at] = ok[hit].argmax(axis=1) + a
-    i = np.flatnonzero(best >= 0)
+        z = a + size[group[a]]
+        low = np.maximum(a, a + np.searchsorted(WHOLE * n[a:z], PART * n[a:z]))
+        for i in range(a, z, 64):
+            own = np.arange(i, min(z, i + 64))
+            other = own - low[own - a]
+            meet(by_n[np.repeat(own, other)], by_n[np.arange(int(other.sum())) - np.repeat(np.cumsum(other) - other, other) + np.repeat(low[own - a], other)])
+    if every:
+        return tuple(np.concatenate(found, axis=1))
+    i = np.flatnonzero(best < len(group))
     return i, best[i]
 
 
 #: The arrays of a bundle of postings, in order.
-FIELDS = (("key", "<u8"), ("prev", "<u8"), ("line", "<i4"), ("sid", "<u8"), ("n", "<i4"), ("place", "<i4"), ("sig", "<u8"), ("sig2", "<u4"), ("width", "u1"))
+FIELDS = (("key", "<u8"), ("prev", "<u8"), ("line", "<i4"), ("sid", "<u8"), ("n", "<i4"), ("place", "<i4"), ("open", "u1"))
 
 
-def _bundles(t: pa.Table, level: np.ndarray, buckets: int, turn: int) -> pa.RecordBatch:
-    """The postings of some lines in a round, a row for each bucket: a key is a word, or for very frequent ones a pair of its chunks."""
-    prefix = t.column("prefix").combine_chunks()
-    word = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    size = np.diff(prefix.offsets.to_numpy())
+def _bundles(t: pa.Table, level: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The postings of some lines, a row for each bucket: a key is a word, or for very frequent ones a pair of its chunks."""
+    offset, data = _binary(t.column("prefix"))
+    word, size = _words(data), np.diff(offset) // WORD
     who = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
     prev = np.where(place > 0, np.roll(word, 1), np.uint64(0))
-    lev = level[(word & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
+    lev = level[(word & np.uint64(SKETCH - 1)).astype(np.int64)]
     use = np.flatnonzero(lev > 1)
-    who, place, prev, word, lev = who[use], place[use], prev[use], word[use], lev[use]
-    m = _copies(lev)
+    who, place, prev, key, m = who[use], place[use], prev[use], word[use], _copies(lev[use].astype(np.int64))
     sid = t.column("sid").to_numpy().view(np.uint64)
-    c = (mix(sid)[who] % m.astype(np.uint64)).astype(np.int64)
-    x = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-    at = np.repeat(np.arange(len(who)), m)
-    low, high = np.minimum(c[at], x).astype(np.uint64), np.maximum(c[at], x).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        key = np.where(m[at] > 1, mix(word[at] * np.uint64(0x9E3779B97F4A7C15) + low * np.uint64(1 << 32) + high), word[at])
-    bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-    o = np.flatnonzero(bucket % ROUNDS == turn)
-    o = o[np.lexsort((key[o], bucket[o]))]
-    key, at, bucket = key[o], at[o], bucket[o]
-    line = who[at]
-    own = {k: t.column(k).to_numpy()[line] for k in ("line", "n", "sig", "sig2")}
-    more = t.column("more").combine_chunks().cast(pa.binary())
-    width = np.diff(np.frombuffer(more.buffers()[1], np.int32)[more.offset : more.offset + len(more) + 1])
-    values = {**own, "key": key, "prev": prev[at], "sid": sid[line], "place": place[at], "width": width[line]}
+    if (m > 1).any():
+        c = (mix(sid)[who] % m.astype(np.uint64)).astype(np.int64)
+        chunk = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        at = np.repeat(np.arange(len(who)), m)
+        low, high = np.minimum(c[at], chunk).astype(np.uint64), np.maximum(c[at], chunk).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            key = np.where(m[at] > 1, mix(key[at] * np.uint64(0x9E3779B97F4A7C15) + low * np.uint64(1 << 32) + high), key[at])
+        who, place, prev = who[at], place[at], prev[at]
+    bucket = mix(key) % np.uint64(buckets)
+    o = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    key, line, bucket = key[o], who[o], bucket[o].astype(np.int64)
+    own = {k: t.column(k).to_numpy()[line] for k in ("line", "n", "open")}
+    values = {**own, "key": key, "prev": prev[o], "sid": sid[line], "place": place[o]}
     edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
-    blobs, bits, ids = [], [], t.column("id").combine_chunks().take(pa.array(line))
-    bits_of = more.take(pa.array(line))
-    for a, z in zip(edge[:-1], edge[1:]):
-        blobs.append(pack([values[k][a:z].astype(kind) for k, kind in FIELDS]))
-        bits.append(b"".join(bits_of.slice(a, z - a).drop_null().to_pylist()) if width[line[a:z]].any() else b"")
+    ids = t.column("id").combine_chunks().take(pa.array(line))
+    offset, bits = _binary(t.column("bits").combine_chunks().cast(pa.binary()).take(pa.array(line)))
+    values = {k: values[k].astype(kind) for k, kind in FIELDS}
+    blobs = [pack([values[k][a:z] for k, _ in FIELDS]) for a, z in zip(edge[:-1], edge[1:])]
     lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), ids)
-    arrays = [pa.array(bucket[edge[:-1]]), lists, pa.array(blobs, pa.binary()), pa.array(bits, pa.binary())]
+    arrays = [pa.array(bucket[edge[:-1]]), lists, pa.array(blobs, pa.binary()), _from_bytes(offset[edge], bits)]
     return pa.RecordBatch.from_arrays(arrays, ["bucket", "ids", "blob", "bits"])
 
 
@@ -291,107 +353,81 @@ def _opened(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
     parts = [unpack(b.as_py(), n, [k for _, k in FIELDS]) for b, n in zip(t.column("blob"), sizes)]
     x = {k: np.concatenate([p[i] for p in parts]) for i, (k, _) in enumerate(FIELDS)}
     x["n"], x["place"] = x["n"].astype(np.int64), x["place"].astype(np.int64)
-    ids = pa.concat_arrays([c.flatten() for c in t.column("ids").chunks])
-    coded = ids.dictionary_encode()
-    rank = np.empty(len(coded.dictionary) + 1, np.int64)
-    rank[0] = 0  # null ids come first
-    rank[1 + pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(1, len(rank))
-    order = rank[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False) + 1] << 32 | x["line"]
-    bits = b"".join(b.as_py() for b in t.column("bits"))
-    x["more"] = np.cumsum(x["width"].astype(np.int64)) - x["width"]
-    o = np.lexsort((x["sid"].view(np.int64), order, x["key"]))
+    offset, bits = np.cumsum(BITS + _width(x["n"])), _binary(t.column("bits"))[1]
+    x["bits"] = np.r_[0, offset[:-1]] if len(offset) else offset
+    o = np.argsort(x["key"])
     key = x["key"][o]
     same = np.r_[False, key[1:] == key[:-1]]
     o = o[same | np.r_[same[1:], False]]
+    key = x["key"][o]
+    if not len(key):
+        return x, np.zeros(0, np.int64)
+    group = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+    coded = pa.concat_arrays([c.flatten() for c in t.column("ids").chunks]).take(pa.array(o)).dictionary_encode()
+    rank = np.empty(len(coded.dictionary) + 1, np.int64)
+    rank[0] = 0  # null ids come first
+    rank[1 + pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(1, len(rank))
+    order = rank[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False) + 1] << 32 | x["line"][o]
+    o = o[np.lexsort((x["sid"][o].view(np.int64), order, group))]
     x = {k: v[o] for k, v in x.items()}
-    x |= long_parities(np.frombuffer(bits, np.uint8), x.pop("more"), x["width"])
-    key = x["key"]
-    return x, np.cumsum(np.r_[False, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return x | _parities(x["n"], x.pop("bits"), bits), group
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """(sid, other): for each line and prefix word the earliest candidate."""
+def _candidates(sets: DataFrame, levels: np.ndarray, every: bool = False) -> DataFrame:
+    """(sid, other): for each line and prefix word the earliest candidate; with every, all candidates of the lines that are open. Words of level 0 or 1 are left out."""
     spark = sets.sparkSession
-    own = sets.filter(F.col("n") > ONLY_EQUAL)
-    levels = postings(own)
     many = np.where(levels <= 16, levels, _most(levels.astype(np.int64)))
     buckets = max(16, -(-int((many * _copies(levels.astype(np.int64)))[levels > 1].sum()) // BUCKET))
     level = spark.sparkContext.broadcast(levels)
-    posts = own.select("id", "line", "sid", "n", "sig", "sig2", "more", "prefix")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= PACKED_LINES:
+                yield _bundles(pa.Table.from_batches(held), level.value, buckets)
+                held, n = [], 0
+        if n:
+            yield _bundles(pa.Table.from_batches(held), level.value, buckets)
+        pa.default_memory_pool().release_unused()
 
     def meet(t: pa.Table) -> pa.Table:
         x, group = _opened(t)
-        i, j = earliest_candidates(x, group)
+        i, j = candidates(x, group, every)
         pairs = np.unique(np.stack([x["sid"][i], x["sid"][j]], axis=1).view(np.int64), axis=0) if len(i) else np.zeros((0, 2), np.int64)
         return pa.table({"sid": pairs[:, 0], "other": pairs[:, 1]})
 
-    out = None
-    for turn in range(ROUNDS):
-
-        def send(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            held, n = [], 0
-            for b in batches:
-                held.append(b)
-                n += b.num_rows
-                if n >= PACKED_LINES:
-                    yield _bundles(pa.Table.from_batches(held), level.value, buckets, turn)
-                    held, n = [], 0
-            if n:
-                yield _bundles(pa.Table.from_batches(held), level.value, buckets, turn)
-            pa.default_memory_pool().release_unused()
-
-        met = posts.mapInArrow(send, f"bucket bigint, ids array<{field_type(sets, 'id')}>, blob binary, bits binary")
-        made = staged(met.groupBy("bucket").applyInArrow(meet, "sid bigint, other bigint").distinct(), "met")
-        out = made if out is None else out.union(made)
-        del met
-        release(spark)
+    met = sets.select("id", "line", "sid", "n", "bits", "prefix", "open").mapInArrow(send, f"bucket bigint, ids array<{field_type(sets, 'id')}>, blob binary, bits binary")
+    out = staged(met.groupBy("bucket").applyInArrow(meet, "sid bigint, other bigint").distinct(), "met")
     level.destroy()
-    return out.distinct()
-
-
-def _all_candidates(sets: DataFrame, undecided: DataFrame) -> DataFrame:
-    """(sid, other): every candidate of the lines in undecided."""
-    own = sets.filter(F.col("n") > ONLY_EQUAL)
-    fields = ["w", "place", "prev", "sid", "n", "sig", "sig2", "more", "some", "id", "line"]
-    word = F.posexplode(F.transform("prefix", lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.get("prefix", i - 1)).alias("prev"))))
-    posts = own.select("*", word.alias("place", "x")).select("x.w", "place", "x.prev", *fields[3:])
-    opened = staged(own.join(sent(undecided), "sid", "left_semi"), "open").select("*", word.alias("place", "x")).select("x.w", "place", "x.prev", *fields[3:])
-    a, b = sent(staged(opened, "open")).alias("a"), posts.alias("b")
-    long, short = F.greatest("a.n", "b.n"), F.least("a.n", "b.n")
-    order = lambda t: F.struct(*(F.col(f"{t}.{k}") for k in ("some", "id", "line", "sid")))
-    total = F.col("a.n") + F.col("b.n")
-    differ = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) + F.bit_count(F.col("a.sig2").bitwiseXOR(F.col("b.sig2")))
-    near = (F.col("a.w") == F.col("b.w")) & (short >= THRESHOLD * long - EPS) & ~F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False))
-    near &= (differ <= total - 2 * F.ceil(THRESHOLD / (1 + THRESHOLD) * total - EPS)) & (order("b") < order("a"))
-    met = b.join(a, near).select(*(F.col(f"{t}.{k}").alias(f"{k}{i}") for i, t in enumerate("ab") for k in ("sid", "n", "place", "sig", "sig2", "more")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            k = t.num_rows
-            two = lambda c: np.concatenate([t.column(f"{c}{i}").to_numpy(zero_copy_only=False) for i in (0, 1)])
-            x = {"n": two("n").astype(np.int64), "place": two("place").astype(np.int64), "sig": two("sig").view(np.uint64), "sig2": two("sig2").view(np.uint32), "prev": np.arange(2 * k)}
-            more = pa.concat_arrays([t.column("more0"), t.column("more1")]).cast(pa.binary())
-            offset = np.frombuffer(more.buffers()[1], np.int32)[more.offset : more.offset + len(more) + 1].astype(np.int64)
-            x["width"] = np.diff(offset)
-            x |= long_parities(np.frombuffer(more.buffers()[2] or b"", np.uint8), offset[:-1], x["width"])
-            ok = _passes(np.arange(k), np.arange(k, 2 * k), x)
-            yield pa.RecordBatch.from_arrays([t.column("sid0"), t.column("sid1")], ["sid", "other"]).filter(pa.array(ok))
-
-    return met.mapInArrow(run, "sid bigint, other bigint").distinct()
+    del met
+    release(spark)
+    return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs(sid, other) whose lines' word sets have similarity >= THRESHOLD, compared as texts."""
     wanted = staged(pairs.select(F.explode(F.array("sid", "other")).alias("sid")).distinct(), "wanted")
     where = staged(sets.join(sent(wanted), "sid", "left_semi").select("sid", "id", "h", "line"), "where")
-    rows = where.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_set(F.struct("line", "sid")).alias("at"))
+    rows = where.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("line", "sid")).alias("at"))
     d = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    split = d.join(sent(staged(rows, "where")), d.id.eqNullSafe(F.col("wid")) & (d.h == F.col("wh"))).select(F.split("text", "\n", -1).alias("lines"), F.explode("at").alias("at"))
-    spaced = F.translate(F.lower(F.get("lines", "at.line")), "\t\x0b\f\r", "    ")
-    texts = staged(split.select("at.sid", F.array_remove(F.array_distinct(F.split(spaced, " ")), "").alias("words")).dropDuplicates(["sid"]), "texts")
-    both = pairs.join(texts.withColumnRenamed("words", "x"), "sid").join(texts.select(F.col("sid").alias("other"), F.col("words").alias("y")), "other")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= THRESHOLD * (F.size("x") + F.size("y") - shared) - EPS).select("sid", "other")
+    split = d.join(sent(staged(rows, "where")), d.id.eqNullSafe(F.col("wid")) & (d.h == F.col("wh"))).select("at", F.split("text", "\n", -1).alias("lines"))
+    found = split.select(F.inline(F.transform("at", lambda a: F.struct(a["sid"].alias("sid"), F.get("lines", a["line"]).alias("line")))))
+    texts = staged(found.dropDuplicates(["sid"]), "texts")
+    both = pairs.join(texts.withColumnRenamed("line", "x"), "sid").join(texts.select(F.col("sid").alias("other"), F.col("line").alias("y")), "other")
+
+    def similar(x: bytes, y: bytes) -> bool:
+        p, q = set(x.lower().split()), set(y.lower().split())
+        shared = len(p & q)
+        return shared * WHOLE >= PART * (len(p) + len(q) - shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(k).cast(pa.binary()) for k in ("x", "y"))
+            yield b.select(["sid", "other"]).filter(pa.array([similar(p.as_py(), q.as_py()) for p, q in zip(x, y)], pa.bool_()))
+
+    return both.select("sid", "other", "x", "y").mapInArrow(run, "sid bigint, other bigint")
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
@@ -402,7 +438,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = staged(_line_rows(src, level, min_words), "lines")
     level.destroy()
     where = F.struct(F.col("id").isNotNull().alias("some"), "id", "line", "h")
-    payload = F.first(F.struct("n", "sig", "sig2", "more", "prefix")).alias("p")
+    payload = F.first(F.struct("n", "bits", "prefix")).alias("p")
     unlike = ((F.min("alt") != F.max("alt")) | (F.min("n") != F.max("n"))).alias("unlike")
     grouped = lambda x: staged(x.groupBy("sid").agg(F.min(where).alias("first"), payload, unlike).select("sid", "first.*", "p.*", "unlike"), "sets")
     sets = grouped(lines)
@@ -412,12 +448,16 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         sets = grouped(lines)
     wide, lines = lines, staged(lines.select("sid", "id", "h", "line"), "narrow")
     discard(wide)
-    pairs = staged(_candidates(sets), "pairs")
-    gone = staged(_verified(pairs, sets, lines, df, id_col, text_col).select("sid").distinct(), "matched")
+    own = sets.filter(F.col("n") > ONLY_EQUAL)
+    levels = postings(own)
+    pairs = _candidates(own.withColumn("open", F.lit(0).cast("tinyint")), levels)
+    gone = staged(_verified(pairs, sets, df, id_col, text_col).select("sid").distinct(), "matched")
     undecided = staged(pairs.join(gone, "sid", "left_anti").select("sid").distinct(), "undecided")
     if not undecided.isEmpty():  # their earliest candidate failed; meet all others
-        more = staged(_all_candidates(sets, undecided), "pairs")
-        gone = staged(gone.union(_verified(more, sets, lines, df, id_col, text_col).select("sid")).distinct(), "matched")
+        opened = staged(own.join(sent(undecided), "sid", "left_semi").select("sid", F.lit(1).cast("tinyint").alias("open"), "prefix"), "open")
+        marked = own.join(sent(staged(opened.select("sid", "open"), "open")), "sid", "left").fillna(0, "open")
+        more = _candidates(marked, np.where(postings(opened) > 0, levels, 0).astype(np.uint8), every=True)
+        gone = staged(gone.union(_verified(more, sets, df, id_col, text_col).select("sid")).distinct(), "matched")
     judged = lines.select("sid", "id", "h", "line").join(sets.select("sid", F.struct("some", F.col("id").alias("id"), "line", "h").alias("first")), "sid").join(gone.withColumn("gone", F.lit(True)), "sid", "left")
     return judged.filter(F.col("gone").isNotNull() | (where > F.col("first"))).groupBy("id", "h").agg(F.collect_set("line").alias("lines"))
 
@@ -436,6 +476,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     lines = F.split(F.col(text_col), "\n", -1)
     cut = F.coalesce(F.col("__cataloom_lines"), F.array().cast("array<int>"))
     kept = F.filter(lines, lambda x, i: ~F.array_contains(cut, i))
-    out = j.withColumn("n_lines", F.coalesce(F.when(F.length(text_col) == 0, 0).otherwise(F.size(lines)), F.lit(0)).cast("long")).withColumn("n_removed", F.size(cut).cast("long"))
+    size = lambda text: F.length(text.cast("binary"))
+    breaks = size(F.col(text_col).cast("string")) - size(F.replace(F.col(text_col).cast("string"), F.lit("\n")))
+    out = j.withColumn("n_lines", F.coalesce(F.when(F.length(text_col) == 0, 0).otherwise(breaks + 1), F.lit(0)).cast("long")).withColumn("n_removed", F.size(cut).cast("long"))
     out = out.withColumn(text_col, F.when(F.size(cut) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col)))
     return out.drop("__cataloom_key", "__cataloom_id", "__cataloom_h", "__cataloom_lines")

@@ -6,6 +6,7 @@ joined texts, so the cost is a few numpy passes over the bytes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _VALUES[65:91] = _VALUES[97:123]
 _VALUES[_SPACE] = 0
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+LONG_WORD = 256
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -74,7 +78,34 @@ def hashed(texts: list[bytes], rows: range) -> Words:
     return Words(rows, h, row_of_line[line] + rows.start, line, first, data, starts, ends)
 
 
-def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words]:
+def blocked(texts: list[bytes], rows: range) -> Words:
+    """The words of some texts with other hashes than hashed gives, of eight bytes at a time: half the time for short words."""
+    data = np.frombuffer(b"\n%b\n%b" % (b"\n".join(texts), bytes(8)), np.uint8)
+    own = data[:-8]
+    space = (own == 32) | (own - np.uint8(9) < 5)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # starts and ends by turns
+    start, end = edge[::2], edge[1::2]
+    low = np.frombuffer(data.tobytes().lower(), np.uint8)
+    eight = np.ndarray(len(own) + 1, "<u8", low, strides=(1,))
+    size = end - start
+    with np.errstate(over="ignore"):
+        h = mix((eight[start] & _LOW_BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(_P))
+        more, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        while len(more):
+            h[more] = mix(h[more] * np.uint64(_P) + (eight[start[more] + done] & _LOW_BYTES[np.minimum(size[more] - done, 8)]))
+            done += 8
+            more = more[size[more] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]], digest_size=8).digest(), "little")
+    breaks = np.flatnonzero(own == 10)
+    line = np.repeat(np.arange(len(breaks) - 1), np.diff(np.searchsorted(start, breaks)))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    first = np.searchsorted(breaks, np.cumsum(sizes) - sizes)
+    row_of_line = np.repeat(np.arange(len(texts)), np.diff(np.r_[first, len(breaks) - 1]))
+    return Words(rows, h, row_of_line[line] + rows.start, line, first, own, start, end)
+
+
+def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES, hashed=hashed) -> Iterator[Words]:
     """The words of all texts of a batch, texts of about chunk_bytes at a time; nulls have none. A text is never divided."""
     held, at, size = [], 0, 0
     texts = column.cast(pa.binary())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cataloom.llm import decontaminate, html_extract, line_dedup, lm_score, packing, pii, quality, sharding, simhash, toxicity
 from cataloom.llm.components import components
+from cataloom.llm.words import blocked, hashed
 
 RNG = random.Random(5)
 VOCAB = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 8))) for _ in range(400)]
@@ -346,6 +347,31 @@ def test_line_dedup_keeps_lines_whose_words_share_40_bits_of_hash(spark):
     assert got == {1: 0, 2: 0, 3: 0, 4: 1}
 
 
+def test_line_dedup_lowers_only_a_to_z(spark):
+    """Lines on both sides of 0.8 whose words differ in the case of other letters alone."""
+    rng, rows = random.Random(12), []
+    vocab = [f"é{a}{b}ö" for a in "bcdfgh" for b in "klmnpqrst"]
+    for _ in range(60):
+        base = rng.sample(vocab, rng.randint(12, 40))
+        for share in (0.02, 0.06, 0.08, 0.1, 0.12):
+            rows.append((len(rows), " ".join(w.replace("é", "É") if rng.random() < share else w.upper().replace("É", "é").replace("Ö", "ö") for w in base)))
+    want = brute_lines(rows)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {i: want[i] for i, _ in rows}
+    assert 20 < sum(want.values()) < 280
+
+
+def test_blocked_words_are_those_of_hashed():
+    rng = random.Random(13)
+    long = "".join(rng.choice("ab") for _ in range(300))
+    texts = ["", "\n\n", "a\n\n b", f"{long}\t{long.upper()} {long}a {long[:256]} {long[:255]}", "x \x00 \x00\x00 x\x00", "É é A a\x0bb\x0cc\rd", "abcdefgh abcdefghi abcdefghabcdefgh"]
+    texts += ["".join(rng.choice("aB \n") for _ in range(200)) for _ in range(20)]
+    a, b = (how([t.encode() for t in texts], range(3, 3 + len(texts))) for how in (hashed, blocked))
+    assert all((getattr(a, k) == getattr(b, k)).all() for k in ("row", "line", "first_line"))
+    both = set(zip(a.hash.tolist(), b.hash.tolist()))
+    assert len(both) == len({x for x, _ in both}) == len({y for _, y in both}) == len({w for t in texts for w in t.encode().lower().split()})
+
+
 def test_line_sets_of_one_sum_are_told_apart(spark, monkeypatch):
     whole = line_dedup._line_rows
     monkeypatch.setattr(line_dedup, "_line_rows", lambda *a: whole(*a).withColumn("sid", F.pmod("sid", F.lit(7))))
