@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ _own_dir: str | None = None
 _open: list[list[tuple[str, bool]]] = []
 #: Largest staged table that is sent to all executors; beyond it tables are joined by a shuffle.
 SEND_BYTES = 32 << 20
+#: Text of a piece of a batch: what tasks make of texts at once, and what they return in one batch.
+PIECE_BYTES = 1 << 20
 
 #: ASCII white space of the word definition `[^\x20\x09-\x0D]+`; bytes.split() uses the same set.
 SPACES = "\t\n\x0b\x0c\r "
@@ -166,6 +169,16 @@ def whole_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[pa.
         yield pa.concat_tables(held).combine_chunks()
 
 
+def pieces(b: pa.RecordBatch, column: int, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about size bytes of a string or binary column; all rows in order, none divided."""
+    n = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(n, dtype=np.int64) // size
+    edges = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, b.num_rows]
+    for a, z in zip(edges[:-1], edges[1:]):
+        if z > a:
+            yield b.slice(a, z - a)
+
+
 def groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """Runs of two or more rows with equal first n_keys columns, from rows sorted by them."""
     for t in whole_groups(batches, n_keys):

@@ -24,6 +24,8 @@ SEED = 3
 SHARE = 0.4
 LEAST = 16
 BLOCK_BYTES = 4 << 20
+#: Text hashed at once: the arrays of its words take some forty times as much.
+CHUNK_BYTES = 1 << 18
 #: Words around a seed's place in an item that insertions may take up.
 SLACK = 0.25
 
@@ -103,15 +105,21 @@ def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[Items]:
             yield Items(t.column("id").combine_chunks(), t.column("text").to_pylist())
 
 
+def tally(batches: Iterator[pa.RecordBatch], items: Items) -> np.ndarray:
+    """How often each seed of a block occurs in the first column."""
+    total = np.zeros(len(items.seed), np.int64)
+    for b in batches:
+        for w in chunks(b.column(0), CHUNK_BYTES):
+            at, n = np.unique(items.hits(w.hash, w.row)[1], return_counts=True)
+            total[at] += n
+    return total
+
+
 def _counts(texts: DataFrame, sent, size: int) -> np.ndarray:
     """How often each seed of a block occurs in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for w in chunks(b.column(0)):
-                _, i = sent.value.hits(w.hash, w.row)
-                total += np.bincount(i, minlength=size)
+        total = tally(batches, sent.value)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["seed", "n"])
 
@@ -173,7 +181,7 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [x for w in chunks(b.column(2)) for x in _aligned(w, sent.value)]
+                found = [x for w in chunks(b.column(2), CHUNK_BYTES) for x in _aligned(w, sent.value)]
                 if found:
                     row, item, share, end = zip(*found)
                     at = pa.array(row, pa.int64())

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_type, groups, staged, tidy, word_bytes
+from .common import field_type, groups, pieces, sent, staged, tidy, word_bytes
 from .components import components
 
 SEED = 42
@@ -99,7 +99,7 @@ def wide_fingerprints(df: DataFrame, k: int, id_col: str, text_col: str) -> Data
     """(id, h, fp, bands, node): h is the hash of the text that tells rows of one id apart, node that of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole, 2)):
             made = [_wide(word_bytes(t.as_py()), k) for t in b.column(2)]
             arrays = [b.column(0), b.column(1), *(pa.array([m[j] for m in made], pa.list_(pa.int64())) for j in (0, 1)), pa.array([m[2] for m in made], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "h", "fp", "bands", "node"])
@@ -211,17 +211,22 @@ def _with_least(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return linked.join(per_root, "root").select("node", "component_id")
 
 
+def shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(node, x) for batches of (node, text): the sorted shingle hashes of each text as bytes, for a piece of a batch at a time."""
+    for b in (p for whole in batches for p in pieces(whole, 1)):
+        made = [np.unique(shingle_hashes(word_bytes(t.as_py()), k)).tobytes() for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["node", "x"])
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs(u, v) whose sets of k-word shingles have similarity SIMILARITY or more, computed from the texts of nodes."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     where = staged(nodes.join(wanted, "node", "left_semi").select("node", F.col("least.id").alias("wid"), F.col("least.h").alias("wh")), "wanted")
     d = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    texts = d.join(where, d.id.eqNullSafe(where.wid) & (d.h == where.wh)).select("node", "text")
+    texts = d.join(sent(where), d.id.eqNullSafe(where.wid) & (d.h == where.wh)).select("node", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [np.unique(shingle_hashes(word_bytes(t.as_py()), k)).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["node", "x"])
+        yield from shingle_sets(batches, k)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,5 +291,5 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, id_col: str = "doc_id", text
     classes = _with_least(nodes.select("node", "least"), similar_links(nodes, df, k, id_col, text_col))
     kept = staged(classes.select(F.col("component_id.id").alias("_id"), F.col("component_id.h").alias("_h")).distinct(), "kept", keep=True)
     d = df.withColumn("__cataloom_h", F.xxhash64(text_col)).withColumn("__cataloom_id", F.col(id_col))
-    stay = d.join(kept, d["__cataloom_id"].eqNullSafe(kept["_id"]) & (d["__cataloom_h"] == kept["_h"]), "left_semi")
+    stay = d.join(sent(kept), d["__cataloom_id"].eqNullSafe(kept["_id"]) & (d["__cataloom_h"] == kept["_h"]), "left_semi")
     return stay.dropDuplicates(["__cataloom_id", "__cataloom_h"]).drop("__cataloom_id", "__cataloom_h")

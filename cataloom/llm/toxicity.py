@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_type, held_out, release
+from .common import field_type, held_out, pieces, release
 from .words import Words, chunks, mix
 
 WINDOW, STRIDE = 32, 16
@@ -331,16 +331,20 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sent = spark.sparkContext.broadcast(net)
     cols = list(keep) if keep is not None else [id_col]
     n = len(cols)
-    src = df.select(*[F.col(f"`{c}`") for c in cols], held_out(id_col, 4, 2).alias("__cataloom_held"), F.col(text_col).cast("string").alias("__cataloom_text"))
+    once = text_col in cols and field_type(df, text_col) == "string"  # a text that is kept isn't sent twice
+    at = cols.index(text_col) if once else n + 1
+    text = [] if once else [F.col(text_col).cast("string").alias("__cataloom_text")]
+    src = df.select(*[F.col(f"`{c}`") for c in cols], held_out(id_col, 4, 2).alias("__cataloom_held"), *text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = np.zeros(b.num_rows)
-            for w in chunks(b.column(n + 1)):
+            for w in chunks(b.column(at)):
                 row, logit = window_scores(sent.value, w)
                 np.maximum.at(score, row, 1 / (1 + np.exp(-logit.astype(np.float64))))
             made = [b.column(n), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], [*cols, "held_out", "score", "predicted"])
+            out = pa.RecordBatch.from_arrays([*b.columns[:n], *made], [*cols, "held_out", "score", "predicted"])
+            yield from pieces(out, at) if once else (out,)
 
     fields = ", ".join(f"`{c}` {field_type(df, c)}" for c in cols)
     return src.mapInArrow(run, f"{fields}, held_out boolean, score double, predicted int")

@@ -3,15 +3,18 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from cataloom.llm import decontaminate, html_extract, line_dedup, lm_score, packing, pii, quality, sharding, simhash, toxicity
+from cataloom.llm.common import pieces
 from cataloom.llm.components import components
 from cataloom.llm.words import blocked, hashed
 
@@ -442,6 +445,51 @@ def test_decontamination(spark):
     assert decontaminate.leaks(df.filter("false"), bench).count() == decontaminate.leaks(df, bench.filter("false")).count() == 0
 
 
+def test_pieces_of_a_batch():
+    texts = ["a" * 30, None, "", "b" * 5, "é" * 40, None, "c" * 9]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["id", "text"])
+    for size in (1, 10, 32, 1 << 20):
+        got = list(pieces(b, 1, size))
+        assert all(p.num_rows for p in got) and pa.Table.from_batches(got).to_pydict() == b.to_pydict()
+        assert all(sum(len((t.as_py() or "").encode()) for t in p.column(1)) < size + 80 for p in got)  # the longest has 80
+    assert len(list(pieces(b, 1, 32))) > 2 and not list(pieces(b.slice(0, 0), 1))
+
+
+def traced(made):
+    """What made() returns, and the most MB that were allocated in Python and numpy meanwhile."""
+    tracemalloc.start()
+    try:
+        return made(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_large_batches():
+    """Counting seeds and making shingle sets of 8 MB of text takes as much as a piece of it does."""
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(vocab, k=400)) for _ in range(4000)]
+    items = decontaminate.Items(pa.array([1, 2]), [texts[5][:300], texts[5][:200]])
+    b = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(texts)], ["node", "text"])
+    counts, mb = traced(lambda: decontaminate.tally(iter([b.select(["text"])]), items))
+    seeds = [tuple(w) for t in (texts[5][:300], texts[5][:200]) for w in zip(t.split(), t.split()[1:], t.split()[2:])]
+    shared = set(seeds)
+    found = Counter(w for t in texts for w in zip(t.split(), t.split()[1:], t.split()[2:]) if w in shared)
+    assert counts.sum() == sum(found.values()) and mb < 30
+    (sizes, last), mb = traced(lambda: [(sum(x), y) for x, y in [list(zip(*((s.num_rows, s.column(1)[-1].as_py()) for s in simhash.shingle_sets(iter([b]), 5))))]][0])
+    assert sizes == 4000 and last[-1] == np.unique(simhash.shingle_hashes(texts[-1].encode().split(), 5)).tobytes() and mb < 6
+
+
+def test_kept_text_is_sent_once(spark, docs):
+    """The network of the pipeline's first stage gets each text once; columns, nulls and other types of text come back as they were."""
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    once = toxicity.drop_toxic(docs, labels)
+    assert "__cataloom_text" not in once._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, docs.collect()))
+    other = docs.withColumn("text", F.col("text").cast("binary"))
+    assert sorted(map(repr, toxicity.drop_toxic(other, labels).collect())) == sorted(map(repr, other.collect()))
+
+
 def brute_score(item, text):
     h = np.zeros((len(item) + 1, len(text) + 1), int)
     for i in range(1, len(item) + 1):
