@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import field_type, held_out, staged, tidy
-from .words import hashed, mix
+from .words import blocked, mix
 
 ORDER = 7
 #: Taken from every count for the escape.
@@ -33,6 +33,10 @@ BLOCK_BYTES = 16 << 20
 UNIT = 1 << 12
 #: Positions of a block that are coded at once.
 SLICE = 1 << 20
+#: Positions whose codes are sorted at once, a multiple of SLICE.
+RUN = 4 << 20
+#: Bytes before each text in the padded array, as many as the longest context has.
+PAD = 7
 #: The context bytes that decide which part of the trie owns a code.
 KEY = 3
 #: Parts of the trie: at least so many, and one for each so many blocks.
@@ -51,7 +55,7 @@ def word_codes(words: list[bytes], order: int, end: int = EDGE) -> tuple[np.ndar
 
     A context holds the start edge and bytes; positions before that are zero.
     """
-    data = Padded(words, order, end)
+    data = Padded(words, end)
     made = [(data.codes(a, order), data.texts(a)) for a in range(0, len(data.bytes), SLICE)]
     return tuple(map(np.concatenate, zip(*made)))
 
@@ -59,24 +63,32 @@ def word_codes(words: list[bytes], order: int, end: int = EDGE) -> tuple[np.ndar
 class Padded:
     """Texts in one array, each after zeros and its edge, so that no context reaches into the text before."""
 
-    def __init__(self, texts: list[bytes], order: int, end: int):
-        self.pad = max(order, 1)
-        head, tail = bytes(self.pad - 1) + bytes([EDGE]), bytes([end])
+    def __init__(self, texts: list[bytes], end: int):
+        head, tail = bytes(PAD - 1) + bytes([EDGE]), bytes([end])
         self.bytes = np.frombuffer(b"".join(x for t in texts for x in (head, t, tail)), np.uint8)
-        size = np.fromiter((len(t) + self.pad + 1 for t in texts), np.int64, len(texts))
+        size = np.fromiter((len(t) + PAD + 1 for t in texts), np.int64, len(texts))
         self.start = np.cumsum(size) - size
         self.own = np.ones(len(self.bytes), bool)
-        for j in range(self.pad):
+        for j in range(PAD):
             self.own[self.start + j] = False
 
     def codes(self, a: int, order: int) -> np.ndarray:
         """Codes of the positions from a that belong to texts, SLICE positions at most."""
-        z = min(len(self.bytes), a + SLICE)
-        code = self.bytes[a:z].astype(np.uint64)
-        for j in range(1, order + 1):
-            b = max(a, j)
-            code[b - a :] |= self.bytes[b - j : z - j].astype(np.uint64) << np.uint64(8 * j)
-        return code[self.own[a:z]]
+        a, z = max(a, PAD), min(len(self.bytes), a + SLICE)
+        if z <= a:
+            return np.zeros(0, np.uint64)
+        eight = np.ndarray(z - a, ">u8", self.bytes, a - PAD, (1,))  # each byte with the PAD bytes before it
+        return (eight.astype(np.uint64) & _mask(order))[self.own[a:z]]
+
+    def run(self, a: int, order: int) -> np.ndarray:
+        """Codes of the positions from a that belong to texts, RUN positions at most."""
+        z = min(len(self.bytes), a + RUN)
+        code, n = np.empty(int(np.count_nonzero(self.own[a:z])), np.uint64), 0
+        for b in range(a, z, SLICE):
+            c = self.codes(b, order)
+            code[n : n + len(c)] = c
+            n += len(c)
+        return code
 
     def texts(self, a: int) -> np.ndarray:
         """Text numbers of the same positions."""
@@ -86,6 +98,67 @@ class Padded:
         return np.repeat(np.arange(first, last + 1), np.diff(edge))[self.own[a:z]]
 
 
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and their counts; the array given is sorted and overwritten, so that no second one is held."""
+    values.sort()
+    n, before, counts = 0, -1, []
+    for a in range(0, len(values), SLICE):
+        z = min(len(values), a + SLICE)
+        last = np.ones(z - a, bool)
+        last[: len(values) - 1 - a] = values[a:z][: len(values) - 1 - a] != values[a + 1 : z + 1]
+        at = a + np.flatnonzero(last)
+        values[n : n + len(at)] = values[at]
+        counts.append(np.diff(at, prepend=before).astype(np.uint32))
+        n, before = n + len(at), at[-1] if len(at) else before
+    return values[:n].copy(), np.concatenate(counts) if counts else np.zeros(0, np.uint32)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, and for each element the number of its value."""
+    first = np.ones(len(x), bool)
+    first[1:] = x[1:] != x[:-1]
+    return x[first], np.cumsum(first) - 1
+
+
+class Places:
+    """Where values stand in an array of distinct ones that holds them all: by hash, and where that place is taken in the next."""
+
+    def __init__(self, own: np.ndarray):
+        slots = max(2, 2 * len(own), min(4 * len(own), 1 << 24))
+        self.own, self.bits = own, (slots - 1).bit_length()
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        for a in range(0, len(own), SLICE):
+            slot = self._slot(own[a : a + SLICE])
+            todo = np.arange(a, a + len(slot), dtype=np.int32)
+            while len(todo):
+                free = np.take(self.table, slot, mode="clip") < 0
+                self.table[slot[free]] = todo[free]
+                left = np.take(self.table, slot, mode="clip") != todo
+                todo, slot = todo[left], self._next(slot[left])
+
+    def _slot(self, values: np.ndarray) -> np.ndarray:
+        return (mix(values) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return slot + 1 & (1 << self.bits) - 1
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        if not len(values):
+            return np.zeros(0, np.int32)
+        slot = self._slot(values)
+        out = np.take(self.table, slot, mode="clip")
+        todo = np.flatnonzero((out < 0) | (np.take(self.own, out, mode="clip") != values))
+        slot, values = slot[todo], values[todo]
+        while len(todo):
+            if (out[todo] < 0).any():
+                raise KeyError("a value that the array doesn't hold")
+            slot = self._next(slot)
+            out[todo] = at = np.take(self.table, slot, mode="clip")
+            left = (at < 0) | (np.take(self.own, at, mode="clip") != values)
+            todo, slot, values = todo[left], slot[left], values[left]
+        return out
+
+
 def _summed(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, inverse = np.unique(code, return_inverse=True)
     return u, np.bincount(inverse, count, len(u)).astype(np.int64)
@@ -120,7 +193,7 @@ class Trie:
         for k, (code, count, n) in enumerate(nodes):
             p = (count - DISCOUNT) / n
             low = 10.0 ** self.log10(code & _mask(k - 1) if k else code, k - 1)
-            ctx, inverse = np.unique(code >> np.uint64(8), return_inverse=True)
+            ctx, inverse = _runs(code >> np.uint64(8))
             seen, excluded = np.bincount(inverse, p, len(ctx)), np.bincount(inverse, low, len(ctx))
             self.codes.append(code)
             self.logp.append(np.log10(p).astype(np.float32))
@@ -157,10 +230,10 @@ def _nodes(code: np.ndarray, count: np.ndarray, order: int, least: int) -> list[
     """Codes, counts and context totals of the orders from least to order, of sorted codes and their counts."""
     made = []
     for k in range(order, least - 1, -1):
-        _, inverse = np.unique(code >> np.uint64(8), return_inverse=True)
+        _, inverse = _runs(code >> np.uint64(8))
         made.append((code, count, np.bincount(inverse, count)[inverse].astype(np.int64) if len(code) else count))
         if k:
-            code, count = np.unique(code & _mask(k - 1), return_counts=True)
+            code, count = _counted(code & _mask(k - 1))
     return made[::-1]
 
 
@@ -194,9 +267,9 @@ def _blocks(src: DataFrame, order: int) -> DataFrame:
         turn = np.argsort(held, kind="stable")
         train = len(held) - sum(held)
         texts = [texts[i] for i in turn]
-        data = Padded(texts[:train], order, END)
-        short = [np.unique(data.codes(a, min(order, KEY))) for a in range(0, len(data.bytes), SLICE)]
-        short = np.unique(np.concatenate(short)) if short else np.zeros(0, np.uint64)
+        data = Padded(texts[:train], END)
+        short = [_counted(data.codes(a, KEY))[0] for a in range(0, len(data.bytes), SLICE)]
+        short = _counted(np.concatenate(short))[0] if short else np.zeros(0, np.uint64)
         whole = b"".join(texts)
         own = pa.ListArray.from_arrays(pa.array([0, len(turn)], pa.int32()), ids.take(pa.array(turn)))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -237,36 +310,32 @@ def _word_slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i, t in enumerate(texts):
         size += len(t)
         if size >= SLICE or i == len(texts) - 1:
-            w = hashed(texts[a : i + 1], range(a, i + 1))
+            w = blocked(texts[a : i + 1], range(a, i + 1))
             yield w.hash, w.row
             a, size = i + 1, 0
 
 
-def _distinct(slices: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values and their counts; slices are merged in rounds, so that few are held."""
+def _code_runs(texts: list[bytes], order: int) -> Iterator[np.ndarray]:
+    data = Padded(texts, END)
+    for a in range(0, len(data.bytes), RUN):
+        yield data.run(a, order)
+
+
+def _distinct(made: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and their counts; arrays are merged in rounds, so that few are held."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    for s in slices:
-        u, c = np.unique(s, return_counts=True)
-        held.append((u, c.astype(np.uint32)))
+    for values in made:
+        held.append(_counted(values))
+        del values  # else it is held while others are merged
         while len(held) > 1 and len(held[-1][0]) * 2 > len(held[-2][0]):
             held[-2:] = [_merged(held[-2:])]
-    if not held:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    return _merged(held)
+    return _merged(held) if held else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
 
 
-def _vocabulary(texts: list[bytes], train: int, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The distinct codes and the distinct words of a block, sorted, with their training counts."""
-    out = []
-    for kind in (0, 1):
-        made = []
-        for part in (texts[:train], texts[train:]):
-            data = Padded(part, order, END) if kind == 0 else None
-            slices = (data.codes(a, order) for a in range(0, len(data.bytes), SLICE)) if kind == 0 else (h for h, _ in _word_slices(part))
-            made.append(_distinct(slices))
-        (u, c), (v, _) = made
-        out.append(_merged([(u, c.astype(np.uint32)), (v, np.zeros(len(v), np.uint32))]))
-    return out
+def _vocabulary(texts: list[bytes], train: int, order: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes (kind 0) or words (kind 1) of a block, sorted, with their training counts."""
+    (u, c), (v, _) = (_distinct((h for h, _ in _word_slices(part)) if kind else _code_runs(part, order)) for part in (texts[:train], texts[train:]))
+    return _merged([(u, c), (v, np.zeros(len(v), np.uint32))])
 
 
 def _dealt(codes: np.ndarray, kind: int, parts: int, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -315,9 +384,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=No
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, train, sizes, size, data in zip(*(b.column(i) for i in range(5))):
-                made = _vocabulary(_texts(data.as_py(), size.as_py(), sizes.as_py()), train.as_py(), order)
+                texts = _texts(data.as_py(), size.as_py(), sizes.as_py())
                 cols: list[pa.Array] = [pa.array(np.arange(parts)), pa.array(np.full(parts, block.as_py()))]
-                for kind, (u, c) in enumerate(made):
+                for kind in (0, 1):
+                    u, c = _vocabulary(texts, train.as_py(), order, kind)
                     turn, edge = _dealt(u, kind, parts, order)
                     own = [turn[a:z] for a, z in zip(edge[:-1], edge[1:])]
                     cols += [pa.array(np.diff(edge)), pa.array([_pack_sorted(u[o]) for o in own], pa.binary()), pa.array([_pack(c[o]) for o in own], pa.binary())]
@@ -353,28 +423,29 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=No
         texts = _texts(row["texts"].as_py(), row["size"].as_py(), row["sizes"].as_py())
         right = right.sort_by("part")
         del left
-        known = []
-        for kind, ((u, _), name, dtype) in enumerate(zip(_vocabulary(texts, train, order), ("lp", "c"), ("<i4", "<i8"))):
+
+        def known(kind: int) -> tuple[Places, np.ndarray]:
+            name, dtype = (("lp", "<i4"), ("c", "<i8"))[kind]
+            u = _vocabulary(texts, train, order, kind)[0]
             turn, edge = _dealt(u, kind, parts, order)
             value = np.zeros(len(u), dtype)
             value[turn] = np.concatenate([_unpack(x.as_py(), k, dtype) for x, k in zip(right.column(name), np.diff(edge))])
-            known.append((u, value))
+            return Places(u), value
+
         total = sum(right.column("total").to_pylist()) + ends
         distinct = sum(right.column("distinct").to_pylist()) + (ends > 0)
-        sc, data = np.zeros(n), Padded(texts, order, END)
-        for a in range(0, len(data.bytes), SLICE):
-            code, which = data.codes(a, order), data.texts(a)
-            v, inverse = np.unique(code, return_inverse=True)
-            sc += np.bincount(which, known[0][1][np.searchsorted(known[0][0], v)][inverse] / -UNIT, n)
         base, n_tokens, n_known = np.full(n, np.log10(ends + 0.1)), np.ones(n, np.int64), np.full(n, int(ends > 0))
+        places, count = known(1)
         for h, which in _word_slices(texts):
-            if not len(h):
-                continue
-            c = known[1][1][np.searchsorted(known[1][0], h)]
+            c = count[places.of(h)]
             base += np.bincount(which, np.log10(c + 0.1), n)
             n_tokens += np.bincount(which, minlength=n)
             n_known += np.bincount(which[c > 0], minlength=n)
         base -= n_tokens * np.log10(total + 0.1 * (distinct + 1))
+        places, lp = known(0)
+        sc, data = np.zeros(n), Padded(texts, END)
+        for a in range(0, len(data.bytes), SLICE):
+            sc += np.bincount(data.texts(a), lp[places.of(data.codes(a, order))] / -UNIT, n)
         held_col = pa.array(np.arange(n) >= train)
         made = [pa.array(n_tokens), pa.array(n_known), pa.array(np.full(n, total)), pa.array(base), pa.array(sc)]
         return pa.Table.from_arrays([row["ids"].values, held_col, *made], names)

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import tracemalloc
+import time
 import zlib
 from collections import Counter
 
@@ -166,6 +167,56 @@ def test_lm_score_reads_over_words(spark):
     assert got[4].base_score == pytest.approx(got[1].base_score) and got[4].score < 2 * got[1].score
 
 
+def test_lm_codes_are_counted_over_slices_and_runs(monkeypatch):
+    monkeypatch.setattr(lm_score, "SLICE", 16)
+    monkeypatch.setattr(lm_score, "RUN", 96)
+    texts = [(t or "").encode() for _, t in lm_rows()] + [b"", b"a" * 50, b"\0\0b"]
+    for order in (3, 5, 7):
+        padded = [b"\0" * (order - 1) + b" " + t + b"\xff" for t in texts]
+        want = [[int.from_bytes(p[i - order : i + 1], "big") for i in range(order, len(p))] for p in padded]
+        for train in (0, 20, len(texts)):
+            seen, whole = (Counter(x for w in part for x in w) for part in (want[:train], want))
+            u, c = lm_score._vocabulary(texts, train, order, 0)
+            assert u.tolist() == sorted(whole) and c.tolist() == [seen[x] for x in sorted(whole)]
+        data = lm_score.Padded(texts, lm_score.END)
+        places = lm_score.Places(u)
+        assert np.concatenate([u[places.of(data.codes(a, order))] for a in range(0, len(data.bytes), 16)]).tolist() == [x for w in want for x in w]
+        word, which = map(np.concatenate, zip(*lm_score._word_slices(texts)))
+        assert Counter(which.tolist()) == {i: len(t.split()) for i, t in enumerate(texts) if t.split()}
+        u, c = lm_score._vocabulary(texts, 20, order, 1)
+        seen = Counter(word[which < 20].tolist())
+        assert u.tolist() == sorted({*word.tolist()}) and c.tolist() == [seen[x] for x in u.tolist()]
+
+
+def test_lm_places_of_values_whose_slots_are_taken(monkeypatch):
+    own = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 3000, dtype=np.uint64))
+    asked = np.tile(own[::-1], 3)
+    for mix in (lm_score.mix, lambda v: v % np.uint64(7) << np.uint64(61)):
+        monkeypatch.setattr(lm_score, "mix", mix)
+        assert (own[lm_score.Places(own).of(asked)] == asked).all()
+    assert not len(lm_score.Places(own[:0]).of(own[:0]))
+    with pytest.raises(KeyError):
+        lm_score.Places(own[1:]).of(own[:1])
+
+
+def test_lm_codes_cost_little_more_than_a_sort():
+    rng = np.random.default_rng(3)
+    vocabulary = np.array(["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(20_000)])
+    texts = [" ".join(rng.choice(vocabulary, 500)).encode() for _ in range(1500)]
+    data = lm_score.Padded(texts, lm_score.END)
+    codes = np.concatenate([data.codes(a, 7) for a in range(0, len(data.bytes), lm_score.SLICE)])
+
+    def least(work):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            work()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert least(lambda: lm_score._vocabulary(texts, 1350, 7, 0)) < 6 * least(lambda: np.sort(codes))
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
