@@ -97,6 +97,11 @@ def tree(html: Column | str) -> Column:
     return F.arrow_udf(_trees, TREE)(html)
 
 
+def as_written(html: Column | str) -> Column:
+    """The page with its character references escaped, so that its tree has them as they stand; those in code stay escaped."""
+    return F.replace(html, F.lit("&"), F.lit("&amp;"))
+
+
 def nodes(t: Column) -> Column:
     return t["nodes"]
 
@@ -216,6 +221,11 @@ def text(t: Column, node: Column) -> Column:
     return F.when(node.isNotNull(), F.trim(F.regexp_replace(joined, r"\s+", " ")))
 
 
+def spaced_text(t: Column, node: Column) -> Column:
+    """As text, but white space within it stays as it stands."""
+    return F.when(node.isNotNull(), F.regexp_replace(F.array_join(_pieces(t, node), ""), r"^\s+|\s+$", ""))
+
+
 def tight_text(t: Column, node: Column) -> Column:
     """As text, but pieces lose their outer white space and meet without one, as prices split over elements need."""
     bare = F.transform(_pieces(t, node), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
