@@ -22,6 +22,11 @@ DATE_FORMATS = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once: inside lambdas each mention of an expression is computed anew, and for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

@@ -115,7 +115,7 @@ def _page():
     "WHERE p_partkey % 11 > 0 AND (w = 16 OR p_partkey % 4 > 0)"
 )
 def page_core_numbers(spark, d):
-    return _sku_rows(_part(spark, d), B.core_numbers(B.html_tables(_page())))
+    return _sku_rows(V.spread(_part(spark, d)), B.core_numbers(B.html_tables(_page())))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 11 > 0 THEN 'Red & ' || p_type END AS color, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 11 > 0 THEN p_brand END AS core FROM part")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 TABLE = "array<array<string>>"
 # What names a weight, and the labels of the metrics.
 WEIGHT_CELL = r"^\s*\d{1,2}\s*(?i:lbs?)\.?\s*$"
@@ -23,7 +25,7 @@ SUBLABEL = r"^(?i:RG\s+(?:MAX|INT|MIN|DIFF|ASY)\b)"
 
 def to_number(c: Column) -> Column:
     """The first number of a text."""
-    return F.nullif(F.regexp_extract(c, NUMBER, 0), F.lit("")).try_cast("double")
+    return F.regexp_extract(c, NUMBER, 0).try_cast("double")
 
 
 def sheet_number(c: Column) -> Column:
@@ -45,7 +47,7 @@ def _filled(row: Column) -> Column:
 
 
 def _last(values: Column) -> Column:
-    return F.get(values, F.size(values) - 1)
+    return F.try_element_at(values, F.lit(-1))
 
 
 def html_tables(html: Column) -> Column:
@@ -92,18 +94,19 @@ def core_numbers(tables: Column) -> Column:
     headed = F.filter(tables, lambda t: F.size(F.filter(F.coalesce(F.get(t, 0), F.array().cast("array<string>")), lambda c: c.rlike(WEIGHT_HEADER))) >= 2)
 
     def rows(t: Column) -> Column:
-        def value(label: str, i: Column) -> Column:
-            row = _last(F.filter(F.slice(t, F.lit(2), F.size(t)), lambda r: F.lower(F.get(r, 0)) == label))
-            return F.nullif(F.get(row, i), F.lit(""))
+        def named(label: str) -> Column:
+            return _last(F.filter(F.slice(t, F.lit(2), F.size(t)), lambda r: F.lower(F.get(r, 0)) == label)).alias(label)
 
-        def sku(c: Column, i: Column) -> Column:
-            diff, bias = F.coalesce(value("diff", i), value("differential", i)), F.coalesce(value("asy", i), value("mb", i))
-            known = c.rlike(WEIGHT_HEADER) & (value("rg", i).isNotNull() | diff.isNotNull())
-            return F.when(known, _sku(F.regexp_extract(c, WEIGHT_HEADER, 1).try_cast("int"), to_number(value("rg", i)), to_number(diff), to_number(bias)))
+        def sku(c: Column, i: Column, of: Column) -> Column:
+            value = lambda label: F.nullif(F.get(of[label], i), F.lit(""))
+            diff, bias = F.coalesce(value("diff"), value("differential")), F.coalesce(value("asy"), value("mb"))
+            known = c.rlike(WEIGHT_HEADER) & (value("rg").isNotNull() | diff.isNotNull())
+            return F.when(known, _sku(F.regexp_extract(c, WEIGHT_HEADER, 1).try_cast("int"), to_number(value("rg")), to_number(diff), to_number(bias)))
 
-        return F.filter(F.transform(F.get(t, 0), sku), lambda s: s.isNotNull())
+        metrics = F.struct(*map(named, ("rg", "diff", "differential", "asy", "mb")))
+        return let(metrics, lambda of: F.filter(F.transform(F.get(t, 0), lambda c, i: sku(c, i, of)), lambda s: s.isNotNull()))
 
-    return rows(F.get(headed, 0))
+    return let(F.get(headed, 0), rows)
 
 
 def grid_skus(table: Column) -> Column:

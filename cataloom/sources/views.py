@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores: a small file makes few tasks, too few for rows that cost much time each."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def stock_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings (id, sku, quantity, checked_at) of the stock of each SKU; failed checks have no quantity."""
     e = table(spark, sf_dir, "events")

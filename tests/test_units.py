@@ -100,3 +100,18 @@ def test_merge_is_idempotent(spark):
     once = merge.upsert(old, new, ["id"], {"name": merge.NEW_ELSE_OLD})
     assert sorted(once.collect(), key=str) == sorted(merge.upsert(once, new, ["id"], {"name": merge.NEW_ELSE_OLD}).collect(), key=str)
     assert {tuple(r) for r in once.collect()} == {(1, "a", 4), (2, "b", 5), (3, "c", 9), (None, "n", 1)}
+
+
+def mentions(c):
+    return str(c).count("marker")
+
+
+def test_core_numbers_compute_their_tables_once(spark):
+    assert mentions(tables.core_numbers(F.col("marker"))) == 1
+    row = lambda *xs: "<tr>" + "".join(f"<td>{x}</td>" for x in xs) + "</tr>"
+    first = row("RG", "9 lb") + row("RG", "9")
+    second = row("x", "16 LB", "y", " 15lb", "14 lbs", "13 lb") + row("RG", "1", "2", "3") + row("rg", "2.5 in", "", "", ".5") + row("Diff", "", "", "0.05") + row("differential", "7", "", "8") + row("MB", "1") + row("ASY", "", "", "n/a")
+    page = F.lit(f"<table>{first}</table><table>{second}</table><table>{second}</table>")
+    got = [tuple(r) for r in one(spark, tables.core_numbers(tables.html_tables(page)))]
+    assert got == [(16, 2.5, 7.0, 1.0), (15, None, 0.05, None), (14, 0.5, None, None)]
+    assert one(spark, tables.core_numbers(tables.html_tables(F.lit(None).cast("string")))) is None
