@@ -8,13 +8,17 @@ open element of its name and all within it; an end tag without one, and missing
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
+from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 NODE = "struct<at:int,parent:int,last:int,tag:string,attrs:map<string,string>,piece:int,pieces:int>"
 TREE = f"struct<nodes:array<{NODE}>,texts:array<struct<text:string,code:boolean>>>"
 # Elements without content, and elements whose text is code.
@@ -28,16 +32,16 @@ class _Tree(HTMLParser):
         self.nodes: list[list] = []
         self.texts: list[tuple[str, bool]] = []
         self.open: list[int] = []
-        self.names: Counter[str] = Counter()
+        self.names: defaultdict[str, int] = defaultdict(int)
+        self.code = 0
 
     def handle_starttag(self, tag, attrs):
-        given: dict[str, str] = {}
-        for k, v in attrs:
-            given[k] = v or ""
-        self.nodes.append([self.open[-1] if self.open else -1, len(self.nodes), tag, given, len(self.texts), 0])
+        at = len(self.nodes)
+        self.nodes.append([self.open[-1] if self.open else -1, at, tag, {k: v or "" for k, v in attrs}, len(self.texts), 0])
         if tag not in VOID:
-            self.open.append(len(self.nodes) - 1)
+            self.open.append(at)
             self.names[tag] += 1
+            self.code += tag in CODE
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -45,22 +49,20 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if not self.names[tag]:
-            return
-        while True:
-            at = self._close()
-            if self.nodes[at][2] == tag:
+        while self.names[tag]:
+            if self._close() == tag:
                 return
 
-    def _close(self) -> int:
-        at = self.open.pop()
-        node = self.nodes[at]
-        self.names[node[2]] -= 1
+    def _close(self) -> str:
+        node = self.nodes[self.open.pop()]
+        tag = node[2]
+        self.names[tag] -= 1
+        self.code -= tag in CODE
         node[1], node[5] = len(self.nodes) - 1, len(self.texts) - node[4]
-        return at
+        return tag
 
     def handle_data(self, data):
-        self.texts.append((data, any(self.names[c] for c in CODE)))
+        self.texts.append((data, self.code > 0))
 
     def finished(self):
         self.close()
@@ -69,10 +71,33 @@ class _Tree(HTMLParser):
         return self.nodes, self.texts
 
 
+# A plain tag, a text, or what only the parser can tell; which elements hold raw text differs between versions of the parser.
+_PLAIN = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:[ \t\n\r\f]+[A-Za-z][\w-]*(?:=(?:"[^"&]*"|'[^'&]*'|[\w.-]+))?)*)[ \t\n\r\f]*>|([^<]+)|(<)""")
+_PLAIN_ATTR = re.compile(r"""([A-Za-z][\w-]*)(?:=("[^"]*"|'[^']*'|[\w.-]+))?""")
+_RAW = frozenset("iframe noembed noframes noscript plaintext script style textarea title xmp".split())
+
+
+def _plainly(html: str) -> _Tree | None:
+    """The tree of a page that has plain tags and texts alone, as the parser makes it; else None."""
+    t = _Tree()
+    for end, name, attrs, data, other in _PLAIN.findall(html):
+        if data:
+            t.handle_data(unescape(data) if "&" in data else data)
+        elif other or end and attrs or (tag := name.lower()) in _RAW:
+            return None
+        elif end:
+            t.handle_endtag(tag)
+        else:
+            t.handle_starttag(tag, [(k.lower(), v[1:-1] if v[:1] in ("'", '"') else v) for k, v in _PLAIN_ATTR.findall(attrs)] if attrs else ())
+    return t
+
+
 def parsed(html: str) -> tuple[list[list], list[tuple[str, bool]]]:
     """(nodes, texts): a node is [parent, last, tag, attrs, piece, pieces]."""
-    t = _Tree()
-    t.feed(html)
+    t = _plainly(html)
+    if t is None:
+        t = _Tree()
+        t.feed(html)
     return t.finished()
 
 
@@ -80,15 +105,39 @@ _NODE = pa.struct([("at", pa.int32()), ("parent", pa.int32()), ("last", pa.int32
 _TEXT = pa.struct([("text", pa.string()), ("code", pa.bool_())])
 
 
+def _lists(kind: pa.DataType, sizes: list[int], *values: pa.Array) -> pa.Array:
+    offsets = pa.array(accumulate(sizes, initial=0), pa.int32())
+    return (pa.MapArray if pa.types.is_map(kind) else pa.ListArray).from_arrays(offsets, *values)
+
+
 def _trees(html: pa.Array) -> pa.Array:
-    made, missing = [], []
+    """Column by column: nodes kept as rows of Python would take longer than their parsing."""
+    sizes, pieces, missing = [], [], []
+    places, tags, n_attrs, keys, values, words, code = [], [], [], [], [], [], []
+    parents, lasts, firsts, counts = ints = [], [], [], []
     for page in html:
         text = page.as_py()
         missing.append(text is None)
-        nodes, texts = parsed(text) if text is not None else ([], [])
-        keys = ("parent", "last", "tag", "attrs", "piece", "pieces")
-        made.append(([dict(zip(("at", *keys), (i, *n[:3], list(n[3].items()), *n[4:]))) for i, n in enumerate(nodes)], [{"text": t, "code": c} for t, c in texts]))
-    arrays = [pa.array([m[0] for m in made], pa.list_(_NODE)), pa.array([m[1] for m in made], pa.list_(_TEXT))]
+        own, texts = parsed(text) if text is not None else ([], [])
+        sizes.append(len(own))
+        pieces.append(len(texts))
+        places += range(len(own))
+        for parent, last, tag, attrs, first, count in own:
+            parents.append(parent)
+            lasts.append(last)
+            tags.append(tag)
+            n_attrs.append(len(attrs))
+            keys += attrs
+            values += attrs.values()
+            firsts.append(first)
+            counts.append(count)
+        words += [t for t, _ in texts]
+        code += [c for _, c in texts]
+    parents, lasts, firsts, counts = (pa.array(x, pa.int32()) for x in ints)
+    maps = _lists(_NODE.field("attrs").type, n_attrs, pa.array(keys, pa.string()), pa.array(values, pa.string()))
+    nodes = pa.StructArray.from_arrays([pa.array(places, pa.int32()), parents, lasts, pa.array(tags, pa.string()), maps, firsts, counts], fields=list(_NODE))
+    held = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(code, pa.bool_())], fields=list(_TEXT))
+    arrays = [_lists(pa.list_(_NODE), sizes, nodes), _lists(pa.list_(_TEXT), pieces, held)]
     return pa.StructArray.from_arrays(arrays, ["nodes", "texts"], mask=pa.array(missing, pa.bool_()))
 
 
@@ -111,7 +160,7 @@ def attr(node: Column, name: str) -> Column:
 
 
 def has_class(node: Column, name: str) -> Column:
-    return F.array_contains(F.split(F.coalesce(attr(node, "class"), F.lit("")), r"\s+"), name)
+    return F.coalesce(attr(node, "class"), F.lit("")).rlike(rf"(?:^|\s){re.escape(name)}(?:\s|\z)")
 
 
 _SIMPLE = re.compile(r"""\s*(?:(?P<tag>[A-Za-z][\w-]*)|(?P<any>\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<name>[\w-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?P<quote>["']?)(?P<value>.*?)(?P=quote)\s*)?\])""")
@@ -184,15 +233,23 @@ def select(t: Column, css: str, within: Column | None = None) -> Column:
 
         return holds
 
-    def steps(alternative: list[tuple[str, list]]) -> Column:
+    def step(found: Column | None, joiner: str, tests: list, among: Column) -> Column:
+        if found is None:
+            return F.filter(among, matching(joiner, tests, None))
+        return let(found, lambda before: F.filter(among, matching(joiner, tests, before)))
+
+    def steps(alternative: list[tuple[str, list]], among: Column) -> Column:
         found = None
-        for joiner, tests in alternative:
-            found = F.filter(nodes(t), matching(joiner, tests, found))
-        return found
+        for joiner, tests in alternative[:-1]:
+            found = step(found, joiner, tests, nodes(t))
+        return step(found, *alternative[-1], among)
+
+    def among(w: Column) -> Column:
+        """The nodes inside a node, which follow it; none for no node."""
+        return F.slice(nodes(t), F.coalesce(w["at"], F.lit(0)) + 2, F.coalesce(w["last"] - w["at"], F.lit(0)))
 
-    alternatives = [steps(a) for a in _compiled(css)]
-    found = _merged(alternatives)
-    return found if within is None else F.filter(found, lambda n: inside(n, within))
+    found = lambda of: _merged([steps(a, of) for a in _compiled(css)])
+    return found(nodes(t)) if within is None else let(within, lambda w: found(among(w)))
 
 
 def _merged(found: list[Column]) -> Column:
@@ -217,13 +274,12 @@ def _pieces(t: Column, node: Column) -> Column:
 
 def text(t: Column, node: Column) -> Column:
     """The text of a node with each run of white space as one space; null for no node. Code counts only in a node of code."""
-    joined = F.array_join(_pieces(t, node), "")
-    return F.when(node.isNotNull(), F.trim(F.regexp_replace(joined, r"\s+", " ")))
+    return let(node, lambda n: F.when(n.isNotNull(), F.trim(F.regexp_replace(F.array_join(_pieces(t, n), ""), r"\s+", " "))))
 
 
 def spaced_text(t: Column, node: Column) -> Column:
     """As text, but white space within it stays as it stands."""
-    return F.when(node.isNotNull(), F.regexp_replace(F.array_join(_pieces(t, node), ""), r"^\s+|\s+$", ""))
+    return let(node, lambda n: F.when(n.isNotNull(), F.regexp_replace(F.array_join(_pieces(t, n), ""), r"^\s+|\s+$", "")))
 
 
 def tight_text(t: Column, node: Column) -> Column:
@@ -272,11 +328,18 @@ def tables(t: Column, css: str = "table", deep: bool = True) -> Column:
 def labelled(t: Column, item: str, label: str, value: str) -> Column:
     """Array of maps, one for each item: lower-cased texts of its labels to texts of its values, in pairs; the last of equal labels counts."""
 
-    def one(n: Column) -> Column:
-        names = F.transform(select(t, label, n), lambda x: F.lower(text(t, x)))
-        values = F.transform(select(t, value, n), lambda x: text(t, x))
-        pairs = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda p: p["k"].isNotNull() & p["v"].isNotNull())
+    def inside(found: Column, n: Column, read) -> Column:
+        return F.transform(F.filter(found, lambda x: (x["at"] > n["at"]) & (x["at"] <= n["last"])), read)
+
+    def last_of_each(pairs: Column) -> Column:
         keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+        return let(keys, lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])))
+
+    def maps(labels: Column, values: Column) -> Column:
+        def one(n: Column) -> Column:
+            both = F.arrays_zip(inside(labels, n, lambda x: F.lower(text(t, x))).alias("k"), inside(values, n, lambda x: text(t, x)).alias("v"))
+            return let(F.filter(both, lambda p: p["k"].isNotNull() & p["v"].isNotNull()), last_of_each)
+
+        return F.transform(select(t, item), one)
 
-    return F.transform(select(t, item), one)
+    return let(select(t, label), lambda labels: let(select(t, value), lambda values: maps(labels, values)))

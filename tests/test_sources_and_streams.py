@@ -120,6 +120,30 @@ def test_broken_and_deep_pages(spark):
     assert one(spark, "<table><tr><td>a<table><tr><td>b</td></tr></table></td></tr></table>", lambda t: S.tables(t, "table", False)) == [[["ab"]], [["b"]]]
 
 
+def test_nodes_and_labels_are_computed_once(spark):
+    mentions = lambda c: str(c).count("marker")
+    t, marker = F.col("t"), F.col("marker")
+    assert mentions(S.text(t, marker)) == mentions(S.spaced_text(t, marker)) == mentions(S.select(t, "b", marker)) == 1
+    assert mentions(S.select(marker, "a b > i")) == 3 and mentions(S.labelled(marker, "li", "b", "i")) == 5  # a step each; two texts
+    page = "<ul><li><b>A</b><i>1</i><b> a </b><i>2</i><b>B</b></li><li></li><li><i>3</i><b>C</b><b>D</b></ul><b>E</b><i>4</i>"
+    assert one(spark, page, lambda t: S.labelled(t, "ul > li", "b", "li i")) == [{"a": "2"}, {}, {"c": "3"}]
+    assert one(spark, None, lambda t: S.labelled(t, "li", "b", "i")) is None
+
+
+def test_plain_pages_are_parsed_as_by_the_parser(spark):
+    plain = "<UL Class=a id=''>x &amp; y&lt<li data-k='1\n>2' HIDDEN a=1 a=2>é\xa0</LI ><br></i><td><p></ul>\n<template>c</template>d"
+    odd = ["<b/>", "<", "</b a>", "<title><i></title>", "<script>'<i>'</script>", "<!-- <i> -->", "<a\xa0b=c>", "<a b='&amp'>", "<a b=c/d>", "<a b = c>"]
+    for page in (plain, "", "no tags", *(plain + x + plain for x in odd)):
+        t = S._Tree()
+        t.feed(page)
+        assert S.parsed(page) == t.finished()
+    assert S._plainly(plain) and not any(S._plainly(plain + x) for x in odd)
+    got = [r.t for r in trees(spark, plain, None, "").collect()]
+    nodes, texts = S.parsed(plain)
+    assert [tuple(n) for n in got[0].nodes] == [(i, *n) for i, n in enumerate(nodes)]
+    assert [tuple(x) for x in got[0].texts] == texts and got[1] is None and got[2].nodes == got[2].texts == []
+
+
 # --- streams
 
 
