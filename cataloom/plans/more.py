@@ -69,7 +69,7 @@ def table_skus_by_row(spark, d):
         return F.array(F.lit(""), F.lit(f"{w} lbs"), beside, _num(DIFF), F.when(F.col("p_partkey") % 2 == 0, _num(f"{w} / 1000.0")).otherwise(""))
 
     intro = F.array(F.lit("DESIGN INTENT:"), F.lit(""), F.lit("x"), F.lit(""), F.lit(""))
-    return _sku_rows(_part(spark, d), B.grid_skus(F.array(intro, row(16), row(15), row(14))))
+    return _sku_rows(V.spread(_part(spark, d)), B.grid_skus(F.array(intro, row(16), row(15), row(14))))
 
 
 @query(

@@ -115,23 +115,39 @@ def grid_skus(table: Column) -> Column:
     A header row has two filled cells or more, all of them weights; each of its columns is a SKU, also without values. In a
     row of its own, a weight that stands beside another is skipped.
     """
-    header = F.get(F.filter(table, lambda r: (F.size(_filled(r)) >= 2) & ~F.exists(_filled(r), lambda c: ~c.rlike(WEIGHT_CELL))), 0)
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    weight = lambda c: c.rlike(WEIGHT_CELL)
 
-    def metric(field: str, i: Column) -> Column:
-        names = F.array(*map(F.lit, METRICS[field]))
-        own = F.filter(table, lambda r: F.array_contains(names, F.regexp_replace(F.lower(F.coalesce(F.get(_filled(r), 0), F.lit(""))), "[^a-z]", "")) & (F.trim(F.coalesce(F.get(r, i), F.lit(""))) != ""))
-        return to_number(F.get(_last(own), i))
+    def read(r: Column) -> Column:
+        return let(_filled(r), lambda filled: F.struct(r.alias("cells"), filled.alias("filled")))
 
-    by_column = F.filter(F.transform(header, lambda c, i: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", _sku(_whole(c), *(metric(f, i) for f in METRICS)))), lambda s: s.isNotNull())
-    weight_at = lambda r: F.array_position(F.transform(r, lambda c: F.coalesce(c, F.lit("")).rlike(WEIGHT_CELL)), F.lit(True))
-    at = F.get(F.filter(F.transform(table, weight_at), lambda i: i > 0), 0).cast("int") - 1
+    def by_column(rows: Column, header: Column) -> Column:
+        def metric(field: str, i: Column, named: Column) -> Column:
+            names = F.array(*map(F.lit, METRICS[field]))
+            return to_number(F.get(_last(F.filter(named, lambda x: F.array_contains(names, x["name"]) & ~blank(F.get(x["cells"], i))))["cells"], i))
 
-    def long(r: Column) -> Column:
-        others = _filled(F.filter(r, lambda c, i: i != at))
-        good = F.coalesce(F.get(r, at), F.lit("")).rlike(WEIGHT_CELL) & ~F.exists(others, lambda c: c.rlike(WEIGHT_CELL))
-        return F.when(good, _sku(_whole(F.get(r, at)), *(to_number(F.get(others, F.lit(k))) for k in range(3))))
+        def skus(named: Column) -> Column:
+            return F.transform(header, lambda c, i: F.when(~blank(c), _sku(_whole(c), *(metric(f, i, named) for f in METRICS))))
 
-    return F.when(header.isNotNull(), by_column).otherwise(F.filter(F.transform(table, long), lambda s: s.isNotNull()))
+        name = lambda x: F.regexp_replace(F.lower(F.coalesce(F.get(x["filled"], 0), F.lit(""))), "[^a-z]", "")
+        return let(F.transform(rows, lambda x: F.struct(name(x).alias("name"), x["cells"].alias("cells"))), skus)
+
+    def by_row(rows: Column) -> Column:
+        def long(r: Column, at: Column) -> Column:
+            def sku(others: Column) -> Column:
+                return F.when(~F.exists(others, weight), _sku(_whole(F.get(r, at)), *(to_number(F.get(others, F.lit(k))) for k in range(3))))
+
+            return F.when(weight(F.coalesce(F.get(r, at), F.lit(""))), let(_filled(F.filter(r, lambda c, i: i != at)), sku))
+
+        weight_at = lambda x: F.array_position(F.transform(x["cells"], lambda c: weight(F.coalesce(c, F.lit("")))), F.lit(True))
+        first = F.get(F.filter(F.transform(rows, weight_at), lambda i: i > 0), 0).cast("int") - 1
+        return let(first, lambda at: F.transform(rows, lambda x: long(x["cells"], at)))
+
+    def skus(rows: Column) -> Column:
+        header = F.get(F.filter(rows, lambda x: (F.size(x["filled"]) >= 2) & F.forall(x["filled"], weight)), 0)["cells"]
+        return let(header, lambda h: F.filter(F.when(h.isNotNull(), by_column(rows, h)).otherwise(by_row(rows)), lambda s: s.isNotNull()))
+
+    return let(F.transform(table, read), skus)
 
 
 def text_skus(text: Column) -> Column:

@@ -1,6 +1,7 @@
 """Cases that the SQL comparison doesn't reach: streams, extraction from literals, nulls and bad input."""
 
 import datetime
+import json
 
 from cataloom.functions import text as T
 from cataloom.operators import inventory, match, merge, ranking
@@ -115,3 +116,12 @@ def test_core_numbers_compute_their_tables_once(spark):
     got = [tuple(r) for r in one(spark, tables.core_numbers(tables.html_tables(page)))]
     assert got == [(16, 2.5, 7.0, 1.0), (15, None, 0.05, None), (14, 0.5, None, None)]
     assert one(spark, tables.core_numbers(tables.html_tables(F.lit(None).cast("string")))) is None
+
+
+def test_grid_skus_compute_their_table_once(spark):
+    assert mentions(tables.grid_skus(F.col("marker"))) == 1
+    grid = lambda rows: [tuple(x) for x in one(spark, tables.grid_skus(F.lit(None).cast(tables.TABLE) if rows is None else F.from_json(F.lit(json.dumps(rows)), tables.TABLE))) or ()]
+    header = [["", "16 lb", None, " 15LBS. ", "14 lb"], ["R.G.", "2.5", "9", "2.6"], None, ["rg", " ", "", "x 2.7"], ["", "PSA", "7", "8", ""], ["Diff", "", "", ".05 in", "n/a"]]
+    assert grid(header) == [(16, 2.5, None, None), (15, 2.7, 0.05, 8.0), (14, None, None, None)]
+    assert grid([["a", "16 lb", "2.5", "", "x.1"], ["b"], ["7", "14lb", "16 lb"], ["9", "15 lbs", ".5"]]) == [(16, None, 2.5, 0.1), (15, 9.0, 0.5, None)]
+    assert grid(None) == grid([]) == grid([["16 lb x"], []]) == []
